@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package from wherever it was loaded.
+
+    A cluster gets it with --py-files or an installed package.
+    """
+    home = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    if home not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
