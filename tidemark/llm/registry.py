@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash
+from collections.abc import Callable
+from functools import wraps
 
-_MODULES = (simhash,)
+from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import decontamination, divergence, langid, packing, simhash
+from tidemark.session import ship
 
-def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+_MODULES = (divergence, simhash, packing, decontamination, langid)
+
+
+def _shipped(query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _shipped(f) for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
