@@ -18,6 +18,8 @@ input, whatever their names, are not read.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -37,6 +39,16 @@ _GROUP = 1 << 22
 #: Sequences of one input partition are numbered from its index times this.
 _STRIDE = 1 << 36
 
+#: Latin letters, then punctuation without an apostrophe: two pre-tokens whatever stands around them.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Byte-level alphabets show bytes that do not print as characters from 256 on, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+def _bytes_of(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit bytes, remembering the ids of recent chunks.
@@ -49,20 +61,33 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.young, self.old = Tokenizer.from_file(path), memo, {}, {}
+        self.tokenizer, self.memo, self.young, self.old, self.pieces = Tokenizer.from_file(path), memo, {}, {}, {}
+        self.merge = self.tokenizer.model.tokenize
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token of plain letters or plain punctuation, straight from the merge model."""
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) > self.memo:
+                self.pieces.clear()
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            found = self.pieces[piece] = _bytes_of([t.id for t in self.merge(shown)])
+        return found
 
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self.young) > self.memo:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
+        young, old, new, piece = self.young, self.old, [], self._piece
         for c in chunks:
             if c not in young:
                 if (ids := old.get(c)) is not None:
                     young[c] = ids
+                elif plain := _PLAIN(c.decode()):
+                    young[c] = piece(plain[1].lower()) + piece(plain[2]) if plain[2] else piece(plain[1].lower())
                 else:
                     new.append(c)
         for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            young[c] = np.array(e.ids, "<u4").tobytes()
+            young[c] = _bytes_of(e.ids)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
