@@ -50,7 +50,7 @@ def _bytes_of(ids: Sequence[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class ChunkEncoder:
+class ChunkEncoder(dict):
     """Ids of whole texts as little-endian 32-bit bytes, remembering the ids of recent chunks.
 
     The tokenizer never joins across ASCII white space, so a text's ids are the
@@ -61,7 +61,8 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.young, self.old, self.pieces = Tokenizer.from_file(path), memo, {}, {}, {}
+        super().__init__()
+        self.tokenizer, self.memo, self.old, self.pieces = Tokenizer.from_file(path), memo, {}, {}
         self.merge = self.tokenizer.model.tokenize
 
     def _piece(self, piece: str) -> bytes:
@@ -74,29 +75,27 @@ class ChunkEncoder:
             found = self.pieces[piece] = _bytes_of([t.id for t in self.merge(shown)])
         return found
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.young) > self.memo:
-            self.old, self.young = self.young, {}
-        young, old, new, piece = self.young, self.old, [], self._piece
-        for c in chunks:
-            if c not in young:
-                if (ids := old.get(c)) is not None:
-                    young[c] = ids
-                elif plain := _PLAIN(c.decode()):
-                    young[c] = piece(plain[1].lower()) + piece(plain[2]) if plain[2] else piece(plain[1].lower())
-                else:
-                    new.append(c)
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            young[c] = _bytes_of(e.ids)
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            shown = chunk.decode()
+            if plain := _PLAIN(shown):
+                found = self._piece(plain[1].lower())
+                if plain[2]:
+                    found += self._piece(plain[2])
+            else:
+                found = _bytes_of(self.tokenizer.encode(shown, add_special_tokens=False).ids)
+        self[chunk] = found
+        return found
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        needed: set[bytes] = set()
-        for s in split:
-            needed.update(s)
-        self._learn(needed)
-        ids = self.young.__getitem__
-        return [b"".join(map(ids, s)) for s in split]
+        out, ids = [], self.__getitem__
+        for text in texts:
+            if len(self) > self.memo:
+                self.old = dict(self)
+                self.clear()
+            out.append(b"".join(map(ids, text.encode().split())))
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
