@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, divergence, html_extract, langid, packing, pii, simhash, warc
+from tidemark.llm import decontamination, divergence, html_extract, langid, packing, pii, ppm, simhash, toxicity, warc
 from tidemark.session import ship
 
-_MODULES = (divergence, pii, html_extract, warc, simhash, packing, decontamination, langid)
+_MODULES = (divergence, pii, toxicity, ppm, html_extract, warc, simhash, packing, decontamination, langid)
 
 
 def _shipped(query: Callable) -> Callable:
