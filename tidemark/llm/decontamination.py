@@ -43,7 +43,8 @@ def _fingerprints(words: DataFrame, window: int, gram: int) -> DataFrame:
     return grams.withColumn("marks", F.array_distinct(sliding_min(F.col("grams"), window - gram + 1))).drop("grams")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """`df`, marked for broadcast if its rows, counted, are few enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -62,7 +63,7 @@ def _all_windows(words: DataFrame, n: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per document row: id, n_words, n_hit, n_items, items (sorted ids as strings)."""
+    """Per document row: id, key (the hash of its text), n_words, n_hit, n_items, items (sorted ids as strings)."""
     windows = materialize(item_windows(items, item_id, item_text, window), "item-windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most `window` values
     words = _word_lists(docs, doc_id, doc_text)
@@ -73,30 +74,30 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
         long_items = _word_lists(items, item_id, item_text).where(F.size("words") >= window)
         marks = materialize(_fingerprints(long_items, window, gram).select(F.explode_outer("marks").alias("mark")).where("mark is not null").distinct(), "item-marks")
         base = _fingerprints(words, window, gram)
-        found.append(base.select("id", "key", F.explode_outer("marks").alias("mark")).join(_small(marks), "mark", "left_semi").select("id", "key"))
+        found.append(base.select("id", "key", F.explode_outer("marks").alias("mark")).join(small(marks), "mark", "left_semi").select("id", "key"))
     for n in lengths:
         if n < window:
             short = windows.where(F.col("n") == n).select("hash").distinct()
-            found.append(_all_windows(words, n).select("id", "key", "hash").join(_small(short), "hash", "left_semi").select("id", "key"))
+            found.append(_all_windows(words, n).select("id", "key", "hash").join(small(short), "hash", "left_semi").select("id", "key"))
 
     counts = words.select("id", "key", F.size("words").cast("long").alias("n_words"))
     if not found:
-        return counts.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
+        return counts.select("id", "key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
     candidates = materialize(reduce(DataFrame.unionByName, found).distinct(), "candidates")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
-    near = words.join(_small(candidates).alias("c"), (words["id"].eqNullSafe(F.col("c.id"))) & (words["key"] == F.col("c.key")), "left_semi").dropDuplicates(["id", "key"])
+    near = words.join(small(candidates).alias("c"), (words["id"].eqNullSafe(F.col("c.id"))) & (words["key"] == F.col("c.key")), "left_semi").dropDuplicates(["id", "key"])
     at = reduce(DataFrame.unionByName, [_all_windows(near, n) for n in lengths])
-    hits = materialize(at.join(_small(windows.select("n", "hash").distinct()), ["n", "hash"], "left_semi"), "hits")
+    hits = materialize(at.join(small(windows.select("n", "hash").distinct()), ["n", "hash"], "left_semi"), "hits")
 
     covered = (
         hits.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("spans"))
         .select("id", "key", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("reach")), lambda s, x: F.struct((s["hit"] + F.greatest(F.lit(0), x["at"] + x["n"] - F.greatest(x["at"], s["reach"]))).alias("hit"), F.greatest(s["reach"], x["at"] + x["n"]).alias("reach")), lambda s: s["hit"]).alias("n_hit"))
     )
-    pairs = hits.select("id", "key", "n", "hash").distinct().join(_small(windows), ["n", "hash"]).where("item is not null").select("id", "key", F.col("item").cast("string").alias("item")).distinct()
+    pairs = hits.select("id", "key", "n", "hash").distinct().join(small(windows), ["n", "hash"]).where("item is not null").select("id", "key", F.col("item").cast("string").alias("item")).distinct()
     held = pairs.groupBy("id", "key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     results = materialize(covered.join(held, same(covered, held), "left").select(covered["id"], covered["key"], "n_hit", "items"), "contamination")
     return counts.join(results, same(counts, results), "left").select(
-        counts["id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        counts["id"], counts["key"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

@@ -202,7 +202,9 @@ def fingerprint_links(marks: DataFrame, radius: int = RADIUS, bucket: int = BUCK
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component) for every row: component is the smallest id reachable over links, its own included.
+    """(id, fp, group, component) for every row: component is the smallest id reachable over links, its own included.
+
+    group is one fingerprint of the component, which tells components apart even where ids repeat.
 
     Copies share one fingerprint and are compared once; membership returns by a
     join on the fingerprint, of which Spark splits skewed partitions.
@@ -210,10 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(fingerprints(docs, id_col, text_col, k), "simhash")
     marks = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "simhash-marks")
     parts = connected_components(fingerprint_links(marks.select("fp"), radius))
-    classes = marks.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classes.groupBy("component").agg(F.min("least").alias("least"))
-    member = materialize(classes.select("fp", "component").join(least, "component").select("fp", F.col("least").alias("component")), "simhash-classes")
-    return rows.join(member, "fp").select("id", "fp", "component")
+    classes = marks.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    least = classes.groupBy("group").agg(F.min("least").alias("component"))
+    member = materialize(classes.select("fp", "group").join(least, "group").select("fp", "group", "component"), "simhash-classes")
+    return rows.join(member, "fp").select("id", "fp", "group", "component")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
