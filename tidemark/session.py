@@ -49,12 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Rows that pass between Spark and a Python worker at a time: whole texts are large.
+ROWS_PER_BATCH = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from wherever it was loaded.
+    """Let Python workers of a local session import this package from wherever it was loaded, and take small batches.
 
-    A cluster gets it with --py-files or an installed package.
+    A cluster gets the package with --py-files or an installation.
     """
     home = str(Path(__file__).resolve().parent.parent)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     env = spark.sparkContext.environment
     if home not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
