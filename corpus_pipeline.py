@@ -25,8 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     del sf_dir
     ship(spark)
     rows = _documents(docs)
-    named = rows.select(F.struct(*COLUMNS).alias("row"), "text")
-    out = langid.identify(named, langid.model_of(rows), "row", "text")
+    out = langid.identify(rows.select(F.struct(*COLUMNS).alias("row")), langid.model_of(rows), "row", "row.text")
     return out.where(F.col("lang_pred") != langid.UNDETERMINED).select("id.*")
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 UNDETERMINED = "und"
 #: Bytes of the n-grams: of lower-cased UTF-8 with one space for all that is not a letter or above ASCII.
 SIZES = (3, 5)
@@ -131,24 +133,29 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(1e9 * min(1.0, docs_per_language / totals[lang])))])
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000_000)) < F.element_at(share, F.col("lang")))
     counted = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = counted.persist()
+    counted = materialize(counted, "langid-grams")
     whole = counted.groupBy("lang", "size").agg(F.sum("n").alias("whole"))
     common = counted.join(F.broadcast(whole), ["lang", "size"]).where(F.col("n") >= F.greatest(F.lit(2.0), MIN_SHARE * F.col("whole"))).select("lang", "size", "gram").toArrow()
-    counted.unpersist()
     langs, sizes, values = (common.column(c).to_numpy(zero_copy_only=False) if c != "lang" else np.array(common.column(c).to_pylist(), object) for c in ("lang", "size", "gram"))
     filters = [LanguageFilter.build(size, [np.sort(values[(langs == lang) & (sizes == size)].view(np.uint64)) for lang in languages]) for size in SIZES]
     return Identifier(languages, filters)
 
 
 def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, lang_pred, score) for every row.
+
+    The id may be a struct that holds the text as well: a text column of the form
+    id.field is then read out of it, so the text travels once.
+    """
+    inner = text_col.removeprefix(f"{id_col}.") if text_col.startswith(f"{id_col}.") else None
+    rows = docs.select(F.col(id_col).alias("id"), *([] if inner else [F.col(text_col).alias("text")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
         for batch in batches:
-            langs, scores = zip(*(predict(t.as_py()) for t in batch.column(1)), strict=True) if batch.num_rows else ((), ())
+            texts = batch.column(0).field(inner) if inner else batch.column(1)
+            langs, scores = zip(*(predict(t.as_py()) for t in texts), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")

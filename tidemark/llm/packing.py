@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 END = 1
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 #: White-space separated chunks whose ids a worker remembers, in each of two generations.
-MEMO = 250_000
+MEMO = 120_000
 #: Texts are encoded in groups of so many characters.
-_GROUP = 1 << 22
+_GROUP = 1 << 20
 #: Sequences of one input partition are numbered from its index times this.
 _STRIDE = 1 << 36
 
