@@ -3,17 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import ship
+from tidemark.suites import governance, graphs, models, observation, partitions, platform
+
+_SUITES = (partitions, graphs, observation, governance, models, platform)
+#: The time zone that the queries' calendar arithmetic is defined in.
+ZONE = "UTC"
+
+
+def _prepared(query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        spark.conf.set("spark.sql.session.timeZone", ZONE)
+        return query(spark, sf_dir)
+
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _prepared(f) for s in _SUITES for name, f in s.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for s in _SUITES for name, sql in s.ORACLE_SQL.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return queries()["invalidation_plan"](spark, sf_dir)
