@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import NOT_ALNUM, ascii_lower, sliding_min, split_words, window_hashes
+from tidemark.llm.words import NOT_ALNUM, ascii_lower, let, sliding_min, split_words, window_hashes
 from tidemark.session import materialize
 
 WINDOW = 13
@@ -48,18 +48,32 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _window_hashes(words: Column, length: int, shorter: bool) -> Column:
+    """The hash of every window of `length` words; of a text with fewer, but not none, all of it if `shorter`.
+
+    Hashes are made inside the row, so that a long text's words are not copied for each of its windows.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def each(w: Column) -> Column:
+        n = F.least(F.size(w), F.lit(length))
+        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+        return F.when(F.size(w) >= (1 if shorter else length), hashes).otherwise(none)
+
+    return let(words, each)
+
+
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(item, n, hash) of every window of every item; n is its words, `window` or fewer."""
-    words = _word_lists(items, id_col, text_col).where(F.size("words") > 0)
-    n = F.least(F.size("words"), F.lit(window))
-    at = F.sequence(F.lit(1), F.size("words") - n + 1)
-    return words.select(F.col("id").alias("item"), "words", n.alias("n"), F.explode(at).alias("at")).select("item", "n", F.xxhash64(F.slice("words", F.col("at"), F.col("n"))).alias("hash")).distinct()
+    words = _word_lists(items, id_col, text_col)
+    hashed = words.select(F.col("id").alias("item"), F.least(F.size("words"), F.lit(window)).alias("n"), F.explode_outer(_window_hashes(F.col("words"), window, True)).alias("hash"))
+    return hashed.where("hash is not null").distinct()
 
 
 def _all_windows(words: DataFrame, n: int) -> DataFrame:
     """(id, key, at, n, hash) of every window of n words, hashed as `item_windows` does."""
-    at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
-    return words.select("id", "key", "words", F.explode_outer(at).alias("at")).select("id", "key", "at", F.lit(n).alias("n"), F.xxhash64(F.slice("words", F.col("at"), n)).alias("hash"))
+    at = words.select("id", "key", F.posexplode_outer(_window_hashes(F.col("words"), n, False)).alias("at", "hash"))
+    return at.select("id", "key", "at", F.lit(n).alias("n"), "hash").where("hash is not null")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -103,7 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
     )
 
 
-def is_contaminated() -> F.Column:
+def is_contaminated() -> Column:
     """At least one word hit, and a twentieth of all words."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 

@@ -124,7 +124,12 @@ def word_distance(common: Column, n_common: Column, reference: dict[str, float])
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
-    """`rows` of `features` with class_distance, word_distance (null where not judged) and kept."""
+    """`rows` of `features` with class_distance, word_distance (null where not judged) and kept.
+
+    The features are written first: they are read for the references and again
+    for the verdicts, and no filter may then be pushed into their making.
+    """
+    rows = materialize(rows, "divergence")
     refs = references(rows)
     by_class = {lang: class_distance(F.col("classes"), F.col("n_chars").cast("double"), ref) for lang, (ref, _) in refs.items()}
     by_word = {lang: word_distance(F.col("common"), F.col("n_common"), ref) for lang, (_, ref) in refs.items()}
@@ -144,8 +149,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict of every document."""
-    rows = materialize(features(spark.read.parquet(f"{sf_dir}/documents.parquet")), "divergence")
-    out = verdicts(rows)
+    out = verdicts(features(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
