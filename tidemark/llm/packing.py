@@ -33,7 +33,7 @@ WINDOW = 2048
 END = 1
 BLOCK_TOKENS = 1 << 21
 #: White-space separated chunks whose ids a worker remembers, in each of two generations.
-MEMO = 120_000
+MEMO = 200_000
 #: Texts are encoded in groups of so many characters.
 _GROUP = 1 << 20
 #: Sequences of one input partition are numbered from its index times this.
