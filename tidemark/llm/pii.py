@@ -58,14 +58,15 @@ CUES = {
 }
 COUNTER_CUES = r"(?i)(?:version|isbn|order|invoice|section|figure|release|commit|sha|md5|id)\W*$"
 _BEFORE = 24
-_SPAN = "array<struct<start:int,end:int,text:string>>"
+_SPAN = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 
 
-def spans_of(text: Column, pattern: str, gate: str) -> Column:
-    """Leftmost non-overlapping matches with positions; texts without `gate` are not searched.
+def spans_of(text: Column, pattern: str, gate: str, least: int = 0) -> Column:
+    """Leftmost non-overlapping matches of at least `least` characters, with positions and neighbours; texts without `gate` are not searched.
 
     The pieces between matches, as split gives them, and the matches alternate,
-    so running lengths are positions.
+    so running lengths are positions, and a piece's ends are the neighbours: the
+    work is linear in the text however many matches it has.
     """
     none = F.array().cast(_SPAN)
 
@@ -74,7 +75,9 @@ def spans_of(text: Column, pattern: str, gate: str) -> Column:
             start = s["pos"] + F.length(F.get(x["pieces"], i))
             found = F.get(x["matches"], i)
             end = start + F.length(found)
-            return F.struct(end.alias("pos"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), found.alias("text")))).alias("out"))
+            before, after = F.right(F.get(x["pieces"], i), F.lit(_BEFORE)), F.left(F.get(x["pieces"], i + 1), F.lit(1))
+            one = F.array(F.struct(start.alias("start"), end.alias("end"), found.alias("text"), before.alias("before"), after.alias("after")))
+            return F.struct(end.alias("pos"), F.when(F.length(found) >= least, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
 
         first = F.struct(F.lit(0).alias("pos"), none.alias("out"))
         return F.when(F.size(x["matches"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["matches"]) - 1), first, step, lambda s: s["out"])).otherwise(none)
@@ -139,22 +142,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, found): candidate spans of each row with votes v0..v3 and features f0..f3, by kind and start."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     t = F.col("text")
-    searches = (("email", EMAIL, "@"), ("ip", IP, r"[0-9]\.[0-9]"), ("card", CARD, "[0-9]"), ("phone", PHONE, r"\+[0-9]"), ("phone", LOCAL_PHONE, r"[0-9]{3}[ .-][0-9]{4}"), ("secret", SECRET, "[0-9]"))
-    raw = rows.select("id", "text", *[spans_of(t, p, gate).alias(f"s{i}") for i, (_, p, gate) in enumerate(searches)])
+    searches = (("email", EMAIL, "@", 0), ("ip", IP, r"[0-9]\.[0-9]", 7), ("card", CARD, "[0-9]", 13), ("phone", PHONE, r"\+[0-9]", 10), ("phone", LOCAL_PHONE, r"[0-9]{3}[ .-][0-9]{4}", 12), ("secret", SECRET, "[0-9]", 16))
+    raw = rows.select("id", *[spans_of(t, p, gate, least).alias(f"s{i}") for i, (_, p, gate, least) in enumerate(searches)])
 
     def described(kind: str, pattern: str):  # noqa: ANN202
         def one(s: Column) -> Column:
             x = s["text"]
             base = F.lit(False) if pattern is LOCAL_PHONE else _base_ok(kind, x)
-            before = F.substring(t, F.greatest(s["start"] - _BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(_BEFORE)))
+            before = s["before"]
             digits = F.length(_digits(x))
-            feats = (F.least(F.floor(F.log2(F.length(x).cast("double"))), F.lit(7)).cast("int"), F.floor(4 * digits / F.length(x)).cast("int"), _side(F.substring(before, -1, 1)), _side(F.substring(t, s["end"] + 1, F.lit(1))))
+            feats = (F.least(F.floor(F.log2(F.length(x).cast("double"))), F.lit(7)).cast("int"), F.floor(4 * digits / F.length(x)).cast("int"), _side(F.substring(before, -1, 1)), _side(s["after"]))
             return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), base.alias("base"), *[v.alias(f"v{j}") for j, v in enumerate(_votes(kind, x, before, base))], *[f.alias(f"f{j}") for j, f in enumerate(feats)])
 
         return one
 
     parts = []
-    for i, (kind, pattern, _) in enumerate(searches):
+    for i, (kind, pattern, *_) in enumerate(searches):
         s = F.col(f"s{i}")
         if kind == "secret":
             s = F.filter(s, lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
