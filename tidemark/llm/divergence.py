@@ -154,3 +154,34 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_divergence": op1_divergence}
+
+_SQL_CLASSES = [*(f"length(t) - length(regexp_replace(t, '[{c.replace(chr(39), chr(39) * 2).replace(chr(92) + chr(34), chr(34))}]+', '', 'g'))" for c in CLASSES.values()), r"length(regexp_replace(t, '[\x00-\x7F]+', '', 'g'))"]
+_SQL_VOCABULARY = ", ".join(f"'{w}'" for w in sorted({w for ws in COMMON_WORDS.values() for w in ws.split()}))
+_SQL_LANGUAGES = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+_SQL_SIDE = "(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2"
+
+ORACLE_SQL = {
+    "op1_divergence": rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE k > 1) GROUP BY 1),
+b AS (
+  SELECT doc_id, lang, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(w) < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+  FROM w LEFT JOIN r USING (doc_id)),
+c AS (SELECT doc_id, lang, base_failed, length(t) AS n_chars, unnest(range(0, {len(_SQL_CLASSES)})) AS bin, unnest([{", ".join(_SQL_CLASSES)}]) AS n FROM b),
+cr AS (SELECT lang AS ref, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM c WHERE NOT base_failed AND lang IN ({_SQL_LANGUAGES}) GROUP BY lang, bin),
+cd AS (SELECT doc_id, lang, ref, sqrt(greatest(sum({_SQL_SIDE}), 0)) AS x FROM (SELECT doc_id, lang, ref, n / n_chars AS p, q FROM c JOIN cr USING (bin) WHERE n_chars >= {MIN_CHARS}) GROUP BY 1, 2, 3),
+v AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x20.,;:!?\x7F]+')) AS word FROM b) WHERE word IN ({_SQL_VOCABULARY}) GROUP BY 1, 2),
+vr AS (SELECT lang AS ref, word, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM v JOIN b USING (doc_id) WHERE NOT base_failed AND lang IN ({_SQL_LANGUAGES}) GROUP BY lang, word),
+vn AS (SELECT doc_id, sum(n) AS n_common FROM v GROUP BY 1),
+vp AS (SELECT doc_id, b.lang, ref, n / n_common AS p, coalesce(q, 0) AS q FROM v JOIN vn USING (doc_id) JOIN b USING (doc_id) CROSS JOIN (SELECT DISTINCT ref FROM vr) LEFT JOIN vr USING (ref, word) WHERE n_common >= {MIN_COMMON} AND n_words >= {MIN_WORDS}),
+vd AS (SELECT doc_id, lang, ref, sqrt(greatest(0.5 + sum({_SQL_SIDE} - q / 2), 0)) AS x FROM vp GROUP BY 1, 2, 3),
+cn AS (SELECT doc_id, coalesce(max(x) FILTER (ref = lang), min(x)) AS x FROM cd GROUP BY 1),
+wn AS (SELECT doc_id, coalesce(max(x) FILTER (ref = lang), min(x)) AS x FROM vd GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(cn.x > {MAX_CLASS_DISTANCE}, false) OR coalesce(wn.x > {MAX_WORD_DISTANCE}, false)) AS kept, round(cn.x, 6) AS class_distance, round(wn.x, 6) AS word_distance
+FROM b LEFT JOIN cn USING (doc_id) LEFT JOIN wn USING (doc_id)
+"""
+}

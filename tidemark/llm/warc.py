@@ -262,3 +262,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_warc": op6_warc}
+
+#: Base32 from hexadecimal: five digits are twenty bits, four letters.
+_SQL_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, {5 * g + 1}, 5))::INTEGER >> {shift}) % 32 + 1)::BIGINT, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+
+ORACLE_SQL = {
+    "op6_warc": f"""
+WITH s AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, {_SQL_LETTERS} AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM s"""
+}
