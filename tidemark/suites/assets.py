@@ -130,3 +130,36 @@ SELECT round(specs, 6) AS specs, round(bounded, 6) AS bounded, round(columns, 6)
     "wasted_context": f"SELECT conv_id, sum(CASE WHEN turn % 2 = 0 THEN 0 ELSE {_TOKENS} END)::BIGINT AS wasted, sum({_TOKENS})::BIGINT AS tokens FROM conversations GROUP BY 1",
     "asset_kinds": "SELECT CASE p_partkey % 5 WHEN 0 THEN 'model' WHEN 1 THEN 'vector_index' WHEN 4 THEN 'prompt' ELSE 'table' END AS kind, count(*) AS n FROM part GROUP BY 1",
 }
+
+
+def _named_edges(spark: SparkSession, sf: str) -> DataFrame:
+    name = lambda c: F.concat(F.when(F.col(c) % 2 == 0, F.lit("gold/p")).otherwise(F.lit("raw/p")), F.col(c).cast("string"))
+    return part_edges(spark, sf).where("dst <= 100").select(name("src").alias("src"), name("dst").alias("dst"))
+
+
+def selector_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels above part 96 and one below part 5, with gold tables whose name has a 9 below part 3."""
+    from tidemark.operators.selectors import select
+
+    return select("2+gold/p96 raw/p5+1 raw/p3+,ns:gold,name:*9*", _named_edges(spark, sf))
+
+
+def canonical_names(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.plans.naming import canonical
+
+    scheme = F.element_at(F.array(*[F.lit(x) for x in ("s3a://", "gcs://", "SNOWFLAKE://", "", "wasb://")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    uri = F.concat(scheme, F.lit("Acct//"), F.col("c_name"), F.lit("/"))
+    return table(spark, sf, "customer").select("c_custkey", canonical(uri).alias("name"))
+
+
+QUERIES |= {f.__name__: f for f in (selector_language, canonical_names)}
+_NAMED = _E.replace("SELECT p_partkey FROM part))", "SELECT p_partkey FROM part) AND dst <= 100)")
+_NAME = "CASE WHEN {c} % 2 = 0 THEN 'gold/p' ELSE 'raw/p' END || {c}"
+ORACLE_SQL |= {
+    "selector_language": f"""
+WITH RECURSIVE {_NAMED}, up AS (SELECT 96::BIGINT AS n, 0 AS d UNION SELECT src, d + 1 FROM up JOIN e ON dst = n WHERE d < 2), low AS (SELECT 3::BIGINT AS n UNION SELECT dst FROM low JOIN e ON src = n),
+s AS (SELECT n FROM up UNION SELECT 5 UNION SELECT dst FROM e WHERE src = 5 UNION SELECT n FROM low WHERE n % 2 = 0 AND n::VARCHAR LIKE '%9%')
+SELECT {_NAME.format(c="n")} AS node FROM s""",
+    "canonical_names": """
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 's3://Acct/' || c_name WHEN 1 THEN 'gs://Acct/' || c_name WHEN 2 THEN 'snowflake://ACCT/' || upper(c_name) WHEN 3 THEN 'Acct/' || c_name ELSE 'abfss://Acct/' || c_name END AS name FROM customer""",
+}
