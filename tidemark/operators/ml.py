@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import ngrams, normalize, words
+from tidemark.functions.text import jaccard, ngrams, normalize, words
 from tidemark.operators.components import connected_components
 from tidemark.session import materialize
 
@@ -78,18 +78,26 @@ def minhash(grams: DataFrame, permutations: int = 128) -> DataFrame:
     return grams.groupBy("key").agg(*mins).select("key", F.array(*[f"m{p}" for p in range(permutations)]).alias("signature"))
 
 
-def lsh_links(signatures: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
-    """(u, v): each document linked to the first of every band bucket that it agrees with; buckets are never paired.
+def lsh_links(signatures: DataFrame, grams: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+    """(u, v) of documents that agree in a band and whose exact Jaccard similarity reaches the threshold.
 
-    The bucket's least key stands for it, so a bucket of any size gives one link a member.
+    Equal signatures are linked to the first of them, so only distinct ones meet
+    in the bands; pairs whose estimate is far below the threshold (over four
+    deviations for 128 rows) are not verified.
     """
     if threshold < (1 / bands) ** (1 / rows) - 0.15:
         raise ValueError(f"{bands} bands of {rows} rows miss pairs at {threshold}")
+    firsts = materialize(signatures.groupBy("signature").agg(F.min("key").alias("first")), "signatures")
+    copies = signatures.join(firsts, "signature").where("key <> first").select(F.col("first").alias("u"), F.col("key").alias("v"))
     slices = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
-    buckets = signatures.select("key", "signature", F.posexplode(slices).alias("band", "h"))
-    first = buckets.groupBy("band", "h").agg(F.min(F.struct("key", "signature")).alias("first"))
-    same = F.aggregate(F.zip_with("signature", F.col("first.signature"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return buckets.join(first, ["band", "h"]).where((F.col("key") != F.col("first.key")) & (same >= threshold * bands * rows)).select(F.col("key").alias("u"), F.col("first.key").alias("v")).distinct()
+    buckets = firsts.select("first", "signature", F.posexplode(slices).alias("band", "h"))
+    a, b = (buckets.select(F.col("first").alias(n), F.col("signature").alias(f"s{n}"), "band", "h") for n in ("u", "v"))
+    same = F.aggregate(F.zip_with("su", "sv", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    near = a.join(b, ["band", "h"]).where((F.col("u") < F.col("v")) & (same >= (threshold - 0.15) * bands * rows)).select("u", "v").distinct()
+    pairs = materialize(near.unionByName(copies), "lsh-pairs")
+    sets = grams.groupBy("key").agg(F.collect_set("gram").alias("g"))
+    gu, gv = sets.select(F.col("key").alias("u"), F.col("g").alias("gu")), sets.select(F.col("key").alias("v"), F.col("g").alias("gv"))
+    return pairs.join(gu, "u").join(gv, "v").where(jaccard(F.col("gu"), F.col("gv")) >= threshold).select("u", "v")
 
 
 def clusters(links: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def exact_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def minhash_clusters(spark: SparkSession, sf: str) -> DataFrame:
     grams = m.gram_table(table(spark, sf, "documents"), "doc_id", "text", 5)
-    return m.clusters(m.lsh_links(m.minhash(grams), 32, 4, 0.8))
+    return m.clusters(m.lsh_links(m.minhash(grams), grams, 32, 4, 0.8))
 
 
 def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
