@@ -6,12 +6,12 @@ escape (method C: distinct successors over total and distinct), after which the
 next shorter context codes it with the symbols of the longer one excluded. The
 code length of a document is the sum over its bytes and its end.
 
-Counts are gathered from the whole corpus in one aggregation. What the workers
-hold is bounded by `MAX_GRAMS` for each context length: the largest counts are
-kept, all those above a threshold that never falls as contexts grow, so that
-what a context has seen its suffix has seen too and probabilities still add to
-one. Base scores use exact counts of every token: the `HEAVY` commonest
-are looked up where the text is read, the others meet their counts in a join.
+Counts are gathered from the whole corpus in one aggregation, and every gram of
+it takes part. A byte's probability follows from its gram (context and byte)
+alone: those of the `HEAVY_GRAMS` commonest are looked up where the text is
+read; the others are coded in tries that each hold all grams whose contexts end
+in the same two bytes, and meet their texts in a join. Base scores use exact
+counts of every token in the same way, with the `HEAVY` commonest looked up.
 
 Texts are coded with A-Z in lower case and one space between tokens. A null text
 is empty: its end is coded alone. Repeated rows each get their result. With no
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 ORDER = 5
-MAX_GRAMS = 600_000
+#: Grams and tokens whose values the workers hold; the rest is met by joins.
+HEAVY_GRAMS = 600_000
 HEAVY = 1 << 17
 #: Tokens and grams that a task holds before it sends partial counts on.
 _HELD = 250_000
@@ -257,31 +258,83 @@ def count_corpus(docs: DataFrame, text_col: str = "text", order: int = ORDER) ->
     return counted.where("token is not null").select("token", "n"), counted.where("gram is not null").select("gram", "n")
 
 
-def build_trie(grams: DataFrame, order: int = ORDER, cap: int = MAX_GRAMS) -> Trie:
-    """The trie of the largest counts of each length, at most `cap` of them."""
-    levels, least = [], 0
-    for k in range(order + 1):
-        level = grams if k == order else materialize(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "ppm-grams")
-        least = max(least, _threshold(level, cap))
-        table = level.where(_bucket("n") >= least).toArrow()
-        keys, n = (table.column(c).to_numpy() for c in ("gram", "n"))
-        at = np.argsort(keys, kind="stable")
-        levels.append((keys[at].view(np.uint64), n[at].astype(np.float64)))
-    return Trie(levels)
+def _level(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of k context bytes and a byte, with their counts, from longer grams."""
+    short, at = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    return short, np.bincount(at, n, len(short))
+
+
+def _short_levels(grams: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels 0 and 1, at most 65,536 grams whatever the corpus."""
+    table = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy().astype(np.float64)
+    return [_level(keys, n, k) for k in range(min(order, 1) + 1)]
+
+
+def _code_part(batches: Iterator[pa.RecordBatch], order: int, short: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Log10 probability of each gram without a count, from the counted ones: all whose contexts end in the same two bytes are here."""
+    held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not held:
+        return
+    keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
+    counted = n > 0
+    wanted = keys[~counted]
+    if not len(wanted):
+        return
+    keys, n = keys[counted], n[counted].astype(np.float64)
+    coded = Trie(short + [_level(keys, n, k) for k in range(len(short), order + 1)]).code(wanted)
+    for i in range(0, len(wanted), _HELD):
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[i : i + _HELD].view(np.int64)), pa.array(coded[i : i + _HELD])], names=["gram", "coded"])
+
+
+def code_grams(grams: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, coded): log10 probability of each distinct wanted gram under all counted ones."""
+    short = _short_levels(grams, order)
+    both = grams.select("gram", "n").unionByName(wanted.select("gram", F.lit(0).cast("long").alias("n")))
+    ends = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    return both.repartition(ends).mapInArrow(lambda it: _code_part(it, order, short), "gram long, coded double")
+
+
+def common_grams(grams: DataFrame, most: int = HEAVY_GRAMS) -> tuple[Table, np.ndarray]:
+    """The commonest full-length grams and their log10 probabilities."""
+    context = F.shiftrightunsigned("gram", 8)
+    totals = grams.groupBy(context.alias("context")).agg((F.sum("n") + F.count("*")).alias("total"))
+    common = grams.where(_bucket("n") >= _threshold(grams, most)).withColumn("context", context).join(totals, "context")
+    table = common.select("gram", "n", "total").toArrow()
+    keys, n, total = (table.column(c).to_numpy() for c in ("gram", "n", "total"))
+    return Table(keys.view(np.uint64)), np.log10(n / total).astype(np.float32)
 
 
 class Scorer:
-    """What a worker needs: the trie and the log10 of count + 1 of the heavy tokens."""
+    """What a worker needs: log10 probabilities of the common grams, and log10 of count + 1 of the heavy tokens."""
 
-    def __init__(self, trie: Trie, heavy: dict[bytes, float]):
-        self.trie, self.heavy = trie, heavy
+    def __init__(self, common: tuple[Table, np.ndarray], heavy: dict[bytes, float], order: int = ORDER):
+        self.grams, self.coded = common
+        self.heavy, self.order = heavy, order
+
+    def code(self, texts: list[list[bytes]]) -> tuple[np.ndarray, pa.ListArray]:
+        """Of each text: the sum over its common grams, and its other grams with how often they occur."""
+        keys, starts = _grams([b" ".join(t) for t in texts], self.order)
+        at = self.grams.find(keys)
+        missed = np.nonzero(at < 0)[0]
+        each = self.coded[at].astype(np.float64) if len(self.coded) else np.zeros(len(keys))
+        each[missed] = 0.0
+        key, text = keys[missed], np.searchsorted(starts, missed, "right") - 1
+        by = np.lexsort((key, text))
+        key, text = key[by], text[by]
+        first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])]))[0] if len(key) else np.empty(0, np.int64)
+        times = np.diff(np.append(first, len(key)))
+        offsets = np.searchsorted(text[first], np.arange(len(texts) + 1)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(key[first].view(np.int64)), pa.array(times, pa.int64())], names=["gram", "n"])
+        return np.add.reduceat(each, starts), pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
     def run(self, batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() * _STRIDE
         heavy = self.heavy
         texts = ((i, tokens_of(t)) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for block in _blocks(texts):
-            scores = self.trie.score([t for _, t in block])
+            scores, other = self.code([t for _, t in block])
             known, sums, rare, rare_n, offsets = [], [], [], [], [0]
             for _, words in block:
                 k, s = 0, 0.0
@@ -299,9 +352,9 @@ class Scorer:
             pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_n, pa.int64())], names=["token", "n"])
             arrays = [
                 pa.array([i for i, _ in block], kind), pa.array(np.arange(row, row + len(block))), pa.array([len(t) + 1 for _, t in block], pa.int64()),
-                pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
+                pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs), other,
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "n_tokens", "known", "sums", "score", "rare"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "n_tokens", "known", "sums", "score", "rare", "other"])
             row += len(block)
 
 
@@ -313,19 +366,22 @@ def score(docs: DataFrame, tokens: DataFrame, grams: DataFrame, id_col: str = "d
     ends = tokens.where(F.octet_length("token") == 0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     common = tokens.where((_bucket("n") >= _threshold(tokens, HEAVY)) & (F.octet_length("token") > 0)).toArrow()
     heavy = {t: math.log10(n + 1) for t, n in zip(common.column("token").to_pylist(), common.column("n").to_pylist(), strict=True)}
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(build_trie(grams), heavy))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(common_grams(grams), heavy))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     arrow = to_arrow_type(kind)
-    fields = f"id {kind.simpleString()}, row long, n_tokens long, known long, sums double, score double, rare array<struct<token:binary,n:long>>"
+    fields = f"id {kind.simpleString()}, row long, n_tokens long, known long, sums double, score double, rare array<struct<token:binary,n:long>>, other array<struct<gram:long,n:long>>"
     scored = materialize(rows.mapInArrow(lambda it: shared.value.run(it, arrow), fields), "ppm-scores")
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.token").alias("token"), F.col("x.n").alias("times"))
     met = rare.join(tokens, "token").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n").cast("double") + 1)).alias("rare_sums"))
+    others = scored.select("row", F.explode("other").alias("x")).select("row", F.col("x.gram").alias("gram"), F.col("x.n").alias("times"))
+    coded = others.join(code_grams(grams, others.select("gram").distinct()), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("coded")).alias("other_score"))
     denominator = math.log10(total["n"] + total["v"] + 1)
     base = F.col("sums") + F.coalesce("rare_sums", F.lit(0.0)) + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(denominator)
     known = F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))
-    return scored.drop("rare").join(met, "row", "left").select("id", "n_tokens", known.cast("long").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    every = F.col("score") + F.coalesce("other_score", F.lit(0.0))
+    return scored.drop("rare", "other").join(met, "row", "left").join(coded, "row", "left").select("id", "n_tokens", known.cast("long").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), every.alias("score"))
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
