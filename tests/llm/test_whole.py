@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import ppm
+from tidemark.llm import html_extract, ppm
 
 
 def test_score_uses_every_gram(spark):
@@ -20,3 +20,28 @@ def test_score_uses_every_gram(spark):
     levels = [np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(ppm.ORDER + 1)]
     want = ppm.Trie([(u, n.astype(float)) for u, n in levels]).score([ppm.tokens_of(t) for _, t in train + test])
     assert [got[i] for i, _ in train + test] == pytest.approx(want.tolist(), rel=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 40])
+def test_neighbours_across_partitions(spark, n):
+    r = random.Random(n)
+    sites = [f"<p>chrome of {h}</p><p>menu {h} {k}</p>" for h in "ab" for k in range(3)]
+    pages = [(i, f"http://{site[13]}/{i % 7}/{i:03}", f"{site}<p>Own text {i}.</p>") for i, site in ((i, r.choice(sites)) for i in range(n))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = []
+        for parts in (1, 9, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted(map(tuple, html_extract.extract(df).collect())))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    whole = sorted((u.split("/")[2], u.split("/", 3)[3], i, html_extract.page_lines(h)) for i, u, h in pages)
+    want = []
+    for at, x in enumerate(whole):
+        near = [y for y in (*whole[max(at - 1, 0) : at], *whole[at + 1 : at + 2]) if y[0] == x[0]]
+        nearest = max(near, key=lambda y: html_extract._closeness(y[1], x[1]), default=None)
+        want.append((x[2], pages[x[2]][1], html_extract.main_text(x[3], nearest and nearest[3])))
+    assert got == [sorted(want)] * 3

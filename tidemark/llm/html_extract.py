@@ -11,7 +11,8 @@ article may be dropped. Chrome is deleted whether shared or not.
 
 Pages are dealt by range of (host, path, id), so one host may hold any share of
 the pages, and neighbours are found in one pass that holds three pages. The
-first and last page of a partition know only the neighbour inside it.
+first and last page of each partition are set aside with the page beside them,
+and differenced once they have met the edges of the adjacent partitions.
 
 A null html gives an empty text; a null or malformed URL counts as a host of its
 own name. Repeated rows each get their result. Empty tables give no rows. Other
@@ -25,13 +26,17 @@ import os
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, islice
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 # Element names, roles and name parts.
 SKIPPED = frozenset("script style noscript template iframe svg math canvas object select textarea title head".split())
 CHROME = frozenset("nav footer aside form menu dialog button".split())
@@ -50,6 +55,7 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 _PART = re.compile(r"[^a-zA-Z]+")
 
+_ZONES = {x[0]: x for x in ("chrome", "article", "body")}
 #: A line that occurs more often than this in both pages is aligned occurrence by occurrence.
 FREQUENT = 64
 #: An article line is taken for a menu when shared and more than this share of it is link text.
@@ -209,42 +215,100 @@ def _closeness(a: str, b: str) -> int:
     return len(os.path.commonprefix([a, b]))
 
 
+def _packed(lines: list[Line]) -> str:
+    return "\n".join(f"{x.zone[0]}{x.links}\t{x.text}" for x in lines)  # a line's text has single spaces only
+
+
+def _unpacked(packed: str) -> list[Line]:
+    parts = (x.partition("\t") for x in packed.split("\n")) if packed else ()
+    return [Line(text, _ZONES[head[0]], int(head[1:])) for head, _, text in parts]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in place of html: less travels."""
+    for batch in batches:
+        packed = pa.array([_packed(page_lines(x or "")) for x in batch.column(2).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, *batch.columns[3:]], names=["id", "url", "lines", "host", "path"])
+
+
+def _text(before: tuple | None, page: tuple, after: tuple | None) -> str:
+    """The main text of a page (.., host, path, lines) beside the nearer of two."""
+    near = [x for x in (before, after) if x and x[-3] == page[-3]]
+    nearest = max(near, key=lambda x: _closeness(x[-2], page[-2]), default=None)
+    return main_text(page[-1], nearest and nearest[-1])
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in order of (host, path): each page beside the nearer of the pages before and after it."""
+    """Batches in order of (host, path): the text of each page between two others, and the pages at the ends (`at` is set) to be settled."""
+    part, kind = TaskContext.get().partitionId(), pa.null()
 
     def pages() -> Iterator[tuple]:
+        nonlocal kind
         for batch in batches:
+            kind = batch.column(0).type
             for page, url, source, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield page, url, host, path, page_lines(source or "")
+                yield page, url, source, host, path, _unpacked(source)
 
-    def result(before: tuple | None, page: tuple, after: tuple | None) -> tuple:
-        near = [x for x in (before, after) if x and x[2] == page[2]]
-        nearest = max(near, key=lambda x: _closeness(x[3], page[3]), default=None)
-        return page[0], page[1], main_text(page[4], nearest and nearest[4])
+    def edge(page: tuple, at: int, first: bool = False, last: bool = False) -> tuple:
+        return page[0], page[1], None, part, at, first, last, *page[2:5]
 
     def rows() -> Iterator[tuple]:
         before = page = None
+        at = 0
         for after in pages():
             if page:
-                yield result(before, page, after)
+                if before:
+                    yield page[0], page[1], _text(before, page, after), *[None] * 7
+                if at < 2:
+                    yield edge(page, at, first=at == 0)
+                at += 1
             before, page = page, after
         if page:
-            yield result(before, page, None)
+            if at > 2:
+                yield edge(before, at - 1)
+            yield edge(page, at, first=at == 0, last=True)
+
+    yield from _batches(rows(), lambda: [kind, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string()], "id url text part at first last lines host path".split())
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in order of (key, at): the texts of the end pages of each partition, between the ends of those beside it."""
+    kind = pa.null()
+
+    def pages() -> Iterator[tuple]:
+        nonlocal kind
+        for batch in batches:
+            kind = batch.column(2).type
+            for key, wanted, page, url, source, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield key, wanted, page, url, host, path, _unpacked(source)
+
+    def rows() -> Iterator[tuple]:
+        for _, group in groupby(pages(), key=lambda x: x[0]):
+            held = [None, *group, None]  # six pages at most
+            for before, page, after in zip(held, held[1:], held[2:], strict=False):
+                if page[1]:
+                    yield page[2], page[3], _text(before, page, after)
+
+    yield from _batches(rows(), lambda: [kind, pa.string(), pa.string()], ["id", "url", "text"])
+
 
-    held: list[tuple] = []
-    kind = None
-    for row in rows():
-        held.append(row)
-        if len(held) >= 512:
-            yield _batch(held, kind)
-            held = []
-    if held:
-        yield _batch(held, kind)
+def _batches(rows: Iterator[tuple], kinds: Callable[[], list[pa.DataType]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, 512)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds(), strict=True)], names=names)
 
 
-def _batch(rows: list[tuple], _kind: None) -> pa.RecordBatch:
-    ids, urls, texts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["id", "url", "text"])
+def _edge_texts(edges: DataFrame, kind: str) -> DataFrame:
+    """(id, url, text) of the pages at the ends of partitions: a few rows of each partition."""
+    parts = [r["part"] for r in edges.select("part").distinct().orderBy("part").collect()]
+    beside = edges.sparkSession.createDataFrame(list(zip(parts, [None, *parts], [*parts[1:], None], strict=False)), "part long, previous long, next long")
+    page = ["id", "url", "lines", "host", "path"]
+    seen = lambda key, at, wanted: [F.col(key).alias("key"), at.alias("at"), wanted.alias("wanted"), *page]
+    met = edges.join(beside, "part")
+    own = met.select(*seen("part", F.col("at"), F.col("first") | F.col("last")))
+    before = met.where("last and next is not null").select(*seen("next", F.lit(-1).cast("long"), F.lit(False)))
+    after = met.where("first and previous is not null").select(*seen("previous", F.lit((1 << 63) - 1), F.lit(False)))
+    every = own.unionByName(before).unionByName(after).repartition("key").sortWithinPartitions("key", "at")
+    return every.select("key", "wanted", *page).mapInArrow(_settle, f"id {kind}, url string, text string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -253,9 +317,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)))
     rows = rows.withColumn("path", F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1))
-    dealt = rows.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id", "url")
+    parsed = rows.select("id", "url", "html", "host", "path").mapInArrow(_parse, f"id {rows.schema['id'].dataType.simpleString()}, url string, lines string, host string, path string")
+    dealt = parsed.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id", "url")
     kind = rows.schema["id"].dataType.simpleString()
-    return dealt.mapInArrow(_difference, f"id {kind}, url string, text string")
+    found = materialize(dealt.mapInArrow(_difference, f"id {kind}, url string, text string, part long, at long, first boolean, last boolean, lines string, host string, path string"), "html-texts", 9)
+    return found.where("at is null").select("id", "url", "text").unionByName(_edge_texts(found.where("at is not null"), kind))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,13 +65,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, label: str, zstd: int = 0) -> DataFrame:
+    """Write `df` as Parquet in the shared folder, at that Zstandard level if any, and read it back.
 
     Cuts the lineage: a lost executor costs the tasks that read the files,
     never the work that made them. Pruning and filters reach the new scan.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    how = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(zstd)} if zstd else {}
+    df.write.options(**how).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
