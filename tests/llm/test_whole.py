@@ -45,3 +45,24 @@ def test_neighbours_across_partitions(spark, n):
         nearest = max(near, key=lambda y: html_extract._closeness(y[1], x[1]), default=None)
         want.append((x[2], pages[x[2]][1], html_extract.main_text(x[3], nearest and nearest[3])))
     assert got == [sorted(want)] * 3
+
+
+def _longest(a, b):
+    above = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[-1]))
+        above = row
+    return above[-1]
+
+
+def test_shared_lines_that_repeat_often():
+    a = [x for k in range(65) for x in (f"s{k}", "x")]
+    assert len(html_extract.shared_lines(a, ["x"] * 35 + a)) == 130
+    r = random.Random(6)
+    for letters in ("ab", "abc", "abcdefghijkl"):
+        a, b = r.choices(letters, k=400), r.choices(letters + "z", k=370)
+        got = sorted(html_extract.shared_lines(a, b))
+        rest = iter(b)
+        assert all(a[i] in rest for i in got) and len(got) == _longest(a, b)

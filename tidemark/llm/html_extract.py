@@ -24,11 +24,12 @@ from __future__ import annotations
 import html
 import os
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import groupby, islice
+from math import isqrt
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -56,8 +57,8 @@ _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 _PART = re.compile(r"[^a-zA-Z]+")
 
 _ZONES = {x[0]: x for x in ("chrome", "article", "body")}
-#: A line that occurs more often than this in both pages is aligned occurrence by occurrence.
-FREQUENT = 64
+#: Rows of bits that are kept ready for lines that recur.
+_READY = 256
 #: An article line is taken for a menu when shared and more than this share of it is link text.
 LINKS = 0.5
 
@@ -166,37 +167,56 @@ def page_lines(source: str) -> list[Line]:
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indices of `a` on a longest common subsequence with `b` (Hunt and Szymanski)."""
+    """Indices of `a` on a longest common subsequence with `b` (bit-parallel, Hyyrö).
+
+    A row's zero bits mark where the length grows along `b`. Every so many rows
+    one is kept, and those between are made again on the way back, so memory
+    grows with the root of the page's lines times its bits.
+    """
+    both = set(a).intersection(b)
+    at, other = [i for i, x in enumerate(a) if x in both], [x for x in b if x in both]
+    low, high = 0, 0
+    most = min(len(at), len(other))
+    while low < most and a[at[low]] == other[low]:
+        low += 1
+    while high < most - low and a[at[-1 - high]] == other[-1 - high]:
+        high += 1
+    out = set(at[:low]) | set(at[len(at) - high :])
+    at, other = at[low : len(at) - high], other[low : len(other) - high]
     places: dict[str, list[int]] = defaultdict(list)
-    for j, line in enumerate(b):
+    for j, line in enumerate(other):
         places[line].append(j)
-    counts: dict[str, int] = defaultdict(int)
-    for line in a:
-        counts[line] += line in places
-    ends: list[int] = []
-    links: list[tuple] = []
-    seen: dict[str, int] = defaultdict(int)
-    for i, line in enumerate(a):
-        if line not in places:
-            continue
-        options = places[line]
-        if min(counts[line], len(options)) > FREQUENT:
-            k = seen[line]
-            seen[line] += 1
-            options = options[k : k + 1]
-        for j in reversed(options):
-            at = bisect_left(ends, j)
-            link = (i, links[at - 1] if at else None)
-            if at == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[at] = j
-                links[at] = link
-    out, link = set(), links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
+    every = (1 << len(other)) - 1
+
+    @lru_cache(_READY)
+    def bits(line: str) -> int:
+        row = bytearray(len(other) // 8 + 1)
+        for j in places.get(line, ()):
+            row[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(row, "little")
+
+    def following(row: int, i: int) -> int:
+        met = row & bits(a[at[i]])
+        return ((row + met) | (row - met)) & every
+
+    step = isqrt(len(at)) + 1
+    row, kept = every, []
+    for i in range(len(at)):
+        if i % step == 0:
+            kept.append(row)
+        row = following(row, i)
+    j = len(other)
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept[k]]
+        for i in range(k * step, min((k + 1) * step, len(at))):
+            rows.append(following(rows[-1], i))
+        for i in range(len(rows) - 1, 0, -1):
+            j = (~rows[i] & ((1 << j) - 1)).bit_length()  # the last place where the length grows
+            if not j:
+                return out
+            if rows[i - 1] >> (j - 1) & 1:
+                out.add(at[k * step + i - 1])
+                j -= 1
     return out
 
 
