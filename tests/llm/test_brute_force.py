@@ -239,10 +239,10 @@ def test_html():
     page = lambda body, ad: f'<nav><a href=x>Home</a></nav><div class="ad">{ad}</div>{body}<footer>same foot</footer>'
     a = html_extract.page_lines(page("<p>Unique one.</p><p>Read more here</p>", "x"))
     b = html_extract.page_lines(page("<p>Unique two.</p><p>Read more here</p>", "y"))
-    assert html_extract.main_text(a, b) == "Unique one."
+    assert html_extract.main_text(a, html_extract.keys_of(b)) == "Unique one."
     assert html_extract.main_text(a, None) == "Unique one. Read more here"
     art = html_extract.page_lines('<article><h1>T</h1><p>A<b>b</b> &lt;c&gt;<script>"</p>"</script>\n d<p>shared line<div class="comments">no</div></article>')
-    assert html_extract.main_text(art, art) == "T Ab <c> d shared line"
+    assert html_extract.main_text(art, html_extract.keys_of(art)) == "T Ab <c> d shared line"
     assert html_extract.page_lines("<!-- x --><p>cut <a hre") and html_extract.page_lines("") == []
 
 

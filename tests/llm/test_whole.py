@@ -1,6 +1,7 @@
 """Whole tables and long texts: what a cap, a cut or a missing case would lose."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -38,13 +39,71 @@ def test_neighbours_across_partitions(spark, n):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
-    whole = sorted((u.split("/")[2], u.split("/", 3)[3], i, html_extract.page_lines(h)) for i, u, h in pages)
-    want = []
+    classes = {}
+    for i, u, h in pages:
+        lines = [x for x in html_extract.page_lines(h) if x.zone != "chrome"]
+        key = (u.split("/")[2], h)
+        classes[key] = min(classes.get(key, ("~",)), (u.split("/", 3)[3], lines), key=lambda x: x[0])
+    whole = sorted((host, path, h, lines) for (host, h), (path, lines) in classes.items())
+    text = {}
     for at, x in enumerate(whole):
         near = [y for y in (*whole[max(at - 1, 0) : at], *whole[at + 1 : at + 2]) if y[0] == x[0]]
-        nearest = max(near, key=lambda y: html_extract._closeness(y[1], x[1]), default=None)
-        want.append((x[2], pages[x[2]][1], html_extract.main_text(x[3], nearest and nearest[3])))
-    assert got == [sorted(want)] * 3
+        near.sort(key=lambda y: -html_extract._closeness(y[1], x[1]))
+        text[x[0], x[2]] = html_extract.main_text(x[3], *(html_extract.keys_of(y[3]) for y in near))
+    assert got == [sorted((i, u, text[u.split("/")[2], h]) for i, u, h in pages)] * 3
+
+
+SITE = "<div><p>Acme daily</p><p>Sign in</p><p>{menu}</p></div>{body}<div><p>All rights reserved</p><p>Made by Acme</p></div>"
+
+
+def _site(n):
+    """Pages without an article: one template, own sentences, and a licence line that two pages share."""
+    words = [f"Sentence {i} of its own." for i in range(n)]
+    extra = lambda i: "<p>Licensed to all.</p>" if i in (3, n - 1) else ""
+    pages = [(i, f"https://acme.example/news/{i:03}", SITE.format(menu="Home News", body=f"<h1>Title {i}</h1><p>{w}</p>{extra(i)}")) for i, w in enumerate(words)]
+    return pages, {i: f"Title {i} {w}{' Licensed to all.' if extra(i) else ''}" for i, w in enumerate(words)}
+
+
+def test_differencing_decides_pages_without_an_article(spark):
+    pages, want = _site(40)
+    got = {r["id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == want
+    alone = {i: html_extract.main_text(html_extract.page_lines(h)) for i, _, h in pages}
+    assert sum(alone[i] != got[i] for i in got) == 40
+
+
+def test_copies_keep_their_text(spark):
+    pages, want = _site(6)
+    rows = [*pages, *pages, (0, "https://acme.example/news/000?print", pages[0][2]), (0, "https://acme.example/zzz", pages[0][2])]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r["text"] == want[r["id"]] for r in got)
+    same = [(i, f"http://h/{i}", "<p>only this</p>") for i in range(3)]
+    assert {r["text"] for r in html_extract.extract(spark.createDataFrame(same, "page_id string, url string, html string")).collect()} == {"only this"}
+
+
+def test_near_copies_need_a_second_word():
+    keys = lambda x: html_extract.keys_of(html_extract.page_lines(x))
+    page = lambda own, date: SITE.format(menu="Home", body=f"<p>{own}</p><p>{date}</p>")
+    a, near, other = page("The whole story, told at length.", "Monday"), page("The whole story, told at length.", "Tuesday"), page("Something else.", "Friday")
+    assert html_extract.main_text(html_extract.page_lines(a), keys(near), keys(other)) == "The whole story, told at length. Monday"
+
+
+def test_names_that_hint_and_names_that_say():
+    page = lambda body: html_extract.page_lines(f"<article>{body}</article>")
+    kept = page('<div class="entry-header"><p>Lead.</p></div><section id="related-work"><p>Others did.</p></section><p class="notice-board">Read on.</p>')
+    assert html_extract.main_text(kept) == "Lead. Others did. Read on."
+    assert html_extract.main_text(kept, html_extract.keys_of(page("<p>Lead.</p>"))) == "Others did. Read on."
+    assert html_extract.main_text(page('<p>Text.</p><div class="comments-area"><p>First!</p></div><div id="ad-slot-3">Buy</div><p class="related-posts"><a href=x>More like this</a></p>')) == "Text."
+
+
+@pytest.mark.parametrize("html", ["<div>", "<b>", "<p><div><b>", "<li><dt><b>", "</p><i>", "<a '>", '<a ">'])
+def test_nesting_costs_no_more_than_its_length(html):
+    began = time.perf_counter()
+    html_extract.page_lines(html * 20_000 + "end")
+    once = time.perf_counter() - began
+    began = time.perf_counter()
+    html_extract.page_lines(html * 80_000 + "end")
+    assert time.perf_counter() - began < 12 * once + 0.5
 
 
 def _longest(a, b):

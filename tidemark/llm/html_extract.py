@@ -1,18 +1,28 @@
 """Main text of web pages by differencing with the nearest page of the same host.
 
-A page is cut into text lines, one for each block element, each in a zone:
-chrome (menus, page headers and footers, sidebars, notices, adverts, forms,
-reader comments: by element, role, class or id), article (inside article or
-main), or body (neither). Pages are paired with the nearest URL path on their
-host, the lines of the two are aligned by longest common subsequence, and shared
-lines are deleted: in the body zone all of them, in the article zone those that
-are mostly links. Text that two articles share stays, since nothing of an
-article may be dropped. Chrome is deleted whether shared or not.
-
-Pages are dealt by range of (host, path, id), so one host may hold any share of
-the pages, and neighbours are found in one pass that holds three pages. The
-first and last page of each partition are set aside with the page beside them,
-and differenced once they have met the edges of the adjacent partitions.
+A page is cut into text lines, one for each block element. Lines inside chrome
+(menus, page headers and footers, sidebars, notices, adverts, forms, reader
+comments: by element, role, or a class or id that says nothing else) go. The
+others are in an article (inside article or main) or in the body. Pages are
+paired with the nearest URL path on their host and the lines of the two are
+aligned by longest common subsequence. Differencing decides every line whose
+markup does not: all body lines of a page without an article, lines that are
+mostly links, and lines under a class or id that only hints at chrome
+(`entry-header`, `related-work`). Such lines are deleted where they are shared.
+Article text that two pages share stays, as nothing of an article may be
+dropped.
+
+Pages of one host with equal lines are copies: they count as one page, so none
+is emptied by its own copy. Where the nearest page shares most of a page's open
+lines (a near copy, or a page that is mostly template), only lines that the page
+on the other side shares too are deleted. A page that would be left empty keeps
+its lines.
+
+Pages whose markup settles every line never travel: other pages need only the
+hashes of their lines. Pages are dealt by range of (host, path), so one host may
+hold any share of them, and neighbours are found in one pass that holds three.
+The first and last page of each partition are set aside with the page beside
+them, and differenced once they have met the edges of the adjacent partitions.
 
 A null html gives an empty text; a null or malformed URL counts as a host of its
 own name. Repeated rows each get their result. Empty tables give no rows. Other
@@ -21,17 +31,19 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import os
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import groupby, islice
 from math import isqrt
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +55,15 @@ SKIPPED = frozenset("script style noscript template iframe svg math canvas objec
 CHROME = frozenset("nav footer aside form menu dialog button".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CHROME_NAMES = frozenset("ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Parts of names that say where or how, not what: a class of these and chrome names alone is chrome.
+NEUTRAL = frozenset("area bar block body bottom box container content fixed form global group holder inner item left link links list main mobile page primary right secondary section site slot sticky text thread top unit wrap wrapper".split())
 ARTICLE = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another of the same kind ends.
 SELF_ENDING = frozenset("p li dt dd option tr td th".split())
+#: Elements that it does not reach through, besides chrome.
+STOPS = ARTICLE | frozenset("ul ol dl table div section".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -59,8 +75,10 @@ _PART = re.compile(r"[^a-zA-Z]+")
 _ZONES = {x[0]: x for x in ("chrome", "article", "body")}
 #: Rows of bits that are kept ready for lines that recur.
 _READY = 256
-#: An article line is taken for a menu when shared and more than this share of it is link text.
+#: A line is taken for a menu when more than this share of it is link text.
 LINKS = 0.5
+#: A neighbour that shares more than this part of a page's open characters needs a second one's word.
+COPY = 0.5
 
 
 @dataclass
@@ -68,6 +86,11 @@ class Line:
     text: str
     zone: str
     links: int  # characters of link text
+    hinted: bool = False  # under a class or id that only hints at chrome
+
+    @property
+    def menu(self) -> bool:
+        return self.links > LINKS * len(self.text)
 
 
 @dataclass
@@ -75,6 +98,9 @@ class _Frame:
     name: str
     chrome: bool
     article: bool
+    hinted: bool
+    at: int  # the last open element, this one included, that no p, li or the like is ended through
+    same: int  # the open element of this name before it, or -1
 
 
 @dataclass
@@ -83,28 +109,43 @@ class _Builder:
     parts: list[str] = field(default_factory=list)
     links: int = 0
 
-    def end(self, zone: str) -> None:
+    def end(self, zone: str, hinted: bool) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append(Line(text, zone, self.links))
+                self.lines.append(Line(text, zone, self.links, hinted))
             self.parts, self.links = [], 0
 
 
+def _named_chrome(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names chrome, and whether one of its names only hints at it."""
+    hinted = False
+    for word in value.split():
+        parts = [p.lower() for p in _PART.split(word) if p]
+        if any(p in CHROME_NAMES for p in parts):
+            if all(p in CHROME_NAMES or p in NEUTRAL for p in parts):
+                return True, False
+            hinted = True
+    return False, hinted
+
+
 def page_lines(source: str) -> list[Line]:
     """The text lines of a page in order; scripts, styles, comments and markup have none."""
     stack: list[_Frame] = []
+    last: dict[str, int] = {}  # of each name, the place of its innermost open element
     built, at, n = _Builder(), 0, len(source)
-    chrome = article = link = 0
+    chrome = article = link = hints = 0
 
-    def zone() -> str:
-        return "chrome" if chrome else "article" if article else "body"
+    def end() -> None:
+        built.end("chrome" if chrome else "article" if article else "body", hints > 0)
 
     def pop() -> None:
-        nonlocal chrome, article, link
+        nonlocal chrome, article, link, hints
         frame = stack.pop()
+        last[frame.name] = frame.same
         chrome -= frame.chrome
         article -= frame.article
+        hints -= frame.hinted
         link -= frame.name == "a"
 
     def text(raw: str) -> None:
@@ -128,45 +169,48 @@ def page_lines(source: str) -> list[Line]:
             break  # the page ends inside a tag
         if token[1] == "/":
             if name not in INLINE:
-                built.end(zone())
-            if any(f.name == name for f in stack):
-                while stack[-1].name != name:
+                end()
+            if (place := last.get(name, -1)) >= 0:
+                while len(stack) > place:
                     pop()
-                pop()
             continue
         if name not in INLINE:
             if name == "br":
                 built.parts.append(" ")
             else:
-                built.end(zone())
+                end()
         if name in _RAW_END and not token.endswith("/>"):
             close = _RAW_END[name].search(source, at)
             at = close.end() if close else n
             continue
         if name in VOID or token.endswith("/>"):
             continue
-        if name in SELF_ENDING and any(f.name == name for f in stack):
-            inner = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name)
-            if not any(f.name in ARTICLE or f.chrome or f.name in ("ul", "ol", "dl", "table", "div", "section") for f in stack[inner + 1 :]):
-                while len(stack) > inner:
-                    pop()
+        if name in SELF_ENDING and (place := last.get(name, -1)) >= 0 and stack[-1].at <= place:
+            while len(stack) > place:
+                pop()
         is_chrome = name in CHROME or name in SKIPPED or (name == "header" and not article)
+        hinted = False
         if not is_chrome and name not in ("html", "body") and ("class" in token or "id" in token or "role" in token or "CLASS" in token):
             for key, *values in _ATTRIBUTE.findall(token):
                 value = "".join(values)
                 if key.lower() == "role":
                     is_chrome |= value.lower() in CHROME_ROLES
                 elif name not in ARTICLE and not (name in ("h1", "h2") and article):
-                    is_chrome |= any(p.lower() in CHROME_NAMES for w in value.split() for p in _PART.split(w))
-        stack.append(_Frame(name, is_chrome, name in ARTICLE))
+                    named, hint = _named_chrome(value)
+                    is_chrome |= named
+                    hinted |= hint
+        stops = is_chrome or name in STOPS
+        stack.append(_Frame(name, is_chrome, name in ARTICLE, hinted, len(stack) if stops else stack[-1].at if stack else -1, last.get(name, -1)))
+        last[name] = len(stack) - 1
         chrome += is_chrome
         article += name in ARTICLE
+        hints += hinted
         link += name == "a"
-    built.end(zone())
+    end()
     return built.lines
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: Sequence, b: Sequence) -> set[int]:
     """Indices of `a` on a longest common subsequence with `b` (bit-parallel, Hyyrö).
 
     A row's zero bits mark where the length grows along `b`. Every so many rows
@@ -183,13 +227,13 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
         high += 1
     out = set(at[:low]) | set(at[len(at) - high :])
     at, other = at[low : len(at) - high], other[low : len(other) - high]
-    places: dict[str, list[int]] = defaultdict(list)
+    places: dict[object, list[int]] = defaultdict(list)
     for j, line in enumerate(other):
         places[line].append(j)
     every = (1 << len(other)) - 1
 
     @lru_cache(_READY)
-    def bits(line: str) -> int:
+    def bits(line: object) -> int:
         row = bytearray(len(other) // 8 + 1)
         for j in places.get(line, ()):
             row[j >> 3] |= 1 << (j & 7)
@@ -220,15 +264,29 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
-    """What remains of a page beside its neighbour; without an article zone the body is taken."""
-    shared = shared_lines([x.text for x in lines], [x.text for x in neighbour]) if neighbour else set()
-    wanted = "article" if any(x.zone == "article" for x in lines) else "body"
-    kept = []
-    for i, x in enumerate(lines):
-        if x.zone == wanted and not (i in shared and (wanted == "body" or x.links > LINKS * len(x.text))):
-            kept.append(x.text)
-    return " ".join(kept)
+def _wanted(lines: list[Line]) -> list[tuple[int, Line, bool]]:
+    """Lines of the article, or of the body where there is none, that markup does not rule out, and whether differencing decides them."""
+    zone = "article" if any(x.zone == "article" for x in lines) else "body"
+    return [(i, x, zone == "body" or x.hinted or x.menu) for i, x in enumerate(lines) if x.zone == zone and not (x.hinted and x.menu)]
+
+
+def keys_of(lines: list[Line]) -> list[int]:
+    """What lines are compared by."""
+    return [xxhash.xxh3_64_intdigest(x.text.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]
+
+
+def main_text(lines: list[Line], nearest: Sequence[int] | None = None, other: Sequence[int] | None = None) -> str:
+    """What remains of a page's lines beside the keys of the nearest page and of the one on the other side."""
+    rows = _wanted(lines)
+    gone: set[int] = set()
+    size = lambda at: sum(len(x.text) for i, x, is_open in rows if is_open and i in at)
+    if nearest and any(is_open for _, _, is_open in rows):
+        own = keys_of(lines)
+        gone = shared_lines(own, nearest)
+        if other and size(gone) > COPY * size(range(len(lines))):
+            gone &= shared_lines(own, other)
+    kept = [x.text for i, x, is_open in rows if not (is_open and i in gone)]
+    return " ".join(kept or [x.text for _, x, _ in rows])
 
 
 def _closeness(a: str, b: str) -> int:
@@ -236,99 +294,106 @@ def _closeness(a: str, b: str) -> int:
 
 
 def _packed(lines: list[Line]) -> str:
-    return "\n".join(f"{x.zone[0]}{x.links}\t{x.text}" for x in lines)  # a line's text has single spaces only
+    return "\n".join(f"{x.zone[0]}{'-h'[x.hinted]}{x.links}\t{x.text}" for x in lines)  # a line's text has single spaces only
 
 
 def _unpacked(packed: str) -> list[Line]:
     parts = (x.partition("\t") for x in packed.split("\n")) if packed else ()
-    return [Line(text, _ZONES[head[0]], int(head[1:])) for head, _, text in parts]
+    return [Line(text, _ZONES[head[0]], int(head[2:]), head[1] == "h") for head, _, text in parts]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines in place of html: less travels."""
+    """The text of each page that its markup settles, the lines of each other page, and the keys of all."""
     for batch in batches:
-        packed = pa.array([_packed(page_lines(x or "")) for x in batch.column(2).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, *batch.columns[3:]], names=["id", "url", "lines", "host", "path"])
+        texts, packed, keys, classes = [], [], [], []
+        for source in batch.column(4).to_pylist():
+            lines = [x for x in page_lines(source or "") if x.zone != "chrome"]
+            keys.append(keys_of(lines))
+            is_open = any(is_open for _, _, is_open in _wanted(lines))
+            texts.append(None if is_open else main_text(lines))
+            packed.append(_packed(lines) if is_open else None)
+            mark = packed[-1].encode("utf-8", "surrogatepass") if is_open else repr(keys[-1]).encode()
+            classes.append(hashlib.blake2b(mark, digest_size=16).digest())
+        made = [pa.array(texts, pa.string()), pa.array(packed, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], names="id url host path text lines keys class".split())
 
 
 def _text(before: tuple | None, page: tuple, after: tuple | None) -> str:
-    """The main text of a page (.., host, path, lines) beside the nearer of two."""
-    near = [x for x in (before, after) if x and x[-3] == page[-3]]
-    nearest = max(near, key=lambda x: _closeness(x[-2], page[-2]), default=None)
-    return main_text(page[-1], nearest and nearest[-1])
+    """The main text of a page (.., host, path, keys, lines) between two others, the nearer first."""
+    near = sorted((x for x in (before, after) if x and x[-4] == page[-4]), key=lambda x: -_closeness(x[-3], page[-3]))
+    return main_text(_unpacked(page[-1]), *(x[-2] for x in near))
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in order of (host, path): the text of each page between two others, and the pages at the ends (`at` is set) to be settled."""
-    part, kind = TaskContext.get().partitionId(), pa.null()
+_PAGE = "class host path keys lines".split()
+_PAGE_TYPES = [pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, 512)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    def pages() -> Iterator[tuple]:
-        nonlocal kind
-        for batch in batches:
-            kind = batch.column(0).type
-            for page, url, source, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield page, url, source, host, path, _unpacked(source)
 
-    def edge(page: tuple, at: int, first: bool = False, last: bool = False) -> tuple:
-        return page[0], page[1], None, part, at, first, last, *page[2:5]
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in order of (host, path): the text of each open page between two others, and the pages at the ends (`at` is set) to be settled."""
+    part = TaskContext.get().partitionId()
 
     def rows() -> Iterator[tuple]:
         before = page = None
         at = 0
-        for after in pages():
+        for after in _pages(batches):
             if page:
-                if before:
-                    yield page[0], page[1], _text(before, page, after), *[None] * 7
+                if before and page[-1] is not None:
+                    yield *page[:2], _text(before, page, after), *[None] * 7
                 if at < 2:
-                    yield edge(page, at, first=at == 0)
+                    yield *page[:2], None, part, at, at == 0, False, *page[2:]
                 at += 1
             before, page = page, after
         if page:
             if at > 2:
-                yield edge(before, at - 1)
-            yield edge(page, at, first=at == 0, last=True)
+                yield *before[:2], None, part, at - 1, False, False, *before[2:]
+            yield *page[:2], None, part, at, at == 0, True, *page[2:]
 
-    yield from _batches(rows(), lambda: [kind, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string()], "id url text part at first last lines host path".split())
+    kinds = [*_PAGE_TYPES[:2], pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *_PAGE_TYPES[2:]]
+    yield from _batches(rows(), kinds, [*_PAGE[:2], *"text part at first last".split(), *_PAGE[2:]])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in order of (key, at): the texts of the end pages of each partition, between the ends of those beside it."""
-    kind = pa.null()
-
-    def pages() -> Iterator[tuple]:
-        nonlocal kind
-        for batch in batches:
-            kind = batch.column(2).type
-            for key, wanted, page, url, source, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield key, wanted, page, url, host, path, _unpacked(source)
+    """Batches in order of (key, at): the texts of the open end pages of each partition, between the ends of those beside it."""
 
     def rows() -> Iterator[tuple]:
-        for _, group in groupby(pages(), key=lambda x: x[0]):
+        for _, group in groupby(_pages(batches), key=lambda x: x[0]):
             held = [None, *group, None]  # six pages at most
             for before, page, after in zip(held, held[1:], held[2:], strict=False):
-                if page[1]:
-                    yield page[2], page[3], _text(before, page, after)
-
-    yield from _batches(rows(), lambda: [kind, pa.string(), pa.string()], ["id", "url", "text"])
-
+                if page[1] and page[-1] is not None:
+                    yield *page[2:4], _text(before, page, after)
 
-def _batches(rows: Iterator[tuple], kinds: Callable[[], list[pa.DataType]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    while held := list(islice(rows, 512)):
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds(), strict=True)], names=names)
+    yield from _batches(rows(), [*_PAGE_TYPES[:2], pa.string()], ["class", "host", "text"])
 
 
-def _edge_texts(edges: DataFrame, kind: str) -> DataFrame:
-    """(id, url, text) of the pages at the ends of partitions: a few rows of each partition."""
+def _edge_texts(edges: DataFrame) -> DataFrame:
+    """(class, host, text) of the open pages at the ends of partitions: a few rows of each partition."""
     parts = [r["part"] for r in edges.select("part").distinct().orderBy("part").collect()]
     beside = edges.sparkSession.createDataFrame(list(zip(parts, [None, *parts], [*parts[1:], None], strict=False)), "part long, previous long, next long")
-    page = ["id", "url", "lines", "host", "path"]
-    seen = lambda key, at, wanted: [F.col(key).alias("key"), at.alias("at"), wanted.alias("wanted"), *page]
+    seen = lambda key, at, wanted: [F.col(key).alias("key"), at.alias("at"), wanted.alias("wanted"), *_PAGE]
     met = edges.join(beside, "part")
     own = met.select(*seen("part", F.col("at"), F.col("first") | F.col("last")))
     before = met.where("last and next is not null").select(*seen("next", F.lit(-1).cast("long"), F.lit(False)))
     after = met.where("first and previous is not null").select(*seen("previous", F.lit((1 << 63) - 1), F.lit(False)))
     every = own.unionByName(before).unionByName(after).repartition("key").sortWithinPartitions("key", "at")
-    return every.select("key", "wanted", *page).mapInArrow(_settle, f"id {kind}, url string, text string")
+    return every.select("key", "wanted", *_PAGE).mapInArrow(_settle, "class binary, host string, text string")
+
+
+def _open_texts(parsed: DataFrame) -> DataFrame:
+    """(class, host, text) of every class of copies that differencing decides."""
+    classes = parsed.groupBy("host", "class").agg(F.min("path").alias("path"), F.first("keys").alias("keys"), F.first("lines").alias("lines"))
+    dealt = classes.select(*_PAGE).repartitionByRange("host", "path", "class").sortWithinPartitions("host", "path", "class")
+    found = materialize(dealt.mapInArrow(_difference, "class binary, host string, text string, part long, at long, first boolean, last boolean, path string, keys array<long>, lines string"), "html-open")
+    return found.where("at is null").select("class", "host", "text").unionByName(_edge_texts(found.where("at is not null")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -337,11 +402,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)))
     rows = rows.withColumn("path", F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1))
-    parsed = rows.select("id", "url", "html", "host", "path").mapInArrow(_parse, f"id {rows.schema['id'].dataType.simpleString()}, url string, lines string, host string, path string")
-    dealt = parsed.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id", "url")
     kind = rows.schema["id"].dataType.simpleString()
-    found = materialize(dealt.mapInArrow(_difference, f"id {kind}, url string, text string, part long, at long, first boolean, last boolean, lines string, host string, path string"), "html-texts", 9)
-    return found.where("at is null").select("id", "url", "text").unionByName(_edge_texts(found.where("at is not null"), kind))
+    fields = f"id {kind}, url string, host string, path string, text string, lines string, keys array<long>, class binary"
+    parsed = materialize(rows.select("id", "url", "host", "path", "html").mapInArrow(_parse, fields), "html-lines", 3)
+    settled = parsed.where("lines is null").select("id", "url", "text")
+    decided = parsed.where("lines is not null").select("id", "url", "host", "class").join(_open_texts(parsed), ["host", "class"]).select("id", "url", "text")
+    return settled.unionByName(decided)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
