@@ -6,7 +6,9 @@ import time
 import numpy as np
 import pytest
 
-from tidemark.llm import html_extract, ppm
+from pyspark.sql import functions as F
+
+from tidemark.llm import html_extract, pii, ppm
 
 
 def test_score_uses_every_gram(spark):
@@ -125,3 +127,52 @@ def test_shared_lines_that_repeat_often():
         got = sorted(html_extract.shared_lines(a, b))
         rest = iter(b)
         assert all(a[i] in rest for i in got) and len(got) == _longest(a, b)
+
+
+def test_many_spans_in_one_text(spark):
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i % 7}.com +1 555 123 {i % 9000 + 1000}" for i in range(n))
+        began = time.perf_counter()
+        row = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=("text",)).select("spans", pii.redacted(F.col("text"), F.col("spans")).alias("r")).first()
+        assert len(row["spans"]) == 2 * n and row["r"] == " ".join(["[EMAIL] [PHONE]"] * n)
+        assert [text[x["start"] : x["end"]] for x in row["spans"][:n]] == [f"user{i}@mail{i % 7}.com" for i in range(n)]
+        return time.perf_counter() - began
+
+    seconds(10)
+    once = seconds(5_000)
+    assert seconds(20_000) < 8 * once + 2
+
+
+def test_redaction_equals_a_plain_one(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(200):
+        text = "".join(r.choices("abc é中\n😀", k=r.choice((0, 5, 600, 3000))))
+        starts = sorted(r.randrange(len(text)) for _ in range(r.randint(0, 12))) if text else []
+        spans = [(x, min(len(text), x + r.randint(1, 700)), r.choice(("email", "ip"))) for x in starts]
+        r.shuffle(spans)
+        rows.append((i, text, spans))
+    got = {x["i"]: x["r"] for x in spark.createDataFrame(rows, "i int, text string, s array<struct<start:int,end:int,kind:string>>").select("i", pii.redacted(F.col("text"), F.col("s")).alias("r")).collect()}
+    for i, text, spans in rows:
+        at, out = 0, ""
+        for start, end, kind in sorted(spans):
+            if start >= at:
+                out += f"{text[at:start]}[{kind.upper()}]"
+            at = max(at, end)
+        assert got[i] == out + text[at:], (text, spans)
+
+
+def test_spans_that_only_the_classifier_takes(spark):
+    prose = "the river runs on and on past the old mill 2019 and version 12.4 of the order 123456"
+    texts = {
+        "secret": "password=b7db7aa4a5fcc78305", "phone": "call 555-123-4567", "iban": "IBAN DE89 3704 0044 0532 0130 00", "ssn": "ssn 123-45-6789", "email": "mail a.b@c.org", "card": "card 4111 1111 1111 1111", "ip": "host 10.0.0.1",
+        None: "see 4111 1111 1111 1112 and 300.1.1.1 and well-known-side-effects-of-this and ISBN 000-00-0000",
+    }
+    rows = [(i, f"{prose} {t} {prose}", k) for i, (k, t) in enumerate(list(texts.items()) * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = pii.detect(df, keep=("text", "kind")).collect()
+    for r in got:
+        found = {(x["kind"], r["text"][x["start"] : x["end"]]) for x in r["spans"]}
+        want = texts[r["kind"]]
+        assert {k for k, _ in found} == ({r["kind"]} if r["kind"] else set()), (r["kind"], found)
+        assert all(t in want for _, t in found)

@@ -8,8 +8,10 @@ number of kinds and labelers bounds (KINDS * 3**4 rows), estimates how far each
 labeler can be trusted; its posteriors are the soft labels from which the final
 span classifier, naive Bayes on bucketed features of the span and the votes, is
 trained on counts of all candidates. Spans that pass the base rules are always
-kept; the classifier adds others (secrets, and telephone numbers without a
-country code).
+kept. The classifier decides the candidates that no rule does: secrets, telephone
+numbers without a country code, bank account numbers and social security
+numbers. A card or address that fails its check is none, so no classifier is
+trained for those.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans,
 repeated rows each get their result, an empty table gives no rows. Other
@@ -24,14 +26,14 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import let
+from tidemark.llm.words import let, scan
 from tidemark.session import materialize
 
 #: Kinds in the order in which spans are listed; the first four have base rules.
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
-#: Kinds to which the classifier may add; the others have checks that a true one cannot fail.
-OPEN_KINDS = ("phone", "secret")
+#: Kinds that the classifier decides; the others have checks that a true one cannot fail.
+OPEN_KINDS = ("phone", "secret", "iban", "ssn")
 
 # Patterns of the base rules. Runs are possessive and begin where a run can begin: matching is
 # linear and needs no stack, and finds what the plain forms find.
@@ -41,6 +43,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOCAL_PHONE = r"(?<![+0-9)(] |[0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"
 SECRET = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 # Fixed values of the gazetteers and cue words.
@@ -48,12 +52,16 @@ DOMAINS = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info|co|us|ca|it|nl|ch|at|be|pl
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
 RESERVED = r"^(?:0|10|127|255|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."
 CALLING = r"^\+(?:1|7|20|27|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+BANKS = r"^(?:AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|TR)"
+UNISSUED = r"^(?:000|666|9[0-9]{2})-|-00-|-0000$"
 KEYS = r"^(?:AKIA|ASIA|ghp_|gho_|sk-|sk_|pk_|xox|AIza|eyJ)"
 CUES = {
     "email": r"(?i)(?:mail|contact|write to|reach|from:|to:)\W*$",
     "ip": r"(?i)(?:\bip|host|server|address|client)\W*$",
     "card": r"(?i)(?:card|visa|credit|debit|payment|mastercard|amex)\W*$",
     "phone": r"(?i)(?:tel|phone|call|mobile|fax|contact|dial)\W*$",
+    "iban": r"(?i)(?:iban|account|bank|konto|compte|cuenta)\W*$",
+    "ssn": r"(?i)(?:ssn|social security|social|tax id|taxpayer)(?:\W|no|number)*$",
     "secret": r"(?i)(?:token|password|passwd|pwd|secret|api.?key|key|bearer|credential)\W*$",
 }
 COUNTER_CUES = r"(?i)(?:version|isbn|order|invoice|section|figure|release|commit|sha|md5|id)\W*$"
@@ -65,22 +73,16 @@ def spans_of(text: Column, pattern: str, gate: str, least: int = 0) -> Column:
     """Leftmost non-overlapping matches of at least `least` characters, with positions and neighbours; texts without `gate` are not searched.
 
     The pieces between matches, as split gives them, and the matches alternate,
-    so running lengths are positions, and a piece's ends are the neighbours: the
-    work is linear in the text however many matches it has.
+    so running lengths are positions, and a piece's ends are the neighbours.
     """
     none = F.array().cast(_SPAN)
 
     def place(x: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            start = s["pos"] + F.length(F.get(x["pieces"], i))
-            found = F.get(x["matches"], i)
-            end = start + F.length(found)
-            before, after = F.right(F.get(x["pieces"], i), F.lit(_BEFORE)), F.left(F.get(x["pieces"], i + 1), F.lit(1))
-            one = F.array(F.struct(start.alias("start"), end.alias("end"), found.alias("text"), before.alias("before"), after.alias("after")))
-            return F.struct(end.alias("pos"), F.when(F.length(found) >= least, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
-
-        first = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-        return F.when(F.size(x["matches"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["matches"]) - 1), first, step, lambda s: s["out"])).otherwise(none)
+        piece = lambda i: F.get(x["pieces"], i)
+        one = lambda m, i, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text"), F.right(piece(i), F.lit(_BEFORE)).alias("before"), F.left(piece(i + 1), F.lit(1)).alias("after"))
+        ends = scan(F.transform(x["matches"], lambda m, i: F.length(piece(i)) + F.length(m)), lambda a, b: a + b)
+        spans = let(ends, lambda e: F.transform(x["matches"], lambda m, i: one(m, i, F.get(e, i))))
+        return F.filter(spans, lambda s: F.length(s["text"]) >= least)
 
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
     return F.when(text.rlike(gate), let(both, place)).otherwise(none)
@@ -100,6 +102,14 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def mod97(x: Column) -> Column:
+    """Whether an account number passes its check: the first four characters last, letters from 10, remainder 1."""
+    plain = F.regexp_replace(x, " ", "")
+    turned = F.split(F.concat(F.substring(plain, 5, 40), F.left(plain, F.lit(4))), "")
+    step = lambda n, c: F.when(c == "", n).when(c.rlike("[0-9]"), (n * 10 + F.ascii(c) - 48) % 97).otherwise((n * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(turned, F.lit(0), step) == 1
+
+
 def _base_ok(kind: str, x: Column) -> Column:
     if kind == "email":
         return F.lit(True)
@@ -129,6 +139,10 @@ def _votes(kind: str, x: Column, before: Column, base: Column) -> list[Column]:
         return [_vote(base, ~base), _vote(_digits(x).rlike(ISSUERS), ~_digits(x).rlike(ISSUERS)), context, _vote(F.length(_digits(x)).isin(15, 16), ~F.length(_digits(x)).between(13, 19))]
     if kind == "phone":
         return [_vote(base, x.rlike(r"^\+") & ~base), _vote(x.rlike(CALLING), no), context, _vote(x.rlike(r"[ ().-]"), no)]
+    if kind == "iban":
+        return [_vote(mod97(x), ~mod97(x)), _vote(x.rlike(BANKS), ~x.rlike(BANKS)), context, _vote(F.length(F.regexp_replace(x, " ", "")).between(15, 32), no)]
+    if kind == "ssn":
+        return [_vote(~x.rlike(UNISSUED), x.rlike(UNISSUED)), _vote(no, before.rlike(r"[0-9]\s*$")), context, _vote(no, no)]
     mixed = x.rlike("[0-9]") & x.rlike("[A-Za-z]")
     return [_vote(mixed & (F.length(x) >= 18), ~mixed), _vote(x.rlike(KEYS), no), context, _vote(x.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+|[A-Z0-9]+)$") & mixed, x.rlike(r"^[a-z]+(?:[-_/][a-z0-9]+)*$"))]
 
@@ -142,7 +156,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, found): candidate spans of each row with votes v0..v3 and features f0..f3, by kind and start."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     t = F.col("text")
-    searches = (("email", EMAIL, "@", 0), ("ip", IP, r"[0-9]\.[0-9]", 7), ("card", CARD, "[0-9]", 13), ("phone", PHONE, r"\+[0-9]", 10), ("phone", LOCAL_PHONE, r"[0-9]{3}[ .-][0-9]{4}", 12), ("secret", SECRET, "[0-9]", 16))
+    searches = (("email", EMAIL, "@", 0), ("ip", IP, r"[0-9]\.[0-9]", 7), ("card", CARD, "[0-9]", 13), ("phone", PHONE, r"\+[0-9]", 10), ("phone", LOCAL_PHONE, r"[0-9]{3}[ .-][0-9]{4}", 12), ("secret", SECRET, "[0-9]", 16), ("iban", IBAN, "[A-Z]{2}[0-9]{2}", 15), ("ssn", SSN, "[0-9]-[0-9]{2}-[0-9]", 11))
     raw = rows.select("id", *[spans_of(t, p, gate, least).alias(f"s{i}") for i, (_, p, gate, least) in enumerate(searches)])
 
     def described(kind: str, pattern: str):  # noqa: ANN202
@@ -218,7 +232,7 @@ def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50)
 
 def train(found: DataFrame) -> SpanModel:
     """The model from all candidates: one grouped count, whose rows the buckets bound, is all that leaves the executors."""
-    flat = found.select(F.explode_outer("found").alias("x")).where("x is not null").select("x.kind", *[f"x.{c}" for c in (*_VOTES, *_FEATURES)])
+    flat = found.select(F.explode(F.filter("found", lambda x: x["kind"].isin(*OPEN_KINDS))).alias("x")).select("x.kind", *[f"x.{c}" for c in (*_VOTES, *_FEATURES)])
     rows = flat.groupBy("kind", *_VOTES, *_FEATURES).agg(F.count("*").alias("n")).collect()
     patterns: dict[tuple[str, tuple[int, ...]], int] = defaultdict(int)
     for r in rows:
@@ -279,24 +293,38 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+#: Characters of a text that are cut out at a time.
+_CHUNK = 512
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """The text with each span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    The text is cut into chunks of equal length first: a substring is counted from the start of its text.
+    """
     by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+    def part(cs: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _CHUNK).cast("int")
+        near = F.slice(cs, first + 1, F.floor((end - 1) / _CHUNK).cast("int") - first + 1)
+        return F.when(end > start, F.substring(F.array_join(near, ""), start - first * _CHUNK + 1, end - start)).otherwise(F.lit(""))
 
-    def step(s: Column, x: Column) -> Column:
-        between = F.substring(text, s["pos"] + 1, F.greatest(x["start"] - s["pos"], F.lit(0)))
-        out = F.when(x["start"] >= s["pos"], F.concat(s["out"], between, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(s["out"])
-        return F.struct(F.greatest(s["pos"], x["end"]).alias("pos"), out.alias("out"))
+    def made(x: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(F.lit(0))
+        one = lambda s, i: F.when(s["start"] >= before(i), F.concat(part(x["chunks"], before(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.transform(x["spans"], one), ""), part(x["chunks"], F.element_at(x["ends"], -1), F.length(text)))
 
-    first = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(by_start, first, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.length(text))))
+    ends = lambda s: scan(F.transform(s, lambda x: x["end"]), F.greatest)
+    whole = let(by_start, lambda s: F.struct(s.alias("spans"), ends(s).alias("ends"), chunks.alias("chunks")))
+    return F.when(F.size(spans) > 0, let(whole, made)).otherwise(text)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     out = detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select(F.col("id").alias("doc_id"), *[count(k) for k in BASE_KINDS], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return out.select(F.col("id").alias("doc_id"), *[count(k) for k in BASE_KINDS], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op2_pii": op2_pii}

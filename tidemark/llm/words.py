@@ -34,6 +34,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Every prefix of an array combined by an associative `op`: log2(n) passes of doubling strides.
+
+    An aggregate that appends to an array copies it at each step; here no step depends on more than one pass.
+    """
+
+    def doubled(a: Column, k: Column) -> Column:
+        stride = F.pow(F.lit(2.0), k).cast("int")
+        return F.transform(a, lambda x, i: F.when(i >= stride, op(F.get(a, i - stride), x)).otherwise(x))
+
+    rounds = lambda v: F.sequence(F.lit(0), F.ceil(F.log2(F.size(v).cast("double"))).cast("int") - 1)
+    return let(values, lambda v: F.when(F.size(v) > 1, F.aggregate(rounds(v), v, doubled)).otherwise(v))
+
+
 def window_hashes(words: Column, k: int) -> Column:
     """The hash of every k consecutive words, in order."""
     none = F.array().cast("array<bigint>")
