@@ -1,19 +1,29 @@
 """Toxicity by compression distance with Zstandard dictionaries.
 
-Two dictionaries are trained: one on ordinary text, and one on what stands out
-in toxic text, laid before the same ordinary content so that ordinary words
-cost the same under both. A document is cut into windows of one word; a window
-is compressed under either dictionary, with a carrier that both know after it
-(a compressor never starts a match in its last bytes), and the difference of
-the two lengths is the window's gain. Logistic regression on the document's
-gains (the largest, and the numbers of windows above several thresholds) is
-fitted on the training labels and so calibrates the thresholds; its output is
-the score.
+Two dictionaries are trained by Zstandard: one on windows of ordinary text, one
+on windows of toxic text, which is laid before the ordinary one so that ordinary
+words cost the same under both. A window is compressed under either dictionary,
+with a carrier that both know after it (a compressor never starts a match in its
+last bytes), and the difference of the two lengths is the window's gain.
+
+Most words of a toxic document are ordinary, so which of its windows are toxic is
+learned too, by compression alone. The training documents are dealt into two
+folds. A first toxic dictionary is trained on all windows of a fold's toxic
+documents; the words of the other fold's toxic documents that gain more under it
+than nearly all ordinary words do are what the next dictionary is trained on. A
+document never chooses by a dictionary that it made itself.
+
+A document is scored by windows of one word: longer ones blur a short word's gain
+of two to four bytes (the README has the figures). Logistic regression on the
+document's gains (the largest, and the numbers of windows above several
+thresholds), fitted on gains under the other fold's dictionary, calibrates the
+thresholds; its output is the score.
 
 Training takes a bounded sample of the labelled rows: about `TOXIC_DOCS` and
-`ORDINARY_DOCS` documents, by a hash of their ids, none longer than
-`MAX_TRAINING_CHARS`. Scoring takes the whole of every text. A worker remembers
-the gains of `MEMO` words.
+`ORDINARY_DOCS` documents, by a hash of their ids, one row of each id, of a long
+one a stretch of `MAX_TRAINING_CHARS` at a place given by the hash. Documents
+that share a run of words with one before are left out of it. Scoring takes the
+whole of every text. A worker remembers the gains of `MEMO` words.
 
 Null and empty texts have no windows and get the score of a text without gains;
 so do all texts when a label is missing from the training rows (the score is
@@ -26,9 +36,10 @@ read.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,77 +47,81 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOXIC_DOCS = 2000
-ORDINARY_DOCS = 4000
+TOXIC_DOCS = 4000
+ORDINARY_DOCS = 8000
 MAX_TRAINING_CHARS = 40_000
-#: Bytes of ordinary content, of standing-out content, and of the carrier.
-ORDINARY_BYTES = 16384
-TOXIC_BYTES = 8192
+#: Documents that share so many words in a row count as copies in training.
+COPY_WORDS = 6
+#: Bytes of the ordinary dictionary and of the first toxic one, of the later toxic one, and of the carrier.
+ORDINARY_BYTES = 112_640
+TOXIC_BYTES = 65_536
 CARRIER_BYTES = 48
-#: A word or beginning of a word stands out above this log ratio of document shares.
-MIN_LOG_RATIO = 2.0
-MIN_DOCS = 3
-STEM = 5
-GAINS = (2, 3, 4, 5, 6)
+#: Words of a training window: ordinary text, and the first toxic dictionary's.
+WINDOW = 3
+FIRST_WINDOW = 12
+#: Windows of each fold that the ordinary dictionary is trained on, and words that thresholds are read from.
+SAMPLED = 60_000
+#: Share of ordinary words that gain no more than a chosen one, and rounds of choice.
+QUANTILE = 0.998
+ROUNDS = 2
+#: Segments of the later toxic dictionaries: bytes of one, and of what is counted.
+SEGMENT = {"k": 24, "d": 6}
+GAINS = (1, 2, 3, 4, 5, 6)
 MEMO = 400_000
 _WORDS = re.compile(r"[^\W\d_]+")
-_CHUNK = 12
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
-def _units(words: Iterable[str]) -> set[str]:
-    """The words, and their beginnings of STEM letters and more."""
-    out = set()
-    for w in set(words):
-        out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(STEM, len(w)))
-    return out
-
-
-def standing_out(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """Units that documents of the toxic sample hold far more often, the most telling first."""
-    t, o = Counter(), Counter()
-    for words in toxic:
-        t.update(_units(words))
-    for words in ordinary:
-        o.update(u for u in _units(words) if u in t)
-    scored = []
-    for unit, n in t.items():
-        if n >= max(MIN_DOCS, 0.005 * len(toxic)):
-            ratio = math.log((n + 0.5) / (len(toxic) + 1)) - math.log((o[unit] + 0.5) / (len(ordinary) + 1))
-            if ratio > MIN_LOG_RATIO:
-                scored.append((-ratio * math.sqrt(n), unit))
-    return [u for _, u in sorted(scored)]
+def windows_of(words: list[str], width: int) -> list[bytes]:
+    return [f" {' '.join(words[i : i + width])} ".encode() for i in range(0, len(words), width)]
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, **how: int) -> bytes:
     """Content of a dictionary trained on `samples`; of too few samples, the samples."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents; the toxic one ends with the ordinary one."""
-    flat = [w for words in ordinary for w in words]
-    plain = _trained([(" " + " ".join(flat[i : i + _CHUNK]) + " ").encode() for i in range(0, len(flat), _CHUNK)][:60_000], ORDINARY_BYTES)
-    chosen, size, seen = [], 0, ""
-    for unit in standing_out(toxic, ordinary):
-        if unit not in seen:
-            size += len(unit.encode())
-            if size > TOXIC_BYTES:
-                break
-            chosen.append(unit)
-            seen += unit
-    return plain, "".join(reversed(chosen)).encode() + plain
+def distinct(texts: list[str]) -> list[list[str]]:
+    """The words of each text that shares no run of COPY_WORDS with one before it."""
+    seen: set[int] = set()
+    out = []
+    for words in map(words_of, texts):
+        runs = {hash(tuple(words[i : i + COPY_WORDS])) for i in range(max(1, len(words) - COPY_WORDS + 1))}
+        if words and not runs & seen:
+            out.append(words)
+        seen |= runs
+    return out
+
+
+def train_dictionaries(toxic: list[list[list[str]]], ordinary: list[list[list[str]]]) -> tuple[bytes, list[bytes], bytes]:
+    """Of two folds of documents: the ordinary dictionary, each fold's toxic one, and the toxic one of both."""
+    draw = random.Random(0)
+    sampled = lambda xs: draw.sample(xs, min(len(xs), SAMPLED))
+    plain = _trained([w for fold in ordinary for w in sampled(sorted({x for words in fold for x in windows_of(words, WINDOW)}))], ORDINARY_BYTES)
+    common = [sampled([w for words in fold for w in words]) for fold in ordinary]
+    samples = [[w for words in fold for w in windows_of(words, FIRST_WINDOW)] for fold in toxic]
+    content = [_trained(x, ORDINARY_BYTES) for x in samples]
+    for _ in range(ROUNDS):
+        chosen = []
+        for k in (0, 1):
+            distance = Distance(plain, content[1 - k])
+            cut = max(1.0, float(np.quantile([distance.gain(w) for w in common[k]], QUANTILE))) if common[k] else 1.0
+            kept = (" ".join(w for w in dict.fromkeys(words) if distance.gain(w) > cut) for words in toxic[k])
+            chosen.append([f" {x} ".encode() for x in kept if len(x) > SEGMENT["d"]])
+        if not all(chosen):
+            break
+        samples, content = chosen, [_trained(x, TOXIC_BYTES, **SEGMENT) for x in chosen]
+    return plain, content, _trained(samples[0] + samples[1], TOXIC_BYTES, **SEGMENT)
 
 
 class Distance:
-    """Gains of windows: how many bytes the toxic dictionary saves over the ordinary one."""
+    """Gains of windows: how many bytes the toxic dictionary, laid before the ordinary one, saves over that alone."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.parts = ordinary, toxic
@@ -114,9 +129,9 @@ class Distance:
 
     def _open(self) -> None:
         ordinary, toxic = self.parts
-        how = zstandard.ZstdCompressionParameters(window_log=16, chain_log=16, hash_log=16, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=9, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         coders = []
-        for content in (ordinary, toxic):
+        for content in (ordinary, toxic + ordinary):
             known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None
             if known:
                 known.precompute_compress(compression_params=how)
@@ -141,7 +156,9 @@ class Distance:
         return found
 
     def features(self, text: str | None) -> list[float]:
-        words = words_of(text)
+        return self.features_of(words_of(text))
+
+    def features_of(self, words: list[str]) -> list[float]:
         gains = Counter(map(self.gain, words))
         above = [sum(n for g, n in gains.items() if g >= least) for least in GAINS]
         scale = 20 / max(len(words), 20)
@@ -180,28 +197,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 6
 
 
 def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> ToxicityModel:
-    """A model of two samples; `share` is the share of toxic labels, that of the samples unless given.
-
-    Dictionaries come from one half of each sample and the calibration from the
-    other, then the dictionaries from all: gains on the words that chose a
-    dictionary would look better than they are.
-    """
+    """A model of two samples; `share` is the share of toxic labels, that of the samples unless given."""
     total = len(toxic) + len(ordinary)
     share = (len(toxic) / total if total else 0.0) if share is None else share
-    if not toxic or not ordinary:
+    t, o = distinct(toxic), distinct(ordinary)
+    if not t or not o:
         return ToxicityModel(Distance(b"", b""), np.empty(0), min(share, 0.49))
-    t, o = [words_of(x) for x in toxic], [words_of(x) for x in ordinary]
+    folds = [[x[k::2] or x for k in (0, 1)] for x in (t, o)]
+    plain, content, whole = train_dictionaries(*folds)
     rows, labels = [], []
-    for a in (0, 1):
-        distance = Distance(*train_dictionaries(t[a::2] or t, o[a::2] or o))
-        for texts, y in ((toxic[1 - a :: 2], 1.0), (ordinary[1 - a :: 2], 0.0)):
-            rows += map(distance.features, texts)
-            labels += [y] * len(texts)
+    for k in (0, 1):
+        distance = Distance(plain, content[1 - k])
+        for fold, y in zip(folds, (1.0, 0.0), strict=True):
+            rows += map(distance.features_of, fold[k])
+            labels += [y] * len(fold[k])
     weights = _logistic(np.array(rows), np.array(labels))
-    drawn = len(toxic) / total
+    drawn = sum(labels) / len(labels)
     if 0 < share < 1:
         weights[0] += math.log(share / (1 - share)) - math.log(drawn / (1 - drawn))
-    return ToxicityModel(Distance(*train_dictionaries(t, o)), weights, share)
+    return ToxicityModel(Distance(plain, whole), weights, share)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -212,10 +226,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.lit(0)
     for y, n in totals.items():
         share = F.when(F.col("toxic") == y, F.lit(int(1e9 * min(1.0, wanted[y] / n)))).otherwise(share)
-    sample = marked.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000_000)) < share)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= MAX_TRAINING_CHARS)
-    rows = texts.join(F.broadcast(sample), "id").select("id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (str(r["id"]), r["text"]))
+    place = F.xxhash64("id", F.lit("toxicity"))
+    sample = marked.where(F.pmod(place, F.lit(1_000_000_000)) < share)
+    stretch = F.substring(F.col("text"), (F.pmod(place, F.greatest(F.length("text") - MAX_TRAINING_CHARS, F.lit(0)) + 1) + 1).cast("int"), F.lit(MAX_TRAINING_CHARS))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.max(stretch).alias("text")).where("text is not null").collect()
+    rows.sort(key=lambda r: str(r["id"]))
     labelled = sum(totals.values())
     return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], totals.get(1, 0) / labelled if labelled else 0.0)
 
