@@ -7,11 +7,11 @@ with a carrier that both know after it (a compressor never starts a match in its
 last bytes), and the difference of the two lengths is the window's gain.
 
 Most words of a toxic document are ordinary, so which of its windows are toxic is
-learned too, by compression alone. The training documents are dealt into two
-folds. A first toxic dictionary is trained on all windows of a fold's toxic
-documents; the words of the other fold's toxic documents that gain more under it
-than nearly all ordinary words do are what the next dictionary is trained on. A
-document never chooses by a dictionary that it made itself.
+learned too, by compression alone. The training documents are dealt into folds.
+For each, a first toxic dictionary is trained on all windows of the other folds'
+toxic documents; the fold's own toxic words that gain more under it than nearly
+all ordinary words do are what the next dictionaries are trained on. A document
+never chooses by a dictionary that it made itself.
 
 A document is scored by windows of one word: longer ones blur a short word's gain
 of two to four bytes (the README has the figures). Logistic regression on the
@@ -22,8 +22,8 @@ thresholds; its output is the score.
 Training takes a bounded sample of the labelled rows: about `TOXIC_DOCS` and
 `ORDINARY_DOCS` documents, by a hash of their ids, one row of each id, of a long
 one a stretch of `MAX_TRAINING_CHARS` at a place given by the hash. Documents
-that share a run of words with one before are left out of it. Scoring takes the
-whole of every text. A worker remembers the gains of `MEMO` words.
+that repeat one before are left out of it, and so are passages that others have.
+Scoring takes the whole of every text. A worker remembers the gains of `MEMO` words.
 
 Null and empty texts have no windows and get the score of a text without gains;
 so do all texts when a label is missing from the training rows (the score is
@@ -47,20 +47,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOXIC_DOCS = 4000
-ORDINARY_DOCS = 8000
+TOXIC_DOCS = 3000
+ORDINARY_DOCS = 6000
 MAX_TRAINING_CHARS = 40_000
-#: Documents that share so many words in a row count as copies in training.
+#: Words in a row that mark a passage as repeated in training.
 COPY_WORDS = 6
-#: Bytes of the ordinary dictionary and of the first toxic one, of the later toxic one, and of the carrier.
-ORDINARY_BYTES = 112_640
+#: Bytes of the ordinary dictionary and of the first toxic ones, of the later toxic ones, and of the carrier.
+ORDINARY_BYTES = 262_144
 TOXIC_BYTES = 65_536
 CARRIER_BYTES = 48
-#: Words of a training window: ordinary text, and the first toxic dictionary's.
-WINDOW = 3
+#: Words of a window, and of the training windows of the first toxic dictionaries.
+WINDOW = 1
 FIRST_WINDOW = 12
-#: Windows of each fold that the ordinary dictionary is trained on, and words that thresholds are read from.
-SAMPLED = 60_000
+#: Folds that training documents are dealt into.
+FOLDS = 2
+#: Windows that the ordinary dictionary is trained on, and words that thresholds are read from.
+SAMPLED = 120_000
 #: Share of ordinary words that gain no more than a chosen one, and rounds of choice.
 QUANTILE = 0.998
 ROUNDS = 2
@@ -80,44 +82,49 @@ def windows_of(words: list[str], width: int) -> list[bytes]:
 
 
 def _trained(samples: list[bytes], size: int, **how: int) -> bytes:
-    """Content of a dictionary trained on `samples`; of too few samples, the samples."""
-    try:
-        return zstandard.train_dictionary(size, samples, **how).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    """Content of a dictionary trained on `samples`; of samples that fit as they are, or are too few, the samples."""
+    if sum(map(len, samples)) > size:
+        try:
+            return zstandard.train_dictionary(size, samples, **how).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(samples)[-size:]
 
 
 def distinct(texts: list[str]) -> list[list[str]]:
-    """The words of each text that shares no run of COPY_WORDS with one before it."""
+    """The words of each text that are in no run of COPY_WORDS words seen in one before; texts of which under half is left are copies and go."""
     seen: set[int] = set()
     out = []
     for words in map(words_of, texts):
-        runs = {hash(tuple(words[i : i + COPY_WORDS])) for i in range(max(1, len(words) - COPY_WORDS + 1))}
-        if words and not runs & seen:
-            out.append(words)
-        seen |= runs
+        runs = [hash(tuple(words[i : i + COPY_WORDS])) for i in range(max(1, len(words) - COPY_WORDS + 1))]
+        copied = {j for i, run in enumerate(runs) if run in seen for j in range(i, i + COPY_WORDS)}
+        own = [w for j, w in enumerate(words) if j not in copied]
+        if own and 2 * len(own) >= len(words):
+            out.append(own)
+        seen.update(runs)
     return out
 
 
 def train_dictionaries(toxic: list[list[list[str]]], ordinary: list[list[list[str]]]) -> tuple[bytes, list[bytes], bytes]:
-    """Of two folds of documents: the ordinary dictionary, each fold's toxic one, and the toxic one of both."""
+    """Of folds of documents: the ordinary dictionary, for each fold the toxic one of all others, and the toxic one of all."""
     draw = random.Random(0)
-    sampled = lambda xs: draw.sample(xs, min(len(xs), SAMPLED))
+    sampled = lambda xs: draw.sample(xs, min(len(xs), SAMPLED // len(toxic)))
     plain = _trained([w for fold in ordinary for w in sampled(sorted({x for words in fold for x in windows_of(words, WINDOW)}))], ORDINARY_BYTES)
-    common = [sampled([w for words in fold for w in words]) for fold in ordinary]
+    common = sampled([w for fold in ordinary for words in fold for w in words])
+    others = lambda xs, k: [x for j, fold in enumerate(xs) if j != k or len(xs) == 1 for x in fold]
     samples = [[w for words in fold for w in windows_of(words, FIRST_WINDOW)] for fold in toxic]
-    content = [_trained(x, ORDINARY_BYTES) for x in samples]
+    content = [_trained(others(samples, k), ORDINARY_BYTES) for k in range(len(toxic))]
     for _ in range(ROUNDS):
         chosen = []
-        for k in (0, 1):
-            distance = Distance(plain, content[1 - k])
-            cut = max(1.0, float(np.quantile([distance.gain(w) for w in common[k]], QUANTILE))) if common[k] else 1.0
-            kept = (" ".join(w for w in dict.fromkeys(words) if distance.gain(w) > cut) for words in toxic[k])
+        for k, fold in enumerate(toxic):
+            distance = Distance(plain, content[k])
+            cut = max(1.0, float(np.quantile([distance.gain(w) for w in common], QUANTILE))) if common else 1.0
+            kept = (" ".join(w for w in dict.fromkeys(words) if distance.gain(w) > cut) for words in fold)
             chosen.append([f" {x} ".encode() for x in kept if len(x) > SEGMENT["d"]])
-        if not all(chosen):
+        if not any(chosen):
             break
-        samples, content = chosen, [_trained(x, TOXIC_BYTES, **SEGMENT) for x in chosen]
-    return plain, content, _trained(samples[0] + samples[1], TOXIC_BYTES, **SEGMENT)
+        samples, content = chosen, [_trained(others(chosen, k), TOXIC_BYTES, **SEGMENT) for k in range(len(toxic))]
+    return plain, content, _trained([x for fold in samples for x in fold], TOXIC_BYTES, **SEGMENT)
 
 
 class Distance:
@@ -203,11 +210,12 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> To
     t, o = distinct(toxic), distinct(ordinary)
     if not t or not o:
         return ToxicityModel(Distance(b"", b""), np.empty(0), min(share, 0.49))
-    folds = [[x[k::2] or x for k in (0, 1)] for x in (t, o)]
+    n = min(FOLDS, len(t), len(o))
+    folds = [[x[k::n] for k in range(n)] for x in (t, o)]
     plain, content, whole = train_dictionaries(*folds)
     rows, labels = [], []
-    for k in (0, 1):
-        distance = Distance(plain, content[1 - k])
+    for k in range(n):
+        distance = Distance(plain, content[k])
         for fold, y in zip(folds, (1.0, 0.0), strict=True):
             rows += map(distance.features_of, fold[k])
             labels += [y] * len(fold[k])
