@@ -176,3 +176,17 @@ def test_spans_that_only_the_classifier_takes(spark):
         want = texts[r["kind"]]
         assert {k for k, _ in found} == ({r["kind"]} if r["kind"] else set()), (r["kind"], found)
         assert all(t in want for _, t in found)
+
+
+def test_long_texts_are_coded_in_slices(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdé", k=r.randint(1, 30))) for _ in range(r.randint(0, 300))) + r.choice(["", "  \n "]) for _ in range(30)] + ["", None, "x" * 5000, "   "]
+    plain = [(b" ".join(ppm.tokens_of(t)), ppm.tokens_of(t)) for t in texts]
+    monkeypatch.setattr(ppm, "_BLOCK", 64)
+    for order in (0, 3, 6):
+        body, tokens = [b""] * len(texts), [[] for _ in texts]
+        for i, words, before, part in ppm._units(texts, order):
+            assert before == (bytes([ppm.START]) * order + body[i])[-order:] or not order
+            body[i] += part
+            tokens[i] += words
+        assert [(x[:-1], t) for x, t in zip(body, tokens, strict=True)] == plain

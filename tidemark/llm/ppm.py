@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-ORDER = 5
+ORDER = 6
 #: Grams and tokens whose values the workers hold; the rest is met by joins.
 HEAVY_GRAMS = 600_000
 HEAVY = 1 << 17
@@ -48,32 +48,82 @@ START, END = 0xFE, 0xFF
 ALPHABET = 256
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STRIDE = 1 << 33
+_SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _grams(parts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of every coded byte of the texts (context then byte, packed), and where each text's begin."""
-    raw = np.frombuffer(b"".join(x for p in parts for x in (bytes([START]) * order, p, bytes([END]))), np.uint8)
+Unit = tuple[int, list[bytes], bytes, bytes]  # which text, its tokens, the bytes before, and the bytes to code
+
+
+def _segments(text: str | None) -> Iterator[list[bytes]]:
+    """The tokens of a text, of at most about _BLOCK bytes at a time: one list for all but very long texts."""
+    raw = text.encode().lower() if text else b""
+    at = 0
+    while len(raw) - at > _BLOCK:
+        end = max(raw.rfind(space, at, at + _BLOCK) for space in _SPACES)
+        if end <= at:
+            later = [x for x in (raw.find(space, at + _BLOCK) for space in _SPACES) if x >= 0]
+            end = min(later, default=len(raw))
+        yield raw[at:end].split()
+        at = end
+    yield raw[at:].split()
+
+
+def _units(texts: Iterable[str | None], order: int) -> Iterator[Unit]:
+    """What is coded of each text, in order: its tokens with one space between, and its end."""
+    for i, text in enumerate(texts):
+        before, body, tokens, begun = bytes([START]) * order, b"", [], False
+        for words in _segments(text):
+            if body or tokens:
+                yield i, tokens, before, body
+                before = (before + body)[-order:] if order else b""
+            tokens, body = words, (b" " if begun and words else b"") + b" ".join(words)
+            begun |= bool(words)
+        yield i, tokens, before, body + bytes([END])
+
+
+def _groups(units: Iterable[Unit]) -> Iterator[list[Unit]]:
+    """Units of about _BLOCK bytes together."""
+    held, size = [], 0
+    for unit in units:
+        held.append(unit)
+        size += len(unit[3])
+        if size >= _BLOCK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _keys(units: list[tuple[bytes, bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of every coded byte of (bytes before, bytes to code): context then byte, packed; and where each unit's begin."""
+    raw = np.frombuffer(b"".join(x for unit in units for x in unit), np.uint8)
     key = np.zeros(len(raw) - order, np.uint64)
     for i in range(order + 1):
         key <<= np.uint64(8)
         key |= raw[i : len(raw) - order + i]
-    lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
+    lengths = np.fromiter((len(body) for _, body in units), np.int64, len(units))
     ends = np.cumsum(lengths + order)
     coded = np.ones(len(key), bool)
-    for i in range(order):  # windows that begin in one text and end in the next one's start
+    for i in range(order):  # windows that begin in one unit and end in what comes before the next
         coded[(ends[:-1] - order + i)] = False
     return key[coded], np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
-def _blocks(texts: Iterator[tuple[object, list[bytes]]]) -> Iterator[list[tuple[object, list[bytes]]]]:
+def _grams(parts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of every coded byte of whole normalized texts, and where each text's begin."""
+    return _keys([(bytes([START]) * order, p + bytes([END])) for p in parts], order)
+
+
+def _blocks(texts: Iterator[tuple[object, str | None]]) -> Iterator[list[tuple[object, str | None]]]:
+    """Rows whose texts have about _BLOCK characters together, or one longer."""
     held, size = [], 0
     for item in texts:
         held.append(item)
-        size += sum(map(len, item[1])) + len(item[1])
+        size += len(item[1] or "") + 1
         if size >= _BLOCK:
             yield held
             held, size = [], 0
@@ -96,12 +146,15 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
         first = np.nonzero(np.concatenate([[True], every[1:] != every[:-1]]))[0]
         return every[first], np.add.reduceat(n, first)
 
-    texts = ((None, tokens_of(t.as_py())) for b in batches for t in b.column(0))
-    for block in _blocks(texts):
-        for _, words in block:
+    def read() -> Iterator[str | None]:
+        for batch in batches:
+            tokens[b""] += batch.num_rows
+            yield from (t.as_py() for t in batch.column(0))
+
+    for group in _groups(_units(read(), order)):
+        for _, words, _, _ in group:
             tokens.update(words)
-        tokens[b""] += len(block)
-        key, n = np.unique(_grams([b" ".join(w) for _, w in block], order)[0], return_counts=True)
+        key, n = np.unique(_keys([x[2:] for x in group], order)[0], return_counts=True)
         keys.append(key)
         counts.append(n)
         held += len(key)
@@ -313,48 +366,56 @@ class Scorer:
         self.grams, self.coded = common
         self.heavy, self.order = heavy, order
 
-    def code(self, texts: list[list[bytes]]) -> tuple[np.ndarray, pa.ListArray]:
-        """Of each text: the sum over its common grams, and its other grams with how often they occur."""
-        keys, starts = _grams([b" ".join(t) for t in texts], self.order)
+    def code(self, group: list[Unit]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each unit the sum over its common grams; its other grams, how often they occur, and how many each unit has."""
+        keys, starts = _keys([x[2:] for x in group], self.order)
         at = self.grams.find(keys)
         missed = np.nonzero(at < 0)[0]
         each = self.coded[at].astype(np.float64) if len(self.coded) else np.zeros(len(keys))
         each[missed] = 0.0
-        key, text = keys[missed], np.searchsorted(starts, missed, "right") - 1
-        by = np.lexsort((key, text))
-        key, text = key[by], text[by]
-        first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])]))[0] if len(key) else np.empty(0, np.int64)
-        times = np.diff(np.append(first, len(key)))
-        offsets = np.searchsorted(text[first], np.arange(len(texts) + 1)).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(key[first].view(np.int64)), pa.array(times, pa.int64())], names=["gram", "n"])
-        return np.add.reduceat(each, starts), pa.ListArray.from_arrays(pa.array(offsets), pairs)
+        sums = np.add.reduceat(np.append(each, 0.0), starts)
+        key, unit = keys[missed], np.searchsorted(starts, missed, "right") - 1
+        by = np.lexsort((key, unit))
+        key, unit = key[by], unit[by]
+        first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])]))[0] if len(key) else np.empty(0, np.int64)
+        return sums, key[first], np.diff(np.append(first, len(key))), np.bincount(unit[first], minlength=len(group))
+
+    def rows(self, block: list[tuple[object, str | None]], row: int, kind: pa.DataType) -> pa.RecordBatch:
+        n = len(block)
+        length, known, rare_n = (np.zeros(n, np.int64) for _ in range(3))
+        sums, scores, other_n = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        rare, rare_times, keys, times = [], [], [], []
+        for group in _groups(_units((t for _, t in block), self.order)):
+            which = np.fromiter((x[0] for x in group), np.int64, len(group))
+            part, key, count, per_unit = self.code(group)
+            np.add.at(scores, which, part)
+            np.add.at(other_n, which, per_unit)
+            keys.append(key)
+            times.append(count)
+            for i, words, _, _ in group:
+                length[i] += len(words)
+                for w, m in Counter(words).items():
+                    v = self.heavy.get(w)
+                    if v is None:
+                        rare.append(w)
+                        rare_times.append(m)
+                        rare_n[i] += 1
+                    else:
+                        known[i] += m
+                        sums[i] += m * v
+        listed = lambda counts, names, *arrays: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(list(arrays), names=names))
+        other = listed(other_n, ["gram", "n"], pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(times), pa.int64()))
+        arrays = [
+            pa.array([i for i, _ in block], kind), pa.array(np.arange(row, row + n)), pa.array(length + 1), pa.array(known), pa.array(sums), pa.array(scores),
+            listed(rare_n, ["token", "n"], pa.array(rare, pa.binary()), pa.array(rare_times, pa.int64())), other,
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "row", "n_tokens", "known", "sums", "score", "rare", "other"])
 
     def run(self, batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() * _STRIDE
-        heavy = self.heavy
-        texts = ((i, tokens_of(t)) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        texts = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for block in _blocks(texts):
-            scores, other = self.code([t for _, t in block])
-            known, sums, rare, rare_n, offsets = [], [], [], [], [0]
-            for _, words in block:
-                k, s = 0, 0.0
-                for w, n in Counter(words).items():
-                    v = heavy.get(w)
-                    if v is None:
-                        rare.append(w)
-                        rare_n.append(n)
-                    else:
-                        k += n
-                        s += n * v
-                known.append(k)
-                sums.append(s)
-                offsets.append(len(rare))
-            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_n, pa.int64())], names=["token", "n"])
-            arrays = [
-                pa.array([i for i, _ in block], kind), pa.array(np.arange(row, row + len(block))), pa.array([len(t) + 1 for _, t in block], pa.int64()),
-                pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs), other,
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "n_tokens", "known", "sums", "score", "rare", "other"])
+            yield self.rows(block, row, kind)
             row += len(block)
 
 
