@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, pii, ppm
+from tidemark.llm import divergence, html_extract, pii, ppm
 
 
 def test_score_uses_every_gram(spark):
@@ -190,3 +190,17 @@ def test_long_texts_are_coded_in_slices(monkeypatch):
             body[i] += part
             tokens[i] += words
         assert [(x[:-1], t) for x, t in zip(body, tokens, strict=True)] == plain
+
+
+def test_words_are_judged_by_length_and_by_known_languages(spark):
+    r = random.Random(9)
+    common = divergence.COMMON_WORDS["en"].split()
+    word = lambda: "".join(r.choices("bcdfghklmnprst", k=r.randint(3, 8)))
+    prose = lambda n: " ".join(r.choice(common) if r.random() < 0.27 else word() for _ in range(n))
+    greek = lambda n: " ".join("".join(r.choices("αβγδεζηθικλμνξοπρστυφχψω", k=r.randint(2, 9))) for _ in range(n))
+    rows = [(i, prose(r.choice((60, 200, 900))), "en") for i in range(60)]
+    rows += [(100, " ".join(word() for _ in range(10_000)), "en"), (101, " ".join(word() for _ in range(500)), None), (102, greek(300), "el"), (103, greek(300), None), (104, prose(300), "de"), (105, prose(300), None), (106, "!!! ??? " * 200, "en")]
+    got = {x["id"]: x for x in divergence.verdicts(divergence.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()}
+    assert all(got[i]["kept"] for i in (*range(60), 102, 104, 105))
+    assert not any(got[i]["kept"] for i in (100, 101, 103, 106))
+    assert got[100]["word_distance"] > divergence.MAX_LONG_WORD_DISTANCE and got[102]["word_distance"] is None

@@ -1,11 +1,13 @@
 """Quality by distribution divergence, in DataFrame operations only.
 
-Two histograms of a document, of character classes and of common words, are
-compared with the reference of its language by Jensen-Shannon distance (base 2,
-0 to 1). References are the pooled histograms of all documents of a language
-that pass the base rules. A document of an unknown or missing language is
-compared with all and takes the nearest. Texts below the minimum lengths carry
-too little evidence to be judged and are left to the base rules.
+Two histograms of a document, of character classes and of common words (with one
+bin for all other words), are compared with language references by Jensen-Shannon
+distance (base 2, 0 to 1); the nearest counts, so a wrong label costs nothing.
+References are the pooled histograms of all documents of a language that pass the
+base rules. A document labelled with a language that has no reference is left to
+the base rules, one without a label is compared with all. Texts below the minimum
+lengths (characters for classes, words for words) carry too little evidence and
+are left to the base rules too; long ones are held to a narrower distance.
 
 Base rules count words, symbols, repeated lines and words in repeated windows.
 Everything is computed inside the row: the only shuffle is of the references'
@@ -36,10 +38,14 @@ CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x00-\x20\
 SYMBOLS = "[#*$%&|<>]+"
 MIN_WORDS = 50
 MIN_CHARS = 200
-MIN_COMMON = 20
+#: Words from which the sampled shares of a document lie close to those of its language.
+LONG_WORDS = 400
 #: Distances above these fail; fitted so that documents of ordinary prose lie well below.
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.70
+MAX_WORD_DISTANCE = 0.36
+MAX_LONG_WORD_DISTANCE = 0.25
+#: The bin of all words that are not common.
+OTHER = ""
 
 
 def _removed(text: Column, pattern: str) -> Column:
@@ -89,14 +95,15 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], dict[str, float]
     """Pooled class shares and common-word shares by reference language: a bounded table, whatever the input."""
     sound = rows.where(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS)))
     n = len(CLASSES) + 1
-    pooled = {r["lang"]: [r[f"c{i}"] for i in range(n)] for r in sound.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n)]).collect()}
-    words: dict[str, dict[str, float]] = {}
+    sums = sound.groupBy("lang").agg(F.sum(F.col("n_plain") - F.col("n_common")).alias("other"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n)]).collect()
+    pooled = {r["lang"]: [r[f"c{i}"] for i in range(n)] for r in sums}
+    words = {r["lang"]: {OTHER: r["other"]} for r in sums}
     for r in sound.select("lang", F.explode("common").alias("x")).groupBy("lang", F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n")).collect():
-        words.setdefault(r["lang"], {})[r["word"]] = r["n"]
+        words[r["lang"]][r["word"]] = r["n"]
     share = lambda xs: [x / max(sum(xs), 1.0) for x in xs]
     out = {}
     for lang, xs in sorted(pooled.items()):
-        ws = dict(sorted(words.get(lang, {}).items()))
+        ws = dict(sorted(words[lang].items()))
         out[lang] = (share(xs), dict(zip(ws, share(list(ws.values())), strict=True)))
     return out
 
@@ -113,13 +120,12 @@ def class_distance(classes: Column, n_chars: Column, reference: list[float]) ->
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def word_distance(common: Column, n_common: Column, reference: dict[str, float]) -> Column:
+def word_distance(common: Column, n_common: Column, n_plain: Column, reference: dict[str, float]) -> Column:
     """Bins that the document lacks contribute half of their share, so only its own are visited."""
-    if not reference:
-        return F.lit(None).cast("double")
     shares = F.create_map(*[F.lit(x) for pair in reference.items() for x in pair])
+    bins = F.array_append(common, F.struct(F.lit(OTHER).alias("word"), (n_plain - n_common).alias("n")))
     q = lambda x: F.coalesce(F.try_element_at(shares, x["word"]), F.lit(0.0))
-    total = F.aggregate(common, F.lit(0.5), lambda a, x: a + _divergence(x["n"] / n_common, q(x)) - q(x) / 2)
+    total = F.aggregate(bins, F.lit(0.5), lambda a, x: a + _divergence(x["n"] / n_plain, q(x)) - q(x) / 2)
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
@@ -131,19 +137,17 @@ def verdicts(rows: DataFrame) -> DataFrame:
     """
     rows = materialize(rows, "divergence")
     refs = references(rows)
-    by_class = {lang: class_distance(F.col("classes"), F.col("n_chars").cast("double"), ref) for lang, (ref, _) in refs.items()}
-    by_word = {lang: word_distance(F.col("common"), F.col("n_common"), ref) for lang, (_, ref) in refs.items()}
-
-    def nearest(by: dict[str, Column]) -> Column:
-        if not by:
-            return F.lit(None).cast("double")
-        least = F.array_min(F.array(*by.values()))
-        own = F.coalesce(*[F.when(F.col("lang") == lang, x) for lang, x in by.items()])
-        return F.coalesce(own, least)
-
-    judged = rows.withColumn("class_distance", F.when(F.col("n_chars") >= MIN_CHARS, nearest(by_class)))
-    judged = judged.withColumn("word_distance", F.when((F.col("n_words") >= MIN_WORDS) & (F.col("n_common") >= MIN_COMMON), nearest(by_word)))
-    bad = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
+    n_chars, n_plain = F.col("n_chars").cast("double"), F.col("n_plain").cast("double")
+    known = F.col("lang").isNull() | F.col("lang").isin(list(refs))
+
+    def nearest(distances: list[Column]) -> Column:
+        return F.when(known, F.array_min(F.array(*distances))) if distances else F.lit(None).cast("double")
+
+    by_class = nearest([class_distance(F.col("classes"), n_chars, ref) for ref, _ in refs.values()])
+    by_word = nearest([word_distance(F.col("common"), F.col("n_common"), n_plain, ref) for _, ref in refs.values()])
+    judged = rows.withColumn("class_distance", F.when(F.col("n_chars") >= MIN_CHARS, by_class)).withColumn("word_distance", F.when(F.col("n_plain") >= MIN_WORDS, by_word))
+    most = F.when(F.col("n_plain") >= LONG_WORDS, F.lit(MAX_LONG_WORD_DISTANCE)).otherwise(F.lit(MAX_WORD_DISTANCE))
+    bad = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > most, F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
@@ -173,15 +177,16 @@ b AS (
 c AS (SELECT doc_id, lang, base_failed, length(t) AS n_chars, unnest(range(0, {len(_SQL_CLASSES)})) AS bin, unnest([{", ".join(_SQL_CLASSES)}]) AS n FROM b),
 cr AS (SELECT lang AS ref, bin, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1) AS q FROM c WHERE NOT base_failed AND lang IN ({_SQL_LANGUAGES}) GROUP BY lang, bin),
 cd AS (SELECT doc_id, lang, ref, sqrt(greatest(sum({_SQL_SIDE}), 0)) AS x FROM (SELECT doc_id, lang, ref, n / n_chars AS p, q FROM c JOIN cr USING (bin) WHERE n_chars >= {MIN_CHARS}) GROUP BY 1, 2, 3),
-v AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x20.,;:!?\x7F]+')) AS word FROM b) WHERE word IN ({_SQL_VOCABULARY}) GROUP BY 1, 2),
+pw AS (SELECT doc_id, word, word IN ({_SQL_VOCABULARY}) AS common FROM (SELECT doc_id, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x20.,;:!?\x7F]+')) AS word FROM b)),
+v AS (SELECT doc_id, CASE WHEN common THEN word ELSE '' END AS word, count(*) AS n FROM pw GROUP BY 1, 2),
 vr AS (SELECT lang AS ref, word, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM v JOIN b USING (doc_id) WHERE NOT base_failed AND lang IN ({_SQL_LANGUAGES}) GROUP BY lang, word),
-vn AS (SELECT doc_id, sum(n) AS n_common FROM v GROUP BY 1),
-vp AS (SELECT doc_id, b.lang, ref, n / n_common AS p, coalesce(q, 0) AS q FROM v JOIN vn USING (doc_id) JOIN b USING (doc_id) CROSS JOIN (SELECT DISTINCT ref FROM vr) LEFT JOIN vr USING (ref, word) WHERE n_common >= {MIN_COMMON} AND n_words >= {MIN_WORDS}),
-vd AS (SELECT doc_id, lang, ref, sqrt(greatest(0.5 + sum({_SQL_SIDE} - q / 2), 0)) AS x FROM vp GROUP BY 1, 2, 3),
-cn AS (SELECT doc_id, coalesce(max(x) FILTER (ref = lang), min(x)) AS x FROM cd GROUP BY 1),
-wn AS (SELECT doc_id, coalesce(max(x) FILTER (ref = lang), min(x)) AS x FROM vd GROUP BY 1)
+vn AS (SELECT doc_id, sum(n) AS n_plain FROM v GROUP BY 1),
+vp AS (SELECT doc_id, n_plain, b.lang, ref, n / n_plain AS p, coalesce(q, 0) AS q FROM v JOIN vn USING (doc_id) JOIN b USING (doc_id) CROSS JOIN (SELECT DISTINCT ref FROM vr) LEFT JOIN vr USING (ref, word) WHERE n_plain >= {MIN_WORDS}),
+vd AS (SELECT doc_id, n_plain, lang, ref, sqrt(greatest(0.5 + sum({_SQL_SIDE} - q / 2), 0)) AS x FROM vp GROUP BY 1, 2, 3, 4),
+cn AS (SELECT doc_id, min(x) AS x FROM cd WHERE lang IS NULL OR lang IN (SELECT ref FROM cr) GROUP BY 1),
+wn AS (SELECT doc_id, n_plain, min(x) AS x FROM vd WHERE lang IS NULL OR lang IN (SELECT ref FROM vr) GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(cn.x > {MAX_CLASS_DISTANCE}, false) OR coalesce(wn.x > {MAX_WORD_DISTANCE}, false)) AS kept, round(cn.x, 6) AS class_distance, round(wn.x, 6) AS word_distance
+  NOT base_failed AND NOT (coalesce(cn.x > {MAX_CLASS_DISTANCE}, false) OR coalesce(wn.x > CASE WHEN n_plain >= {LONG_WORDS} THEN {MAX_LONG_WORD_DISTANCE} ELSE {MAX_WORD_DISTANCE} END, false)) AS kept, round(cn.x, 6) AS class_distance, round(wn.x, 6) AS word_distance
 FROM b LEFT JOIN cn USING (doc_id) LEFT JOIN wn USING (doc_id)
 """
 }
