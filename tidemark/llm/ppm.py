@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-ORDER = 6
+ORDER = 5
 #: Grams and tokens whose values the workers hold; the rest is met by joins.
 HEAVY_GRAMS = 600_000
 HEAVY = 1 << 17
