@@ -49,11 +49,11 @@ def test_cycle_ends_wide(spark):
     assert len(got) == 3
     import tidemark.plans.invalidate as module
 
-    module.MAX_ROUNDS, before = 4, module.MAX_ROUNDS
+    module.CYCLE_ROUNDS, before = 3, module.CYCLE_ROUNDS
     try:
         assert ("a", "dt=*") in shown_plan(invalidate(dirty, edges(spark, ring)))
     finally:
-        module.MAX_ROUNDS = before
+        module.CYCLE_ROUNDS = before
 
 
 def test_too_many_keys_widen(spark):

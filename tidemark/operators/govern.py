@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators.graph import reach
+from tidemark.operators.graph import fold_downstream, reach, spread
 from tidemark.session import materialize
 
 DAMPING = 0.95
-ROUNDS = 32
 
 # Column names that suggest a label (matched in lower case).
 DETECTORS = {
@@ -25,22 +24,21 @@ def name_labels(columns: DataFrame) -> DataFrame:
     return columns.select("ds", "name", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("label"))
 
 
-def propagate_labels(labels: DataFrame, columns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate_labels(labels: DataFrame, columns: DataFrame) -> DataFrame:
     """(ds, col, label, confidence): labels carried along column edges, damped at each hop, the largest kept.
 
     labels: ds, col, label, confidence; columns: src, src_col, dst, dst_col.
-    Each round carries only what improved, so a cycle dies out.
+    Each round carries only what improved until nothing does; a cycle dies out,
+    as damping improves nothing.
     """
-    known = materialize(labels.groupBy("ds", "col", "label").agg(F.max("confidence").alias("confidence")), "labels")
+    best = lambda df: df.groupBy("ds", "col", "label").agg(F.max("confidence").alias("confidence"))
+    known = materialize(best(labels.select("ds", "col", "label", "confidence")), "labels")
     front = known
-    for _ in range(rounds):
+    while not front.isEmpty():
         moved = front.join(columns, (front["ds"] == columns["src"]) & (front["col"] == columns["src_col"])).select(F.col("dst").alias("ds"), F.col("dst_col").alias("col"), "label", F.bround(F.col("confidence") * DAMPING, 4).alias("confidence"))
-        moved = moved.groupBy("ds", "col", "label").agg(F.max("confidence").alias("confidence"))
         old = known.select("ds", "col", "label", F.col("confidence").alias("had"))
-        front = materialize(moved.join(old, ["ds", "col", "label"], "left").where("had is null or confidence > had").drop("had"), "labels-front")
-        if front.isEmpty():
-            break
-        known = materialize(known.unionByName(front).groupBy("ds", "col", "label").agg(F.max("confidence").alias("confidence")), "labels")
+        front = materialize(best(moved).join(old, ["ds", "col", "label"], "left").where("had is null or confidence > had").drop("had"), "labels-front")
+        known = materialize(best(known.unionByName(front)), "labels")
     return known
 
 
@@ -54,29 +52,29 @@ def unmet(labels: DataFrame, required: DataFrame) -> DataFrame:
     return required.join(labels.select("ds", "label"), ["ds", "label"], "left_anti")
 
 
-def strictest(value: Column) -> Column:
-    """Aggregate of three-valued permissions: false before unknown before true."""
-    return F.when(F.max((~F.coalesce(value, F.lit(True))).cast("int")) == 1, F.lit(False)).when(F.max(value.isNull().cast("int")) == 1, F.lit(None).cast("boolean")).otherwise(F.lit(True))
-
-
-def inherited(edges: DataFrame, own: DataFrame) -> DataFrame:
-    """(node, and each column of own): own rows of a node and of all its ancestors, one row each."""
-    nodes = own.select("node").union(edges.select("dst")).distinct()
-    above = reach(edges, nodes, upstream=True).select(F.col("seed").alias("node"), F.col("node").alias("source"))
-    every = above.unionByName(nodes.select("node", F.col("node").alias("source"))).distinct()
-    return every.join(own.withColumnRenamed("node", "source"), "source")
+def _rank(value: Column) -> Column:
+    """Three-valued permissions by strictness: false before unknown before true."""
+    return F.when(value, 2).when(value.isNull(), 1).otherwise(0)
 
 
 def propagate_licences(edges: DataFrame, own: DataFrame) -> DataFrame:
     """(node, commercial, share_alike): the strictest of all sources; share-alike if one asks for it."""
-    return inherited(edges, own).groupBy("node").agg(strictest(F.col("commercial")).alias("commercial"), F.bool_or("share_alike").alias("share_alike"))
+    ranked = own.select("node", _rank(F.col("commercial")).alias("rank"), "share_alike")
+    folded = fold_downstream(edges, ranked, {"rank": F.min, "share_alike": F.bool_or})
+    return folded.select("node", F.when(F.col("rank") == 2, True).when(F.col("rank") == 0, False).alias("commercial"), "share_alike")
 
 
 def permitted_purposes(edges: DataFrame, own: DataFrame) -> DataFrame:
-    """(node, purpose) that every declared source of a node allows; own: node, purpose."""
-    rows = inherited(edges, own)
-    n = rows.groupBy("node").agg(F.count_distinct("source").alias("n"))
-    return rows.groupBy("node", "purpose").agg(F.count_distinct("source").alias("k")).join(n, "node").where("k = n").select("node", "purpose")
+    """(node, purpose) that every declared source of a node allows; own: node, purpose.
+
+    What a source does not allow is carried downstream, one mark for each
+    purpose and node: no node meets all its sources.
+    """
+    every = own.agg(F.collect_set("purpose").alias("every"))  # one row: purposes are few and named by people
+    denied = own.groupBy("node").agg(F.collect_set("purpose").alias("has")).crossJoin(every).select("node", F.explode(F.array_except("every", "has")).alias("purpose"))
+    below = spread(edges, denied.select(F.concat(F.lit("-"), "purpose").alias("label"), "node").unionByName(own.select(F.lit("+").alias("label"), "node")))
+    may = below.where("label = '+'").crossJoin(every).select("node", F.explode("every").alias("purpose"))
+    return may.join(below.where("label <> '+'").select("node", F.substr("label", F.lit(2)).alias("purpose")), ["node", "purpose"], "left_anti")
 
 
 def k_anonymity(df: DataFrame, quasi: list[str]) -> DataFrame:

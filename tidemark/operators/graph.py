@@ -1,42 +1,73 @@
 """Graph operators on an edge table (src, dst): frontier loops of joins, never a path per row pair.
 
-Each hop joins only the newly reached nodes with the edges and drops what was
-seen, so cycles end by themselves and work is one join per level. Edges that
-fit are broadcast by Spark after it has measured them.
+A round joins only the newly reached nodes with the edges, a few hops at a time,
+and drops what was seen, so cycles end by themselves; what it found is appended
+to a table in the shared folder. Loops end when nothing new is reached, at any
+depth, unless the caller asks for a bound. Edges that fit are broadcast by Spark
+after it has measured them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.operators.components import connected_components
-from tidemark.session import materialize
+from tidemark.session import Growing, materialize
+
+#: Hops that one round takes before what it reached is written.
+HOPS = 6
 
-MAX_DEPTH = 64
 
+def _hops(edges: DataFrame, upstream: bool = False) -> DataFrame:
+    a, b = ("dst", "src") if upstream else ("src", "dst")
+    return edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct()
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, upstream: bool = False) -> DataFrame:
-    """(seed, node, depth): every node within `max_depth` hops and its least distance; a seed appears if it is on a cycle.
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, upstream: bool = False) -> DataFrame:
+    """(seed, node, depth): every node that a seed reaches, within `max_depth` hops if given, and its least distance; a seed appears if it is on a cycle.
 
     seeds has one column, `node`.
     """
-    a, b = ("dst", "src") if upstream else ("src", "dst")
-    hop = edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct()
+    hop = materialize(_hops(edges, upstream), "hops")
     front = seeds.select(F.col("node").alias("seed"), "node").distinct()
-    found = None
-    for depth in range(1, max_depth + 1):
-        step = front.join(hop, F.col("node") == F.col("from")).select("seed", F.col("to").alias("node")).distinct()
-        if found is not None:
-            step = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
-        front = materialize(step, "front")
+    found, depth = None, 0
+    while max_depth is None or depth < max_depth:
+        steps, at = [], front
+        for _ in range(HOPS if max_depth is None else min(HOPS, max_depth - depth)):
+            depth += 1
+            at = at.join(hop, F.col("node") == F.col("from")).select("seed", F.col("to").alias("node")).distinct()
+            steps.append(at.withColumn("depth", F.lit(depth)))
+        step = steps[0]
+        for more in steps[1:]:
+            step = step.unionByName(more)
+        step = step.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+        if found is None:
+            found = Growing(step, "reached")
+            new = found.read()
+        else:
+            new = found.append(step.join(found.read().select("seed", "node"), ["seed", "node"], "left_anti"))
+        front = new.where(F.col("depth") == depth).select("seed", "node")
         if front.isEmpty():
             break
-        level = front.withColumn("depth", F.lit(depth))
-        found = level if found is None else found.unionByName(level)
-        front = front.select("seed", "node")
-    return found if found is not None else front.withColumn("depth", F.lit(0)).where("false")
+    return found.read() if found is not None else front.withColumn("depth", F.lit(0)).where("false")
+
+
+def spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """(label, node) of the marks and of all that is downstream of each; marks has label and node."""
+    hop = materialize(_hops(edges), "hops")
+    found = Growing(marks.select("label", "node").distinct(), "marks")
+    front = found.read()
+    while not front.isEmpty():
+        every, at = None, front
+        for _ in range(HOPS):
+            at = at.join(hop, F.col("node") == F.col("from")).select("label", F.col("to").alias("node")).distinct()
+            every = at if every is None else every.unionByName(at)
+        front = found.append(every.distinct().join(found.read(), ["label", "node"], "left_anti"))
+    return found.read()
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -54,39 +85,42 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(e.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))).groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
-def levels(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a root; nodes on or behind a cycle have none.
 
-    Peels the nodes all of whose parents have a level.
+    Each round takes the nodes whose parents all have a level; the others keep
+    count of the parents they wait for.
     """
-    e = edges.select("src", "dst").where("src <> dst").distinct()
-    done = materialize(roots(e).withColumn("level", F.lit(0)), "levels")
-    left = e
-    for level in range(1, max_depth + 1):
-        left = materialize(left.join(done.where(F.col("level") == level - 1), F.col("src") == F.col("node"), "left_anti"), "edges-left")
-        ready = e.select(F.col("dst").alias("node")).distinct().join(left.select(F.col("dst").alias("node")), "node", "left_anti").join(done.select("node"), "node", "left_anti")
-        front = materialize(ready.withColumn("level", F.lit(level)), "levels")
-        if front.isEmpty():
-            break
-        done = done.unionByName(front)
-    return done
-
-
-def shortest_path(edges: DataFrame, start: object, end: object, max_depth: int = MAX_DEPTH) -> DataFrame:
+    e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    waiting = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    done = Growing(roots(e).withColumn("level", F.lit(0)), "levels")
+    front, level = done.read(), 0
+    while not front.isEmpty():
+        level += 1
+        met = e.join(front, F.col("src") == F.col("node"), "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"))
+        waiting = materialize(waiting.join(met, "node", "left").select("node", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")), "waiting")
+        front = done.append(waiting.where("n = 0").select("node", F.lit(level).alias("level")))
+        waiting = waiting.where("n > 0")
+    return done.read()
+
+
+def shortest_path(edges: DataFrame, start: object, end: object, max_depth: int | None = None) -> DataFrame:
     """One row (path) or none; of equally short ones the least by node order."""
     front = edges.limit(0).select(F.array(F.col("src")).alias("path")).unionByName(edges.sparkSession.range(1).select(F.array(F.lit(start)).cast(edges.select(F.array("src")).dtypes[0][1]).alias("path")))
-    seen = front.select(F.element_at("path", -1).alias("node"))
-    hop = edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct()
-    for _ in range(max_depth):
+    seen = Growing(front.select(F.element_at("path", -1).alias("node")), "seen")
+    hop = materialize(_hops(edges), "hops")
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = front.join(hop, F.element_at("path", -1) == F.col("from")).select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("node"))
-        step = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        step = step.join(seen.read(), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         front = materialize(step, "paths")
         hit = front.where(F.col("node") == F.lit(end))
         if not hit.isEmpty():
             return hit.select("path")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front.select("node"))
+        seen.append(front.select("node"))
         front = front.select("path")
     return front.select("path").where("false")
 
@@ -107,37 +141,86 @@ def simple_paths(edges: DataFrame, start: object, end: object, max_edges: int =
     return out
 
 
-def cyclic_nodes(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Nodes that reach themselves."""
-    nodes = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
-    return reach(edges, nodes, max_depth).where("seed = node").select("node")
+def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Edges whose ends both have edges in and out, after a few rounds of dropping the others: none on a cycle goes."""
+    e = edges
+    for _ in range(rounds):
+        e = e.join(e.select(F.col("dst").alias("src")), "src", "left_semi").join(e.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return e
+
+
+def _least_above(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, color): the least of the nodes that reach each, itself included."""
+    known = materialize(nodes.select("node", F.col("node").alias("color")), "colors")
+    front = known
+    while True:
+        moved, every = front, None
+        for _ in range(HOPS):
+            moved = moved.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("color"))
+            every = moved if every is None else every.unionByName(moved)
+        best = every.groupBy("node").agg(F.min("color").alias("new"))
+        front = materialize(known.join(best, "node").where("new < color").select("node", F.col("new").alias("color")), "recolored")
+        if front.isEmpty():
+            return known
+        known = materialize(known.unionByName(front).groupBy("node").agg(F.min("color").alias("color")), "colors")
 
 
-def strong_components(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, component) of nodes on cycles: the least node that it reaches and is reached from.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes on cycles; component is the least node of the cycle's component.
 
-    Only nodes that are both a source and a target, and survive peeling, are closed over.
+    Colouring: every node takes the least node that reaches it. What a colour's
+    own node is reached from inside its colour is one component, so each round
+    settles one component of every colour, and never holds a pair of nodes.
     """
-    on = cyclic_nodes(edges, max_depth)
-    inner = edges.join(on, F.col("src") == F.col("node"), "left_semi").join(on, F.col("dst") == F.col("node"), "left_semi")
-    closure = reach(inner, on, max_depth).select("seed", "node")
-    back = closure.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    return closure.join(back, ["seed", "node"], "left_semi").groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("component"))
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    e = materialize(_trimmed(edges.select("src", "dst").where("src <> dst").distinct()), "cycle-edges")
+    found = Growing(loops.where("false"), "components")
+    while not e.isEmpty():
+        nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+        color = _least_above(e, nodes)
+        inner = e.join(color.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").where("a = b")
+        back = spread(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), color.where("node = color").select(F.col("color").alias("label"), "node"))
+        sizes = back.groupBy("label").agg(F.count("*").alias("n"))
+        found.append(back.join(sizes.where("n > 1"), "label").select("node", F.col("label").alias("component")))
+        settled = back.select("node")
+        left = e.join(settled.withColumnRenamed("node", "src"), "src", "left_anti").join(settled.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        e = materialize(_trimmed(left), "cycle-edges")
+    on = found.read()
+    return on.unionByName(loops.join(on.select("node"), "node", "left_anti"))
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves."""
+    return strong_components(edges).select("node")
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "src", "dst")
 
 
-def fold_downstream(edges: DataFrame, own: DataFrame, value: str, combine: Column) -> DataFrame:
-    """(node, folded): an aggregate of the values of a node and all its ancestors.
+def fold_downstream(edges: DataFrame, own: DataFrame, combine: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """(node, and each column of combine): aggregates of the values of a node and all its ancestors.
 
-    `combine` is an aggregate over column `value`; it must not depend on order or repetition.
+    Aggregates must not depend on order or repetition (least, greatest, any): a
+    node then needs what its parents' values fold to, not its ancestors' values.
+    Each round passes on only what changed, so cycles settle too. A node
+    without a value and without an ancestor that has one has no row.
     """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    above = reach(edges, nodes, upstream=True).select(F.col("seed").alias("node"), F.col("node").alias("source"))
-    every = above.unionByName(nodes.select("node", F.col("node").alias("source"))).distinct()
-    return every.join(own.select(F.col("node").alias("source"), value), "source").groupBy("node").agg(combine.alias("folded"))
+    names = list(combine)
+    fold = lambda df: df.groupBy("node").agg(*[f(c).alias(c) for c, f in combine.items()])
+    hop = materialize(_hops(edges), "hops")
+    known = materialize(fold(own.select("node", *names)), "folded")
+    front = known
+    while not front.isEmpty():
+        moved = front.join(hop, F.col("node") == F.col("from")).select(F.col("to").alias("node"), *names)
+        every = materialize(fold(known.unionByName(moved)), "folded")
+        had = known.select("node", F.lit(1).alias("_had"), *[F.col(c).alias(f"_{c}") for c in names])
+        same = F.lit(True)
+        for c in names:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        front = every.join(had, "node", "left").where(F.col("_had").isNull() | ~same).select("node", *names)
+        known = every
+    return known
 
 
 def common_ancestors(edges: DataFrame, a: object, b: object) -> DataFrame:
@@ -149,11 +232,35 @@ def common_ancestors(edges: DataFrame, a: object, b: object) -> DataFrame:
 
 
 def reach_scores(edges: DataFrame) -> DataFrame:
-    """(node, n_below): how many nodes depend on each."""
+    """(node, n_below): how many nodes depend on each, exactly: as many pairs are held as are counted."""
     nodes = edges.select(F.col("src").alias("node")).distinct()
     return reach(edges, nodes).groupBy(F.col("seed").alias("node")).agg(F.count("*").alias("n_below"))
 
 
+def approximate_reach_scores(edges: DataFrame, precision: int = 12) -> DataFrame:
+    """(node, n_below) to a few per cent: sketches of what is below, folded upwards, so one sketch of fixed size for each node is all that is held."""
+    up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    own = nodes.groupBy("node").agg(F.hll_sketch_agg(F.col("node"), precision).alias("sketch"))
+    size = fold_sketches(up, own)
+    on = cyclic_nodes(edges).withColumn("_on", F.lit(1))
+    return size.join(on, "node", "left").select("node", (F.col("n") - F.when(F.col("_on").isNull(), 1).otherwise(0)).alias("n_below")).where("n_below > 0")
+
+
+def fold_sketches(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, n): the estimate of the union of each node's sketch with all upstream; a union that grows no estimate is not passed on."""
+    hop = materialize(_hops(edges), "hops")
+    known = materialize(own.select("node", "sketch", F.hll_sketch_estimate("sketch").alias("n")), "sketches")
+    front = known
+    while not front.isEmpty():
+        moved = front.join(hop, F.col("node") == F.col("from")).select(F.col("to").alias("node"), "sketch")
+        union = known.select("node", "sketch").unionByName(moved).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"))
+        every = materialize(union.select("node", "sketch", F.hll_sketch_estimate("sketch").alias("n")), "sketches")
+        front = every.join(known.select("node", F.col("n").alias("had")), "node").where("n > had").select("node", "sketch")
+        known = every
+    return known.select("node", "n")
+
+
 def diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, change): edges added, removed, or whose `value` changed."""
     b, a = before.select(*keys, F.col(value).alias("b"), F.lit(1).alias("in_b")), after.select(*keys, F.col(value).alias("a"), F.lit(1).alias("in_a"))
@@ -176,7 +283,7 @@ def waves(edges: DataFrame, slowest: str = "level") -> DataFrame:
     return levels(edges).groupBy(F.col("level").alias("wave")).agg(F.count("*").alias("n_nodes"))
 
 
-def column_ancestry(columns: DataFrame, ds: str, col: str, max_depth: int = 12) -> DataFrame:
+def column_ancestry(columns: DataFrame, ds: str, col: str, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of the columns that a column is derived from; columns has src, src_col, dst, dst_col."""
     e = columns.select(F.concat_ws("#", "src", "src_col").alias("src"), F.concat_ws("#", "dst", "dst_col").alias("dst"))
     seed = columns.sparkSession.range(1).select(F.lit(f"{ds}#{col}").alias("node"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import glob
-from tidemark.operators.graph import MAX_DEPTH, reach
+from tidemark.operators.graph import reach
 
 _TERM = re.compile(r"(?P<at>@)?(?:(?P<up>\d*)(?P<plus>\+))?(?P<pattern>[^+@]+?)(?:(?P<more>\+)(?P<down>\d*))?")
 
@@ -26,8 +26,8 @@ _TERM = re.compile(r"(?P<at>@)?(?:(?P<up>\d*)(?P<plus>\+))?(?P<pattern>[^+@]+?)(
 class Term:
     pattern: str
     field: str = "name"
-    up: int = 0
-    down: int = 0
+    up: int | None = 0
+    down: int | None = 0
     closed: bool = False
 
     @classmethod
@@ -35,7 +35,7 @@ class Term:
         m = _TERM.fullmatch(text)
         if not m:
             raise ValueError(f"not a selector: {text!r}")
-        hops = lambda sign, n: (int(n) if n else MAX_DEPTH) if sign else 0
+        hops = lambda sign, n: (int(n) if n else None) if sign else 0
         field, _, rest = m["pattern"].partition(":")
         known = field in ("ns", "name", "label") and rest
         pattern = rest if known else m["pattern"]
@@ -55,10 +55,10 @@ def _matching(term: Term, nodes: DataFrame, labels: DataFrame | None) -> DataFra
 def _one(term: Term, edges: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     found = _matching(term, nodes, labels).select("node")
     parts = [found]
-    if term.up:
+    if term.up != 0:
         parts.append(reach(edges, found, term.up, upstream=True).select("node"))
-    if term.down or term.closed:
-        below = reach(edges, found, term.down or MAX_DEPTH).select("node")
+    if term.down != 0 or term.closed:
+        below = reach(edges, found, None if term.closed else term.down).select("node")
         parts.append(below)
         if term.closed:
             parts.append(reach(edges, found.union(below).distinct(), upstream=True).select("node"))

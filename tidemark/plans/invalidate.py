@@ -15,14 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import GRAINS, span, step, truncate
+from tidemark.operators.graph import cyclic_nodes
 from tidemark.plans.lattice import MAX_KEYS, Hop
-from tidemark.session import materialize
+from tidemark.session import Growing, materialize
 
 PART = "struct<name:string,any:boolean,value:string>"
 KEY = f"array<{PART}>"
 EDGE = "src string, dst string, fields array<struct<name:string,form:string,source:string,lo:int,hi:int,grain:string>>"
-#: Hops after which keys that still grow are widened to whole tables: only cycles get there.
-MAX_ROUNDS = 64
+#: Rounds in which a table on a cycle may gain keys; after that what reaches it makes all of it stale.
+CYCLE_ROUNDS = 8
 
 
 def edges(spark: SparkSession, hops: Iterable[tuple[str, str, Hop]]) -> DataFrame:
@@ -88,19 +89,26 @@ def shown(k: Column) -> Column:
 
 
 def invalidate(dirty: DataFrame, graph: DataFrame) -> DataFrame:
-    """(ds, key, hops) of every stale partition, the dirty ones included: no key that another of its table subsumes."""
-    seen = materialize(dirty.select("ds", "key").distinct().withColumn("hops", F.lit(0)), "stale")
-    front = seen
-    for hops in range(1, MAX_ROUNDS + 1):
+    """(ds, key, hops) of every stale partition, the dirty ones included: no key that another of its table subsumes.
+
+    Rounds go on until nothing new is stale, however deep the graph. Tables that
+    can reach themselves might gain keys for ever, so each is made stale as a
+    whole after CYCLE_ROUNDS rounds of gains, and passes that on.
+    """
+    graph = materialize(graph, "graph")
+    seen = Growing(dirty.select("ds", "key").distinct().withColumn("hops", F.lit(0)), "stale")
+    front, hops, cyclic = seen.read(), 0, None
+    while not front.isEmpty():
+        hops += 1
         reached = front.join(graph, front["ds"] == graph["src"]).select(F.col("dst").alias("ds"), F.explode(images(F.col("fields"), F.col("key"))).alias("key"))
-        if hops == MAX_ROUNDS:
-            reached = reached.select("ds", F.transform("key", lambda p: F.struct(p["name"].alias("name"), F.lit(True).alias("any"), F.lit(None).cast("string").alias("value"))).cast(KEY).alias("key"))
-        fresh = _unseen(reached.distinct(), seen)
-        front = materialize(fresh.withColumn("hops", F.lit(hops)), "front")
-        if front.isEmpty():
-            break
-        seen = materialize(seen.unionByName(front), "stale")
-    return _antichain(seen)
+        if hops > CYCLE_ROUNDS:
+            if cyclic is None:
+                cyclic = materialize(cyclic_nodes(graph).withColumnRenamed("node", "ds"), "cyclic")
+            spent = seen.read().join(cyclic, "ds", "left_semi").groupBy("ds").agg(F.count_distinct("hops").alias("n")).where(F.col("n") >= CYCLE_ROUNDS).select("ds", F.lit(True).alias("spent"))
+            whole = F.transform("key", lambda p: F.struct(p["name"].alias("name"), F.lit(True).alias("any"), F.lit(None).cast("string").alias("value"))).cast(KEY)
+            reached = reached.join(spent, "ds", "left").select("ds", F.when(F.col("spent"), whole).otherwise(F.col("key")).alias("key"))
+        front = seen.append(_unseen(reached.distinct(), seen.read()).withColumn("hops", F.lit(hops)))
+    return _antichain(seen.read())
 
 
 def _wide(df: DataFrame) -> DataFrame:

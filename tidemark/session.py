@@ -76,3 +76,23 @@ def materialize(df: DataFrame, label: str, zstd: int = 0) -> DataFrame:
     how = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(zstd)} if zstd else {}
     df.write.options(**how).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table in the shared folder that parts are appended to, so that a loop never rewrites what it has found."""
+
+    def __init__(self, first: DataFrame, label: str):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path = f"{shared_dir(self.spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+        self.parts = 0
+        self.append(first)
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """The part as written."""
+        path = f"{self.path}/part={self.parts}"
+        df.select(*self.schema.names).write.parquet(path)
+        self.parts += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])

@@ -134,7 +134,7 @@ SELECT round(specs, 6) AS specs, round(bounded, 6) AS bounded, round(columns, 6)
 
 def _named_edges(spark: SparkSession, sf: str) -> DataFrame:
     name = lambda c: F.concat(F.when(F.col(c) % 2 == 0, F.lit("gold/p")).otherwise(F.lit("raw/p")), F.col(c).cast("string"))
-    return part_edges(spark, sf).where("dst <= 100").select(name("src").alias("src"), name("dst").alias("dst"))
+    return part_edges(spark, sf).select(name("src").alias("src"), name("dst").alias("dst"))
 
 
 def selector_language(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +153,7 @@ def canonical_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (selector_language, canonical_names)}
-_NAMED = _E.replace("SELECT p_partkey FROM part))", "SELECT p_partkey FROM part) AND dst <= 100)")
+_NAMED = _E
 _NAME = "CASE WHEN {c} % 2 = 0 THEN 'gold/p' ELSE 'raw/p' END || {c}"
 ORACLE_SQL |= {
     "selector_language": f"""

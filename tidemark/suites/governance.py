@@ -17,7 +17,7 @@ SALT = "fixed-salt"
 
 def _columns(spark: SparkSession, sf: str) -> DataFrame:
     """Column edges of a chain of tables: part k's price feeds its children's cost, a key stays a key."""
-    e = part_edges(spark, sf).where("dst <= 120").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    e = part_edges(spark, sf).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     pairs = F.explode(F.array(F.struct(F.lit("key").alias("a"), F.lit("key").alias("b")), F.struct(F.lit("price").alias("a"), F.lit("cost").alias("b")), F.struct(F.lit("cost").alias("a"), F.lit("price").alias("b"))))
     return e.select("src", "dst", pairs.alias("p")).select("src", F.col("p.a").alias("src_col"), "dst", F.col("p.b").alias("dst_col"))
 
@@ -38,7 +38,7 @@ def policy_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unmet_requirements(spark: SparkSession, sf: str) -> DataFrame:
-    required = table(spark, sf, "part").where("p_partkey between 50 and 70").select(F.col("p_partkey").cast("string").alias("ds"), F.lit("money").alias("label"))
+    required = table(spark, sf, "part").where("p_partkey % 9 = 5").select(F.col("p_partkey").cast("string").alias("ds"), F.lit("money").alias("label"))
     return v.unmet(v.propagate_labels(_labels(spark, sf), _columns(spark, sf)), required)
 
 
@@ -53,18 +53,16 @@ def name_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def licence_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    e = part_edges(spark, sf).where("dst <= 120")
     k = F.col("p_partkey")
     commercial = F.when(k % 7 == 0, F.lit(False)).when(k % 5 != 0, F.lit(True))
-    own = table(spark, sf, "part").where("p_partkey between 2 and 120").select(k.alias("node"), commercial.alias("commercial"), (k % 11 == 0).alias("share_alike"))
-    return v.propagate_licences(e, own)
+    own = table(spark, sf, "part").where("p_partkey >= 2").select(k.alias("node"), commercial.alias("commercial"), (k % 11 == 0).alias("share_alike"))
+    return v.propagate_licences(part_edges(spark, sf), own)
 
 
 def purpose_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    e = part_edges(spark, sf).where("dst <= 120")
     every = F.array(F.lit("ads"), F.lit("analytics"), F.lit("research"))
-    p = table(spark, sf, "part").where("p_partkey <= 120 and p_partkey % 2 = 1").select(F.col("p_partkey").alias("node"), F.posexplode(every).alias("i", "purpose")).where((F.col("i") + F.col("node")) % 5 != 0)
-    return v.permitted_purposes(e, p.select("node", "purpose"))
+    p = table(spark, sf, "part").where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("node"), F.posexplode(every).alias("i", "purpose")).where((F.col("i") + F.col("node")) % 5 != 0)
+    return v.permitted_purposes(part_edges(spark, sf), p.select("node", "purpose"))
 
 
 def consent_expired(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,27 +163,27 @@ QUERIES = {f.__name__: f for f in _NAMES}
 
 _E = """e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey * 3]) AS dst FROM part)
   WHERE src <> dst AND dst IN (SELECT p_partkey FROM part){more})"""
-_ALL, _SMALL = _E.format(more=""), _E.format(more=" AND dst <= 120")
+_ALL = _E.format(more="")
 _COLS = "x AS (SELECT src::VARCHAR AS src, a, dst::VARCHAR AS dst, b FROM e, (VALUES ('key', 'key'), ('price', 'cost'), ('cost', 'price')) p(a, b))"
-_LABELS = f"""WITH RECURSIVE {_SMALL}, {_COLS},
+_LABELS = f"""WITH RECURSIVE {_ALL}, {_COLS},
 l AS (
   SELECT ds::VARCHAR AS ds, col, label, c::DOUBLE AS c, 0 AS hop FROM (VALUES (0, 'key', 'identifier', 0.9), (1, 'key', 'identifier', 0.9), (2, 'key', 'identifier', 0.9), (3, 'key', 'identifier', 0.9), (2, 'price', 'money', 0.6)) v(ds, col, label, c)
-  UNION SELECT x.dst, x.b, label, round_even(c * 0.95::DOUBLE, 4)::DOUBLE, hop + 1 FROM l JOIN x ON x.src = ds AND x.a = col WHERE hop < 12),
+  UNION SELECT x.dst, x.b, label, round_even(c * 0.95::DOUBLE, 4)::DOUBLE, hop + 1 FROM l JOIN x ON x.src = ds AND x.a = col),
 m AS (SELECT ds, col, label, max(c) AS confidence FROM l GROUP BY 1, 2, 3)
 """
-_ABOVE = f"WITH RECURSIVE {_SMALL}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst), a AS (SELECT dst AS node, src AS source FROM r UNION SELECT dst, dst FROM e UNION SELECT p_partkey, p_partkey FROM part WHERE {{own}})"
+_ABOVE = f"WITH RECURSIVE {_ALL}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst), a AS (SELECT dst AS node, src AS source FROM r UNION SELECT dst, dst FROM e UNION SELECT p_partkey, p_partkey FROM part WHERE {{own}})"
 _RULES = {"email": "(^|_)e?mail($|_)", "phone": "(^|_)(phone|mobile|tel)($|_)", "name": "(^|_)(first|last|full|sur)?name($|_)", "address": "(^|_)(street|address|zip|postcode)($|_)", "money": "(price|balance|amount|acctbal|revenue|cost)", "identifier": "(_id|key)$", "time": "(date|_at|^ts$)"}
 _ALONE = "(SELECT count(*) FROM (SELECT 1 FROM part GROUP BY {} HAVING count(*) = 1))"
 ORACLE_SQL = {
     "label_propagation": _LABELS + "SELECT ds, col, label, round(confidence, 4) AS confidence FROM m",
     "policy_violations": _LABELS + "SELECT ds, col, label FROM m WHERE label = 'money' AND confidence >= 0.5 AND ds::BIGINT % 4 = 0",
-    "unmet_requirements": _LABELS + "SELECT p_partkey::VARCHAR AS ds, 'money' AS label FROM part WHERE p_partkey BETWEEN 50 AND 70 AND p_partkey::VARCHAR NOT IN (SELECT ds FROM m WHERE label = 'money')",
-    "column_lineage": f"WITH RECURSIVE {_SMALL}, {_COLS}, r AS (SELECT '96' AS ds, 'price' AS col, 0::BIGINT AS depth UNION SELECT x.src, x.a, depth + 1 FROM r JOIN x ON x.dst = ds AND x.b = col WHERE depth < 12) SELECT ds || '#' || col AS node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY 1",
+    "unmet_requirements": _LABELS + "SELECT p_partkey::VARCHAR AS ds, 'money' AS label FROM part WHERE p_partkey % 9 = 5 AND p_partkey::VARCHAR NOT IN (SELECT ds FROM m WHERE label = 'money')",
+    "column_lineage": f"WITH RECURSIVE {_ALL}, {_COLS}, r AS (SELECT '96' AS ds, 'price' AS col, 0::BIGINT AS depth UNION SELECT x.src, x.a, depth + 1 FROM r JOIN x ON x.dst = ds AND x.b = col) SELECT ds || '#' || col AS node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY 1",
     "name_labels": " UNION ALL ".join(f"SELECT table_name AS ds, column_name AS name, '{label}' AS label FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'lineitem', 'part', 'supplier', 'events') AND regexp_matches(column_name, '{rule}')" for label, rule in _RULES.items()),
-    "licence_propagation": _ABOVE.format(own="p_partkey BETWEEN 2 AND 120") + """
-SELECT node, CASE WHEN bool_or(source % 7 = 0) THEN false WHEN bool_or(source % 5 = 0) THEN NULL ELSE true END AS commercial, bool_or(source % 11 = 0) AS share_alike FROM a WHERE source BETWEEN 2 AND 120 GROUP BY node""",
-    "purpose_intersection": _ABOVE.format(own="p_partkey <= 120 AND p_partkey % 2 = 1") + """,
-p AS (SELECT p_partkey AS source, i, purpose FROM part, (VALUES (0, 'ads'), (1, 'analytics'), (2, 'research')) v(i, purpose) WHERE p_partkey <= 120 AND p_partkey % 2 = 1 AND (i + p_partkey) % 5 <> 0),
+    "licence_propagation": _ABOVE.format(own="p_partkey >= 2") + """
+SELECT node, CASE WHEN bool_or(source % 7 = 0) THEN false WHEN bool_or(source % 5 = 0) THEN NULL ELSE true END AS commercial, bool_or(source % 11 = 0) AS share_alike FROM a WHERE source >= 2 GROUP BY node""",
+    "purpose_intersection": _ABOVE.format(own="p_partkey % 2 = 1") + """,
+p AS (SELECT p_partkey AS source, i, purpose FROM part, (VALUES (0, 'ads'), (1, 'analytics'), (2, 'research')) v(i, purpose) WHERE p_partkey % 2 = 1 AND (i + p_partkey) % 5 <> 0),
 n AS (SELECT node, count(DISTINCT source) AS n FROM a JOIN (SELECT DISTINCT source FROM p) USING (source) GROUP BY node)
 SELECT node, purpose FROM a JOIN p USING (source) JOIN n USING (node) GROUP BY node, purpose, n HAVING count(DISTINCT source) = n""",
     "consent_expired": "SELECT o_custkey, strftime(min(o_orderdate)::DATE + 900, '%Y-%m-%d') AS expired FROM orders GROUP BY 1 HAVING min(o_orderdate)::DATE + 900 < max(o_orderdate)::DATE",

@@ -64,12 +64,11 @@ def simple_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reach_scores(spark: SparkSession, sf: str) -> DataFrame:
-    small = part_edges(spark, sf).where("dst <= 150")
-    return g.reach_scores(small)
+    return g.reach_scores(part_edges(spark, sf))
 
 
 def most_depended_on(spark: SparkSession, sf: str) -> DataFrame:
-    return g.top(g.reach_scores(part_edges(spark, sf).where("dst <= 150")), "n_below", "node", 10)
+    return g.top(g.reach_scores(part_edges(spark, sf)), "n_below", "node", 10)
 
 
 def lowest_common_ancestors(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,17 +92,38 @@ def graph_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 def freshness_fold(spark: SparkSession, sf: str) -> DataFrame:
     """The oldest build (a rule on keys) among a part and all that it is made from."""
-    e = part_edges(spark, sf).where("dst <= 150")
-    own = table(spark, sf, "part").where("p_partkey <= 150").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 37 % 101).alias("built"))
-    return g.fold_downstream(e, own, "built", F.min("built")).select("node", F.col("folded").alias("oldest"))
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 37 % 101).alias("built"))
+    return g.fold_downstream(part_edges(spark, sf), own, {"built": F.min}).select("node", F.col("built").alias("oldest"))
 
 
-_NAMES = (bfs_descendants, bfs_ancestors, bfs_limited, roots_leaves, node_degrees, level_depths, shortest_distance, simple_paths, reach_scores, most_depended_on, lowest_common_ancestors, weak_components, strong_components, graph_diff, freshness_fold)
+def ring_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rings of 100 of the orders' remainders, the second fed by the first, and a tail of parts behind them."""
+    k = table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("k")).distinct()
+    first = k.select(F.col("k").alias("src"), ((F.col("k") + 1) % 100).alias("dst"))
+    second = k.select((F.col("k") + 200).alias("src"), ((F.col("k") + 37) % 100 + 200).alias("dst"))
+    tail = table(spark, sf, "part").select((F.col("p_partkey") + 1000).alias("dst"), (F.col("p_partkey") % 100 + 200).alias("src"))
+    return first.unionByName(second).unionByName(spark.createDataFrame([(5, 205)], "src long, dst long")).unionByName(tail)
+
+
+def long_rings(spark: SparkSession, sf: str) -> DataFrame:
+    """Strong components with cycles of 100 nodes."""
+    return g.strong_components(ring_edges(spark, sf))
+
+
+def chain_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of a chain of 100 nodes, each of which feeds two parts."""
+    n = spark.range(1, 101)
+    chain = n.where("id < 100").select((-F.col("id")).alias("src"), (-F.col("id") - 1).alias("dst"))
+    leaves = table(spark, sf, "part").select((-(F.col("p_partkey") % 100 + 1)).alias("src"), F.col("p_partkey").alias("dst"))
+    return g.levels(chain.unionByName(leaves)).select("node", long("level").alias("level"))
+
+
+_NAMES = (bfs_descendants, bfs_ancestors, bfs_limited, roots_leaves, node_degrees, level_depths, shortest_distance, simple_paths, reach_scores, most_depended_on, lowest_common_ancestors, weak_components, strong_components, graph_diff, freshness_fold, long_rings, chain_levels)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _E = """e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey * 3]) AS dst FROM part)
   WHERE src <> dst AND dst IN (SELECT p_partkey FROM part){more})"""
-_ALL, _SMALL = _E.format(more=""), _E.format(more=" AND dst <= 150")
+_ALL = _E.format(more="")
 _RING = """e AS (
   SELECT n_nationkey::BIGINT AS src, coalesce(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), min(n_nationkey) OVER (PARTITION BY n_regionkey))::BIGINT AS dst FROM nation
   UNION ALL SELECT min(n_nationkey)::BIGINT, n_regionkey::BIGINT + 100 FROM nation GROUP BY n_regionkey)"""
@@ -127,15 +147,19 @@ SELECT node, max(level) AS level FROM l GROUP BY node""",
 SELECT array_to_string(p, '>') AS path, (len(p) - 1)::BIGINT AS distance FROM r WHERE p[-1] = 144 ORDER BY len(p), p LIMIT 1""",
     "simple_paths": f"""WITH RECURSIVE {_ALL}, r AS (SELECT [1::BIGINT] AS p UNION ALL SELECT list_append(p, e.dst) FROM r JOIN e ON e.src = p[-1] WHERE len(p) <= 12 AND p[-1] <> 72)
 SELECT array_to_string(p, '>') AS path FROM r WHERE p[-1] = 72""",
-    "reach_scores": f"WITH RECURSIVE {_SMALL}, {_CLOSURE} SELECT src AS node, count(*) AS n_below FROM r GROUP BY 1",
-    "most_depended_on": f"WITH RECURSIVE {_SMALL}, {_CLOSURE} SELECT src AS node, count(*) AS n_below FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "reach_scores": f"WITH RECURSIVE {_ALL}, {_CLOSURE} SELECT src AS node, count(*) AS n_below FROM r GROUP BY 1",
+    "most_depended_on": f"WITH RECURSIVE {_ALL}, {_CLOSURE} SELECT src AS node, count(*) AS n_below FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "lowest_common_ancestors": f"""WITH RECURSIVE {_ALL}, {_reach('(96), (144)', up=True)}, m AS (SELECT seed, node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY 1, 2)
 SELECT node::BIGINT AS node, sum(depth)::BIGINT AS distance FROM m GROUP BY node HAVING count(DISTINCT seed) = 2""",
     "weak_components": "SELECT n_nationkey::BIGINT AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS component FROM nation UNION ALL SELECT n_regionkey::BIGINT + 100, min(n_nationkey)::BIGINT FROM nation GROUP BY n_regionkey",
     "strong_components": "SELECT n_nationkey::BIGINT AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS component FROM nation",
     "graph_diff": f"""WITH {_ALL} SELECT src, dst, CASE WHEN src % 11 = 0 THEN 'removed' ELSE 'changed' END AS change FROM e WHERE src % 11 = 0 OR src % 13 = 0
 UNION ALL SELECT n_regionkey::BIGINT, n_nationkey::BIGINT + 100000, 'added' FROM nation""",
-    "freshness_fold": f"""WITH RECURSIVE {_SMALL}, {_CLOSURE}, a AS (SELECT dst AS node, src AS source FROM r UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e)
+    "freshness_fold": f"""WITH RECURSIVE {_ALL}, {_CLOSURE}, a AS (SELECT dst AS node, src AS source FROM r UNION SELECT p_partkey, p_partkey FROM part)
 SELECT node, min(source * 37 % 101)::BIGINT AS oldest FROM a GROUP BY node""",
 }
+ORACLE_SQL |= {
+    "long_rings": "SELECT DISTINCT o_orderkey % 100 AS node, 0::BIGINT AS component FROM orders UNION ALL SELECT DISTINCT o_orderkey % 100 + 200, 200 FROM orders",
+    "chain_levels": "SELECT -i AS node, i - 1 AS level FROM range(1, 101) t(i) UNION ALL SELECT p_partkey, p_partkey % 100 + 1 FROM part",
+}
 ORACLE_SQL["schedule_waves"] = ORACLE_SQL["level_depths"].replace("SELECT node, max(level) AS level FROM l GROUP BY node", "SELECT level AS wave, count(*) AS n_nodes FROM (SELECT node, max(level) AS level FROM l GROUP BY node) GROUP BY 1")

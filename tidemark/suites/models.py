@@ -144,8 +144,8 @@ def safety_regressions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asof_version(spark: SparkSession, sf: str) -> DataFrame:
-    """Each order of some customers with the event that its user had last made: events move to 1996."""
-    o = table(spark, sf, "orders").where("o_orderdate >= '1996-01-01' and o_orderdate < '1996-03-01'").select(F.col("o_custkey").alias("user_id"), "o_orderkey", "o_orderdate")
+    """Each order with the event that its user had last made: events move to 1996."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", "o_orderdate")
     e = table(spark, sf, "events").groupBy("user_id", (F.col("ts") - F.make_ym_interval(F.lit(28))).alias("since")).agg(F.max("event_type").alias("version"))
     return m.as_of(o, e, "user_id", "o_orderdate", "since", "version").select("o_orderkey", "version")
 
@@ -157,7 +157,7 @@ def metric_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expired_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
-    return m.keep_last(table(spark, sf, "orders").where("o_custkey <= 50"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_orderkey")
+    return m.keep_last(table(spark, sf, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_orderkey")
 
 
 def loss_spikes(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,11 +261,11 @@ FROM labels JOIN documents USING (doc_id) GROUP BY 1""",
     "safety_regressions": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'missing' ELSE 'broke' END AS change FROM labels WHERE doc_id % 9 = 0 OR (quality = 1 AND doc_id % 5 = 0)",
     "asof_version": """
 WITH e AS (SELECT user_id, ts - to_years(28) AS since, max(event_type) AS version FROM events GROUP BY 1, 2)
-SELECT o_orderkey, version FROM (SELECT * FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1996-03-01') o ASOF LEFT JOIN e ON e.user_id = o.o_custkey AND o.o_orderdate >= e.since""",
+SELECT o_orderkey, version FROM orders o ASOF LEFT JOIN e ON e.user_id = o.o_custkey AND o.o_orderdate >= e.since""",
     "metric_changes": """
 WITH v AS (SELECT o_orderpriority, year(o_orderdate) AS y, max(round(o_totalprice)::BIGINT) AS v FROM orders GROUP BY 1, 2)
 SELECT a.o_orderpriority, a.v AS before, b.v AS after, b.v - a.v AS delta FROM v a JOIN v b ON a.o_orderpriority = b.o_orderpriority AND a.y = 1996 AND b.y = 1997""",
-    "expired_checkpoints": "SELECT o_orderkey FROM orders WHERE o_custkey <= 50 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 3",
+    "expired_checkpoints": "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 3",
     "loss_spikes": "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE o_totalprice > 1.5::DOUBLE * b",
     "top_sources": "SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "citation_coverage": "SELECT l_orderkey, round(count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_partkey END) / count(DISTINCT l_partkey), 6) AS coverage FROM lineitem GROUP BY 1",

@@ -44,8 +44,8 @@ def latest_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gap_runs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderpriority").alias("priority"), truncate("o_orderdate", "day").alias("dt"))
-    return o.gap_runs(rows, ["priority"], "dt", "day").select("priority", day("first").alias("first"), day("last").alias("last"), "n")
+    rows = table(spark, sf, "orders").select("o_custkey", truncate("o_orderdate", "day").alias("dt"))
+    return o.gap_runs(rows, ["o_custkey"], "dt", "day").select("o_custkey", day("first").alias("first"), day("last").alias("last"), "n")
 
 
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,9 +219,9 @@ UNION ALL SELECT name, 'max_lowered', 'info' FROM (SELECT unnest(['o_orderkey',
     "schema_diff": "SELECT * FROM (VALUES ('o_orderstatus', 'removed', 'string', NULL), ('tier', 'added', NULL, 'int'), ('o_custkey', 'retyped', 'bigint', 'string')) v(name, change, before, after)",
     "latest_profile": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "gap_runs": """
-WITH d AS (SELECT DISTINCT o_orderpriority AS priority, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 20 = 0),
-n AS (SELECT *, lead(d) OVER (PARTITION BY priority ORDER BY d) AS nx FROM d)
-SELECT priority, strftime(d + 1, '%Y-%m-%d') AS first, strftime(nx - 1, '%Y-%m-%d') AS last, (nx - d - 1)::BIGINT AS n FROM n WHERE nx > d + 1""",
+WITH d AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders),
+n AS (SELECT *, lead(d) OVER (PARTITION BY o_custkey ORDER BY d) AS nx FROM d)
+SELECT o_custkey, strftime(d + 1, '%Y-%m-%d') AS first, strftime(nx - 1, '%Y-%m-%d') AS last, (nx - d - 1)::BIGINT AS n FROM n WHERE nx > d + 1""",
     "completeness": """
 WITH e AS (SELECT p, d::TIMESTAMP AS d FROM (SELECT DISTINCT o_orderpriority AS p FROM orders), generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY) s(d)),
 q AS (SELECT DISTINCT o_orderpriority AS p, date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders WHERE o_custkey % 2 = 0 AND o_orderdate >= '1996-01-05' AND o_orderdate < '1997-01-04')

@@ -130,12 +130,12 @@ def schedule_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of consecutive stale days, cut into batches of at most 30."""
     from pyspark.sql import Window as W
 
-    days = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.to_date("o_orderdate").alias("d"), F.col("o_orderpriority").alias("priority")).distinct()
-    w = W.partitionBy("priority").orderBy("d")
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), (F.col("o_custkey") % 40).alias("shard")).distinct()
+    w = W.partitionBy("shard").orderBy("d")
     new = F.when(F.date_diff("d", F.lag("d").over(w)) == 1, 0).otherwise(1)
     runs = days.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    at = F.row_number().over(W.partitionBy("priority", "run").orderBy("d")) - 1
-    return runs.withColumn("batch", F.floor(at / 30)).groupBy("priority", "run", "batch").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).select("priority", day("a").alias("first"), day("b").alias("last"), "n")
+    at = F.row_number().over(W.partitionBy("shard", "run").orderBy("d")) - 1
+    return runs.withColumn("batch", F.floor(at / 30)).groupBy("shard", "run", "batch").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).select("shard", day("a").alias("first"), day("b").alias("last"), "n")
 
 
 def arrival_lags(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,10 +213,10 @@ SELECT dt, priority, CASE WHEN a.n = l.n THEN 'new' ELSE 'changed' END AS change
     "subject_erasure_rows": f"""
 SELECT {_MONTH} AS dt, count(*) FILTER (o_custkey = 37) AS erased, count(*) FILTER (o_custkey <> 37) AS kept FROM orders GROUP BY 1 HAVING count(*) FILTER (o_custkey = 37) > 0""",
     "schedule_batches": """
-WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS priority FROM orders WHERE o_orderkey % 7 = 0),
-r AS (SELECT *, d - CAST(row_number() OVER (PARTITION BY priority ORDER BY d) AS INTEGER) AS island FROM d),
-b AS (SELECT *, (row_number() OVER (PARTITION BY priority, island ORDER BY d) - 1) // 30 AS batch FROM r)
-SELECT priority, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(*) AS n FROM b GROUP BY priority, island, batch""",
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, o_custkey % 40 AS shard FROM orders),
+r AS (SELECT *, d - CAST(row_number() OVER (PARTITION BY shard ORDER BY d) AS INTEGER) AS island FROM d),
+b AS (SELECT *, (row_number() OVER (PARTITION BY shard, island ORDER BY d) - 1) // 30 AS batch FROM r)
+SELECT shard, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(*) AS n FROM b GROUP BY shard, island, batch""",
     "arrival_lags": """
 SELECT CAST(floor((epoch(l_shipdate) - epoch(date_trunc('day', o_orderdate) + INTERVAL 1 DAY)) / 86400) AS BIGINT) AS days_late, count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",

@@ -12,7 +12,7 @@ from tidemark.suites import day, long, minute, table
 
 
 def hive_path_keys(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey <= 200")
+    o = table(spark, sf, "orders")
     region = F.when(F.col("o_orderkey") % 5 == 0, F.lit("/region=__HIVE_DEFAULT_PARTITION__")).when(F.col("o_orderkey") % 5 == 1, F.lit("")).otherwise(F.concat(F.lit("/region="), F.regexp_replace("o_orderpriority", " ", "%20")))
     path = F.concat(F.lit("s3://lake/orders/dt="), F.date_format("o_orderdate", "yyyy-MM-dd"), region, F.lit("/part-0.parquet"))
     r = paths.hive_value(path, "region")
@@ -20,7 +20,7 @@ def hive_path_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def template_paths(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey <= 200")
+    o = table(spark, sf, "orders")
     path = F.concat(F.lit("lake/"), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("/c"), F.col("o_custkey"), F.lit("/x.parquet"))
     t = "{yyyy}/{MM}/{dd}/{customer}/"
     return o.select("o_orderkey", day(paths.template_time(path, t)).alias("dt"), paths.template_values(path, t)["customer"].alias("customer"))
@@ -49,7 +49,7 @@ def delta_changed_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     """Events of orders: each customer is a job, each order a run of two events, some of which fail."""
-    o = table(spark, sf, "orders").where("o_custkey <= 60")
+    o = table(spark, sf, "orders")
     ds = lambda ns, name: F.struct(F.lit(ns).alias("namespace"), name.cast("string").alias("name"), F.lit(None).cast("struct<columnLineage:struct<fields:map<string,struct<inputFields:array<struct<namespace:string,name:string,field:string>>>>>>").alias("facets"))
     field = F.struct(F.array(F.struct(F.lit("raw").alias("namespace"), (F.col("o_custkey") % 10).cast("string").alias("name"), F.lit("amount").alias("field"))).alias("inputFields"))
     facets = F.struct(F.struct(F.create_map(F.lit("revenue"), field).alias("fields")).alias("columnLineage"))
@@ -71,7 +71,7 @@ def run_column_lineage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def access_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "lineitem").where("l_orderkey <= 500")
+    o = table(spark, sf, "lineitem")
     src = F.array(F.struct(F.concat(F.lit("PART"), F.col("l_partkey") % 10).alias("objectName"), F.lit("AMOUNT").alias("columnName")), F.struct(F.concat(F.lit("SUPP"), F.col("l_suppkey") % 3).alias("objectName"), F.lit("KEY").alias("columnName")))
     cols = F.array(F.struct(F.lit("REVENUE").alias("columnName"), src.alias("directSources")))
     rows = o.select(F.array(F.struct(F.concat(F.lit("OUT"), F.col("l_linenumber")).alias("objectName"), cols.alias("columns"))).alias("objects_modified"))
@@ -79,7 +79,7 @@ def access_lineage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def partition_ids(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey <= 100")
+    o = table(spark, sf, "orders")
     pid = F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(F.col("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "yyyyMM")).when(F.col("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "yyyy")).otherwise(F.lit("__NULL__"))
     return o.select("o_orderkey", day(lineage.partition_id_time(pid)).alias("dt"))
 
@@ -145,11 +145,11 @@ def alert_routes(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES = (hive_path_keys, template_paths, listing_changes, delta_live_files, delta_changed_partitions, run_events, run_lineage, run_column_lineage, access_lineage, partition_ids, statement_lineage, footer_profile, watermark_scan, glob_selection, selector_sets, quiet_alerts, window_rollup, session_runs, alert_routes)
 QUERIES = {f.__name__: f for f in _NAMES}
 
-_RUNS = """r AS (SELECT o_orderkey, o_custkey % 10 AS c, left(o_orderpriority, 1) AS p FROM orders WHERE o_custkey <= 60 AND o_orderkey % 9 <> 0)"""
+_RUNS = """r AS (SELECT o_orderkey, o_custkey % 10 AS c, left(o_orderpriority, 1) AS p FROM orders WHERE o_orderkey % 9 <> 0)"""
 ORACLE_SQL = {
     "hive_path_keys": """
-SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dt, o_orderkey % 5 <> 1 AS found, CASE WHEN o_orderkey % 5 > 1 THEN o_orderpriority END AS region FROM orders WHERE o_custkey <= 200""",
-    "template_paths": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dt, 'c' || o_custkey AS customer FROM orders WHERE o_custkey <= 200",
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dt, o_orderkey % 5 <> 1 AS found, CASE WHEN o_orderkey % 5 > 1 THEN o_orderpriority END AS region FROM orders""",
+    "template_paths": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dt, 'c' || o_custkey AS customer FROM orders",
     "listing_changes": "SELECT 'f' || o_orderkey AS path FROM orders WHERE o_orderkey % 20 = 3 OR o_orderkey % 30 = 7 OR o_orderkey % 50 = 0",
     "delta_live_files": "SELECT 'f' || (o_orderkey % 300) AS path FROM orders GROUP BY o_orderkey % 300 HAVING max(o_orderkey) % 7 <> 0",
     "delta_changed_partitions": """
@@ -158,10 +158,10 @@ SELECT DISTINCT '[{"key":"dt","value":"' || strftime(o_orderdate, '%Y-%m-%d') ||
     "run_lineage": f"WITH {_RUNS} SELECT DISTINCT 'raw/' || c AS src, 'gold/' || p AS dst FROM r",
     "run_column_lineage": f"WITH {_RUNS} SELECT DISTINCT 'raw/' || c AS src, 'amount' AS src_col, 'gold/' || p AS dst, 'revenue' AS dst_col FROM r",
     "access_lineage": """
-SELECT DISTINCT 'PART' || (l_partkey % 10) AS src, 'AMOUNT' AS src_col, 'OUT' || l_linenumber AS dst, 'REVENUE' AS dst_col FROM lineitem WHERE l_orderkey <= 500
-UNION SELECT DISTINCT 'SUPP' || (l_suppkey % 3), 'KEY', 'OUT' || l_linenumber, 'REVENUE' FROM lineitem WHERE l_orderkey <= 500""",
+SELECT DISTINCT 'PART' || (l_partkey % 10) AS src, 'AMOUNT' AS src_col, 'OUT' || l_linenumber AS dst, 'REVENUE' AS dst_col FROM lineitem
+UNION SELECT DISTINCT 'SUPP' || (l_suppkey % 3), 'KEY', 'OUT' || l_linenumber, 'REVENUE' FROM lineitem""",
     "partition_ids": """
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(o_orderdate, '%Y-01-01') END AS dt FROM orders WHERE o_custkey <= 100""",
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(o_orderdate, '%Y-01-01') END AS dt FROM orders""",
     "statement_lineage": "SELECT * FROM (VALUES ('gold.monthly', 'silver.events'), ('silver.events', 'raw.events'), ('silver.events', 'raw.users'), ('gold.users', 'silver.users')) v(dst, src)",
     "footer_profile": "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name, count(*) AS row_count, 0::BIGINT AS null_count FROM orders",
     "watermark_scan": "SELECT o_orderpriority, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS watermark, count(*) AS n FROM orders WHERE o_orderdate > '2001-01-01' GROUP BY 1",
