@@ -40,7 +40,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_all_have_sql():
-    assert set(QUERIES) - set(SQL) == {"minhash_clusters"}
+    assert not set(QUERIES) - set(SQL)
 
 
 def test_minhash_recall(spark):

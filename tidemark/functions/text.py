@@ -26,6 +26,15 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).when(F.size(tokens) < n, whole).otherwise(each)
 
 
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the distinct grams of `ngrams`, sorted; far cheaper to make, ship and join than their text."""
+    whole = F.array(F.xxhash64(F.array_join(tokens, " ")))
+    each = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
+    none = F.array().cast("array<bigint>")
+    made = F.get(F.transform(F.array(tokens), lambda w: F.when(F.size(w) == 0, none).when(F.size(w) < n, whole).otherwise(each(w))), 0)
+    return F.array_sort(F.array_distinct(made))
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, at least one; none for an empty text."""
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / CHARS_PER_TOKEN).cast("int"))).cast("long")

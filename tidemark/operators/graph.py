@@ -92,16 +92,14 @@ def levels(edges: DataFrame) -> DataFrame:
     count of the parents they wait for.
     """
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    waiting = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    done = Growing(roots(e).withColumn("level", F.lit(0)), "levels")
-    front, level = done.read(), 0
-    while not front.isEmpty():
+    start = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).unionByName(roots(e).withColumn("n", F.lit(0).cast("long")))
+    rounds = Growing(start.withColumn("level", F.lit(0)), "levels")
+    now, level = rounds.read(), 0
+    while not (front := now.where("n = 0")).isEmpty():
         level += 1
         met = e.join(front, F.col("src") == F.col("node"), "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"))
-        waiting = materialize(waiting.join(met, "node", "left").select("node", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")), "waiting")
-        front = done.append(waiting.where("n = 0").select("node", F.lit(level).alias("level")))
-        waiting = waiting.where("n > 0")
-    return done.read()
+        now = rounds.append(now.where("n > 0").join(met, "node", "left").select("node", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n"), F.lit(level).alias("level")))
+    return rounds.read().where("n = 0").select("node", "level")
 
 
 def shortest_path(edges: DataFrame, start: object, end: object, max_depth: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import jaccard, ngrams, normalize, words
+from tidemark.functions.text import gram_hashes, normalize, words
 from tidemark.operators.components import connected_components
 from tidemark.session import materialize
 
@@ -40,68 +40,84 @@ def identifier_overlap(train: DataFrame, held: DataFrame, key: str) -> DataFrame
     return g.select("n_shared", F.when(F.col("n") > 0, F.col("hit") / F.col("n")).otherwise(0.0).alias("ratio"))
 
 
-def gram_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, gram): the distinct n-grams of each document."""
-    toks = docs.select(F.col(key).alias("key"), words(normalize(F.col(text))).alias("w"))
-    grams = toks.withColumn("g", F.array_distinct(ngrams(F.col("w"), n)))
-    return grams.select("key", F.explode_outer("g").alias("gram")).where("gram is not null")
+def gram_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, grams): the hashed distinct n-grams of each document that has any, written once."""
+    sets = docs.select(F.col(key).alias("key"), gram_hashes(words(normalize(F.col(text))), n).alias("grams"))
+    return materialize(sets, "gram-sets").where(F.size("grams") > 0)
 
 
-def gram_containment(items: DataFrame, corpus: DataFrame, n_items: DataFrame | None = None) -> DataFrame:
-    """(item, doc, n_shared, containment): shared grams of items and documents over the item's grams, through a join on the gram."""
-    size = items.groupBy(F.col("key").alias("item")).agg(F.count("*").alias("n"))
-    pairs = items.select(F.col("key").alias("item"), "gram").join(corpus.select(F.col("key").alias("doc"), "gram"), "gram").groupBy("item", "doc").agg(F.count("*").alias("n_shared"))
-    return pairs.join(size, "item").select("item", "doc", "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
+def gram_containment(items: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(item, doc, n_shared, containment): shared grams of items and documents over the item's grams, through a join on the gram; both as `gram_sets`."""
+    grams = items.select(F.col("key").alias("item"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    pairs = corpus.select(F.col("key").alias("doc"), F.explode("grams").alias("gram")).join(grams, "gram").groupBy("item", "doc", "n").agg(F.count("*").alias("n_shared"))
+    return pairs.select("item", "doc", "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
-def jaccard_pairs(grams: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of documents that share a rare enough gram to reach the threshold (prefix filtering).
+def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of equal gram sets as one: (key, grams) of the least of each class, and (key, first) of the others."""
+    marked = sets.withColumn("mark", F.md5(F.to_json("grams")))
+    first = materialize(marked.groupBy("mark").agg(F.min("key").alias("first"), F.first("grams").alias("grams")), "set-classes")
+    members = marked.select("key", "mark").join(first.select("mark", "first"), "mark").where("key <> first").select("key", "first")
+    return first.select(F.col("first").alias("key"), "grams"), members
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) whose exact similarity reaches the threshold."""
+    ga, gb = (sets.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
+    both = pairs.join(ga, "a").join(gb, "b").select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("s"))
+    return both.select("a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the different gram sets that reach the threshold, each named by its least document.
 
     Grams are ordered from rare to common; two sets of Jaccard t share a gram
-    among the first n - ceil(t n) + 1 of each, so only those prefixes are joined.
+    among the first n - ceil(t n) + 1 of each, so only those prefixes are joined,
+    and only where the sizes and the places of the gram still allow t.
     """
-    freq = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = grams.join(freq, "gram").withColumn("pos", F.row_number().over(W.partitionBy("key").orderBy("df", "gram"))).withColumn("n", F.count("*").over(W.partitionBy("key")))
-    ranked = materialize(ranked, "grams")
-    prefix = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("key", "gram", "n")
-    a, b = prefix.select(F.col("key").alias("a"), "gram", F.col("n").alias("na")), prefix.select(F.col("key").alias("b"), "gram", F.col("n").alias("nb"))
-    near = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
-    ga, gb = grams.select(F.col("key").alias("a"), "gram"), grams.select(F.col("key").alias("b"), "gram")
-    both = near.join(ga, "a").join(gb, ["b", "gram"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("s"))
-    score = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
-    return both.select("a", "b", score.alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def minhash(grams: DataFrame, permutations: int = 128) -> DataFrame:
-    """(key, signature): the least seeded hash of the grams for each permutation, pre-aggregated before the shuffle."""
-    mins = [F.min(F.xxhash64(F.lit(p), "gram")).alias(f"m{p}") for p in range(permutations)]
-    return grams.groupBy("key").agg(*mins).select("key", F.array(*[f"m{p}" for p in range(permutations)]).alias("signature"))
-
-
-def lsh_links(signatures: DataFrame, grams: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
-    """(u, v) of documents that agree in a band and whose exact Jaccard similarity reaches the threshold.
-
-    Equal signatures are linked to the first of them, so only distinct ones meet
-    in the bands; pairs whose estimate is far below the threshold (over four
-    deviations for 128 rows) are not verified.
+    grams = sets.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    freq = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    # A gram of one set alone meets nothing, but holds its place at the head of the prefix.
+    shared = grams.join(freq, "gram").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
+    alone = F.col("n") - F.size("ranked")
+    length = F.greatest(F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1 - alone, F.lit(0)).cast("int")
+    prefix = materialize(shared.select("key", "n", alone.alias("alone"), F.posexplode(F.slice("ranked", 1, length)).alias("at", "x")).select("key", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("x.gram").alias("gram")), "prefixes")
+    a, b = (prefix.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("left").alias(f"l{c}"), "gram") for c in ("a", "b"))
+    # What a pair can share from its first common gram on must be enough; later common grams only say less.
+    enough = (1 + threshold) * F.max(F.least("la", "lb")) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
+    sized = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    near = sized.groupBy("a", "b", "na", "nb").agg(enough.alias("enough")).where("enough").select("a", "b")
+    return _similar(near, sets, threshold)
+
+
+def minhash(sets: DataFrame, permutations: int = 128) -> DataFrame:
+    """(key, signature): the least seeded hash of the grams for each permutation, made inside the row."""
+    seeds = F.array(*[F.lit(p) for p in range(permutations)])
+    return sets.select("key", F.transform(seeds, lambda p: F.array_min(F.transform("grams", lambda g: F.xxhash64(g, p)))).alias("signature"))
+
+
+def lsh_links(sets: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of different gram sets that agree in a band of their signatures and whose exact similarity reaches the threshold.
+
+    Pairs whose estimate is far below the threshold (over four deviations for
+    128 rows) are not verified.
     """
     if threshold < (1 / bands) ** (1 / rows) - 0.15:
         raise ValueError(f"{bands} bands of {rows} rows miss pairs at {threshold}")
-    firsts = materialize(signatures.groupBy("signature").agg(F.min("key").alias("first")), "signatures")
-    copies = signatures.join(firsts, "signature").where("key <> first").select(F.col("first").alias("u"), F.col("key").alias("v"))
+    signatures = materialize(minhash(sets, bands * rows), "signatures")
     slices = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
-    buckets = firsts.select("first", "signature", F.posexplode(slices).alias("band", "h"))
-    a, b = (buckets.select(F.col("first").alias(n), F.col("signature").alias(f"s{n}"), "band", "h") for n in ("u", "v"))
-    same = F.aggregate(F.zip_with("su", "sv", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    near = a.join(b, ["band", "h"]).where((F.col("u") < F.col("v")) & (same >= (threshold - 0.15) * bands * rows)).select("u", "v").distinct()
-    pairs = materialize(near.unionByName(copies), "lsh-pairs")
-    sets = grams.groupBy("key").agg(F.collect_set("gram").alias("g"))
-    gu, gv = sets.select(F.col("key").alias("u"), F.col("g").alias("gu")), sets.select(F.col("key").alias("v"), F.col("g").alias("gv"))
-    return pairs.join(gu, "u").join(gv, "v").where(jaccard(F.col("gu"), F.col("gv")) >= threshold).select("u", "v")
-
-
-def clusters(links: DataFrame) -> DataFrame:
-    return connected_components(links)
+    buckets = signatures.select("key", F.posexplode(slices).alias("band", "h"))
+    a, b = (buckets.select(F.col("key").alias(c), "band", "h") for c in ("a", "b"))
+    met = a.join(b, ["band", "h"]).where("a < b").select("a", "b").distinct()
+    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    sa, sb = (signatures.select(F.col("key").alias(c), F.col("signature").alias(f"s{c}")) for c in ("a", "b"))
+    near = met.join(sa, "a").join(sb, "b").where(same >= (threshold - 0.15) * bands * rows).select("a", "b")
+    return _similar(materialize(near, "lsh-pairs"), sets, threshold)
+
+
+def clusters(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, component) of linked documents; links join class representatives (a, b), members have key and first."""
+    return connected_components(links.select("a", "b").unionByName(members.select(F.col("first").alias("a"), F.col("key").alias("b"))), "a", "b")
 
 
 def pareto(trials: DataFrame, key: str, minimize: str, maximize: str) -> DataFrame:

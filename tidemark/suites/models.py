@@ -50,18 +50,21 @@ def identifier_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ngram_containment(spark: SparkSession, sf: str) -> DataFrame:
-    items = m.gram_table(table(spark, sf, "benchmark"), "item_id", "text", 5)
-    docs = m.gram_table(table(spark, sf, "documents"), "doc_id", "text", 5)
+    items = m.gram_sets(table(spark, sf, "benchmark"), "item_id", "text", 5)
+    docs = m.gram_sets(table(spark, sf, "documents"), "doc_id", "text", 5)
     return m.gram_containment(items, docs).select("item", "doc", "n_shared", digits("containment").alias("containment"))
 
 
 def exact_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return m.jaccard_pairs(m.gram_table(table(spark, sf, "documents"), "doc_id", "text", 5), 0.8).select("a", "b", digits("jaccard").alias("jaccard"))
+    """Similar pairs of different texts, each text by its least document; its copies follow as pairs with it."""
+    sets, members = m.set_classes(m.gram_sets(table(spark, sf, "documents"), "doc_id", "text", 5))
+    pairs = m.jaccard_pairs(sets, 0.8).select("a", "b", digits("jaccard").alias("jaccard"))
+    return pairs.unionByName(members.select(F.col("first").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def minhash_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    grams = m.gram_table(table(spark, sf, "documents"), "doc_id", "text", 5)
-    return m.clusters(m.lsh_links(m.minhash(grams), grams, 32, 4, 0.8))
+    sets, members = m.set_classes(m.gram_sets(table(spark, sf, "documents"), "doc_id", "text", 5))
+    return m.clusters(m.lsh_links(sets, 32, 4, 0.8), members)
 
 
 def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,6 +212,10 @@ _NORM = r"lower(trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s]', ' '
 _W = f"list_filter(string_split({_NORM}, ' '), lambda w: w <> '')"
 _GRAMS = "SELECT DISTINCT {id} AS key, CASE WHEN len(w) < {n} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {n} - 1], ' ') END AS gram FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - {n} + 1, 1) + 1)) AS i FROM (SELECT {id}, {w} AS w FROM {t}) WHERE len(w) > 0)"
 _TOKENS = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END"
+_PAIRS = f"""d AS ({_GRAMS.format(id="doc_id", n=5, w=_W, t="documents")}), m AS (SELECT key, string_agg(md5(gram), '' ORDER BY gram) AS mark, count(*) AS n FROM d GROUP BY 1),
+c AS (SELECT key, n, min(key) OVER (PARTITION BY mark) AS first FROM m), s AS (SELECT key, n FROM c WHERE key = first), f AS (SELECT d.* FROM d JOIN s USING (key)),
+k AS (SELECT x.key AS a, y.key AS b, count(*) AS k FROM f x JOIN f y ON x.gram = y.gram AND x.key < y.key GROUP BY 1, 2),
+p AS (SELECT a, b, k / (sa.n + sb.n - k) AS jaccard FROM k JOIN s sa ON sa.key = a JOIN s sb ON sb.key = b WHERE k / (sa.n + sb.n - k) >= 0.8 UNION ALL SELECT first, key, 1.0 FROM c WHERE key <> first)"""
 ORACLE_SQL = {
     "stale_chunks": _STALE + " SELECT * FROM s",
     "orphan_vectors": f"WITH {_CHUNKS}, {_INDEX} SELECT doc_id, ordinal FROM x ANTI JOIN c USING (doc_id, ordinal)",
@@ -224,10 +231,10 @@ SELECT count(DISTINCT CASE WHEN t THEN o_custkey END) AS n_shared, round(count(*
     "ngram_containment": f"""
 WITH i AS ({_GRAMS.format(id="item_id", n=5, w=_W, t="benchmark")}), d AS ({_GRAMS.format(id="doc_id", n=5, w=_W, t="documents")}), s AS (SELECT key, count(*) AS n FROM i GROUP BY 1)
 SELECT i.key AS item, d.key AS doc, count(*) AS n_shared, round(count(*) / any_value(n), 6) AS containment FROM i JOIN d USING (gram) JOIN s ON s.key = i.key GROUP BY 1, 2""",
-    "exact_jaccard_pairs": f"""
-WITH d AS ({_GRAMS.format(id="doc_id", n=5, w=_W, t="documents")}), s AS (SELECT key, count(*) AS n FROM d GROUP BY 1),
-p AS (SELECT x.key AS a, y.key AS b, count(*) AS k FROM d x JOIN d y ON x.gram = y.gram AND x.key < y.key GROUP BY 1, 2)
-SELECT a, b, round(k / (sa.n + sb.n - k), 6) AS jaccard FROM p JOIN s sa ON sa.key = a JOIN s sb ON sb.key = b WHERE k / (sa.n + sb.n - k) >= 0.8""",
+    "exact_jaccard_pairs": f"WITH {_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM p",
+    "minhash_clusters": f"""
+WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS node, a AS other FROM l UNION SELECT node, l.b FROM r JOIN l ON other = l.a)
+SELECT node, min(other) AS component FROM r GROUP BY node""",
     "text_normalize": f"SELECT doc_id, md5({_NORM}) AS digest, len({_W})::BIGINT AS n_words FROM documents",
     "text_grams": f"""
 WITH g AS ({_GRAMS.format(id="conv_id, turn", n=3, w=_W, t="conversations").replace("conv_id, turn AS key", "conv_id, turn AS key")})
