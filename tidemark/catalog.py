@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import ship
-from tidemark.suites import assets, governance, graphs, models, observation, partitions, platform
+from tidemark.suites import assets, feeds, governance, graphs, models, observation, partitions, platform
 
-_SUITES = (partitions, graphs, observation, governance, models, assets, platform)
+_SUITES = (partitions, graphs, observation, governance, models, assets, platform, feeds)
 #: The time zone that the queries' calendar arithmetic is defined in.
 ZONE = "UTC"
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 CHARS_PER_TOKEN = 4
 NGRAM = 13
@@ -82,3 +88,90 @@ def template_variables(text: Column) -> Column:
 def redact(value: Column, keep: int = 0) -> Column:
     """All but a prefix hidden."""
     return F.concat(F.left(value, F.lit(keep)), F.lit("***"))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Shared members over those of the smaller set."""
+    n = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / n)
+
+
+def render(template: Column, values: Column) -> Column:
+    """A template with {{x}} and {x} replaced by a map's values; names that it lacks stay."""
+    put = lambda t, e: F.replace(F.replace(t, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"]), F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"])
+    tidy = F.regexp_replace(template, r"(\{\{?)\s*([A-Za-z_][A-Za-z0-9_]*)\s*(\}\}?)", "$1$2$3")
+    return F.aggregate(F.map_entries(values), tidy, put)
+
+
+MASK = (1 << 61) - 1
+LEAST_SHARED = 40
+
+
+@F.pandas_udf(LongType())
+def salted_hash(texts: pd.Series, salts: pd.Series) -> pd.Series:
+    """61-bit BLAKE2b of a text under a salt: Spark has no BLAKE2, and stored signatures must compare."""
+    one = lambda t, s: None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8, salt=int(s).to_bytes(8, "big")).digest(), "big") & MASK
+    return pd.Series([one(t, s) for t, s in zip(texts, salts, strict=True)], dtype="Int64")
+
+
+def longest_shared(a: str, b: str) -> str:
+    """The first longest substring of `b` that `a` has too, through the suffix automaton of `a`: linear in both."""
+    link, length, nexts, last = [-1], [0], [{}], 0
+    for c in a:
+        now = len(length)
+        length.append(length[last] + 1)
+        link.append(0)
+        nexts.append({})
+        p = last
+        while p >= 0 and c not in nexts[p]:
+            nexts[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = nexts[p][c]
+            if length[p] + 1 == length[q]:
+                link[now] = q
+            else:
+                copy = len(length)
+                length.append(length[p] + 1)
+                link.append(link[q])
+                nexts.append(dict(nexts[q]))
+                while p >= 0 and nexts[p].get(c) == q:
+                    nexts[p][c] = copy
+                    p = link[p]
+                link[q] = link[now] = copy
+        last = now
+    state = size = best = end = 0
+    for i, c in enumerate(b):
+        while state and c not in nexts[state]:
+            state = link[state]
+            size = length[state]
+        if c in nexts[state]:
+            state, size = nexts[state][c], size + 1
+        if size > best:
+            best, end = size, i + 1
+    return b[end - best : end]
+
+
+@F.pandas_udf(StringType())
+def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The longest text that two hold in common, if of LEAST_SHARED characters or more; for pairs that a join has found, not for all."""
+    found = [longest_shared(x, y) if x and y else "" for x, y in zip(a, b, strict=True)]
+    return pd.Series([x if len(x) >= LEAST_SHARED else None for x in found])
+
+
+@F.pandas_udf(StringType())
+def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    """A unified diff of two texts' lines; empty where they are equal."""
+    one = lambda a, b: "\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "before", "after", lineterm=""))
+    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
+
+
+def did_you_mean(names: Column, known: list[str], cutoff: float = 0.6) -> Column:
+    """The known name closest to each, if close enough; `known` is a list that people choose from."""
+
+    @F.pandas_udf(StringType())
+    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([next(iter(difflib.get_close_matches(x or "", known, 1, cutoff)), None) for x in batch])
+
+    return closest(names)

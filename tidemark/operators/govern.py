@@ -11,17 +11,53 @@ from tidemark.session import materialize
 
 DAMPING = 0.95
 
-# Column names that suggest a label (matched in lower case).
+# What a column's name (in lower case) suggests, the types it may have, and how sure that is.
+TEXT, REAL = ("string", "utf8"), ("double", "float")
 DETECTORS = {
-    "email": r"(^|_)e?mail($|_)", "phone": r"(^|_)(phone|mobile|tel)($|_)", "name": r"(^|_)(first|last|full|sur)?name($|_)",
-    "address": r"(^|_)(street|address|zip|postcode)($|_)", "money": r"(price|balance|amount|acctbal|revenue|cost)", "identifier": r"(_id|key)$", "time": r"(date|_at|^ts$)",
-}
+    "email": (r"(^|_)e?_?mail(_|$)", TEXT, 0.75),
+    "phone": (r"(^|_)(phone|mobile|msisdn|tel)(_|$)", TEXT, 0.7),
+    "national_id": (r"(^|_)(ssn|nino|national_id|tax_id|passport)(_|$)", TEXT, 0.8),
+    "date_of_birth": (r"(^|_)(dob|birth_?date|date_of_birth)(_|$)", (), 0.8),
+    "person_name": (r"(^|_)(first_name|last_name|full_name|surname|given_name)(_|$)", TEXT, 0.7),
+    "postal_address": (r"^address$|(^|_)(street|postcode|post_code|zip_?code|billing_address|shipping_address|postal_address)(_|$)", TEXT, 0.65),
+    "ip_address": (r"(^|_)(ip|ip_address|client_ip)(_|$)", TEXT, 0.7),
+    "device_id": (r"(^|_)(device_id|idfa|advertising_id)(_|$)", (), 0.7),
+    "currency_code": (r"(^|_)(currency|ccy)(_code)?(_|$)", TEXT, 0.7),
+    "monetary_amount": (r"(^|_)(amount|price|revenue|cost|total|balance|fee)(_|$)", (*REAL, "decimal", "int"), 0.6),
+    "minor_units": (r"_(cents|pence|minor)$", ("int",), 0.85),
+    "latitude": (r"(^|_)(lat|latitude)(_|$)", REAL, 0.6),
+    "longitude": (r"(^|_)(lon|lng|longitude)(_|$)", REAL, 0.6),
+    "user_identifier": (r"(^|_)(user_id|customer_id|account_id|subject_id)(_|$)", (), 0.7),
+}
+PERSONAL = ("email", "phone", "national_id", "date_of_birth", "person_name", "postal_address", "ip_address", "device_id", "user_identifier")
+SUPPORT = 0.15
+MOST_SURE = 0.95
+
+
+def _supports(label: str) -> Column:
+    """Whether the range of a column bears a label out: true, false (which refutes it), or null where it says nothing."""
+    low, high = F.col("min").try_cast("double"), F.col("max").try_cast("double")
+    whole = lambda x: x == F.floor(x)
+    return {"latitude": (low >= -90) & (high <= 90), "longitude": (low >= -180) & (high <= 180), "minor_units": whole(low) & whole(high)}.get(label, F.lit(None).cast("boolean"))
 
 
 def name_labels(columns: DataFrame) -> DataFrame:
-    """(ds, name, label): what a column's name suggests; the rules are a constant, so this is one projection."""
-    hits = F.array(*[F.when(F.lower("name").rlike(p), F.lit(label)) for label, p in DETECTORS.items()])
-    return columns.select("ds", "name", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("label"))
+    """(ds, name, label, confidence) that names, types and ranges suggest; columns: ds, name, dtype, min, max (texts).
+
+    The rules are a constant, so this is one projection. Any personal label makes the column personal data.
+    """
+    hits = []
+    for label, (pattern, types, sure) in DETECTORS.items():
+        fits = F.lower("name").rlike(pattern)
+        if types:
+            fits = fits & F.lower("dtype").rlike("|".join(types))
+        support = _supports(label)
+        confidence = F.when(support, F.least(F.lit(MOST_SURE), F.lit(sure + SUPPORT))).otherwise(F.lit(sure))
+        hits.append(F.when(fits & F.coalesce(support, F.lit(True)), F.struct(F.lit(label).alias("label"), confidence.alias("confidence"))))
+    found = columns.select("ds", "name", F.filter(F.array(*hits), lambda x: x.isNotNull()).alias("found"))
+    most = F.array_max(F.transform(F.filter("found", lambda x: x["label"].isin(*PERSONAL)), lambda x: x["confidence"]))
+    personal = F.when(most.isNotNull(), F.array(F.struct(F.lit("pii").alias("label"), most.alias("confidence"))))
+    return found.select("ds", "name", F.inline(F.concat("found", F.coalesce(personal, F.array().cast("array<struct<label:string,confidence:double>>")))))
 
 
 def propagate_labels(labels: DataFrame, columns: DataFrame) -> DataFrame:

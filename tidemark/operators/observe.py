@@ -177,3 +177,10 @@ def quantile_from_buckets(counts: DataFrame, upper: str, n: str, q: float) -> Da
     total = c.agg(F.max("cum").alias("total"))
     hit = c.crossJoin(total).where((F.col("cum") >= q * F.col("total")) & (F.col("below") < q * F.col("total")))
     return hit.select((F.col("lower") + (F.col(upper) - F.col("lower")) * (q * F.col("total") - F.col("below")) / (F.col("cum") - F.col("below"))).alias("value"))
+
+
+def span_times(spans: DataFrame) -> DataFrame:
+    """(span, parent, seconds, self_seconds, n_children): a span's seconds less those of its children, never below none; spans: span, parent, seconds."""
+    below = spans.where("parent is not null").groupBy(F.col("parent").alias("span")).agg(F.sum("seconds").alias("inner"), F.count("*").alias("n_children"))
+    own = F.greatest(F.lit(0.0), F.col("seconds") - F.coalesce("inner", F.lit(0.0)))
+    return spans.join(below, "span", "left").select("span", "parent", "seconds", own.alias("self_seconds"), F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"))

@@ -14,7 +14,9 @@ from tidemark.functions.time import GRAINS
 # Spellings of grains and of storage schemes.
 GRAIN_NAMES = {"hour": "hour", "hourly": "hour", "h": "hour", "day": "day", "daily": "day", "date": "day", "d": "day", "month": "month", "monthly": "month", "m": "month", "year": "year", "yearly": "year", "annual": "year", "y": "year"}
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfss", "wasb": "abfss", "wasbs": "abfss"}
-UPPER_SYSTEMS = ("snowflake",)
+#: How systems fold names that are not quoted; the others keep them.
+FOLDED = {"snowflake": "upper", "databricks": "lower", "hive": "lower", "trino": "lower", "postgres": "lower", "redshift": "lower", "duckdb": "lower", "clickhouse": None, "bigquery": None}
+AZURE_HOST = r"(?i)^([^.]+)\.(?:dfs|blob)\.core\.windows\.net$"
 ANY = "*"
 
 
@@ -66,15 +68,54 @@ def parse_key(text: str, spec: tuple[Field, ...]) -> dict[str, object]:
     return out
 
 
-def canonical(uri: Column) -> Column:
-    """A dataset's name with scheme aliases resolved, doubled and final slashes gone, and case folded where its system does."""
-    scheme = F.lower(F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), "/+", "/"), "/$", "")
+def _clean(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "^/|/$", "")
+
+
+def canonical_path(uri: Column, mounts: dict[str, str] | None = None) -> Column:
+    """struct<namespace, name> of a storage location: scheme aliases and mounts resolved, hosts in lower case, doubled and outer slashes gone.
+
+    Of nested mounts the longest counts. An account's two host names are one, and
+    a location without a host is a local file.
+    """
+    raw = F.trim(uri)
+    inner = F.regexp_replace(raw, "^(?:dbfs:|/dbfs(?=/))", "")
+    for mount, target in sorted((mounts or {}).items(), key=lambda x: len(x[0])):
+        m = "/" + mount.strip("/")
+        path = F.concat(F.lit("/"), _clean(inner))
+        rest = F.substr(path, F.lit(len(m) + 1))
+        is_mounted = (inner != raw) & ((path == m) | path.startswith(m + "/"))
+        raw = F.when(is_mounted, F.concat(F.lit(target.rstrip("/")), rest)).otherwise(raw)
+    part = lambda i: F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)", i)
+    scheme, host, path = F.lower(part(1)), part(2), part(3)
     named = scheme
     for alias, name in SCHEMES.items():
         named = F.when(scheme == alias, F.lit(name)).otherwise(named)
-    folded = F.when(named.isin(*UPPER_SYSTEMS), F.upper(rest)).otherwise(rest)
-    return F.when(scheme == "", rest).otherwise(F.concat(named, F.lit("://"), folded))
+    server = F.regexp_extract(host, "([^@]*)$", 1)
+    account = F.when(server.rlike(AZURE_HOST), F.regexp_extract(server, AZURE_HOST, 1)).otherwise(server)
+    azure = F.concat(F.regexp_extract(host, "^(.*@)?[^@]*$", 1), account)
+    local = (scheme.isin("", "file")) | (host == "")
+    bare = F.when(scheme == "", F.regexp_replace(raw, "^[A-Za-z][A-Za-z0-9+.-]*:", "")).otherwise(path)
+    namespace = F.concat(F.when(named == "webhdfs", F.lit("hdfs")).otherwise(named), F.lit("://"), F.lower(F.when(named == "abfss", azure).otherwise(host)))
+    return F.struct(F.when(local, F.lit("file")).otherwise(namespace).alias("namespace"), F.when(local, F.concat(F.lit("/"), _clean(bare))).otherwise(_clean(path)).alias("name"))
+
+
+def canonical_table(name: Column, system: str, instance: str | None = None, database: str | None = None, schema: str | None = None) -> Column:
+    """struct<namespace, name> of a catalog's table: quoted parts as they are, others folded as the system does, missing ones from the defaults."""
+    fold = {"upper": F.upper, "lower": F.lower, None: lambda x: x}[FOLDED.get(system.lower())]
+    quoted = lambda x: x.rlike('^["`\\[]')
+    parts = F.transform(F.regexp_extract_all(F.trim(name), F.lit(r'"[^"]*"|`[^`]*`|\[[^\]]*\]|[^.]+'), F.lit(0)), lambda x: F.when(quoted(x), F.regexp_replace(x, '^["`\\[]|["`\\]]$', "")).otherwise(fold(x)))
+    base = [fold(F.lit(x)) for x in (database, schema) if x]
+    both = F.concat(F.array(*base), parts) if base else parts
+    one = F.concat(F.array(fold(F.lit(database))), parts) if database else parts
+    full = F.when(F.size(parts) == 1, both).when(F.size(parts) == 2, one).otherwise(parts)
+    return F.struct(F.lit(f"{system.lower()}://{instance}" if instance else system.lower()).alias("namespace"), F.array_join(full, ".").alias("name"))
+
+
+def canonical(uri: Column) -> Column:
+    """A location's canonical name as one text."""
+    x = canonical_path(uri)
+    return F.when(x["namespace"] == "file", x["name"]).otherwise(F.concat_ws("/", x["namespace"], x["name"]))
 
 
 def asset(kind: str, name: str, instance: str = "local") -> str:

@@ -6,8 +6,13 @@ rows for the same events.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def rollup(events: DataFrame, ts: str, size: str, by: list[str], lateness: str, slide: str | None = None) -> DataFrame:
@@ -35,14 +40,63 @@ def late(arrivals: DataFrame, bucket_end: str, observed: str, tolerance_seconds:
     return arrivals.withColumn("lag", lag).where(F.col("lag") > tolerance_seconds)
 
 
+def _sent(last: int | None, times: Iterable[int], window_seconds: int) -> tuple[int | None, list[int]]:
+    """What is sent of sorted times after the last one sent."""
+    out = []
+    for t in times:
+        if last is None or t - last >= window_seconds:
+            last = t
+            out.append(t)
+    return last, out
+
+
 def quiet_alerts(alerts: DataFrame, fingerprint: str, at: str, window_seconds: int) -> DataFrame:
-    """Alerts that are sent when repeats within the window of the last one sent are suppressed.
+    """(fingerprint, sent): alerts that are sent when repeats within the window of the last one sent are suppressed.
 
-    The window is measured from what was sent, not from what arrived, so each
-    fingerprint is folded in time order inside one row.
+    The window is measured from what was sent, not from what arrived. Alerts are
+    sorted by fingerprint and time within partitions and passed once, holding one
+    time: no fingerprint is gathered.
     """
     second = F.unix_timestamp(F.col(at).cast("timestamp"))
-    g = alerts.groupBy(fingerprint).agg(F.sort_array(F.collect_list(second)).alias("times"))
-    none = F.array().cast("array<bigint>")
-    sent = F.aggregate("times", none, lambda out, t: F.when((F.size(out) == 0) | (t - F.element_at(out, -1) >= window_seconds), F.concat(out, F.array(t))).otherwise(out))
-    return g.select(fingerprint, F.explode(sent).alias("sent"))
+    rows = alerts.select(F.col(fingerprint).alias("fingerprint"), second.alias("second")).where("second is not null").repartition("fingerprint").sortWithinPartitions("fingerprint", "second")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), None
+        for batch in batches:
+            kept, times = [], batch.column(1).to_pylist()
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key != now:
+                    now, last = key, None
+                if last is None or times[i] - last >= window_seconds:
+                    last = times[i]
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    kind = rows.schema["fingerprint"].dataType.simpleString()
+    return rows.mapInArrow(run, f"fingerprint {kind}, second long").select(F.col("fingerprint").alias(fingerprint), F.col("second").alias("sent"))
+
+
+def quiet_alert_stream(alerts: DataFrame, fingerprint: str, at: str, window_seconds: int, lateness: str) -> DataFrame:
+    """`quiet_alerts` on a stream: each fingerprint's last sent time is its state, dropped once the watermark is a window past it."""
+    second = F.unix_timestamp(F.col(at).cast("timestamp"))
+    rows = alerts.withWatermark(at, lateness).select(F.col(fingerprint).cast("string").alias("fingerprint"), second.alias("second"), F.col(at).alias("at"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        last, out = _sent(last, sorted(int(t) for frame in frames for t in frame["second"].dropna()), window_seconds)
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + window_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"fingerprint": [key[0]] * len(out), "sent": out})
+
+    return rows.groupBy("fingerprint").applyInPandasWithState(step, "fingerprint string, sent long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def restatements(arrivals: DataFrame, ts: str, key: str, digest: str, lateness: str) -> DataFrame:
+    """(key, n, versions) on a stream or a batch: keys that arrived with more than one digest within the lateness, by window of it."""
+    e = arrivals.withWatermark(ts, lateness)
+    g = e.groupBy(F.window(ts, lateness).alias("w"), key).agg(F.count("*").alias("n"), F.approx_count_distinct(digest, 0.01).alias("versions"))
+    return g.where("versions > 1").select(key, "n", "versions")

@@ -145,11 +145,14 @@ def selector_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def canonical_names(spark: SparkSession, sf: str) -> DataFrame:
-    from tidemark.plans.naming import canonical
+    from tidemark.plans.naming import canonical_path, canonical_table
 
-    scheme = F.element_at(F.array(*[F.lit(x) for x in ("s3a://", "gcs://", "SNOWFLAKE://", "", "wasb://")]), (F.col("c_custkey") % 5 + 1).cast("int"))
-    uri = F.concat(scheme, F.lit("Acct//"), F.col("c_name"), F.lit("/"))
-    return table(spark, sf, "customer").select("c_custkey", canonical(uri).alias("name"))
+    k = F.col("c_custkey") % 6
+    uri = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("s3a://Lake//Raw/", "gcs://Lake/Raw/", "wasbs://Box@Acct.blob.core.windows.net/Raw/", "/tmp//Raw/", "dbfs:/mnt/lake/Raw/", "/dbfs/mnt/lake/cold/")]), (k + 1).cast("int")), F.replace("c_name", F.lit("#"), F.lit("-")), F.lit("/"))
+    path = canonical_path(uri, {"/mnt/lake": "s3://store", "/mnt/lake/cold": "s3://cold/x"})
+    named = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("", "Sales.", "Db.Sales.")]), (F.col("c_custkey") % 3 + 1).cast("int")), F.when(F.col("c_custkey") % 2 == 0, F.lit('"Mixed"')).otherwise(F.lit("Orders")))
+    a, b = canonical_table(named, "Snowflake", "xy1", "prod", "main"), canonical_table(named, "duckdb", None, None, "Main")
+    return table(spark, sf, "customer").select("c_custkey", path["namespace"].alias("namespace"), path["name"].alias("name"), F.concat_ws("/", a["namespace"], a["name"]).alias("snowflake"), F.concat_ws("/", b["namespace"], b["name"]).alias("duckdb"))
 
 
 QUERIES |= {f.__name__: f for f in (selector_language, canonical_names)}
@@ -161,5 +164,8 @@ WITH RECURSIVE {_NAMED}, up AS (SELECT 96::BIGINT AS n, 0 AS d UNION SELECT src,
 s AS (SELECT n FROM up UNION SELECT 5 UNION SELECT dst FROM e WHERE src = 5 UNION SELECT n FROM low WHERE n % 2 = 0 AND n::VARCHAR LIKE '%9%')
 SELECT {_NAME.format(c="n")} AS node FROM s""",
     "canonical_names": """
-SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 's3://Acct/' || c_name WHEN 1 THEN 'gs://Acct/' || c_name WHEN 2 THEN 'snowflake://ACCT/' || upper(c_name) WHEN 3 THEN 'Acct/' || c_name ELSE 'abfss://Acct/' || c_name END AS name FROM customer""",
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 's3://lake' WHEN 1 THEN 'gs://lake' WHEN 2 THEN 'abfss://box@acct' WHEN 3 THEN 'file' WHEN 4 THEN 's3://store' ELSE 's3://cold' END AS namespace,
+  CASE c_custkey % 6 WHEN 3 THEN '/tmp/Raw/' WHEN 5 THEN 'x/' ELSE 'Raw/' END || replace(c_name, '#', '-') AS name,
+  'snowflake://xy1/' || CASE c_custkey % 3 WHEN 0 THEN 'PROD.MAIN.' WHEN 1 THEN 'PROD.SALES.' ELSE 'DB.SALES.' END || CASE WHEN c_custkey % 2 = 0 THEN 'Mixed' ELSE 'ORDERS' END AS snowflake,
+  'duckdb/' || CASE c_custkey % 3 WHEN 0 THEN 'main.' WHEN 1 THEN 'sales.' ELSE 'db.sales.' END || CASE WHEN c_custkey % 2 = 0 THEN 'Mixed' ELSE 'orders' END AS duckdb FROM customer""",
 }

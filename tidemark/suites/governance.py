@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.functions.text import redact, subject_digest
 from tidemark.operators import govern as v
 from tidemark.operators.graph import column_ancestry, reach
-from tidemark.suites import digits, long, table
+from tidemark.suites import day, digits, long, table
 from tidemark.suites.graphs import part_edges
 
 SALT = "fixed-salt"
@@ -47,9 +46,10 @@ def column_lineage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_labels(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("customer", "orders", "lineitem", "part", "supplier", "events")
-    rows = [(n, c) for n in names for c in table(spark, sf, n).columns]
-    return v.name_labels(spark.createDataFrame(rows, "ds string, name string"))
+    """Columns of the profiled customers under the names that other systems give such columns."""
+    del sf
+    cols = [("email_address", "string", None, None), ("mail", "bigint", None, None), ("client_ip", "string", None, None), ("latitude", "double", "-12.5", "48.1"), ("lat", "double", "0", "4000"), ("price_cents", "bigint", "1", "900"), ("fee_minor", "int", "0.5", "9"), ("total", "double", "1", "2"), ("total", "string", "1", "2"), ("Surname", "string", "a", "z"), ("birth_date", "date", None, None), ("customer_id", "bigint", "1", "9"), ("currency", "string", "EUR", "USD"), ("address", "string", None, None), ("email_sent", "boolean", None, None), ("notes", "string", None, None)]
+    return v.name_labels(spark.createDataFrame([("crm", *c) for c in cols], "ds string, name string, dtype string, min string, max string")).select("ds", "name", "label", digits("confidence", 4).alias("confidence"))
 
 
 def licence_propagation(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,15 +136,22 @@ def erasure_locations(spark: SparkSession, sf: str) -> DataFrame:
     return v.locate(part_edges(spark, sf), holders)
 
 
+def _sealed(spark: SparkSession, sf: str) -> DataFrame:
+    """A hash chain for each user and day of events, in order; each digest is of the one before and the body."""
+    e = table(spark, sf, "events").groupBy("user_id", day("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("log"))
+    link = lambda before, body: F.sha2(F.concat_ws("\x1f", before, body), 256)
+    none = F.array().cast("array<string>")
+    head = lambda out: F.when(F.size(out) > 0, F.element_at(out, -1)).otherwise(F.lit(""))
+    chained = e.withColumn("digests", F.aggregate("log", none, lambda out, x: F.concat(out, F.array(link(head(out), x["event_type"])))))
+    rows = chained.select("user_id", "day", "digests", F.posexplode("log").alias("at", "x"))
+    before = F.when(F.col("at") > 0, F.get("digests", F.col("at") - 1)).otherwise(F.lit(""))
+    return rows.select(F.concat_ws("/", "user_id", "day").alias("shard"), F.col("x.event_id").alias("event_id"), F.col("x.event_type").alias("body"), (F.col("at") + 1).alias("position"), before.alias("previous"), F.get("digests", F.col("at")).alias("digest"))
+
+
 def audit_chain_breaks(spark: SparkSession, sf: str) -> DataFrame:
-    """A chain for each user of events in order; every 40th body was changed after sealing."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf, "events").select("user_id", "event_id", "event_type").withColumn("position", F.row_number().over(w))
-    e = e.withColumn("digest", F.sha2(F.concat_ws("\x1f", F.lit("s"), F.col("event_id").cast("string")), 256)).withColumn("previous", F.coalesce(F.lag("digest").over(w), F.lit("")))
-    sealed = e.withColumn("body", F.when(F.col("event_id") % 40 == 0, F.lit("forged")).otherwise(F.col("event_type")))
-    sealed = sealed.withColumn("digest", F.sha2(F.concat_ws("\x1f", "previous", "event_type"), 256)).withColumn("previous", F.when(F.col("event_id") % 55 == 0, F.lit("x")).otherwise(F.lag("digest").over(w)))
-    log = sealed.withColumn("previous", F.coalesce("previous", F.lit("")))
-    return v.chain_breaks(log, "position", "body", "previous", "digest", "user_id").select("user_id", long("position").alias("position"), "fault").where("fault = 'link'")
+    """After sealing, every 40th body was changed, every 55th link overwritten and every 70th row removed."""
+    log = _sealed(spark, sf).where("event_id % 70 <> 0").withColumn("body", F.when(F.col("event_id") % 40 == 0, F.lit("forged")).otherwise(F.col("body"))).withColumn("previous", F.when(F.col("event_id") % 55 == 0, F.lit("x")).otherwise(F.col("previous")))
+    return v.chain_breaks(log, "position", "body", "previous", "digest", "shard").select("shard", long("position").alias("position"), "fault")
 
 
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,14 +179,16 @@ l AS (
 m AS (SELECT ds, col, label, max(c) AS confidence FROM l GROUP BY 1, 2, 3)
 """
 _ABOVE = f"WITH RECURSIVE {_ALL}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst), a AS (SELECT dst AS node, src AS source FROM r UNION SELECT dst, dst FROM e UNION SELECT p_partkey, p_partkey FROM part WHERE {{own}})"
-_RULES = {"email": "(^|_)e?mail($|_)", "phone": "(^|_)(phone|mobile|tel)($|_)", "name": "(^|_)(first|last|full|sur)?name($|_)", "address": "(^|_)(street|address|zip|postcode)($|_)", "money": "(price|balance|amount|acctbal|revenue|cost)", "identifier": "(_id|key)$", "time": "(date|_at|^ts$)"}
 _ALONE = "(SELECT count(*) FROM (SELECT 1 FROM part GROUP BY {} HAVING count(*) = 1))"
 ORACLE_SQL = {
     "label_propagation": _LABELS + "SELECT ds, col, label, round(confidence, 4) AS confidence FROM m",
     "policy_violations": _LABELS + "SELECT ds, col, label FROM m WHERE label = 'money' AND confidence >= 0.5 AND ds::BIGINT % 4 = 0",
     "unmet_requirements": _LABELS + "SELECT p_partkey::VARCHAR AS ds, 'money' AS label FROM part WHERE p_partkey % 9 = 5 AND p_partkey::VARCHAR NOT IN (SELECT ds FROM m WHERE label = 'money')",
     "column_lineage": f"WITH RECURSIVE {_ALL}, {_COLS}, r AS (SELECT '96' AS ds, 'price' AS col, 0::BIGINT AS depth UNION SELECT x.src, x.a, depth + 1 FROM r JOIN x ON x.dst = ds AND x.b = col) SELECT ds || '#' || col AS node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY 1",
-    "name_labels": " UNION ALL ".join(f"SELECT table_name AS ds, column_name AS name, '{label}' AS label FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'lineitem', 'part', 'supplier', 'events') AND regexp_matches(column_name, '{rule}')" for label, rule in _RULES.items()),
+    "name_labels": """
+SELECT 'crm' AS ds, name, label, confidence::DOUBLE AS confidence FROM (VALUES ('email_address', 'email', 0.75), ('email_address', 'pii', 0.75), ('client_ip', 'ip_address', 0.7), ('client_ip', 'pii', 0.7), ('latitude', 'latitude', 0.75),
+  ('price_cents', 'monetary_amount', 0.6), ('price_cents', 'minor_units', 0.95), ('fee_minor', 'monetary_amount', 0.6), ('total', 'monetary_amount', 0.6), ('Surname', 'person_name', 0.7), ('Surname', 'pii', 0.7),
+  ('birth_date', 'date_of_birth', 0.8), ('birth_date', 'pii', 0.8), ('customer_id', 'user_identifier', 0.7), ('customer_id', 'pii', 0.7), ('currency', 'currency_code', 0.7), ('address', 'postal_address', 0.65), ('address', 'pii', 0.65)) v(name, label, confidence)""",
     "licence_propagation": _ABOVE.format(own="p_partkey >= 2") + """
 SELECT node, CASE WHEN bool_or(source % 7 = 0) THEN false WHEN bool_or(source % 5 = 0) THEN NULL ELSE true END AS commercial, bool_or(source % 11 = 0) AS share_alike FROM a WHERE source >= 2 GROUP BY node""",
     "purpose_intersection": _ABOVE.format(own="p_partkey % 2 = 1") + """,
@@ -201,7 +210,11 @@ SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'allow' WHEN c_mktsegme
     "column_redaction": "SELECT c_custkey, left(c_name, 4) || '***' AS c_name FROM customer",
     "subject_digests": f"SELECT c_custkey, sha256(concat_ws(chr(31), '{SALT}', 'c_custkey', c_custkey::VARCHAR)) AS digest FROM customer",
     "erasure_locations": f"WITH RECURSIVE {_ALL}, r AS (SELECT p_partkey AS node FROM part WHERE p_partkey IN (5, 9) UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r",
-    "audit_chain_breaks": "SELECT user_id, position, 'link' AS fault FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position FROM events) WHERE event_id % 55 = 0",
+    "audit_chain_breaks": """
+WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS shard, event_id FROM events),
+p AS (SELECT *, row_number() OVER w AS position, lag(event_id) OVER w AS before, count(*) FILTER (event_id % 70 = 0) OVER w AS gone FROM e WINDOW w AS (PARTITION BY shard ORDER BY event_id)),
+f AS (SELECT shard, position, CASE WHEN event_id % 55 = 0 OR before % 70 = 0 THEN 'link' WHEN event_id % 40 = 0 THEN 'digest' WHEN gone > 0 THEN 'sequence' END AS fault FROM p WHERE event_id % 70 <> 0)
+SELECT * FROM f WHERE fault IS NOT NULL""",
     "audit_summary": """
 SELECT 'actor' AS dimension, (user_id % 7)::VARCHAR AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'action', event_type, count(*) FROM events GROUP BY 2
 UNION ALL SELECT 'outcome', CASE WHEN value > 50 THEN 'big' ELSE 'small' END, count(*) FROM events GROUP BY 2""",

@@ -107,7 +107,7 @@ def watermark_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def glob_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where(F.col("p_name").rlike(glob("*1*")) & F.col("p_brand").rlike(glob("Brand#?3"))).select("p_partkey")
+    return table(spark, sf, "part").where(F.col("p_name").rlike(glob("*gear*")) & F.col("p_brand").rlike(glob("Brand#1?"))).select("p_partkey")
 
 
 def selector_sets(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,7 +165,7 @@ SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-
     "statement_lineage": "SELECT * FROM (VALUES ('gold.monthly', 'silver.events'), ('silver.events', 'raw.events'), ('silver.events', 'raw.users'), ('gold.users', 'silver.users')) v(dst, src)",
     "footer_profile": "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name, count(*) AS row_count, 0::BIGINT AS null_count FROM orders",
     "watermark_scan": "SELECT o_orderpriority, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS watermark, count(*) AS n FROM orders WHERE o_orderdate > '2001-01-01' GROUP BY 1",
-    "glob_selection": "SELECT p_partkey FROM part WHERE p_name LIKE '%1%' AND p_brand LIKE 'Brand#_3'",
+    "glob_selection": "SELECT p_partkey FROM part WHERE p_name LIKE '%gear%' AND p_brand LIKE 'Brand#1_'",
     "selector_sets": "SELECT c_custkey FROM customer WHERE (c_nationkey = 3 OR c_mktsegment = 'BUILDING') AND c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT BETWEEN 20 AND 60",
     "quiet_alerts": """
 WITH RECURSIVE t AS (SELECT DISTINCT user_id % 50 AS f, floor(epoch(ts))::BIGINT AS s FROM events WHERE event_type = 'error'),
