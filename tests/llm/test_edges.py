@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import decontamination, divergence, html_extract, langid, packing, pii, ppm, registry, simhash, toxicity, warc
 
 EN = "the quick brown fox jumps over the lazy dog and then it runs to the river with all of the other animals in that forest"
@@ -101,3 +102,25 @@ def test_operators_take_other_column_names(spark, docs):
     page = other.select(F.col("a").alias("p"), F.col("b").alias("u"), F.col("b").alias("h"), F.lit("x").alias("url"))
     assert html_extract.extract(page, "p", "u", "h").count() == 11
     assert warc.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+#: Of the rows of `docs`, the ids that each stage keeps; the long text repeats the first, so their fingerprints link, and the benchmark has passages of both.
+KEPT = {"language": [None, 1, 2, 5, 6, 7, 7], "near_duplicates": [1, 2, 3, 8], "decontamination": [2, 3, 4, 8, 9], "personal_data": [None, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9]}
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_any_rows(spark, docs, folder, name, stage):
+    out = stage(spark, docs, folder[0])
+    ids = sorted((r["doc_id"] for r in (out.where("start = 0") if name == "packing" else out).collect()), key=lambda x: (x is not None, x))
+    if name != "packing":
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert ids == KEPT[name]
+    else:
+        assert ids == KEPT["personal_data"]
+    assert stage(spark, docs.where("false"), folder[0]).count() == 0
+
+
+def test_stages_pass_nulls_through(spark, folder):
+    rows = spark.createDataFrame([(1, f"{EN} write to a.b@c.org", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    row = corpus_pipeline.pii_stage(spark, rows, folder[0]).first()
+    assert row["text"] == f"{EN} write to [EMAIL]" and row["n_chars"] == len(row["text"]) and row["lang"] is row["source"] is None

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, html_extract, pii, ppm
+from tidemark.llm import divergence, html_extract, packing, pii, ppm, registry
 
 
 def test_score_uses_every_gram(spark):
@@ -204,3 +204,21 @@ def test_words_are_judged_by_length_and_by_known_languages(spark):
     assert all(got[i]["kept"] for i in (*range(60), 102, 104, 105))
     assert not any(got[i]["kept"] for i in (100, 101, 103, 106))
     assert got[100]["word_distance"] > divergence.MAX_LONG_WORD_DISTANCE and got[102]["word_distance"] is None
+
+
+def test_other_tokenizers_are_not_cut_at_spaces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  spaces and\na line", "", " lead", "été 123!"]
+    assert packing.cuts_at_space(packing.default_tokenizer()) and not packing.cuts_at_space(path)
+    plain = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(path).encode(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_archives_take_text_ids(spark, tmp_path):
+    pages = spark.createDataFrame([("a b", "http://h/1", "<p>x"), ("c", "http://h/2", "<p>x"), ("d", "http://h/3", None)], "page_id string, url string, html string")
+    pages.write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in registry.queries()["op6_warc"](spark, f"file://{tmp_path}").collect()}
+    assert got["a b"] == ("response", None) and got["c"] == ("revisit", "a b") and got["d"] == ("response", None)

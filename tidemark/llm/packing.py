@@ -17,11 +17,13 @@ input, whatever their names, are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +100,36 @@ class ChunkEncoder(dict):
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+class PlainEncoder:
+    """Ids of whole texts from any tokenizer file, as it gives them."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        return [_bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids) for text in texts]
+
+
+def cuts_at_space(path: str) -> bool:
+    """Whether a tokenizer file is of the kind that ChunkEncoder knows: white space dropped, lower case, byte-level pieces with word ends."""
+    rules = json.loads(Path(path).read_text(encoding="utf-8"))
+    kinds = lambda rule, key: [x["type"] for x in (rule or {}).get(key, [])]
+    split = next((x for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"), {})
+    level = next((x for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "ByteLevel"), {})
+    drops = split.get("behavior") == "Removed" and split.get("invert") and level.get("use_regex") is False and level.get("add_prefix_space") is False
+    return bool(kinds(rules["normalizer"], "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds(rules["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"] and drops and rules["model"]["type"] == "BPE" and rules["model"]["end_of_word_suffix"])
+
+
+_ENCODERS: dict[str, ChunkEncoder | PlainEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker and vocabulary."""
+def encoder(path: str) -> ChunkEncoder | PlainEncoder:
+    """One encoder for each worker and vocabulary; files of other rules than ChunkEncoder's are encoded text by text."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path) if cuts_at_space(path) else PlainEncoder(path)
     return _ENCODERS[path]
 
 

@@ -256,8 +256,10 @@ def read_record(folder: str, bundle: str, frame: int, offset: int, length: int)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     folder = f"{shared_dir(spark)}/tidemark/warc-{uuid.uuid4().hex}"
-    index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    page = lambda c: F.nullif(F.substring(F.col(c), len("urn:page:") + 1, 40), F.lit("")).cast("long")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    index = write_archives(pages, folder)
+    kind = pages.schema["page_id"].dataType
+    page = lambda c: F.nullif(F.substr(F.col(c), F.lit(len("urn:page:") + 1)), F.lit("")).cast(kind)
     return read_archives(index, folder, payloads=False).select(page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
