@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; `run` writes every stage's result as Parquet in the shared folder and
 reads it again as the next one's docs.
+
+Cases that every stage defines: columns beyond those of documents are dropped,
+whatever their names; an empty table gives an empty one; a document may be of
+any length. A null or empty text has no language and goes in the first stage;
+later stages, given one, keep it (one of all such, in near-duplicates) and pack
+its closing token. Null ids and repeated rows are rows like others, of which
+near-duplicates keeps one. lang, source and n_chars may be null and pass through.
 """
 
 from __future__ import annotations
