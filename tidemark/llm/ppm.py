@@ -381,7 +381,7 @@ class Scorer:
         return sums, key[first], np.diff(np.append(first, len(key))), np.bincount(unit[first], minlength=len(group))
 
     def rows(self, block: list[tuple[object, str | None]], row: int, kind: pa.DataType) -> pa.RecordBatch:
-        n = len(block)
+        n, heavy = len(block), self.heavy.get
         length, known, rare_n = (np.zeros(n, np.int64) for _ in range(3))
         sums, scores, other_n = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         rare, rare_times, keys, times = [], [], [], []
@@ -393,16 +393,19 @@ class Scorer:
             keys.append(key)
             times.append(count)
             for i, words, _, _ in group:
-                length[i] += len(words)
+                k, s, before = 0, 0.0, len(rare)
                 for w, m in Counter(words).items():
-                    v = self.heavy.get(w)
+                    v = heavy(w)
                     if v is None:
                         rare.append(w)
                         rare_times.append(m)
-                        rare_n[i] += 1
                     else:
-                        known[i] += m
-                        sums[i] += m * v
+                        k += m
+                        s += m * v
+                length[i] += len(words)
+                known[i] += k
+                sums[i] += s
+                rare_n[i] += len(rare) - before
         listed = lambda counts, names, *arrays: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(list(arrays), names=names))
         other = listed(other_n, ["gram", "n"], pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(times), pa.int64()))
         arrays = [
