@@ -47,13 +47,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOXIC_DOCS = 3000
-ORDINARY_DOCS = 6000
+TOXIC_DOCS = 2000
+ORDINARY_DOCS = 4000
 MAX_TRAINING_CHARS = 40_000
 #: Words in a row that mark a passage as repeated in training.
 COPY_WORDS = 6
-#: Of so many runs one is remembered: a passage of COPY_WORDS + STRIDE words or more still holds one.
-STRIDE = 3
 #: Bytes of the ordinary dictionary and of the first toxic ones, of the later toxic ones, and of the carrier.
 ORDINARY_BYTES = 262_144
 TOXIC_BYTES = 65_536
@@ -103,7 +101,7 @@ def distinct(texts: list[str]) -> list[list[str]]:
         own = [w for j, w in enumerate(words) if j not in copied]
         if own and 2 * len(own) >= len(words):
             out.append(own)
-        seen.update(runs[::STRIDE])
+        seen.update(runs)
     return out
 
 
