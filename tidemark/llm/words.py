@@ -60,3 +60,13 @@ def sliding_min(values: Column, width: int) -> Column:
     none = F.array().cast("array<bigint>")
     least = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - width + 1), lambda i: F.array_min(F.slice(v, i, width)))
     return let(values, lambda v: F.when(F.size(v) >= width, least(v)).otherwise(none))
+
+
+#: DuckDB: one row `tbl` with the CRC-32 of every byte.
+CRC_TABLE_SQL = "SELECT list(v ORDER BY i) AS tbl FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))"
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a text's UTF-8, beside a row of CRC_TABLE_SQL."""
+    byte = f"list_transform(range(0, strlen({text})::BIGINT), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"(4294967295 - list_reduce([4294967295::BIGINT] || {byte}, lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])))"
