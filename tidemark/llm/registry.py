@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, divergence, html_extract, langid, packing, pii, ppm, resampling, simhash, tokencount, toxicity, warc
+from tidemark.llm import decontamination, divergence, html_extract, langid, packing, pii, ppm, prefix_trie, resampling, simhash, tokencount, toxicity, warc
 from tidemark.session import ship
 
-_MODULES = (divergence, pii, toxicity, ppm, html_extract, warc, simhash, packing, decontamination, langid, tokencount, resampling)
+_MODULES = (divergence, pii, toxicity, ppm, html_extract, warc, simhash, packing, decontamination, langid, tokencount, resampling, prefix_trie)
 
 
 def _shipped(query: Callable) -> Callable:
