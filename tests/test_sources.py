@@ -90,8 +90,3 @@ def test_renderings(spark):
     assert json.loads(render.open_lineage(e, "j")[0])["outputs"][0]["name"] == "b"
     compile(render.airflow_dag([["a"], ["b"]], "d"), "dag", "exec")
     assert 'rows{src="a"} 1' in render.prometheus(e.groupBy("src").count(), "rows", "count")
-
-
-def test_statements(spark):
-    assert lineage.statement(spark, "INSERT OVERWRITE db.t SELECT * FROM a JOIN b USING (k)") == ("db.t", ["a", "b"])
-    assert lineage.statement(spark, "SELECT * FROM a") == (None, ["a"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import hashlib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -167,11 +166,7 @@ def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
 
 
 def did_you_mean(names: Column, known: list[str], cutoff: float = 0.6) -> Column:
-    """The known name closest to each, if close enough; `known` is a list that people choose from."""
-
-    @F.pandas_udf(StringType())
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([next(iter(difflib.get_close_matches(x or "", known, 1, cutoff)), None) for x in batch])
-
-    return closest(names)
+    """The known name that the fewest edits lead to, if close enough; ties go to the first by name. `known` is a list that people choose from."""
+    far = lambda k: F.levenshtein(F.lower(names), F.lit(k.lower())) / F.greatest(F.length(names), F.lit(max(1, len(k))))
+    close = F.array_min(F.array(*[F.struct(far(k).alias("far"), F.lit(k).alias("name")) for k in known]))
+    return F.when(close["far"] <= 1 - cutoff, close["name"])

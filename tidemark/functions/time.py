@@ -53,6 +53,18 @@ def convert_window(lo: int, hi: int, fine: str, coarse: str) -> tuple[int, int]
     return (0 if lo >= 0 else -(up(-lo) + 1)), (0 if hi <= 0 else up(hi) + 1) + 1
 
 
+def widened_window(lo: Column | str, hi: Column | str, fine: str, coarse: str) -> Column:
+    """`convert_window` for windows in columns: a struct of lo and hi, null if it would refine."""
+    lo, hi, least = _c(lo).cast("long"), _c(hi).cast("long"), LEAST_SPAN.get((fine, coarse))
+    pair = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
+    if fine == coarse:
+        return pair(lo, hi)
+    if least is None:
+        return F.lit(None).cast("struct<lo:bigint,hi:bigint>")
+    up = lambda n: F.ceil(n / least)
+    return pair(F.when(lo >= 0, 0).otherwise(-(up(-lo) + 1)), F.when(hi <= 0, 0).otherwise(up(hi) + 1) + 1)
+
+
 def cycle_bucket(ts: Column | str, cycle: str) -> Column:
     """Position in a cycle: hour of day, weekday (Monday 0), day of month, month of year."""
     return {"hour_of_day": F.hour, "weekday": F.weekday, "day_of_month": F.dayofmonth, "month_of_year": F.month}[cycle](_c(ts))

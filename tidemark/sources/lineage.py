@@ -58,35 +58,3 @@ def partition_id_time(pid: Column) -> Column:
     for k, f in forms.items():
         out = F.when((n == k) & pid.rlike(r"^\d+$"), F.try_to_timestamp(pid, F.lit(f))).otherwise(out)
     return out.cast("timestamp_ntz")
-
-
-def statement(spark: SparkSession, sql: str) -> tuple[str | None, list[str]]:
-    """(target, sources) of one statement, from Spark's own parser: tables need not exist.
-
-    Names of common table expressions are not sources.
-    """
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    kind, text = plan.getClass().getSimpleName(), plan.treeString()
-    named = lambda p: ".".join(p.multipartIdentifier().apply(i) for i in range(p.multipartIdentifier().size()))
-    target = None
-    if kind == "InsertIntoStatement":
-        target = named(plan.table())
-    elif kind in ("CreateTableAsSelect", "ReplaceTableAsSelect"):
-        parts = plan.name().nameParts()
-        target = ".".join(parts.apply(i) for i in range(parts.size()))
-    elif kind == "MergeIntoTable":
-        target = _relations(plan.targetTable().treeString())[0]
-    ctes = _ctes(text)
-    return target, sorted({x for x in _relations(text) if x != target and x not in ctes})
-
-
-def _relations(tree: str) -> list[str]:
-    import re
-
-    return [m.replace(", ", ".").replace("`", "") for m in re.findall(r"'UnresolvedRelation \[([^\]]+)\]", tree)]
-
-
-def _ctes(tree: str) -> set[str]:
-    import re
-
-    return {x.strip() for m in re.findall(r"CTE \[([^\]]*)\]", tree) for x in m.split(",")}

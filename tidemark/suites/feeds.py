@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,33 +16,72 @@ from tidemark.session import shared_dir
 from tidemark.sources import dbt, delta, feeds, iceberg, sqllineage
 from tidemark.suites import day, digits, long, minute, table
 
-STATEMENTS = (
-    "INSERT INTO gold.monthly SELECT date_trunc('month', dt) AS dt, region, sum(amount) AS revenue FROM silver.events GROUP BY 1, 2",
-    "CREATE TABLE silver.events AS WITH x AS (SELECT * FROM raw.events) SELECT x.dt, x.region, x.amount * u.rate AS amount FROM x JOIN raw.users u ON x.id = u.id",
-    "MERGE INTO gold.users t USING silver.users s ON t.id = s.id WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *",
-    "INSERT INTO gold.yearly SELECT date_trunc('day', dt) AS dt, revenue FROM gold.monthly",
-    "INSERT INTO gold.joined SELECT m.dt, region, y.revenue FROM gold.monthly m JOIN gold.yearly y ON m.dt = y.dt",
-    "INSERT INTO gold.odd SELECT date_trunc('year', dt) AS dt, upper(region) AS region FROM silver.events UNION ALL SELECT dt, region FROM silver.events",
-    "SELEC nonsense",
-    "SELECT 1",
-)
-SPECS = {
-    "silver.events": "dt:day, region", "raw.events": "dt:hour, region", "gold.monthly": "dt:month, region", "gold.yearly": "dt:year", "gold.users": "id", "gold.joined": "dt:month, region", "gold.odd": "dt:month, region",
+#: Statements of a log, and what each says: its target, (source, its column, target's column) and (source, field, form, source's field, grain, lo, hi). {c} is the number of a shop.
+_ANY = ("any", None, None, 0, 0)
+FORMS = (
+    ("INSERT INTO gold.monthly_{c} SELECT date_trunc('month', dt) AS dt, region, sum(amount) AS revenue FROM silver.events_{c} GROUP BY 1, 2", "gold.monthly_{c}",
+     (("silver.events_{c}", "dt", "dt"), ("silver.events_{c}", "region", "region"), ("silver.events_{c}", "amount", "revenue")),
+     (("silver.events_{c}", "dt", "window", "dt", "month", 0, 0), ("silver.events_{c}", "region", "same", "region", None, 0, 0))),
+    ("CREATE TABLE silver.events_{c} AS WITH x AS (SELECT * FROM raw.events_{c}) SELECT x.dt, x.region, x.amount * u.rate AS amount, x.id FROM x JOIN raw.users u ON x.id = u.id", "silver.events_{c}",
+     (("raw.events_{c}", "dt", "dt"), ("raw.events_{c}", "region", "region"), ("raw.events_{c}", "amount", "amount"), ("raw.users", "rate", "amount"), ("raw.events_{c}", "id", "id")),
+     (("raw.events_{c}", "dt", "window", "dt", "day", 0, 0), ("raw.events_{c}", "region", "same", "region", None, 0, 0), ("raw.users", "dt", *_ANY), ("raw.users", "region", *_ANY))),
+    ("MERGE INTO gold.users t USING silver.users s ON t.id = s.id WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *", "gold.users", (("silver.users", None, None),), (("silver.users", "id", *_ANY),)),
+    ("INSERT INTO gold.yearly_{c} SELECT date_trunc('year', dt) AS dt, revenue FROM gold.monthly_{c}", "gold.yearly_{c}",
+     (("gold.monthly_{c}", "dt", "dt"), ("gold.monthly_{c}", "revenue", "revenue")), (("gold.monthly_{c}", "dt", "window", "dt", "year", 0, 0),)),
+    ("INSERT INTO gold.joined_{c} SELECT m.dt, m.region, y.revenue FROM gold.monthly_{c} m JOIN gold.yearly_{c} y ON m.dt = y.dt", "gold.joined_{c}",
+     (("gold.monthly_{c}", "dt", "dt"), ("gold.monthly_{c}", "region", "region"), ("gold.yearly_{c}", "revenue", "revenue")),
+     (("gold.monthly_{c}", "dt", "window", "dt", "month", 0, 0), ("gold.monthly_{c}", "region", "same", "region", None, 0, 0), ("gold.yearly_{c}", "dt", *_ANY), ("gold.yearly_{c}", "region", *_ANY))),
+    ("INSERT INTO gold.odd_{c} SELECT dt, region FROM silver.events_{c} UNION ALL SELECT date_add(dt, 7), upper(region) FROM silver.events_{c}", "gold.odd_{c}",
+     (("silver.events_{c}", "dt", "dt"), ("silver.events_{c}", "region", "region")), (("silver.events_{c}", "dt", "window", "dt", "day", 0, 7), ("silver.events_{c}", "region", *_ANY))),
+    ("INSERT INTO gold.week_{c} SELECT dt, sum(amount) OVER (ORDER BY dt RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS amount FROM silver.events_{c}", "gold.week_{c}",
+     (("silver.events_{c}", "dt", "dt"), ("silver.events_{c}", "amount", "amount"), ("silver.events_{c}", "dt", "amount")), (("silver.events_{c}", "dt", "window", "dt", "day", 0, 6),)),
+    ("WITH q AS (SELECT date_sub(dt, 1) AS day, amount FROM silver.events_{c}) INSERT INTO gold.week_{c} SELECT day, amount FROM q WHERE amount > (SELECT avg(amount) FROM q)", "gold.week_{c}",
+     (("silver.events_{c}", "dt", "dt"), ("silver.events_{c}", "amount", "amount")), (("silver.events_{c}", "dt", *_ANY),)),
+    ("INSERT INTO gold.odd_{c} SELECT a.dt, b.region FROM silver.events_{c} a JOIN silver.events_{c} b ON a.id = b.id", "gold.odd_{c}",
+     (("silver.events_{c}", "dt", "dt"), ("silver.events_{c}", "region", "region")), (("silver.events_{c}", "dt", *_ANY), ("silver.events_{c}", "region", *_ANY))),
+    ("INSERT INTO gold.early_{c} (region, dt) SELECT region, add_months(dt, -1) FROM silver.events_{c}", "gold.early_{c}",
+     (("silver.events_{c}", "region", "region"), ("silver.events_{c}", "dt", "dt")), (("silver.events_{c}", "dt", "window", "dt", "month", -2, 0), ("silver.events_{c}", "region", "same", "region", None, 0, 0))),
+    ("SELEC nonsense", None, (), ()),
+    ("SELECT 1", None, (), ()),
+)
+SHOPS = 4
+#: Columns of the log's tables, in order, and their partition fields.
+TABLES = {
+    "silver.events_{c}": ("dt date, region string, amount double, id bigint", "dt:day, region"), "raw.events_{c}": ("dt timestamp, region string, amount double, id bigint", "dt:hour, region"), "raw.users": ("id bigint, rate double", ""), "silver.users": ("id bigint", "id"),
+    "gold.users": ("id bigint", "id"), "gold.monthly_{c}": ("dt date, region string, revenue double", "dt:month, region"), "gold.yearly_{c}": ("dt date, revenue double", "dt:year"), "gold.joined_{c}": ("dt date, region string, revenue double", "dt:month, region"),
+    "gold.odd_{c}": ("dt date, region string", "dt:day, region"), "gold.week_{c}": ("dt date, amount double", "dt:day"), "gold.early_{c}": ("dt date, region string", "dt:month, region"),
 }
 
 
-def _statements(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return sqllineage.lineage(spark, STATEMENTS, {k: parse_spec(v) for k, v in SPECS.items()})
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order ran one of the statements for the shop of its customer."""
+    form = F.get(F.array(*[F.lit(f[0]) for f in FORMS]), (F.col("o_orderkey") % len(FORMS)).cast("int"))
+    return table(spark, sf, "orders").select(F.replace(form, F.lit("{c}"), (F.col("o_custkey") % SHOPS).cast("string")).alias("sql"))
+
+
+def _statements(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The log's statements with their runs, and their lineage."""
+    named = lambda k: {name.replace("{c}", str(c)): x[k] for name, x in TABLES.items() for c in range(SHOPS)}
+    schemas = {n: tuple(tuple(c.split()) for c in x.split(", ")) for n, x in named(0).items()}
+    log = _log(spark, sf)
+    return log.groupBy(F.col("sql").alias("statement")).agg(F.count("*").alias("n_runs")), *sqllineage.log_lineage(log, {n: parse_spec(x) for n, x in named(1).items()}, schemas)
 
 
 def sql_column_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    del sf
-    return _statements(spark)[0]
+    """Which columns the statements of a log make of which, and how often."""
+    runs, edges, _ = _statements(spark, sf)
+    return edges.join(runs, "statement").groupBy("dst", "src", "src_col", "dst_col").agg(F.sum("n_runs").alias("n_runs"))
 
 
 def sql_partition_reach(spark: SparkSession, sf: str) -> DataFrame:
-    del sf
-    return _statements(spark)[1]
+    """How partitions of each table reach those of the next, by every statement of a log."""
+    return sqllineage.joined(_statements(spark, sf)[2])
+
+
+def statement_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """Which tables the statements of a log write from which."""
+    runs, edges, _ = _statements(spark, sf)
+    return edges.select("statement", "dst", "src").distinct().join(runs, "statement").groupBy("dst", "src").agg(F.count("*").alias("n_statements"), F.sum("n_runs").alias("n_runs"))
 
 
 def _write_as(df: DataFrame, path: str, kind: str) -> None:
@@ -191,26 +230,26 @@ def erased_files(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("n_nationkey int, n_regionkey int").parquet(path).select("n_nationkey")
 
 
-MANIFEST = {
-    "metadata": {"adapter_type": "duckdb", "project_name": "shop"},
-    "sources": {"source.raw.events": {"resource_type": "source", "database": "db", "schema": "raw", "name": "events"}},
-    "nodes": {
-        "model.silver": {"resource_type": "model", "database": "db", "schema": "silver", "name": "events", "depends_on": {"nodes": ["source.raw.events"]}, "config": {"partition_by": {"field": "dt", "granularity": "day"}}},
-        "model.gold": {"resource_type": "model", "database": "db", "schema": "gold", "name": "m", "alias": "monthly", "depends_on": {"nodes": ["model.silver", "seed.rates"]}, "config": {"partition_by": {"field": "dt", "granularity": "MONTH"}}},
-        "seed.rates": {"resource_type": "seed", "database": "db", "schema": "ref", "name": "rates"},
-        "test.unique": {"resource_type": "test", "name": "unique", "depends_on": {"nodes": ["model.gold"]}},
-    },
-}
+def _manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest for each brand: its parts are models by day or month, each made of the part of half its key, if that is one of the brand's, and of a source; some are tests."""
+    k = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    uid = lambda c: F.concat(F.lit("model.p"), text(c))
+    node = F.struct(
+        F.when(k % 10 == 9, "test").otherwise("model").alias("resource_type"), F.lit("db").alias("database"), F.lower("p_brand").alias("schema"), F.concat(F.lit("p"), text(k)).alias("name"), F.struct(F.array(uid(F.floor(k / 2)), F.lit("source.raw")).alias("nodes")).alias("depends_on"),
+        F.struct(F.struct(F.lit("dt").alias("field"), F.when(k % 3 == 0, "DAY").when(k % 3 == 1, "month").alias("granularity")).alias("partition_by")).alias("config"),
+    )
+    source = F.create_map(F.lit("source.raw"), F.struct(F.lit("source").alias("resource_type"), F.lit("db").alias("database"), F.lit("raw").alias("schema"), F.col("p_brand").alias("name")))
+    nodes = table(spark, sf, "part").groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct(uid(k).alias("key"), node.alias("value")))).alias("nodes"))
+    return nodes.select(F.to_json(F.struct(F.struct(F.lit("duckdb").alias("adapter_type"), F.col("p_brand").alias("project_name")).alias("metadata"), source.alias("sources"), "nodes")).alias("value"))
 
 
 def dbt_tables(spark: SparkSession, sf: str) -> DataFrame:
-    del sf
-    return dbt.manifest(spark, json.dumps(MANIFEST)).select("ds", "kind", "field", "grain")
+    return dbt.manifests(_manifests(spark, sf)).select("ds", "kind", "field", "grain")
 
 
 def dbt_edges(spark: SparkSession, sf: str) -> DataFrame:
-    del sf
-    return dbt.edges(dbt.manifest(spark, json.dumps(MANIFEST)))
+    return dbt.edges(dbt.manifests(_manifests(spark, sf)))
 
 
 def span_times(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,14 +281,15 @@ def rendered_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def closest_names(spark: SparkSession, sf: str) -> DataFrame:
-    """What was meant by names of segments that lost a letter."""
-    c = table(spark, sf, "customer").select("c_mktsegment").distinct()
+    """What was meant by names of segments that lost a letter, for every customer."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % F.length("c_mktsegment") + 1).cast("int").alias("at"))
+    typed = F.concat(F.expr("substring(c_mktsegment, 1, at - 1)"), F.expr("substring(c_mktsegment, at + 1)"))
     known = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    return c.select("c_mktsegment", t.did_you_mean(F.substring("c_mktsegment", 2, 20), known).alias("meant"))
+    return c.select("c_custkey", t.did_you_mean(F.lower(typed), known).alias("meant"))
 
 
 _NAMES = (
-    sql_column_lineage, sql_partition_reach, delta_checkpoint_log, iceberg_changes, iceberg_expired, iceberg_partitions, changed_partition_metadata, altered_tables, located_changes, query_log, engine_lineage, listing_since_token, listing_token,
+    sql_column_lineage, sql_partition_reach, statement_lineage, delta_checkpoint_log, iceberg_changes, iceberg_expired, iceberg_partitions, changed_partition_metadata, altered_tables, located_changes, query_log, engine_lineage, listing_since_token, listing_token,
     merged_graph, appended_events, dumped_tables, full_rebuild, erased_files, dbt_tables, dbt_edges, span_times, shared_passages, overlap_coefficient, rendered_prompts, closest_names,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -257,18 +297,26 @@ QUERIES = {f.__name__: f for f in _NAMES}
 _FILES = "f AS (SELECT o_orderkey AS k, o_orderdate AS day, CASE WHEN o_orderkey % 100 <> 0 THEN o_orderdate END AS modified FROM orders)"
 _WORDS = r"list_filter(string_split(lower(trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))), ' '), lambda w: w <> '')"
 _GRAMS = "SELECT DISTINCT {id} AS key, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS gram FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {id}, {w} AS w FROM {t}) WHERE len(w) > 0)"
+
+
+def _values(rows: Iterable[tuple]) -> str:
+    """Rows as SQL's VALUES has them."""
+    shown = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
+
+
+_RUNS = f"r AS (SELECT o_orderkey % {len(FORMS)} AS k, (o_custkey % {SHOPS})::VARCHAR AS c, count(*) AS n_runs FROM orders GROUP BY 1, 2)"
 ORACLE_SQL = {
-    "sql_column_lineage": """
-SELECT * FROM (VALUES ('gold.monthly', 'silver.events', 'dt', 'dt'), ('gold.monthly', 'silver.events', 'region', 'region'), ('gold.monthly', 'silver.events', 'amount', 'revenue'),
-  ('silver.events', 'raw.events', 'dt', 'dt'), ('silver.events', 'raw.events', 'region', 'region'), ('silver.events', 'raw.events', 'amount', 'amount'), ('silver.events', 'raw.users', 'rate', 'amount'),
-  ('gold.users', 'silver.users', NULL, NULL), ('gold.yearly', 'gold.monthly', 'dt', 'dt'), ('gold.yearly', 'gold.monthly', 'revenue', 'revenue'),
-  ('gold.joined', 'gold.monthly', 'dt', 'dt'), ('gold.joined', 'gold.yearly', 'revenue', 'revenue'), ('gold.odd', 'silver.events', 'dt', 'dt'), ('gold.odd', 'silver.events', 'region', 'region')) v(dst, src, src_col, dst_col)""",
-    "sql_partition_reach": """
-SELECT dst, src, field, form, source, grain, lo::BIGINT AS lo, hi::BIGINT AS hi FROM (VALUES ('gold.monthly', 'silver.events', 'dt', 'window', 'dt', 'month', 0, 0), ('gold.monthly', 'silver.events', 'region', 'same', 'region', NULL, 0, 0),
-  ('silver.events', 'raw.events', 'dt', 'window', 'dt', 'day', 0, 0), ('silver.events', 'raw.events', 'region', 'same', 'region', NULL, 0, 0),
-  ('silver.events', 'raw.users', 'dt', 'any', NULL, NULL, 0, 0), ('silver.events', 'raw.users', 'region', 'any', NULL, NULL, 0, 0), ('gold.users', 'silver.users', 'id', 'any', NULL, NULL, 0, 0),
-  ('gold.yearly', 'gold.monthly', 'dt', 'any', NULL, NULL, 0, 0), ('gold.joined', 'gold.monthly', 'dt', 'window', 'dt', 'month', 0, 0), ('gold.joined', 'gold.monthly', 'region', 'any', NULL, NULL, 0, 0),
-  ('gold.joined', 'gold.yearly', 'dt', 'any', NULL, NULL, 0, 0), ('gold.joined', 'gold.yearly', 'region', 'any', NULL, NULL, 0, 0), ('gold.odd', 'silver.events', 'dt', 'any', NULL, NULL, 0, 0), ('gold.odd', 'silver.events', 'region', 'any', NULL, NULL, 0, 0)) v(dst, src, field, form, source, grain, lo, hi)""",
+    "sql_column_lineage": f"""
+WITH {_RUNS} SELECT replace(e.dst, '{{c}}', c) AS dst, replace(src, '{{c}}', c) AS src, src_col, dst_col, sum(n_runs)::BIGINT AS n_runs
+FROM r JOIN (VALUES {_values((k, dst, *e) for k, (_, dst, es, _) in enumerate(FORMS) for e in es)}) e(k, dst, src, src_col, dst_col) USING (k) GROUP BY ALL""",
+    "sql_partition_reach": f"""
+WITH {_RUNS}, x AS (SELECT replace(e.dst, '{{c}}', c) AS dst, replace(src, '{{c}}', c) AS src, field, form, source, grain, lo, hi FROM r JOIN (VALUES {_values((k, dst, *e) for k, (_, dst, _, es) in enumerate(FORMS) for e in es)}) e(k, dst, src, field, form, source, grain, lo, hi) USING (k))
+SELECT dst, src, field, CASE WHEN n = 1 THEN form ELSE 'any' END AS form, CASE WHEN n = 1 THEN source END AS source, CASE WHEN n = 1 THEN grain END AS grain, CASE WHEN n = 1 THEN lo ELSE 0 END::BIGINT AS lo, CASE WHEN n = 1 THEN hi ELSE 0 END::BIGINT AS hi
+FROM (SELECT dst, src, field, count(DISTINCT (form, source, grain)) AS n, min(form) AS form, min(source) AS source, min(grain) AS grain, min(lo) AS lo, max(hi) AS hi FROM x GROUP BY dst, src, field)""",
+    "statement_lineage": f"""
+WITH {_RUNS}, x AS (SELECT DISTINCT k, c, n_runs, s, replace(e.dst, '{{c}}', c) AS dst, replace(src, '{{c}}', c) AS src FROM r JOIN (VALUES {_values((k, s, dst, e[0]) for k, (s, dst, es, _) in enumerate(FORMS) for e in es)}) e(k, s, dst, src) USING (k))
+SELECT dst, src, count(DISTINCT replace(s, '{{c}}', c)) AS n_statements, sum(n_runs)::BIGINT AS n_runs FROM x GROUP BY dst, src""",
     "delta_checkpoint_log": "SELECT 'f' || n_nationkey AS path FROM nation WHERE n_nationkey BETWEEN 3 AND 9 AND n_nationkey <> 5 OR n_nationkey >= 20",
     "iceberg_changes": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS dt, true AS complete FROM orders WHERE year(o_orderdate) > 1999",
     "iceberg_expired": "SELECT false AS complete, count(DISTINCT o_orderdate::DATE) AS n FROM orders",
@@ -296,8 +344,12 @@ SELECT src, dst, evidence, CASE WHEN r >= 40 THEN 'new' ELSE 'old' END AS mappin
     "dumped_tables": "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "full_rebuild": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1",
     "erased_files": "SELECT n_nationkey FROM nation WHERE n_regionkey <> 2",
-    "dbt_tables": "SELECT * FROM (VALUES ('duckdb/db.raw.events', 'source', NULL, NULL), ('duckdb/db.silver.events', 'model', 'dt', 'day'), ('duckdb/db.gold.monthly', 'model', 'dt', 'month'), ('duckdb/db.ref.rates', 'seed', NULL, NULL)) v(ds, kind, field, grain)",
-    "dbt_edges": "SELECT * FROM (VALUES ('duckdb/db.raw.events', 'duckdb/db.silver.events'), ('duckdb/db.silver.events', 'duckdb/db.gold.monthly'), ('duckdb/db.ref.rates', 'duckdb/db.gold.monthly')) v(src, dst)",
+    "dbt_tables": """
+SELECT 'duckdb/db.' || lower(p_brand) || '.p' || p_partkey AS ds, 'model' AS kind, 'dt' AS field, CASE p_partkey % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'month' END AS grain FROM part WHERE p_partkey % 10 <> 9
+UNION ALL SELECT DISTINCT 'duckdb/db.raw.' || p_brand, 'source', NULL, NULL FROM part""",
+    "dbt_edges": """
+WITH m AS (SELECT p_partkey AS k, p_brand, 'duckdb/db.' || lower(p_brand) || '.p' || p_partkey AS ds FROM part WHERE p_partkey % 10 <> 9)
+SELECT a.ds AS src, b.ds AS dst FROM m b JOIN m a ON a.k = b.k // 2 AND a.p_brand = b.p_brand UNION ALL SELECT 'duckdb/db.raw.' || p_brand, ds FROM m""",
     "span_times": """
 WITH s AS (SELECT o_orderkey AS span, CASE WHEN o_orderkey > 1 THEN o_orderkey // 2 END AS parent, round(o_totalprice / (o_orderkey + 1)) AS seconds FROM orders), c AS (SELECT parent, sum(seconds) AS inside, count(*) AS n FROM s GROUP BY 1)
 SELECT span, coalesce(n, 0) AS n_children, round(greatest(0, seconds - coalesce(inside, 0)), 3) AS self_seconds FROM s LEFT JOIN c ON c.parent = s.span""",
@@ -311,5 +363,5 @@ SELECT item, doc, max(n)::BIGINT AS n_chars FROM z GROUP BY 1, 2""",
 WITH s AS (SELECT DISTINCT o_custkey AS k, l_partkey % 50 AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1)
 SELECT a.k, round(coalesce(c, 0) / least(a.n, b.n), 6)::DOUBLE AS overlap FROM n a JOIN n b ON b.k = a.k + 1 LEFT JOIN (SELECT x.k, count(*) AS c FROM s x JOIN s y ON y.k = x.k + 1 AND x.p = y.p GROUP BY 1) c ON c.k = a.k""",
     "rendered_prompts": "SELECT c_custkey, 'Dear ' || c_name || ': ' || lower(c_mktsegment) || ', {other}. ' || c_name AS prompt FROM customer",
-    "closest_names": "SELECT DISTINCT c_mktsegment, c_mktsegment AS meant FROM customer",
+    "closest_names": "SELECT c_custkey, c_mktsegment AS meant FROM customer",
 }

@@ -45,11 +45,20 @@ def column_lineage(spark: SparkSession, sf: str) -> DataFrame:
     return column_ancestry(_columns(spark, sf), "96", "price").select("node", long("depth").alias("depth"))
 
 
+#: Columns as systems name them: name, type, and what stands for their least and greatest value.
+SEEN_COLUMNS = (
+    ("email_address", "string", "p_name", "p_name"), ("mail", "bigint", None, None), ("client_ip", "string", None, None), ("latitude", "double", "-p_size", "p_size"), ("lat", "double", "p_size", "p_size + 4000"), ("price_cents", "bigint", "p_size", "p_size * 100"),
+    ("fee_minor", "int", "p_size + 0.5", "p_size + 9"), ("total", "double", "p_size", "p_retailprice"), ("total", "string", "p_brand", "p_brand"), ("Surname", "string", "p_brand", "p_name"), ("birth_date", "date", None, None), ("customer_id", "bigint", "p_partkey", "p_partkey"),
+    ("currency", "string", None, None), ("address", "string", None, None), ("email_sent", "boolean", None, None), ("notes", "string", None, None),
+)
+
+
 def name_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns of the profiled customers under the names that other systems give such columns."""
-    del sf
-    cols = [("email_address", "string", None, None), ("mail", "bigint", None, None), ("client_ip", "string", None, None), ("latitude", "double", "-12.5", "48.1"), ("lat", "double", "0", "4000"), ("price_cents", "bigint", "1", "900"), ("fee_minor", "int", "0.5", "9"), ("total", "double", "1", "2"), ("total", "string", "1", "2"), ("Surname", "string", "a", "z"), ("birth_date", "date", None, None), ("customer_id", "bigint", "1", "9"), ("currency", "string", "EUR", "USD"), ("address", "string", None, None), ("email_sent", "boolean", None, None), ("notes", "string", None, None)]
-    return v.name_labels(spark.createDataFrame([("crm", *c) for c in cols], "ds string, name string, dtype string, min string, max string")).select("ds", "name", "label", digits("confidence", 4).alias("confidence"))
+    """Every part is a table of one column, named as one of those above and profiled by what the part has."""
+    text = lambda e: F.expr(f"cast({e or 'null'} as string)")
+    seen = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("dtype"), text(lo).alias("min"), text(hi).alias("max")) for n, t, lo, hi in SEEN_COLUMNS])
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("ds"), F.get(seen, (F.col("p_partkey") % len(SEEN_COLUMNS)).cast("int")).alias("c"))
+    return v.name_labels(rows.select("ds", "c.*")).select("ds", "name", "label", digits("confidence", 4).alias("confidence"))
 
 
 def licence_propagation(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,9 +195,9 @@ ORACLE_SQL = {
     "unmet_requirements": _LABELS + "SELECT p_partkey::VARCHAR AS ds, 'money' AS label FROM part WHERE p_partkey % 9 = 5 AND p_partkey::VARCHAR NOT IN (SELECT ds FROM m WHERE label = 'money')",
     "column_lineage": f"WITH RECURSIVE {_ALL}, {_COLS}, r AS (SELECT '96' AS ds, 'price' AS col, 0::BIGINT AS depth UNION SELECT x.src, x.a, depth + 1 FROM r JOIN x ON x.dst = ds AND x.b = col) SELECT ds || '#' || col AS node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY 1",
     "name_labels": """
-SELECT 'crm' AS ds, name, label, confidence::DOUBLE AS confidence FROM (VALUES ('email_address', 'email', 0.75), ('email_address', 'pii', 0.75), ('client_ip', 'ip_address', 0.7), ('client_ip', 'pii', 0.7), ('latitude', 'latitude', 0.75),
-  ('price_cents', 'monetary_amount', 0.6), ('price_cents', 'minor_units', 0.95), ('fee_minor', 'monetary_amount', 0.6), ('total', 'monetary_amount', 0.6), ('Surname', 'person_name', 0.7), ('Surname', 'pii', 0.7),
-  ('birth_date', 'date_of_birth', 0.8), ('birth_date', 'pii', 0.8), ('customer_id', 'user_identifier', 0.7), ('customer_id', 'pii', 0.7), ('currency', 'currency_code', 0.7), ('address', 'postal_address', 0.65), ('address', 'pii', 0.65)) v(name, label, confidence)""",
+SELECT p_partkey::VARCHAR AS ds, name, label, confidence::DOUBLE AS confidence FROM part JOIN (VALUES (0, 'email_address', 'email', 0.75), (0, 'email_address', 'pii', 0.75), (2, 'client_ip', 'ip_address', 0.7), (2, 'client_ip', 'pii', 0.7), (3, 'latitude', 'latitude', 0.75),
+  (5, 'price_cents', 'monetary_amount', 0.6), (5, 'price_cents', 'minor_units', 0.95), (6, 'fee_minor', 'monetary_amount', 0.6), (7, 'total', 'monetary_amount', 0.6), (9, 'Surname', 'person_name', 0.7), (9, 'Surname', 'pii', 0.7),
+  (10, 'birth_date', 'date_of_birth', 0.8), (10, 'birth_date', 'pii', 0.8), (11, 'customer_id', 'user_identifier', 0.7), (11, 'customer_id', 'pii', 0.7), (12, 'currency', 'currency_code', 0.7), (13, 'address', 'postal_address', 0.65), (13, 'address', 'pii', 0.65)) v(k, name, label, confidence) ON p_partkey % 16 = k""",
     "licence_propagation": _ABOVE.format(own="p_partkey >= 2") + """
 SELECT node, CASE WHEN bool_or(source % 7 = 0) THEN false WHEN bool_or(source % 5 = 0) THEN NULL ELSE true END AS commercial, bool_or(source % 11 = 0) AS share_alike FROM a WHERE source >= 2 GROUP BY node""",
     "purpose_intersection": _ABOVE.format(own="p_partkey % 2 = 1") + """,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import arrival_lag, convert_window, reached, truncate
+from tidemark.functions.time import LEAST_SPAN, arrival_lag, reached, truncate, widened_window
 from tidemark.operators import graph as g
 from tidemark.plans import rebuild
 from tidemark.plans.invalidate import edges, invalidate, key, shown, stamp
@@ -64,10 +66,16 @@ def hour_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(minute(truncate("ts", "hour")).alias("hour"), "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
+CONVERSIONS = (("hour", "day"), ("day", "month"), ("day", "year"), ("month", "year"))
+
+
 def window_conversions(spark: SparkSession, sf: str) -> DataFrame:
-    del sf
-    cases = [(f, c, lo, hi) for f, c in (("hour", "day"), ("day", "month"), ("day", "year"), ("month", "year")) for lo, hi in ((0, 0), (0, 6), (-6, 0), (-40, 40))]
-    return spark.createDataFrame([(f, c, lo, hi, *convert_window(lo, hi, f, c)) for f, c, lo, hi in cases], "fine string, coarse string, lo int, hi int, out_lo int, out_hi int")
+    """The delays between orders and shipments as windows of days, in coarser grains."""
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    lag = F.date_diff("l_shipdate", "o_orderdate").cast("long")
+    windows = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select((-lag).alias("lo"), (lag + F.col("l_linenumber")).alias("hi")).distinct()
+    found = [windows.select(F.lit(f).alias("fine"), F.lit(c).alias("coarse"), "lo", "hi", widened_window("lo", "hi", f, c).alias("w")) for f, c in CONVERSIONS]
+    return reduce(DataFrame.unionByName, found).select("fine", "coarse", "lo", "hi", F.col("w.lo").alias("out_lo"), F.col("w.hi").alias("out_hi"))
 
 
 def predicate_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +182,6 @@ t AS (SELECT DISTINCT {_MONTH} AS dt, o_orderpriority AS priority FROM ({_LATE})
 n AS (SELECT count(*) AS total FROM (SELECT DISTINCT {_MONTH}, o_orderpriority FROM orders)),
 c AS (SELECT (SELECT count(*) FROM p) AS planned, (SELECT count(*) FROM t) AS touched, (SELECT count(*) FROM t ANTI JOIN p USING (dt, priority)) AS missed, (SELECT count(*) FROM p ANTI JOIN t USING (dt, priority)) AS wasted, total FROM n)
 """
-_cases = [f"('{f}', '{c}', {lo}, {hi}, {least})" for f, c, least in (("hour", "day", 23), ("day", "month", 28), ("day", "year", 365), ("month", "year", 12)) for lo, hi in ((0, 0), (0, 6), (-6, 0), (-40, 40))]
 ORACLE_SQL = {
     "invalidation_plan": """
 WITH raw AS (SELECT DISTINCT date_trunc('day', o_orderdate)::TIMESTAMP AS d, o_orderpriority AS p FROM orders WHERE o_orderkey % 50 = 0 AND o_orderpriority = '1-URGENT'),
@@ -196,10 +203,8 @@ FROM orders GROUP BY 1, 2""",
     "trailing_7d_keys": "SELECT DISTINCT strftime(date_trunc('day', o_orderdate) + to_days(i::INTEGER), '%Y-%m-%d') AS dt FROM orders, range(0, 7) r(i) WHERE o_orderkey % 50 = 0",
     "hour_rollup": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1, 2",
     "window_conversions": f"""
-SELECT fine, coarse, lo, hi,
-  CASE WHEN lo >= 0 THEN 0 ELSE -(CAST(ceil(-lo / least) AS INTEGER) + 1) END AS out_lo,
-  CASE WHEN hi <= 0 THEN 0 ELSE CAST(ceil(hi / least) AS INTEGER) + 1 END + 1 AS out_hi
-FROM (VALUES {", ".join(_cases)}) v(fine, coarse, lo, hi, least)""",
+SELECT fine, coarse, lo, hi, CASE WHEN lo >= 0 THEN 0 ELSE -(ceil(-lo / least)::BIGINT + 1) END AS out_lo, CASE WHEN hi <= 0 THEN 0 ELSE ceil(hi / least)::BIGINT + 1 END + 1 AS out_hi
+FROM (SELECT DISTINCT -(l_shipdate::DATE - o_orderdate::DATE) AS lo, (l_shipdate::DATE - o_orderdate::DATE) + l_linenumber AS hi FROM orders JOIN lineitem ON l_orderkey = o_orderkey), (VALUES {", ".join(f"('{f}', '{c}', {LEAST_SPAN[f, c]})" for f, c in CONVERSIONS)}) v(fine, coarse, least)""",
     "predicate_rows": """
 SELECT o_orderkey, o_custkey FROM orders
 WHERE (date_trunc('month', o_orderdate) = TIMESTAMP '1996-03-01' AND o_orderpriority = '1-URGENT') OR date_trunc('month', o_orderdate) = TIMESTAMP '1997-01-01'""",

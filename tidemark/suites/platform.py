@@ -84,17 +84,6 @@ def partition_ids(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", day(lineage.partition_id_time(pid)).alias("dt"))
 
 
-def statement_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    del sf
-    sql = (
-        "INSERT INTO gold.monthly SELECT date_trunc('month', dt), sum(amount) FROM silver.events GROUP BY 1",
-        "CREATE TABLE silver.events AS WITH x AS (SELECT * FROM raw.events) SELECT x.* FROM x JOIN raw.users u ON x.id = u.id",
-        "MERGE INTO gold.users t USING silver.users s ON t.id = s.id WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *",
-    )
-    rows = [(t, s) for target, sources in (lineage.statement(spark, q) for q in sql) for t, s in ((target, x) for x in sources)]
-    return spark.createDataFrame(rows, "dst string, src string")
-
-
 def footer_profile(spark: SparkSession, sf: str) -> DataFrame:
     files = table(spark, sf, "orders").select(F.col("_metadata.file_path").alias("path")).distinct()
     return footers.footer_profile(files).select("name", "row_count", "null_count")
@@ -142,7 +131,7 @@ def alert_routes(spark: SparkSession, sf: str) -> DataFrame:
     return e.where("rank >= 1 and event_type in ('error', 'purchase') and (not quiet or rank = 3)").select("event_id", long("rank").alias("rank"))
 
 
-_NAMES = (hive_path_keys, template_paths, listing_changes, delta_live_files, delta_changed_partitions, run_events, run_lineage, run_column_lineage, access_lineage, partition_ids, statement_lineage, footer_profile, watermark_scan, glob_selection, selector_sets, quiet_alerts, window_rollup, session_runs, alert_routes)
+_NAMES = (hive_path_keys, template_paths, listing_changes, delta_live_files, delta_changed_partitions, run_events, run_lineage, run_column_lineage, access_lineage, partition_ids, footer_profile, watermark_scan, glob_selection, selector_sets, quiet_alerts, window_rollup, session_runs, alert_routes)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _RUNS = """r AS (SELECT o_orderkey, o_custkey % 10 AS c, left(o_orderpriority, 1) AS p FROM orders WHERE o_orderkey % 9 <> 0)"""
@@ -162,7 +151,6 @@ SELECT DISTINCT 'PART' || (l_partkey % 10) AS src, 'AMOUNT' AS src_col, 'OUT' ||
 UNION SELECT DISTINCT 'SUPP' || (l_suppkey % 3), 'KEY', 'OUT' || l_linenumber, 'REVENUE' FROM lineitem""",
     "partition_ids": """
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(o_orderdate, '%Y-01-01') END AS dt FROM orders""",
-    "statement_lineage": "SELECT * FROM (VALUES ('gold.monthly', 'silver.events'), ('silver.events', 'raw.events'), ('silver.events', 'raw.users'), ('gold.users', 'silver.users')) v(dst, src)",
     "footer_profile": "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name, count(*) AS row_count, 0::BIGINT AS null_count FROM orders",
     "watermark_scan": "SELECT o_orderpriority, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS watermark, count(*) AS n FROM orders WHERE o_orderdate > '2001-01-01' GROUP BY 1",
     "glob_selection": "SELECT p_partkey FROM part WHERE p_name LIKE '%gear%' AND p_brand LIKE 'Brand#1_'",
