@@ -14,9 +14,14 @@ dropped.
 
 Pages of one host with equal lines are copies: they count as one page, so none
 is emptied by its own copy. Where the nearest page shares most of a page's open
-lines (a near copy, or a page that is mostly template), only lines that the page
-on the other side shares too are deleted. A page that would be left empty keeps
-its lines.
+lines it may be a near copy: then only lines that the page on the other side
+shares too are deleted, and those that markup suspects (mostly links, or under a
+hint). If both pages share nearly all of them, or there is no second, only suspect
+lines go: what is not proven template stays. A page that would be left empty
+keeps its lines.
+
+End tags that HTML lets a page leave out (of head, p, li, dt, dd, option and the
+parts of tables) are supplied.
 
 Pages whose markup settles every line never travel: other pages need only the
 hashes of their lines. Pages are dealt by range of (host, path), so one host may
@@ -51,17 +56,20 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 # Element names, roles and name parts.
-SKIPPED = frozenset("script style noscript template iframe svg math canvas object select textarea title head".split())
+SKIPPED = frozenset("script style noscript template iframe svg select textarea title head annotation annotation-xml".split())
 CHROME = frozenset("nav footer aside form menu dialog button".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CHROME_NAMES = frozenset("ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 #: Parts of names that say where or how, not what: a class of these and chrome names alone is chrome.
 NEUTRAL = frozenset("area bar block body bottom box container content fixed form global group holder inner item left link links list main mobile page primary right secondary section site slot sticky text thread top unit wrap wrapper".split())
 ARTICLE = frozenset("article main".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mpadded mphantom mstyle".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that the start of another of the same kind ends.
-SELF_ENDING = frozenset("p li dt dd option tr td th".split())
+#: What may stand in a head; any other element, and text, ends one that is open.
+IN_HEAD = frozenset("html head base link meta noscript script style template title".split())
+#: Elements whose end tag may be left out, and the open ones that the start of each ends.
+_BLOCKS = "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
+ENDS = {name: ("p",) for name in _BLOCKS} | {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
 #: Elements that it does not reach through, besides chrome.
 STOPS = ARTICLE | frozenset("ul ol dl table div section".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
@@ -77,8 +85,12 @@ _ZONES = {x[0]: x for x in ("chrome", "article", "body")}
 _READY = 256
 #: A line is taken for a menu when more than this share of it is link text.
 LINKS = 0.5
-#: A neighbour that shares more than this part of a page's open characters needs a second one's word.
+#: Neighbours that share more than this part of a page's open characters may be near copies of it.
 COPY = 0.5
+#: The same for the only page beside one: there is no second page to tell template from copy, but most pages of such a pair are no copies.
+SOLE = 0.8
+#: And for what two neighbours share: pages of a host may be mostly template, but hardly with so little of their own.
+COPIES = 0.9
 
 
 @dataclass
@@ -148,8 +160,18 @@ def page_lines(source: str) -> list[Line]:
         hints -= frame.hinted
         link -= frame.name == "a"
 
+    def shut(names: tuple[str, ...], bound: int) -> None:
+        """End the outermost open element of these names that lies within the bound."""
+        found = [place for x in names if (place := last.get(x, -1)) >= bound]
+        if found:
+            end()
+            while len(stack) > min(found):
+                pop()
+
     def text(raw: str) -> None:
         if raw:
+            if last.get("head", -1) >= 0 and raw.strip():
+                shut(("head",), 0)
             shown = html.unescape(raw) if "&" in raw else raw
             built.parts.append(shown)
             if link:
@@ -174,6 +196,10 @@ def page_lines(source: str) -> list[Line]:
                 while len(stack) > place:
                     pop()
             continue
+        if name not in IN_HEAD:
+            shut(("head",), 0)
+        if name in ENDS and stack:
+            shut(ENDS[name], max(stack[-1].at, 0))
         if name not in INLINE:
             if name == "br":
                 built.parts.append(" ")
@@ -185,9 +211,6 @@ def page_lines(source: str) -> list[Line]:
             continue
         if name in VOID or token.endswith("/>"):
             continue
-        if name in SELF_ENDING and (place := last.get(name, -1)) >= 0 and stack[-1].at <= place:
-            while len(stack) > place:
-                pop()
         is_chrome = name in CHROME or name in SKIPPED or (name == "header" and not article)
         hinted = False
         if not is_chrome and name not in ("html", "body") and ("class" in token or "id" in token or "role" in token or "CLASS" in token):
@@ -280,11 +303,15 @@ def main_text(lines: list[Line], nearest: Sequence[int] | None = None, other: Se
     rows = _wanted(lines)
     gone: set[int] = set()
     size = lambda at: sum(len(x.text) for i, x, is_open in rows if is_open and i in at)
+    whole = size(range(len(lines)))
     if nearest and any(is_open for _, _, is_open in rows):
         own = keys_of(lines)
         gone = shared_lines(own, nearest)
-        if other and size(gone) > COPY * size(range(len(lines))):
-            gone &= shared_lines(own, other)
+        if size(gone) > (COPY if other else SOLE) * whole:
+            # A near copy shares its article too: lines go that a second page has as well or that markup suspects, and these alone if it is a copy too.
+            suspect = {i for i, x, _ in rows if i in gone and (x.hinted or x.menu)}
+            both = gone & shared_lines(own, other) if other else set()
+            gone = suspect if size(both) > COPIES * whole else suspect | both
     kept = [x.text for i, x, is_open in rows if not (is_open and i in gone)]
     return " ".join(kept or [x.text for _, x, _ in rows])
 
