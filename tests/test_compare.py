@@ -98,3 +98,31 @@ def test_quiet_alerts_on_a_stream(spark, tmp_path):
     q = events.quiet_alert_stream(stream, "k", "at", 100, "10 minutes").writeStream.format("memory").queryName("sent").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((x["fingerprint"], x["sent"] - 10_000) for x in spark.table("sent").collect()) == batch
+
+
+def test_longest_chains_and_cycles(spark):
+    deep = [(i, i + 1) for i in range(41)]
+    e = spark.createDataFrame([*deep, (0, 40), (5, 90), (90, 41), (100, 101), (101, 102), (102, 101), (102, 103), (7, 103), (200, 200)], "src long, dst long")
+    w = spark.createDataFrame([(i, 2 if i % 2 else 3) for i in range(41)] + [(41, 1)], "node long, weight long")
+    got = {x["node"]: (x["level"], x["length"], x["before"]) for x in g.longest(e, w).collect()}
+    weight = lambda i: 2 if i % 2 else 3
+    for i in range(41):
+        assert got[i] == (i, sum(map(weight, range(i + 1))), i - 1 if i else None)
+    assert got[41] == (41, got[40][1] + 1, 40) and got[90] == (6, got[5][1], 5) and got[100] == (0, 0, None)
+    assert set(got) == {*range(42), 90, 100}  # nothing on or behind the cycle, and no loop by itself
+    assert [x["node"] for x in g.critical_path(e, w).orderBy("length").collect()] == list(range(42))
+    assert {x["node"]: x["height"] for x in g.heights(e).collect()}[0] == 41
+    tight = {x["node"]: x["slack"] for x in g.slack(e.where("src <= 90"), w).collect()}
+    assert tight[40] == 0 and tight[90] == got[40][1] + 1 - (got[5][1] + 1)
+
+
+def test_labels_confirmed_and_unattributed(spark):
+    labels = spark.createDataFrame([("a", "x", "pii", 0.8, False), ("b", "y", "pii", 0.3, True), ("a", "k", "id", 0.6, False)], "ds string, col string, label string, confidence double, confirmed boolean")
+    columns = spark.createDataFrame([("a", "x", "b", "y"), ("b", "y", "c", "z"), ("a", None, "d", None), ("d", "q", "e", "r"), ("e", "s", "a", "x")], "src string, src_col string, dst string, dst_col string")
+    got = {(x["ds"], x["col"], x["label"]): (x["confidence"], x["confirmed"]) for x in v.propagate_labels(labels, columns).collect()}
+    assert got["b", "y", "pii"] == (0.3, True)  # what people said stays, although 0.76 arrives
+    assert got["c", "z", "pii"] == (0.285, False)
+    assert got["d", "*", "pii"] == (0.76, False) and got["d", "*", "id"] == (0.57, False)
+    assert got["e", "*", "pii"] == (0.722, False)  # goes on over an edge with columns
+    assert got["a", "*", "pii"] == (0.6859, False) and ("e", "r", "pii") not in got
+    assert [x["ds"] for x in v.violations(v.propagate_labels(labels, columns), spark.createDataFrame([("b", "pii"), ("c", "pii")], "ds string, forbid string")).collect()] == ["b"]

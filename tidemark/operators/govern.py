@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators.graph import fold_downstream, reach, spread
-from tidemark.session import materialize
+from tidemark.operators.graph import HOPS, fold_downstream, reach, spread
+from tidemark.session import Growing, materialize
 
 DAMPING = 0.95
 
@@ -60,27 +60,59 @@ def name_labels(columns: DataFrame) -> DataFrame:
     return found.select("ds", "name", F.inline(F.concat("found", F.coalesce(personal, F.array().cast("array<struct<label:string,confidence:double>>")))))
 
 
+#: Stands for a column that is not known.
+UNATTRIBUTED = "*"
+
+
 def propagate_labels(labels: DataFrame, columns: DataFrame) -> DataFrame:
-    """(ds, col, label, confidence): labels carried along column edges, damped at each hop, the largest kept.
+    """(ds, col, label, confidence, confirmed): labels carried along column edges, damped at each hop, the largest kept.
 
-    labels: ds, col, label, confidence; columns: src, src_col, dst, dst_col.
-    Each round carries only what improved until nothing does; a cycle dies out,
-    as damping improves nothing.
+    labels: ds, col, label, confidence and, if there, confirmed: what people have confirmed no
+    inference replaces, and its copies further down are inferences. columns: src, src_col, dst, dst_col;
+    an edge without columns (nulls) carries every label of its source to the column `*`, and
+    `*` goes on over edges of both kinds. A round carries what improved a few hops on and appends
+    what that improves, until nothing does; a cycle dies out, as damping improves nothing.
     """
-    best = lambda df: df.groupBy("ds", "col", "label").agg(F.max("confidence").alias("confidence"))
-    known = materialize(best(labels.select("ds", "col", "label", "confidence")), "labels")
-    front = known
+    keys = ["ds", "col", "label"]
+    best = lambda df: df.groupBy(*keys).agg(F.max("confidence").alias("confidence"))
+    confirmed = F.coalesce("confirmed", F.lit(False)) if "confirmed" in labels.columns else F.lit(False)
+    given = materialize(labels.select(*keys, "confidence", confirmed.alias("confirmed")), "labels")
+    sure = materialize(best(given.where("confirmed")), "confirmed")
+    settled = not sure.isEmpty()
+    pairs = columns.select("src", "dst").distinct()
+    star = F.lit(UNATTRIBUTED)
+    exact = columns.where("src_col is not null").select("src", "src_col", "dst", F.coalesce("dst_col", star).alias("dst_col")).unionByName(pairs.select("src", star.alias("src_col"), "dst", star.alias("dst_col")))
+    exact = materialize(exact.distinct(), "column-hops")
+    loose = materialize(columns.where("src_col is null").select("src", "dst").distinct(), "table-hops")
+    detailed = loose.isEmpty()
+    unsettled = lambda df: df.join(sure.select(*keys), keys, "left_anti") if settled else df
+    damped = F.bround(F.col("confidence") * DAMPING, 4).alias("confidence")
+
+    def hop(at: DataFrame) -> DataFrame:
+        moved = at.join(exact, (at["ds"] == exact["src"]) & (at["col"] == exact["src_col"])).select(F.col("dst").alias("ds"), F.col("dst_col").alias("col"), "label", damped)
+        if not detailed:
+            some = at.where(F.col("col") != star)
+            moved = moved.unionByName(some.join(loose, some["ds"] == loose["src"]).select(F.col("dst").alias("ds"), star.alias("col"), "label", damped))
+        return unsettled(best(moved))
+
+    known = Growing(unsettled(best(given)).unionByName(sure), "labels")
+    front = known.read()
     while not front.isEmpty():
-        moved = front.join(columns, (front["ds"] == columns["src"]) & (front["col"] == columns["src_col"])).select(F.col("dst").alias("ds"), F.col("dst_col").alias("col"), "label", F.bround(F.col("confidence") * DAMPING, 4).alias("confidence"))
-        old = known.select("ds", "col", "label", F.col("confidence").alias("had"))
-        front = materialize(best(moved).join(old, ["ds", "col", "label"], "left").where("had is null or confidence > had").drop("had"), "labels-front")
-        known = materialize(best(known.unionByName(front)), "labels")
-    return known
+        at, every = front, None
+        for _ in range(HOPS):
+            at = hop(at)
+            every = at if every is None else every.unionByName(at)
+        both = every.withColumn("new", F.lit(True)).unionByName(known.read().withColumn("new", F.lit(False)))
+        sums = both.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.max(F.when(~F.col("new"), F.col("confidence"))).alias("had"), F.bool_or("new").alias("new"))
+        front = known.append(sums.where("new and (had is null or confidence > had)"))
+    return best(known.read()).join(sure.select(*keys, F.lit(True).alias("confirmed")), keys, "left").select(*keys, "confidence", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
 
 
 def violations(labels: DataFrame, policies: DataFrame, least: float = 0.5) -> DataFrame:
-    """(ds, col, label) that a policy of the dataset forbids; policies: ds, forbid."""
-    return labels.where(F.col("confidence") >= least).join(policies.select("ds", F.col("forbid").alias("label")), ["ds", "label"], "left_semi")
+    """(ds, col, label) that a policy of the dataset forbids; policies: ds, forbid. What is confirmed counts whatever its confidence."""
+    counts = F.col("confidence") >= least
+    counts = counts | F.col("confirmed") if "confirmed" in labels.columns else counts
+    return labels.where(counts).join(policies.select("ds", F.col("forbid").alias("label")), ["ds", "label"], "left_semi").select("ds", "col", "label")
 
 
 def unmet(labels: DataFrame, required: DataFrame) -> DataFrame:

@@ -85,21 +85,77 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(e.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))).groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(node, level): the longest path from a root; nodes on or behind a cycle have none.
+#: Rounds after which a search for longest chains looks for cycles, which would keep it going for ever.
+CYCLE_CHECK = 4
+
 
-    Each round takes the nodes whose parents all have a level; the others keep
-    count of the parents they wait for.
+def longest(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(node, level, length, before): the longest chains from roots, by edges and by weight, and the node before on the heaviest one.
+
+    weights has node and weight, 0 where missing; without it every node weighs 1. Ties go to the
+    least node. Nodes on or behind a cycle have no row: in a deep graph what cycles there are is found first by
+    trimming, from both ends, all that lies on none.
     """
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    start = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).unionByName(roots(e).withColumn("n", F.lit(0).cast("long")))
-    rounds = Growing(start.withColumn("level", F.lit(0)), "levels")
-    now, level = rounds.read(), 0
-    while not (front := now.where("n = 0")).isEmpty():
-        level += 1
-        met = e.join(front, F.col("src") == F.col("node"), "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"))
-        now = rounds.append(now.where("n > 0").join(met, "node", "left").select("node", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n"), F.lit(level).alias("level")))
-    return rounds.read().where("n = 0").select("node", "level")
+    weigh = (lambda df: df.withColumn("weight", F.lit(1).cast("long"))) if weights is None else (lambda df: df.join(weights.select("node", F.col("weight").cast("long").alias("weight")), "node", "left").fillna(0, ["weight"]))
+    none = F.lit(None).cast(e.schema["src"].dataType)
+    steps = materialize(weigh(e.select(F.col("src").alias("from"), F.col("dst").alias("node"))).withColumnRenamed("node", "to"), "hops")
+    own = weigh(roots(e)).select("node", F.lit(0).alias("level"), F.struct((-F.col("weight")).alias("minus"), none.alias("before")).alias("best"))
+    onward = {"level": F.col("level") + 1, "best": F.struct((F.col("best.minus") - F.col("weight")).alias("minus"), F.col("from").alias("before"))}
+    combine = {"level": F.max, "best": F.min}
+    found = _folded(steps, own, combine, onward, CYCLE_CHECK)
+    if found is None:
+        core = cycle_core(e)
+        if not core.isEmpty():
+            on = core.select(F.col("src").alias("node")).union(core.select(F.col("dst").alias("node"))).distinct()
+            bad = materialize(spread(e, on.select(F.lit(0).alias("label"), "node")).select("node").distinct(), "behind-cycles")
+            steps = steps.join(bad.withColumnRenamed("node", "to"), "to", "left_anti").select("from", "to", "weight")
+        found = _folded(steps, own, combine, onward)
+    return found.select("node", "level", (-F.col("best.minus")).alias("length"), F.col("best.before").alias("before"))
+
+
+def cycle_core(edges: DataFrame) -> DataFrame:
+    """(src, dst) of the edges on cycles or between them; each round drops the ends of chains, a few edges deep."""
+    e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "core")
+    n = e.count()
+    while n:
+        e = materialize(_trimmed(e), "core")
+        had, n = n, e.count()
+        if n == had:
+            break
+    return e
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level): the longest path from a root; nodes on or behind a cycle have none."""
+    return longest(edges).select("node", "level")
+
+
+def heights(edges: DataFrame) -> DataFrame:
+    """(node, height): the longest path to a leaf; nodes on or before a cycle have none."""
+    return levels(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("level", "height")
+
+
+def critical_path(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(node, length): the heaviest chain, each node with the weight up to it; of equally heavy ones the one that ends at the least node.
+
+    Walked back over the stored predecessors, several of them a round.
+    """
+    chains = materialize(longest(edges, weights), "chains")
+    last = chains.orderBy(F.desc("length"), F.asc("node")).limit(1).select("node")
+    above = reach(chains.where("before is not null").select(F.col("before").alias("src"), F.col("node").alias("dst")), last, upstream=True)
+    return chains.join(above.select("node").unionByName(last), "node", "left_semi").select("node", "length")
+
+
+def slack(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(node, slack): by how much a node may grow before the heaviest chain does."""
+    down = materialize(longest(edges, weights).select("node", "length"), "chains")
+    back = longest(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), weights).select("node", F.col("length").alias("tail"))
+    whole = down.agg(F.max("length").alias("whole"))
+    weight = F.lit(1) if weights is None else F.coalesce("weight", F.lit(0))
+    both = down.join(back, "node")
+    both = both if weights is None else both.join(weights.select("node", "weight"), "node", "left")
+    return both.crossJoin(F.broadcast(whole)).select("node", (F.col("whole") - F.col("length") - F.col("tail") + weight).alias("slack"))
 
 
 def shortest_path(edges: DataFrame, start: object, end: object, max_depth: int | None = None) -> DataFrame:
@@ -196,7 +252,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "src", "dst")
 
 
-def fold_downstream(edges: DataFrame, own: DataFrame, combine: dict[str, Callable[[str], Column]]) -> DataFrame:
+def fold_downstream(edges: DataFrame, own: DataFrame, combine: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(node, and each column of combine): aggregates of the values of a node and all its ancestors.
 
     Aggregates must not depend on order or repetition (least, greatest, any): a
@@ -204,21 +260,36 @@ def fold_downstream(edges: DataFrame, own: DataFrame, combine: dict[str, Callabl
     Each round passes on only what changed, so cycles settle too. A node
     without a value and without an ancestor that has one has no row.
     """
+    return _folded(_hops(edges), own.select("node", *combine), combine, {c: F.col(c) for c in combine})
+
+
+def _folded(hops: DataFrame, own: DataFrame, combine: dict[str, Callable[[Column], Column]], onward: dict[str, Column], rounds: int | None = None) -> DataFrame | None:
+    """(node, and each column of combine): what a node and all that leads to it come to; hops (from, to, ...) turn values as `onward` says. None if `rounds` were not enough.
+
+    A round carries what changed a few hops on and appends what that changes: a node's value is the
+    fold of its rows, so no row is written again, and one aggregation finds what a round has changed.
+    """
     names = list(combine)
-    fold = lambda df: df.groupBy("node").agg(*[f(c).alias(c) for c, f in combine.items()])
-    hop = materialize(_hops(edges), "hops")
-    known = materialize(fold(own.select("node", *names)), "folded")
-    front = known
+    hop = materialize(hops, "hops")
+    fold = lambda df: df.groupBy("node").agg(*[f(F.col(c)).alias(c) for c, f in combine.items()])
+    known = Growing(fold(own), "folded")
+    front = known.read()
     while not front.isEmpty():
-        moved = front.join(hop, F.col("node") == F.col("from")).select(F.col("to").alias("node"), *names)
-        every = materialize(fold(known.unionByName(moved)), "folded")
-        had = known.select("node", F.lit(1).alias("_had"), *[F.col(c).alias(f"_{c}") for c in names])
-        same = F.lit(True)
+        if rounds == 0:
+            return None
+        rounds = rounds and rounds - 1
+        moved, every = front, None
+        for _ in range(HOPS):
+            moved = fold(moved.join(hop, F.col("node") == F.col("from")).select(F.col("to").alias("node"), *[v.alias(c) for c, v in onward.items()]))
+            every = moved if every is None else every.unionByName(moved)
+        both = every.withColumn("_new", F.lit(True)).unionByName(known.read().withColumn("_new", F.lit(False)))
+        old = lambda c: F.when(~F.col("_new"), F.col(c))
+        sums = both.groupBy("node").agg(*[f(F.col(c)).alias(c) for c, f in combine.items()], *[f(old(c)).alias(f"_{c}") for c, f in combine.items()], F.bool_or("_new").alias("_new"), F.bool_and("_new").alias("_first"))
+        differs = F.col("_first")
         for c in names:
-            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        front = every.join(had, "node", "left").where(F.col("_had").isNull() | ~same).select("node", *names)
-        known = every
-    return known
+            differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+        front = known.append(sums.where(F.col("_new") & differs).select("node", *names))
+    return fold(known.read())
 
 
 def common_ancestors(edges: DataFrame, a: object, b: object) -> DataFrame:
@@ -246,17 +317,8 @@ def approximate_reach_scores(edges: DataFrame, precision: int = 12) -> DataFrame
 
 
 def fold_sketches(edges: DataFrame, own: DataFrame) -> DataFrame:
-    """(node, n): the estimate of the union of each node's sketch with all upstream; a union that grows no estimate is not passed on."""
-    hop = materialize(_hops(edges), "hops")
-    known = materialize(own.select("node", "sketch", F.hll_sketch_estimate("sketch").alias("n")), "sketches")
-    front = known
-    while not front.isEmpty():
-        moved = front.join(hop, F.col("node") == F.col("from")).select(F.col("to").alias("node"), "sketch")
-        union = known.select("node", "sketch").unionByName(moved).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"))
-        every = materialize(union.select("node", "sketch", F.hll_sketch_estimate("sketch").alias("n")), "sketches")
-        front = every.join(known.select("node", F.col("n").alias("had")), "node").where("n > had").select("node", "sketch")
-        known = every
-    return known.select("node", "n")
+    """(node, n): the estimate of the union of each node's sketch with all upstream."""
+    return fold_downstream(edges, own.select("node", "sketch"), {"sketch": F.hll_union_agg}).select("node", F.hll_sketch_estimate("sketch").alias("n"))
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -276,6 +338,14 @@ def top(scores: DataFrame, by: str, tie: str, n: int) -> DataFrame:
     return scores.orderBy(F.desc(by), F.asc(tie)).limit(n)
 
 
+def bottlenecks(edges: DataFrame, n: int) -> DataFrame:
+    """(node, n_pairs): the n nodes that lie between the most pairs of one above and one below, ties by node."""
+    e = edges.select("src", "dst").distinct()
+    down = reach_scores(e).select("node", F.col("n_below").alias("down"))
+    up = reach_scores(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("node", F.col("n_below").alias("up"))
+    return top(down.join(up, "node").select("node", (F.col("down") * F.col("up")).alias("n_pairs")), "n_pairs", "node", n)
+
+
 def waves(edges: DataFrame, slowest: str = "level") -> DataFrame:
     """(wave, nodes): what can be rebuilt at once."""
     return levels(edges).groupBy(F.col("level").alias("wave")).agg(F.count("*").alias("n_nodes"))

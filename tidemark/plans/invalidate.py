@@ -21,14 +21,14 @@ from tidemark.session import Growing, materialize
 
 PART = "struct<name:string,any:boolean,value:string>"
 KEY = f"array<{PART}>"
-EDGE = "src string, dst string, fields array<struct<name:string,form:string,source:string,lo:int,hi:int,grain:string>>"
+EDGE = "src string, dst string, fields array<struct<name:string,form:string,source:string,lo:int,hi:int,grain:string,fine:string>>"
 #: Rounds in which a table on a cycle may gain keys; after that what reaches it makes all of it stale.
 CYCLE_ROUNDS = 8
 
 
 def edges(spark: SparkSession, hops: Iterable[tuple[str, str, Hop]]) -> DataFrame:
     """Edges as rows; each hop maps every field of the output table."""
-    rows = [(a, b, [(n, r.form, r.source, r.lo, r.hi, r.grain) for n, r in sorted(hop.items())]) for a, b, hop in hops]
+    rows = [(a, b, [(n, r.form, r.source, r.lo, r.hi, r.grain, r.fine) for n, r in sorted(hop.items())]) for a, b, hop in hops]
     return spark.createDataFrame(rows, EDGE)
 
 

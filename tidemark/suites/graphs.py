@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph as g
+from tidemark.plans import effective
 from tidemark.suites import long, table
 
 
@@ -30,6 +31,31 @@ def _seeds(spark: SparkSession, *nodes: int) -> DataFrame:
     return spark.createDataFrame([(n,) for n in nodes], "node long")
 
 
+def mapped_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The part graph with mappings: parts from 64 on are monthly, the others daily; every fourth part's edges are known twice."""
+    grain = lambda k: F.when(k < 64, "day").otherwise("month")
+    none, src, dst = F.lit(None).cast("string"), F.col("src"), F.col("dst")
+    part = lambda name, form, source, lo, hi, g, fine: F.struct(F.lit(name).alias("name"), form.alias("form"), source.alias("source"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), g.alias("grain"), fine.alias("fine"))
+    free = dst % 5 == 0
+    region = part("region", F.when(free, "any").otherwise("same"), F.when(~free, "region"), F.lit(0), F.lit(0), none, none)
+    dt = lambda lo: part("dt", F.lit("window"), F.lit("dt"), lo, dst % 3, grain(dst), grain(src))
+    e = part_edges(spark, sf)
+    once = e.select("src", "dst", F.array(dt(-(src % 2)), region).alias("fields"))
+    return once.unionByName(e.where(dst % 4 == 0).select("src", "dst", F.array(dt(-(src % 2) - 1), region).alias("fields")))
+
+
+def effective_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    """How partitions of two parts reach all parts below them, over every path."""
+    return effective.closure(mapped_edges(spark, sf), _seeds(spark, 1, 5)).select("root", "node", "field", *effective.VALUE)
+
+
+def path_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    """What the path to each part from the part of a quarter of its key implies; an odd one out has no such path."""
+    k = F.col("p_partkey")
+    paths = table(spark, sf, "part").where(k >= 8).select(k.alias("id"), F.array(F.floor(k / 4), F.when(k % 7 == 0, k).otherwise(F.floor(k / 2)), k).alias("path"))
+    return effective.along(mapped_edges(spark, sf), paths).select("id", "field", *effective.VALUE)
+
+
 def bfs_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return g.reach(part_edges(spark, sf), _seeds(spark, 1, 7)).select("seed", "node", long("depth").alias("depth"))
 
@@ -118,7 +144,34 @@ def chain_levels(spark: SparkSession, sf: str) -> DataFrame:
     return g.levels(chain.unionByName(leaves)).select("node", long("level").alias("level"))
 
 
-_NAMES = (bfs_descendants, bfs_ancestors, bfs_limited, roots_leaves, node_degrees, level_depths, shortest_distance, simple_paths, reach_scores, most_depended_on, lowest_common_ancestors, weak_components, strong_components, graph_diff, freshness_fold, long_rings, chain_levels)
+def _minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """How long each part takes to build."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("weight"))
+
+
+def longest_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """The heaviest chain of builds up to every part."""
+    return g.longest(part_edges(spark, sf), _minutes(spark, sf)).select("node", long("level").alias("level"), "length")
+
+
+def critical_path(spark: SparkSession, sf: str) -> DataFrame:
+    """What no parallelism shortens: the heaviest chain of all."""
+    return g.critical_path(part_edges(spark, sf), _minutes(spark, sf))
+
+
+def node_heights(spark: SparkSession, sf: str) -> DataFrame:
+    return g.heights(part_edges(spark, sf)).select("node", long("height").alias("height"))
+
+
+def build_slack(spark: SparkSession, sf: str) -> DataFrame:
+    return g.slack(part_edges(spark, sf), _minutes(spark, sf))
+
+
+def bottleneck_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return g.bottlenecks(part_edges(spark, sf), 10)
+
+
+_NAMES = (bfs_descendants, bfs_ancestors, bfs_limited, roots_leaves, node_degrees, level_depths, shortest_distance, simple_paths, reach_scores, most_depended_on, lowest_common_ancestors, weak_components, strong_components, graph_diff, freshness_fold, effective_mappings, path_mappings, longest_chains, critical_path, node_heights, build_slack, bottleneck_parts, long_rings, chain_levels)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _E = """e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey * 3]) AS dst FROM part)
@@ -163,3 +216,30 @@ ORACLE_SQL |= {
     "chain_levels": "SELECT -i AS node, i - 1 AS level FROM range(1, 101) t(i) UNION ALL SELECT p_partkey, p_partkey % 100 + 1 FROM part",
 }
 ORACLE_SQL["schedule_waves"] = ORACLE_SQL["level_depths"].replace("SELECT node, max(level) AS level FROM l GROUP BY node", "SELECT level AS wave, count(*) AS n_nodes FROM (SELECT node, max(level) AS level FROM l GROUP BY node) GROUP BY 1")
+_WEIGHTED = f"""WITH RECURSIVE {_ALL}, w AS (SELECT p_partkey AS node, p_size::BIGINT AS weight FROM part),
+top AS (SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e)), leaf AS (SELECT DISTINCT dst AS node FROM e WHERE dst NOT IN (SELECT src FROM e)),
+l AS (SELECT node, 0::BIGINT AS level, weight AS length FROM top JOIN w USING (node) UNION SELECT e.dst, level + 1, length + weight FROM l JOIN e ON e.src = l.node JOIN w ON w.node = e.dst),
+b AS (SELECT node, weight AS tail FROM leaf JOIN w USING (node) UNION SELECT e.src, tail + weight FROM b JOIN e ON e.dst = b.node JOIN w ON w.node = e.src),
+d AS (SELECT node, max(level) AS level, max(length) AS length FROM l GROUP BY node)"""
+_MAPPED = f"""WITH RECURSIVE {_ALL},
+m AS (SELECT src, dst, -(src % 2) - CASE WHEN dst % 4 = 0 THEN 1 ELSE 0 END AS lo, dst % 3 AS hi, CASE WHEN src < 64 THEN 'day' ELSE 'month' END AS fine, CASE WHEN dst < 64 THEN 'day' ELSE 'month' END AS grain, dst % 5 <> 0 AS region FROM e)"""
+_THROUGH = """CASE WHEN {r}.grain = m.grain THEN {r}.lo WHEN {r}.lo >= 0 THEN 0 ELSE -(ceil(-{r}.lo / 28)::BIGINT + 1) END + m.lo AS lo,
+  CASE WHEN {r}.grain = m.grain THEN {r}.hi ELSE CASE WHEN {r}.hi <= 0 THEN 0 ELSE ceil({r}.hi / 28)::BIGINT + 1 END + 1 END + m.hi AS hi"""
+ORACLE_SQL |= {
+    "longest_chains": f"{_WEIGHTED} SELECT node, level, length FROM d",
+    "critical_path": f"""{_WEIGHTED}, c AS (
+  SELECT node, length FROM (SELECT node, length FROM d ORDER BY length DESC, node LIMIT 1)
+  UNION ALL SELECT (x).node, (x).length FROM (SELECT (SELECT min(struct_pack(minus := -d.length, node := d.node, length := d.length)) FROM e JOIN d ON d.node = e.src WHERE e.dst = c.node) AS x FROM c) WHERE x IS NOT NULL)
+SELECT node, length FROM c""",
+    "node_heights": f"WITH RECURSIVE {_ALL}, b AS (SELECT DISTINCT dst AS node, 0::BIGINT AS height FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, height + 1 FROM b JOIN e ON e.dst = b.node) SELECT node, max(height) AS height FROM b GROUP BY node",
+    "build_slack": f"{_WEIGHTED}, t AS (SELECT node, max(tail) AS tail FROM b GROUP BY node) SELECT node, (SELECT max(length) FROM d) - length - tail + weight AS slack FROM d JOIN t USING (node) JOIN w USING (node)",
+    "bottleneck_parts": f"WITH RECURSIVE {_ALL}, {_CLOSURE}, x AS (SELECT src AS node, count(*) AS down FROM r GROUP BY 1), y AS (SELECT dst AS node, count(*) AS up FROM r GROUP BY 1) SELECT node, down * up AS n_pairs FROM x JOIN y USING (node) ORDER BY 2 DESC, 1 LIMIT 10",
+    "effective_mappings": f"""{_MAPPED}, r AS (SELECT src AS root, dst AS node, lo, hi, grain, region FROM m WHERE src IN (1, 5)
+  UNION SELECT root, m.dst, {_THROUGH.format(r="r")}, m.grain, r.region AND m.region FROM r JOIN m ON m.src = r.node)
+SELECT root, node, 'dt' AS field, 'window' AS form, 'dt' AS source, 'day' AS fine, grain, min(lo)::BIGINT AS lo, max(hi)::BIGINT AS hi FROM r GROUP BY root, node, grain
+UNION ALL SELECT root, node, 'region', CASE WHEN bool_and(region) THEN 'same' ELSE 'any' END, CASE WHEN bool_and(region) THEN 'region' END, NULL, NULL, 0, 0 FROM r GROUP BY root, node""",
+    "path_mappings": f"""{_MAPPED}, p AS (SELECT p_partkey AS id, p_partkey // 4 AS a, CASE WHEN p_partkey % 7 = 0 THEN p_partkey ELSE p_partkey // 2 END AS b FROM part WHERE p_partkey >= 8),
+x AS (SELECT id, f.fine, m.grain, {_THROUGH.format(r="f")}, f.region AND m.region AS region FROM p JOIN m f ON f.src = a AND f.dst = b JOIN m ON m.src = b AND m.dst = id)
+SELECT id, 'dt' AS field, CASE WHEN x.id IS NULL THEN 'any' ELSE 'window' END AS form, CASE WHEN x.id IS NOT NULL THEN 'dt' END AS source, fine, grain, coalesce(lo, 0)::BIGINT AS lo, coalesce(hi, 0)::BIGINT AS hi FROM p LEFT JOIN x USING (id)
+UNION ALL SELECT id, 'region', CASE WHEN region THEN 'same' ELSE 'any' END, CASE WHEN region THEN 'region' END, NULL, NULL, 0, 0 FROM p LEFT JOIN x USING (id)""",
+}
