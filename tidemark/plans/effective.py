@@ -102,13 +102,13 @@ def closure(graph: DataFrame, roots: DataFrame) -> DataFrame:
         for _ in range(HOPS):
             moved = joined(_onward(moved, hops, ["root"]), keys)
             every = moved if every is None else every.unionByName(moved)
-        if rounds > CYCLE_ROUNDS:
-            if cyclic is None:
-                cyclic = materialize(cyclic_nodes(graph).withColumn("_on", F.lit(True)), "cyclic")
-            every = every.join(cyclic, "node", "left").select(*keys, *_value({c: F.col(c) for c in VALUE}, F.col("_on").isNull()))
         was = joined(known.read(), keys).select(*keys, F.struct(*VALUE).alias("was"))
         wider = joined(every.unionByName(known.read()), keys)
         changed = wider.join(every.select(*keys).distinct(), keys, "left_semi").join(was, keys, "left").where(F.col("was").isNull() | ~F.struct(*VALUE).eqNullSafe(F.col("was")))
+        if rounds > CYCLE_ROUNDS:
+            if cyclic is None:
+                cyclic = materialize(cyclic_nodes(graph).withColumn("_on", F.lit(True)), "cyclic")
+            changed = changed.join(cyclic, "node", "left").select(*keys, *_value({c: F.col(c) for c in VALUE}, F.col("_on").isNull()))
         new = known.append(changed)
         front = materialize(joined(known.read().join(new.select("root", "node").distinct(), ["root", "node"], "left_semi"), keys), "widened")
     return joined(known.read(), keys)

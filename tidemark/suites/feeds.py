@@ -13,7 +13,7 @@ from tidemark.operators import ml, observe
 from tidemark.plans import store
 from tidemark.plans.naming import parse_spec
 from tidemark.session import shared_dir
-from tidemark.sources import dbt, delta, feeds, iceberg, sqllineage
+from tidemark.sources import dbt, delta, feeds, iceberg, registered, sqllineage
 from tidemark.suites import day, digits, long, minute, table
 
 #: Statements of a log, and what each says: its target, (source, its column, target's column) and (source, field, form, source's field, grain, lo, hi). {c} is the number of a shop.
@@ -96,8 +96,8 @@ def _write_as(df: DataFrame, path: str, kind: str) -> None:
     fs.rename(p(part), p(path))
 
 
-def delta_checkpoint_log(spark: SparkSession, sf: str) -> DataFrame:
-    """A table of the nations' files: commits 0 to 2, a checkpoint of what was live at 1, and an incomplete later one."""
+def delta_table(spark: SparkSession, sf: str) -> str:
+    """The folder of a table of the nations' files: commits 0 to 3, a checkpoint of what was live at 1, and an incomplete later one."""
     root = f"{shared_dir(spark)}/tidemark/delta-{uuid.uuid4().hex}"
     log = f"{root}/_delta_log/"
     n = table(spark, sf, "nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("path"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("partitionValues"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("modificationTime"), F.lit(True).alias("dataChange"), F.col("n_nationkey").alias("k"))
@@ -109,7 +109,27 @@ def delta_checkpoint_log(spark: SparkSession, sf: str) -> DataFrame:
     _write_as(add(n.where("k >= 20")), f"{log}{2:020}.json", "json")
     _write_as(remove(n.where("k = 5")), f"{log}{3:020}.json", "json")
     _write_as(add(n.where("k = 0")), f"{log}{3:020}.checkpoint.{1:010}.{2:010}.parquet", "parquet")
-    return delta.live_files(delta.read_log(spark, root))
+    return root
+
+
+def delta_checkpoint_log(spark: SparkSession, sf: str) -> DataFrame:
+    return delta.live_files(delta.read_log(spark, delta_table(spark, sf)))
+
+
+def delta_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the source by name."""
+    registered.register(spark)
+    return delta.live_files(spark.read.format("tidemark_delta").load(delta_table(spark, sf)))
+
+
+def listed_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Months of orders that a listing by name finds among a table's files, of years after 1996, with the files' sizes known."""
+    registered.register(spark)
+    path = f"{shared_dir(spark)}/tidemark/listed-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+    o.repartition("y", "m").write.partitionBy("y", "m").parquet(path)
+    files = spark.read.format("tidemark_listing_pruned").load(path).where("size > 0")
+    return files.select(F.col("partition")["y"].cast("int").alias("y"), F.col("partition")["m"].cast("int").alias("m")).where("y > 1996").distinct()
 
 
 def _entries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +309,7 @@ def closest_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = (
-    sql_column_lineage, sql_partition_reach, statement_lineage, delta_checkpoint_log, iceberg_changes, iceberg_expired, iceberg_partitions, changed_partition_metadata, altered_tables, located_changes, query_log, engine_lineage, listing_since_token, listing_token,
+    sql_column_lineage, sql_partition_reach, statement_lineage, delta_checkpoint_log, delta_source, listed_partitions, iceberg_changes, iceberg_expired, iceberg_partitions, changed_partition_metadata, altered_tables, located_changes, query_log, engine_lineage, listing_since_token, listing_token,
     merged_graph, appended_events, dumped_tables, full_rebuild, erased_files, dbt_tables, dbt_edges, span_times, shared_passages, overlap_coefficient, rendered_prompts, closest_names,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -318,6 +338,8 @@ FROM (SELECT dst, src, field, count(DISTINCT (form, source, grain)) AS n, min(fo
 WITH {_RUNS}, x AS (SELECT DISTINCT k, c, n_runs, s, replace(e.dst, '{{c}}', c) AS dst, replace(src, '{{c}}', c) AS src FROM r JOIN (VALUES {_values((k, s, dst, e[0]) for k, (s, dst, es, _) in enumerate(FORMS) for e in es)}) e(k, s, dst, src) USING (k))
 SELECT dst, src, count(DISTINCT replace(s, '{{c}}', c)) AS n_statements, sum(n_runs)::BIGINT AS n_runs FROM x GROUP BY dst, src""",
     "delta_checkpoint_log": "SELECT 'f' || n_nationkey AS path FROM nation WHERE n_nationkey BETWEEN 3 AND 9 AND n_nationkey <> 5 OR n_nationkey >= 20",
+    "delta_source": "SELECT 'f' || n_nationkey AS path FROM nation WHERE n_nationkey BETWEEN 3 AND 9 AND n_nationkey <> 5 OR n_nationkey >= 20",
+    "listed_partitions": "SELECT DISTINCT year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m FROM orders WHERE year(o_orderdate) > 1996",
     "iceberg_changes": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS dt, true AS complete FROM orders WHERE year(o_orderdate) > 1999",
     "iceberg_expired": "SELECT false AS complete, count(DISTINCT o_orderdate::DATE) AS n FROM orders",
     "iceberg_partitions": """
