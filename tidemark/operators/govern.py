@@ -163,6 +163,25 @@ def crossings(edges: DataFrame, owners: DataFrame, grants: DataFrame | None = No
     return e if grants is None else e.join(grants, ["from_tenant", "to_tenant"], "left_anti")
 
 
+def inherited_grants(members: DataFrame, inherits: DataFrame, grants: DataFrame) -> DataFrame:
+    """grants (role and what `decide` needs) of each principal, through the roles that its roles inherit, with the role that carried each.
+
+    members: principal, role; inherits: role, parent. A role that inherits itself, however far around, ends there.
+    """
+    every = members.sparkSession.sql(
+        """
+        WITH RECURSIVE held(role, carried, path) AS (
+          SELECT role, role, array(role) FROM (SELECT DISTINCT role FROM {members})
+          UNION ALL
+          SELECT h.role, i.parent, concat(h.path, array(i.parent)) FROM held h JOIN {inherits} i ON h.carried = i.role WHERE NOT array_contains(h.path, i.parent)
+        )
+        SELECT DISTINCT role, carried FROM held
+        """,
+        members=members.select("role"), inherits=inherits.select("role", "parent"),
+    )
+    return members.join(every, "role").select("principal", "carried").distinct().join(grants.withColumnRenamed("role", "carried"), "carried")
+
+
 def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """(requests, decision): deny before allow, a grant below the sensitivity is no grant, nothing is a denial.
 

@@ -10,8 +10,9 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -95,8 +96,62 @@ def quiet_alert_stream(alerts: DataFrame, fingerprint: str, at: str, window_seco
     return rows.groupBy("fingerprint").applyInPandasWithState(step, "fingerprint string, sent long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def restatements(arrivals: DataFrame, ts: str, key: str, digest: str, lateness: str) -> DataFrame:
-    """(key, n, versions) on a stream or a batch: keys that arrived with more than one digest within the lateness, by window of it."""
-    e = arrivals.withWatermark(ts, lateness)
-    g = e.groupBy(F.window(ts, lateness).alias("w"), key).agg(F.count("*").alias("n"), F.approx_count_distinct(digest, 0.01).alias("versions"))
-    return g.where("versions > 1").select(key, "n", "versions")
+def _restated(n: Column, versions: Column, unknown: Column) -> Column:
+    return (n > 1) & ((versions > 1) | unknown)
+
+
+def restatements(arrivals: DataFrame, ts: str, key: str, digest: str, keep: str) -> DataFrame:
+    """(key, n, versions): keys that arrived more than once, not always with the same digest; one without a digest cannot be told from the others.
+
+    On a stream every arrival of such a key gives its numbers so far, the last of which are those of a batch
+    over the same rows. Digests are held with their counts until no arrival of the key has come for
+    `keep` (a number of seconds, minutes, hours or days) of event time, so versions are counted exactly however far apart they are within it.
+    """
+    rows = arrivals.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(digest).cast("string"), F.lit("")).alias("digest"), F.col(ts).cast("timestamp").alias("at"))
+    if not arrivals.isStreaming:
+        g = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("digest").alias("versions"), F.bool_or(F.col("digest") == "").alias("unknown"))
+        return g.where(_restated(F.col("n"), F.col("versions"), F.col("unknown"))).select("key", "n", "versions")
+    spark = arrivals.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    number, unit = keep.split()
+    held = int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000
+    return rows.withWatermark("at", keep).groupBy("key").transformWithStateInPandas(_Versions(held), "key string, n long, versions long", "Update", "EventTime")
+
+
+class _Versions(StatefulProcessor):
+    """Counts of each digest of a key, cleared when its timer runs out."""
+
+    def __init__(self, held_ms: int):
+        self.held_ms = held_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.digests = handle.getMapState("digests", "digest string", "n long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+        last = self.timer.get()[0] if self.timer.exists() else None
+        for frame in rows:
+            for digest, n in frame["digest"].value_counts().items():
+                had = self.digests.getValue((digest,))[0] if self.digests.containsKey((digest,)) else 0
+                self.digests.updateValue((digest,), (had + int(n),))
+            newest = int(frame["at"].max().timestamp() * 1000) + self.held_ms
+            due = newest if last is None else max(last, newest)
+            if due != last:
+                if last is not None:
+                    self.handle.deleteTimer(last)
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
+                last = due
+        found = {d[0]: n[0] for d, n in self.digests.iterator()}
+        total = sum(found.values())
+        if total > 1 and (len(found) > 1 or "" in found):
+            yield pd.DataFrame({"key": [key[0]], "n": [total], "versions": [len(found)]})
+
+    def handleExpiredTimer(self, key: tuple, timer_values: object, expired: object) -> Iterator[pd.DataFrame]:
+        self.digests.clear()
+        self.timer.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="str"), "n": pd.Series([], dtype="int64"), "versions": pd.Series([], dtype="int64")})
+
+    def close(self) -> None:
+        pass

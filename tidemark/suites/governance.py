@@ -132,6 +132,19 @@ def rbac_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return v.decide(requests, grants).select("id", "decision")
 
 
+def rbac_inherited(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers have their nation's role, which inherits its region's; the first three regions inherit each other in a ring."""
+    members = table(spark, sf, "customer").select(F.col("c_custkey").alias("principal"), F.concat(F.lit("n"), "c_nationkey").alias("role"))
+    inherits = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("role"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    region = table(spark, sf, "region").select(F.col("r_regionkey").alias("r"))
+    ring = region.where("r < 3").select(F.concat(F.lit("r"), "r").alias("role"), F.concat(F.lit("r"), (F.col("r") + 1) % 3).alias("parent"))
+    grants = region.select(F.concat(F.lit("r"), "r").alias("role"), F.lit("read").alias("action"), F.concat(F.lit("^gold\\.r"), "r", F.lit("$")).alias("pattern"), (F.col("r") % 3).cast("int").alias("ceiling"), F.when(F.col("r") == 4, "deny").otherwise("allow").alias("effect"))
+    held = v.inherited_grants(members, inherits.unionByName(ring), grants)
+    k = F.col("c_custkey")
+    requests = table(spark, sf, "customer").select(k.alias("id"), k.alias("principal"), F.lit("read").alias("action"), F.concat(F.lit("gold.r"), k % 5).alias("ds"), (k % 2).cast("int").alias("sensitivity"))
+    return v.decide(requests, held).select("id", "decision")
+
+
 def column_redaction(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", redact(F.col("c_name"), 4).alias("c_name"))
 
@@ -174,7 +187,7 @@ def affected_assets(spark: SparkSession, sf: str) -> DataFrame:
     return reach(part_edges(spark, sf), bad).groupBy("node").agg(F.count("*").alias("n_sources"))
 
 
-_NAMES = (label_propagation, policy_violations, unmet_requirements, column_lineage, name_labels, licence_propagation, purpose_intersection, consent_expired, residency_breaches, k_anonymity, singling_out, k_upper_bound, linkage_pairs, tenant_crossings, rbac_decisions, column_redaction, subject_digests, erasure_locations, audit_chain_breaks, audit_summary, affected_assets)
+_NAMES = (label_propagation, policy_violations, unmet_requirements, column_lineage, name_labels, licence_propagation, purpose_intersection, consent_expired, residency_breaches, k_anonymity, singling_out, k_upper_bound, linkage_pairs, tenant_crossings, rbac_decisions, rbac_inherited, column_redaction, subject_digests, erasure_locations, audit_chain_breaks, audit_summary, affected_assets)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _E = """e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey * 3]) AS dst FROM part)
@@ -216,6 +229,11 @@ JOIN supplier ON l_suppkey = s_suppkey JOIN n s ON s_nationkey = s.n_nationkey W
     "tenant_crossings": f"""WITH {_ALL} SELECT src, dst, 't' || src % 4 AS from_tenant, 't' || dst % 4 AS to_tenant FROM e WHERE src % 10 <> 9 AND dst % 10 <> 9 AND src % 4 <> dst % 4 AND NOT (src % 4 = 1 AND dst % 4 = 2)""",
     "rbac_decisions": """
 SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'allow' WHEN c_mktsegment LIKE 'BUILD%' THEN 'deny' WHEN c_mktsegment LIKE 'B%' THEN CASE WHEN c_custkey % 3 > 1 THEN 'too_sensitive' ELSE 'allow' END ELSE 'no_grant' END AS decision FROM customer""",
+    "rbac_inherited": """
+WITH RECURSIVE i AS (SELECT 'n' || n_nationkey AS role, 'r' || n_regionkey AS parent FROM nation UNION SELECT 'r' || r_regionkey, 'r' || ((r_regionkey + 1) % 3) FROM region WHERE r_regionkey < 3),
+h AS (SELECT role, role AS carried FROM i UNION SELECT h.role, i.parent FROM h JOIN i ON h.carried = i.role),
+g AS (SELECT c_custkey, r_regionkey AS r FROM customer JOIN h ON role = 'n' || c_nationkey JOIN region ON carried = 'r' || r_regionkey WHERE r_regionkey = c_custkey % 5)
+SELECT c.c_custkey AS id, CASE WHEN r = 4 THEN 'deny' WHEN r IS NULL THEN 'no_grant' WHEN c.c_custkey % 2 > r % 3 THEN 'too_sensitive' ELSE 'allow' END AS decision FROM customer c LEFT JOIN g USING (c_custkey)""",
     "column_redaction": "SELECT c_custkey, left(c_name, 4) || '***' AS c_name FROM customer",
     "subject_digests": f"SELECT c_custkey, sha256(concat_ws(chr(31), '{SALT}', 'c_custkey', c_custkey::VARCHAR)) AS digest FROM customer",
     "erasure_locations": f"WITH RECURSIVE {_ALL}, r AS (SELECT p_partkey AS node FROM part WHERE p_partkey IN (5, 9) UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph as g
-from tidemark.plans import effective
+from tidemark.plans import effective, history
+from tidemark.session import shared_dir
 from tidemark.suites import long, table
 
 
@@ -171,7 +174,30 @@ def bottleneck_parts(spark: SparkSession, sf: str) -> DataFrame:
     return g.bottlenecks(part_edges(spark, sf), 10)
 
 
-_NAMES = (bfs_descendants, bfs_ancestors, bfs_limited, roots_leaves, node_degrees, level_depths, shortest_distance, simple_paths, reach_scores, most_depended_on, lowest_common_ancestors, weak_components, strong_components, graph_diff, freshness_fold, effective_mappings, path_mappings, longest_chains, critical_path, node_heights, build_slack, bottleneck_parts, long_rings, chain_levels)
+def _recorded(spark: SparkSession, sf: str) -> str:
+    """The folder of a history: part edges day by day, each day without every eleventh and with every thirteenth of them mapped anew; the fourth day's graph is the third's."""
+    path = f"{shared_dir(spark)}/tidemark/history-{uuid.uuid4().hex}"
+    e = part_edges(spark, sf)
+    parent = None
+    for k in (0, 1, 2, 2):
+        value = F.when((F.col("src") + k) % 13 == 0, F.lit(f"new{k}")).otherwise("old")
+        row = history.record(spark, path, e.where((F.col("src") + k) % 11 != 0).select("src", "dst", value.alias("value")), f"2024-01-0{k + 1} 00:00:00", parent=parent)
+        parent = row["digest"]
+    return path
+
+
+def graph_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """How many edges of each mapping a recorded graph had at moments before, between and at its revisions."""
+    at = F.explode(F.array(*[F.to_timestamp(F.lit(t)) for t in ("2023-12-31 00:00:00", "2024-01-01 00:00:00", "2024-01-02 12:00:00", "2024-01-09 00:00:00")])).alias("at")
+    held = history.as_of(spark, _recorded(spark, sf), spark.range(1).select(at))
+    return held.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day"), "value").agg(F.count("*").alias("n"), F.sum(F.col("src").cast("long") * F.col("dst").cast("long")).alias("mark"))
+
+
+def revision_log(spark: SparkSession, sf: str) -> DataFrame:
+    return history.revisions(spark, _recorded(spark, sf)).select("number", "added", "removed", "changed")
+
+
+_NAMES = (bfs_descendants, bfs_ancestors, bfs_limited, roots_leaves, node_degrees, level_depths, shortest_distance, simple_paths, reach_scores, most_depended_on, lowest_common_ancestors, weak_components, strong_components, graph_diff, graph_as_of, revision_log, freshness_fold, effective_mappings, path_mappings, longest_chains, critical_path, node_heights, build_slack, bottleneck_parts, long_rings, chain_levels)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _E = """e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey * 3]) AS dst FROM part)
@@ -243,3 +269,9 @@ x AS (SELECT id, f.fine, m.grain, {_THROUGH.format(r="f")}, f.region AND m.regio
 SELECT id, 'dt' AS field, CASE WHEN x.id IS NULL THEN 'any' ELSE 'window' END AS form, CASE WHEN x.id IS NOT NULL THEN 'dt' END AS source, fine, grain, coalesce(lo, 0)::BIGINT AS lo, coalesce(hi, 0)::BIGINT AS hi FROM p LEFT JOIN x USING (id)
 UNION ALL SELECT id, 'region', CASE WHEN region THEN 'same' ELSE 'any' END, CASE WHEN region THEN 'region' END, NULL, NULL, 0, 0 FROM p LEFT JOIN x USING (id)""",
 }
+_REVISED = _ALL + """, h AS (SELECT k, src, dst, CASE WHEN (src + k) % 13 = 0 THEN 'new' || k ELSE 'old' END AS value FROM e, (VALUES (0), (1), (2)) r(k) WHERE (src + k) % 11 <> 0)"""
+ORACLE_SQL |= {
+    "graph_as_of": f"WITH {_REVISED} SELECT day, value, count(*) AS n, sum(src * dst)::BIGINT AS mark FROM h JOIN (VALUES (0, '2024-01-01'), (1, '2024-01-02'), (2, '2024-01-09')) d(k, day) USING (k) GROUP BY ALL",
+    "revision_log": f"""WITH {_REVISED}, x AS (SELECT coalesce(a.k + 1, b.k) AS number, a.value AS had, b.value AS value FROM (SELECT * FROM h WHERE k < 2) a FULL JOIN h b ON a.k + 1 = b.k AND a.src = b.src AND a.dst = b.dst)
+SELECT number::BIGINT AS number, count(*) FILTER (had IS NULL) AS added, count(*) FILTER (value IS NULL) AS removed, count(*) FILTER (value <> had) AS changed FROM x GROUP BY 1""",
+}

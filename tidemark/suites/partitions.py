@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import LEAST_SPAN, arrival_lag, reached, truncate, widened_window
 from tidemark.operators import graph as g
-from tidemark.plans import rebuild
+from tidemark.plans import measures, rebuild
 from tidemark.plans.invalidate import edges, invalidate, key, shown, stamp
 from tidemark.plans.lattice import same, trailing, window
+from tidemark.session import shared_dir
 from tidemark.suites import day, digits, long, minute, table
 
 #: The partition that lands late in the examples.
@@ -78,6 +80,17 @@ def window_conversions(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select("fine", "coarse", "lo", "hi", F.col("w.lo").alias("out_lo"), F.col("w.hi").alias("out_hi"))
 
 
+PRICES = (50_000.0, 150_000.0, 400_000.0)
+
+
+def observed_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """What a rebuild of orders by priority counts of the rows it writes."""
+    path = f"{shared_dir(spark)}/tidemark/observed-{uuid.uuid4().hex}"
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    m = measures.Measures({"rows": F.lit(1), "cents": cents, "urgent": (F.col("priority") == "1-URGENT").cast("int")}, {"last_key": F.col("o_orderkey")}, {"price": (F.col("o_totalprice"), PRICES)})
+    return measures.write(_orders(spark, sf), path, m, ["priority"]).where("kind <> 'sum'").select("name", "kind", F.coalesce("bucket", F.lit(0.0)).alias("bucket"), "value")
+
+
 def predicate_rows(spark: SparkSession, sf: str) -> DataFrame:
     keys = [{"o_orderdate": "1996-03-01 00:00:00", "o_orderpriority": "1-URGENT"}, {"o_orderdate": "1997-01-01 00:00:00"}, {"o_orderdate": "1997-01-01 00:00:00"}]
     return table(spark, sf, "orders").where(rebuild.predicate(keys, {"o_orderdate": "month"})).select("o_orderkey", "o_custkey")
@@ -170,7 +183,7 @@ def schedule_waves(spark: SparkSession, sf: str) -> DataFrame:
     return g.waves(part_edges(spark, sf)).select(long("wave").alias("wave"), "n_nodes")
 
 
-_NAMES = (invalidation_plan, partition_fingerprints, partition_digest_sums, distinct_partitions, dirty_keys_day_to_month, trailing_7d_keys, hour_rollup, window_conversions, predicate_rows, incremental_rebuild, shadow_touched, shadow_sound, shadow_unsound, subject_erasure_rows, schedule_batches, arrival_lags, late_arrivals, rebuild_cost, schedule_waves)
+_NAMES = (invalidation_plan, partition_fingerprints, partition_digest_sums, distinct_partitions, dirty_keys_day_to_month, trailing_7d_keys, hour_rollup, window_conversions, observed_rebuild, predicate_rows, incremental_rebuild, shadow_touched, shadow_sound, shadow_unsound, subject_erasure_rows, schedule_batches, arrival_lags, late_arrivals, rebuild_cost, schedule_waves)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _LATE = "SELECT * FROM orders WHERE o_orderkey % 97 = 0 AND o_custkey % 3 = 0"
@@ -205,6 +218,9 @@ FROM orders GROUP BY 1, 2""",
     "window_conversions": f"""
 SELECT fine, coarse, lo, hi, CASE WHEN lo >= 0 THEN 0 ELSE -(ceil(-lo / least)::BIGINT + 1) END AS out_lo, CASE WHEN hi <= 0 THEN 0 ELSE ceil(hi / least)::BIGINT + 1 END + 1 AS out_hi
 FROM (SELECT DISTINCT -(l_shipdate::DATE - o_orderdate::DATE) AS lo, (l_shipdate::DATE - o_orderdate::DATE) + l_linenumber AS hi FROM orders JOIN lineitem ON l_orderkey = o_orderkey), (VALUES {", ".join(f"('{f}', '{c}', {LEAST_SPAN[f, c]})" for f, c in CONVERSIONS)}) v(fine, coarse, least)""",
+    "observed_rebuild": f"""
+SELECT name, kind, 0::DOUBLE AS bucket, value::DOUBLE AS value FROM (SELECT unnest(['rows', 'cents', 'urgent', 'last_key']) AS name, unnest(['counter', 'counter', 'counter', 'gauge']) AS kind, unnest([count(*), sum(round(o_totalprice * 100)::BIGINT), count(*) FILTER (o_orderpriority = '1-URGENT'), max(o_orderkey)]) AS value FROM orders)
+UNION ALL SELECT 'price', 'histogram', b, (SELECT count(*) FROM orders WHERE o_totalprice <= b)::DOUBLE FROM (VALUES {", ".join(f"({p}::DOUBLE)" for p in PRICES)}, ('inf'::DOUBLE)) v(b)""",
     "predicate_rows": """
 SELECT o_orderkey, o_custkey FROM orders
 WHERE (date_trunc('month', o_orderdate) = TIMESTAMP '1996-03-01' AND o_orderpriority = '1-URGENT') OR date_trunc('month', o_orderdate) = TIMESTAMP '1997-01-01'""",
