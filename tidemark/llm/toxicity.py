@@ -13,16 +13,23 @@ toxic documents; the fold's own toxic words that gain more under it than nearly
 all ordinary words do are what the next dictionaries are trained on. A document
 never chooses by a dictionary that it made itself.
 
+There are two such pairs of dictionaries (`VIEWS`): one whose ordinary dictionary
+holds every ordinary word that fits, so a gain means a word that ordinary text does not have, and one
+whose smaller ordinary dictionary holds what is frequent in ordinary text, so a
+gain also means a beginning or word that toxic text has far more often. The first is surer, the second
+needs fewer examples.
+
 A document is scored by windows of one word: longer ones blur a short word's gain
 of two to four bytes (the README has the figures). Logistic regression on the
-document's gains (the largest, and the numbers of windows above several
+document's gains under both pairs (the largest, and the numbers of windows above several
 thresholds), fitted on gains under the other fold's dictionary, calibrates the
 thresholds; its output is the score.
 
 Training takes a bounded sample of the labelled rows: about `TOXIC_DOCS` and
 `ORDINARY_DOCS` documents, by a hash of their ids, one row of each id, of a long
 one a stretch of `MAX_TRAINING_CHARS` at a place given by the hash. Documents
-that repeat one before are left out of it, and so are passages that others have.
+that repeat one before are left out of it, and so are passages that others have; dictionaries are
+trained on about `SAMPLED` of their words (a trainer that finds too little leaves the samples as they are).
 Scoring takes the whole of every text. A worker remembers the gains of `MEMO` words.
 
 Null and empty texts have no windows and get the score of a text without gains;
@@ -40,6 +47,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +60,7 @@ ORDINARY_DOCS = 4000
 MAX_TRAINING_CHARS = 40_000
 #: Words in a row that mark a passage as repeated in training.
 COPY_WORDS = 6
-#: Bytes of the ordinary dictionary and of the first toxic ones, of the later toxic ones, and of the carrier.
-ORDINARY_BYTES = 262_144
+#: Bytes of the later toxic dictionaries, and of the carrier.
 TOXIC_BYTES = 65_536
 CARRIER_BYTES = 48
 #: Words of a window, and of the training windows of the first toxic dictionaries.
@@ -63,13 +70,30 @@ FIRST_WINDOW = 12
 FOLDS = 2
 #: Windows that the ordinary dictionary is trained on, and words that thresholds are read from.
 SAMPLED = 120_000
-#: Share of ordinary words that gain no more than a chosen one, and rounds of choice.
-QUANTILE = 0.998
+#: Rounds of choice.
 ROUNDS = 2
-#: Segments of the later toxic dictionaries: bytes of one, and of what is counted.
-SEGMENT = {"k": 24, "d": 6}
+
+
+@dataclass(frozen=True)
+class View:
+    """One pair of dictionaries.
+
+    The ordinary one is trained on every word once (`words` 0), so what is not in it is unknown to ordinary text, or on
+    windows of so many words as they come, so what is rare in ordinary text is not in it.
+    """
+
+    words: int
+    ordinary_bytes: int
+    first_bytes: int  # of the first toxic dictionaries
+    quantile: float  # of ordinary words, the share that gains no more than a chosen one
+    segment: int  # bytes of a segment of the later toxic dictionaries
+
+
+#: Bytes that segments of dictionaries are counted by.
+COUNTED = 6
+VIEWS = (View(0, 262_144, 262_144, 0.998, 24), View(12, 32_768, 32_768, 0.99, 12))
 GAINS = (1, 2, 3, 4, 5, 6)
-MEMO = 400_000
+MEMO = 300_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -105,26 +129,31 @@ def distinct(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def train_dictionaries(toxic: list[list[list[str]]], ordinary: list[list[list[str]]]) -> tuple[bytes, list[bytes], bytes]:
+def train_dictionaries(toxic: list[list[list[str]]], ordinary: list[list[list[str]]], view: View = VIEWS[0]) -> tuple[bytes, list[bytes], bytes]:
     """Of folds of documents: the ordinary dictionary, for each fold the toxic one of all others, and the toxic one of all."""
     draw = random.Random(0)
-    sampled = lambda xs: draw.sample(xs, min(len(xs), SAMPLED // len(toxic)))
-    plain = _trained([w for fold in ordinary for w in sampled(sorted({x for words in fold for x in windows_of(words, WINDOW)}))], ORDINARY_BYTES)
+    sampled = lambda xs, n=SAMPLED // len(toxic): draw.sample(xs, min(len(xs), n))
+    if view.words:
+        windows = [x for fold in ordinary for x in sampled([w for words in fold for w in windows_of(words, view.words)], SAMPLED // len(toxic) // view.words)]
+    else:
+        windows = [x for fold in ordinary for x in sampled(sorted({w for words in fold for w in windows_of(words, WINDOW)}))]
+    plain = _trained(windows, view.ordinary_bytes)
     common = sampled([w for fold in ordinary for words in fold for w in words])
     others = lambda xs, k: [x for j, fold in enumerate(xs) if j != k or len(xs) == 1 for x in fold]
     samples = [[w for words in fold for w in windows_of(words, FIRST_WINDOW)] for fold in toxic]
-    content = [_trained(others(samples, k), ORDINARY_BYTES) for k in range(len(toxic))]
+    content = [_trained(others(samples, k), view.first_bytes) for k in range(len(toxic))]
+    how = {"k": view.segment, "d": COUNTED}
     for _ in range(ROUNDS):
         chosen = []
         for k, fold in enumerate(toxic):
             distance = Distance(plain, content[k])
-            cut = max(1.0, float(np.quantile([distance.gain(w) for w in common], QUANTILE))) if common else 1.0
+            cut = max(1.0, float(np.quantile([distance.gain(w) for w in common], view.quantile))) if common else 1.0
             kept = (" ".join(w for w in dict.fromkeys(words) if distance.gain(w) > cut) for words in fold)
-            chosen.append([f" {x} ".encode() for x in kept if len(x) > SEGMENT["d"]])
+            chosen.append([f" {x} ".encode() for x in kept if len(x) > COUNTED])
         if not any(chosen):
             break
-        samples, content = chosen, [_trained(others(chosen, k), TOXIC_BYTES, **SEGMENT) for k in range(len(toxic))]
-    return plain, content, _trained([x for fold in samples for x in fold], TOXIC_BYTES, **SEGMENT)
+        samples, content = chosen, [_trained(others(chosen, k), TOXIC_BYTES, **how) for k in range(len(toxic))]
+    return plain, content, _trained([x for fold in samples for x in fold], TOXIC_BYTES, **how)
 
 
 class Distance:
@@ -162,30 +191,33 @@ class Distance:
             found = self.memo[word] = len(self.plain(window)) - len(self.toxic(window))
         return found
 
-    def features(self, text: str | None) -> list[float]:
-        return self.features_of(words_of(text))
-
     def features_of(self, words: list[str]) -> list[float]:
+        """The largest gain, and how many words gain at least so much."""
         gains = Counter(map(self.gain, words))
         above = [sum(n for g, n in gains.items() if g >= least) for least in GAINS]
         scale = 20 / max(len(words), 20)
-        return [1.0, float(max(gains, default=0)), *map(math.log1p, above), *(scale * n for n in above), math.log1p(len(words))]
+        return [float(max(gains, default=0)), *map(math.log1p, above), *(scale * n for n in above)]
 
 
 class ToxicityModel:
-    """Distance and calibration."""
+    """Distances and calibration."""
 
-    def __init__(self, distance: Distance, weights: np.ndarray, share: float):
-        self.distance, self.weights, self.share = distance, weights, share
+    def __init__(self, distances: list[Distance], weights: np.ndarray, share: float):
+        self.distances, self.weights, self.share = distances, weights, share
 
     def score(self, text: str | None) -> float:
         if not len(self.weights):
             return self.share
-        z = float(np.dot(self.weights, self.distance.features(text)))
+        words = words_of(text)
+        z = float(np.dot(self.weights, _row(words, [d.features_of(words) for d in self.distances])))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 60) -> np.ndarray:
+def _row(words: list[str], parts: list[list[float]]) -> list[float]:
+    return [1.0, *(x for p in parts for x in p), math.log1p(len(words))]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Weights of ridge logistic regression, by Newton steps on standardised columns."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[0], scale[scale == 0] = 0.0, 1.0
@@ -209,21 +241,23 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> To
     share = (len(toxic) / total if total else 0.0) if share is None else share
     t, o = distinct(toxic), distinct(ordinary)
     if not t or not o:
-        return ToxicityModel(Distance(b"", b""), np.empty(0), min(share, 0.49))
+        return ToxicityModel([], np.empty(0), min(share, 0.49))
     n = min(FOLDS, len(t), len(o))
     folds = [[x[k::n] for k in range(n)] for x in (t, o)]
-    plain, content, whole = train_dictionaries(*folds)
-    rows, labels = [], []
-    for k in range(n):
-        distance = Distance(plain, content[k])
-        for fold, y in zip(folds, (1.0, 0.0), strict=True):
-            rows += map(distance.features_of, fold[k])
-            labels += [y] * len(fold[k])
+    dealt = [(words, k, y) for k in range(n) for fold, y in zip(folds, (1.0, 0.0), strict=True) for words in fold[k]]
+    parts, distances = [], []
+    for view in VIEWS:
+        plain, content, whole = train_dictionaries(*folds, view)
+        under = [Distance(plain, c) for c in content]
+        parts.append([under[k].features_of(words) for words, k, _ in dealt])
+        distances.append(Distance(plain, whole))
+    rows = [_row(words, list(held)) for (words, _, _), *held in zip(dealt, *parts, strict=True)]
+    labels = [y for _, _, y in dealt]
     weights = _logistic(np.array(rows), np.array(labels))
     drawn = sum(labels) / len(labels)
     if 0 < share < 1:
         weights[0] += math.log(share / (1 - share)) - math.log(drawn / (1 - drawn))
-    return ToxicityModel(Distance(plain, whole), weights, share)
+    return ToxicityModel(distances, weights, share)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
