@@ -14,7 +14,7 @@ from tidemark.functions.time import GRAINS
 # Spellings of grains and of storage schemes.
 GRAIN_NAMES = {"hour": "hour", "hourly": "hour", "h": "hour", "day": "day", "daily": "day", "date": "day", "d": "day", "month": "month", "monthly": "month", "m": "month", "year": "year", "yearly": "year", "annual": "year", "y": "year"}
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfss", "wasb": "abfss", "wasbs": "abfss"}
-#: How systems fold names that are not quoted; the others keep them.
+# How systems fold names that are not quoted (the others keep them), and an account's host.
 FOLDED = {"snowflake": "upper", "databricks": "lower", "hive": "lower", "trino": "lower", "postgres": "lower", "redshift": "lower", "duckdb": "lower", "clickhouse": None, "bigquery": None}
 AZURE_HOST = r"(?i)^([^.]+)\.(?:dfs|blob)\.core\.windows\.net$"
 ANY = "*"
@@ -78,14 +78,16 @@ def canonical_path(uri: Column, mounts: dict[str, str] | None = None) -> Column:
     Of nested mounts the longest counts. An account's two host names are one, and
     a location without a host is a local file.
     """
-    raw = F.trim(uri)
-    inner = F.regexp_replace(raw, "^(?:dbfs:|/dbfs(?=/))", "")
-    for mount, target in sorted((mounts or {}).items(), key=lambda x: len(x[0])):
-        m = "/" + mount.strip("/")
+    given = F.trim(uri)
+    inner = F.regexp_replace(given, "^(?:dbfs:|/dbfs(?=/))", "")
+    raw = given
+    if mounts:
         path = F.concat(F.lit("/"), _clean(inner))
-        rest = F.substr(path, F.lit(len(m) + 1))
-        is_mounted = (inner != raw) & ((path == m) | path.startswith(m + "/"))
-        raw = F.when(is_mounted, F.concat(F.lit(target.rstrip("/")), rest)).otherwise(raw)
+        ends = sorted({"/" + m.strip("/"): t.rstrip("/") for m, t in mounts.items()}.items(), key=lambda x: -len(x[0]))
+        held = F.array(*[F.struct(F.lit(m).alias("mount"), F.lit(t).alias("target")) for m, t in ends])
+        # One pass over a constant, longest first; the expression is the same size for any number of mounts.
+        hit = F.get(F.filter(held, lambda x: (path == x["mount"]) | F.startswith(path, F.concat(x["mount"], F.lit("/")))), 0)
+        raw = F.when((inner != given) & hit.isNotNull(), F.concat(hit["target"], F.substr(path, F.length(hit["mount"]) + 1))).otherwise(given)
     part = lambda i: F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)", i)
     scheme, host, path = F.lower(part(1)), part(2), part(3)
     named = scheme
