@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
+from tidemark.operators import govern as v
 from tidemark.operators import graph as g
 from tidemark.operators import ml
 from tidemark.plans.invalidate import edges, invalidate, key
@@ -111,9 +112,6 @@ def test_longest_chains_and_cycles(spark):
     assert got[41] == (41, got[40][1] + 1, 40) and got[90] == (6, got[5][1], 5) and got[100] == (0, 0, None)
     assert set(got) == {*range(42), 90, 100}  # nothing on or behind the cycle, and no loop by itself
     assert [x["node"] for x in g.critical_path(e, w).orderBy("length").collect()] == list(range(42))
-    assert {x["node"]: x["height"] for x in g.heights(e).collect()}[0] == 41
-    tight = {x["node"]: x["slack"] for x in g.slack(e.where("src <= 90"), w).collect()}
-    assert tight[40] == 0 and tight[90] == got[40][1] + 1 - (got[5][1] + 1)
 
 
 def test_labels_confirmed_and_unattributed(spark):
@@ -125,4 +123,5 @@ def test_labels_confirmed_and_unattributed(spark):
     assert got["d", "*", "pii"] == (0.76, False) and got["d", "*", "id"] == (0.57, False)
     assert got["e", "*", "pii"] == (0.722, False)  # goes on over an edge with columns
     assert got["a", "*", "pii"] == (0.6859, False) and ("e", "r", "pii") not in got
-    assert [x["ds"] for x in v.violations(v.propagate_labels(labels, columns), spark.createDataFrame([("b", "pii"), ("c", "pii")], "ds string, forbid string")).collect()] == ["b"]
+    policies = spark.createDataFrame([("b", "pii"), ("c", "pii")], "ds string, forbid string")
+    assert {(x["ds"], x["col"]) for x in v.violations(v.propagate_labels(labels, columns), policies).collect()} == {("b", "y"), ("b", "*"), ("c", "*")}
