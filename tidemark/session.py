@@ -78,6 +78,20 @@ def materialize(df: DataFrame, label: str, zstd: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which Spark may choose to broadcast a written table: it weighs compressed files, and a broadcast may hold fifty times as much.
+FEW_ROWS = 200_000
+
+
+def many(df: DataFrame) -> bool:
+    """Whether a written table has too many rows for a broadcast; its footers tell."""
+    return df.count() > FEW_ROWS
+
+
+def shuffled(df: DataFrame, yes: bool = True) -> DataFrame:
+    """The side of a join that is hashed after a shuffle, so that neither side passes through the driver; nothing is sorted."""
+    return df.hint("shuffle_hash") if yes else df
+
+
 class Growing:
     """A table in the shared folder that parts are appended to, so that a loop never rewrites what it has found."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import graph as g
 from tidemark.plans import effective, history
-from tidemark.session import shared_dir
+from tidemark.session import many, shared_dir, shuffled
 from tidemark.suites import long, table
 
 
@@ -17,7 +17,7 @@ def part_edges(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("src"))
     out = F.array(F.col("src") * 2, F.col("src") * 2 + 1, F.col("src") * 3)
     e = p.select("src", F.explode(out).alias("dst")).where("src <> dst").distinct()
-    return e.join(p.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return e.join(shuffled(p.select(F.col("src").alias("dst")), many(p)), "dst", "left_semi").select("src", "dst")
 
 
 def cycle_edges(spark: SparkSession, sf: str) -> DataFrame:
