@@ -3,8 +3,8 @@
 A round joins only the newly reached nodes with the edges, a few hops at a time,
 and drops what was seen, so cycles end by themselves; what it found is appended
 to a table in the shared folder. Loops end when nothing new is reached, at any
-depth, unless the caller asks for a bound. Edges that fit are broadcast by Spark
-after it has measured them.
+depth, unless the caller asks for a bound. Few edges are broadcast; many meet the
+nodes in shuffled hash joins, whatever the size of their files.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.operators.components import connected_components
-from tidemark.session import Growing, materialize
+from tidemark.session import Growing, many, materialize, shuffled
 
 #: Hops that one round takes before what it reached is written.
 HOPS = 6
@@ -34,22 +34,29 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, upst
     """
     hop = materialize(_hops(edges, upstream), "hops")
     front = seeds.select(F.col("node").alias("seed"), "node").distinct()
+    far, dense = many(hop), False
+    if far:
+        front = materialize(front, "seeds")
+        dense = many(front)
     found, depth = None, 0
     while max_depth is None or depth < max_depth:
         steps, at = [], front
         for _ in range(HOPS if max_depth is None else min(HOPS, max_depth - depth)):
             depth += 1
-            at = at.join(hop, F.col("node") == F.col("from")).select("seed", F.col("to").alias("node")).distinct()
+            at = shuffled(at, far and not dense).join(shuffled(hop, far and dense), F.col("node") == F.col("from")).select("seed", F.col("to").alias("node"))
+            # One shuffle by node serves both this and the next join.
+            at = (at.repartition("node") if dense else at).distinct()
             steps.append(at.withColumn("depth", F.lit(depth)))
         step = steps[0]
         for more in steps[1:]:
             step = step.unionByName(more)
-        step = step.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
         if found is None:
-            found = Growing(step, "reached")
+            found = Growing(step.groupBy("seed", "node").agg(F.min("depth").alias("depth")), "reached")
             new = found.read()
         else:
-            new = found.append(step.join(found.read().select("seed", "node"), ["seed", "node"], "left_anti"))
+            # Depths only grow, so a pair that was found before has its least depth already.
+            both = step.unionByName(found.read().select("seed", "node", F.lit(0).alias("depth"))).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+            new = found.append(both.where("depth > 0"))
         front = new.where(F.col("depth") == depth).select("seed", "node")
         if front.isEmpty():
             break
@@ -59,14 +66,16 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, upst
 def spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
     """(label, node) of the marks and of all that is downstream of each; marks has label and node."""
     hop = materialize(_hops(edges), "hops")
+    far = many(hop)
     found = Growing(marks.select("label", "node").distinct(), "marks")
     front = found.read()
     while not front.isEmpty():
         every, at = None, front
         for _ in range(HOPS):
-            at = at.join(hop, F.col("node") == F.col("from")).select("label", F.col("to").alias("node")).distinct()
+            at = shuffled(at, far).join(hop, F.col("node") == F.col("from")).select("label", F.col("to").alias("node")).distinct()
             every = at if every is None else every.unionByName(at)
-        front = found.append(every.distinct().join(found.read(), ["label", "node"], "left_anti"))
+        both = every.withColumn("new", F.lit(True)).unionByName(found.read().withColumn("new", F.lit(False)))
+        front = found.append(both.groupBy("label", "node").agg(F.bool_and("new").alias("new")).where("new"))
     return found.read()
 
 
@@ -93,8 +102,9 @@ def longest(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(node, level, length, before): the longest chains from roots, by edges and by weight, and the node before on the heaviest one.
 
     weights has node and weight, 0 where missing; without it every node weighs 1. Ties go to the
-    least node. Nodes on or behind a cycle have no row: in a deep graph what cycles there are is found first by
-    trimming, from both ends, all that lies on none.
+    least node. Nodes on or behind a cycle have no row: in a deep graph what cycles there are is found by
+    trimming, from both ends, all that lies on none, unless all edges go one way in the order of nodes. What was
+    folded before stays: nothing that is not behind a cycle depends on what is.
     """
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     weigh = (lambda df: df.withColumn("weight", F.lit(1).cast("long"))) if weights is None else (lambda df: df.join(weights.select("node", F.col("weight").cast("long").alias("weight")), "node", "left").fillna(0, ["weight"]))
@@ -103,15 +113,20 @@ def longest(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     own = weigh(roots(e)).select("node", F.lit(0).alias("level"), F.struct((-F.col("weight")).alias("minus"), none.alias("before")).alias("best"))
     onward = {"level": F.col("level") + 1, "best": F.struct((F.col("best.minus") - F.col("weight")).alias("minus"), F.col("from").alias("before"))}
     combine = {"level": F.max, "best": F.min}
-    found = _folded(steps, own, combine, onward, CYCLE_CHECK)
-    if found is None:
-        core = cycle_core(e)
+    fold = _Fold(steps, own, combine, onward)
+    if not fold.settle(CYCLE_CHECK):
+        core = e.where("false") if one_way(e) else cycle_core(e)
         if not core.isEmpty():
             on = core.select(F.col("src").alias("node")).union(core.select(F.col("dst").alias("node"))).distinct()
-            bad = materialize(spread(e, on.select(F.lit(0).alias("label"), "node")).select("node").distinct(), "behind-cycles")
-            steps = steps.join(bad.withColumnRenamed("node", "to"), "to", "left_anti").select("from", "to", "weight")
-        found = _folded(steps, own, combine, onward)
-    return found.select("node", "level", (-F.col("best.minus")).alias("length"), F.col("best.before").alias("before"))
+            fold.drop(materialize(spread(e, on.select(F.lit(0).alias("label"), "node")).select("node").distinct(), "behind-cycles"))
+        fold.settle()
+    return fold.values().select("node", "level", (-F.col("best.minus")).alias("length"), F.col("best.before").alias("before"))
+
+
+def one_way(edges: DataFrame) -> bool:
+    """Whether all edges go up, or all go down, in the order of nodes, so that none is on a cycle but loops."""
+    ways = edges.agg(F.max(F.col("src") < F.col("dst")).alias("up"), F.max(F.col("src") > F.col("dst")).alias("down")).first()
+    return not (ways["up"] and ways["down"])
 
 
 def cycle_core(edges: DataFrame) -> DataFrame:
@@ -227,7 +242,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     settles one component of every colour, and never holds a pair of nodes.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    e = materialize(_trimmed(edges.select("src", "dst").where("src <> dst").distinct()), "cycle-edges")
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e = materialize(e.where("false") if one_way(e) else _trimmed(e), "cycle-edges")
     found = Growing(loops.where("false"), "components")
     while not e.isEmpty():
         nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
@@ -260,36 +276,56 @@ def fold_downstream(edges: DataFrame, own: DataFrame, combine: dict[str, Callabl
     Each round passes on only what changed, so cycles settle too. A node
     without a value and without an ancestor that has one has no row.
     """
-    return _folded(_hops(edges), own.select("node", *combine), combine, {c: F.col(c) for c in combine})
+    fold = _Fold(_hops(edges), own.select("node", *combine), combine, {c: F.col(c) for c in combine})
+    fold.settle()
+    return fold.values()
 
 
-def _folded(hops: DataFrame, own: DataFrame, combine: dict[str, Callable[[Column], Column]], onward: dict[str, Column], rounds: int | None = None) -> DataFrame | None:
-    """(node, and each column of combine): what a node and all that leads to it come to; hops (from, to, ...) turn values as `onward` says. None if `rounds` were not enough.
+class _Fold:
+    """What a node and all that leads to it come to: (node, and each column of combine); hops (from, to, ...) turn values as `onward` says.
 
     A round carries what changed a few hops on and appends what that changes: a node's value is the
     fold of its rows, so no row is written again, and one aggregation finds what a round has changed.
     """
-    names = list(combine)
-    hop = materialize(hops, "hops")
-    fold = lambda df: df.groupBy("node").agg(*[f(F.col(c)).alias(c) for c, f in combine.items()])
-    known = Growing(fold(own), "folded")
-    front = known.read()
-    while not front.isEmpty():
-        if rounds == 0:
-            return None
-        rounds = rounds and rounds - 1
-        moved, every = front, None
-        for _ in range(HOPS):
-            moved = fold(moved.join(hop, F.col("node") == F.col("from")).select(F.col("to").alias("node"), *[v.alias(c) for c, v in onward.items()]))
-            every = moved if every is None else every.unionByName(moved)
-        both = every.withColumn("_new", F.lit(True)).unionByName(known.read().withColumn("_new", F.lit(False)))
-        old = lambda c: F.when(~F.col("_new"), F.col(c))
-        sums = both.groupBy("node").agg(*[f(F.col(c)).alias(c) for c, f in combine.items()], *[f(old(c)).alias(f"_{c}") for c, f in combine.items()], F.bool_or("_new").alias("_new"), F.bool_and("_new").alias("_first"))
-        differs = F.col("_first")
-        for c in names:
-            differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
-        front = known.append(sums.where(F.col("_new") & differs).select("node", *names))
-    return fold(known.read())
+
+    def __init__(self, hops: DataFrame, own: DataFrame, combine: dict[str, Callable[[Column], Column]], onward: dict[str, Column]):
+        self.combine, self.onward = combine, onward
+        self.hop = materialize(hops, "hops")
+        self.far = many(self.hop)
+        self.known = Growing(self._fold(own), "folded")
+        self.front = self.known.read()
+
+    def _fold(self, df: DataFrame) -> DataFrame:
+        return df.groupBy("node").agg(*[f(F.col(c)).alias(c) for c, f in self.combine.items()])
+
+    def settle(self, rounds: int | None = None) -> bool:
+        """Whether nothing changes any more, after at most that many rounds."""
+        names = list(self.combine)
+        while not self.front.isEmpty():
+            if rounds == 0:
+                return False
+            rounds = rounds and rounds - 1
+            moved, every = self.front, None
+            for _ in range(HOPS):
+                moved = self._fold(shuffled(moved, self.far).join(self.hop, F.col("node") == F.col("from")).select(F.col("to").alias("node"), *[v.alias(c) for c, v in self.onward.items()]))
+                every = moved if every is None else every.unionByName(moved)
+            both = every.withColumn("_new", F.lit(True)).unionByName(self.known.read().withColumn("_new", F.lit(False)))
+            old = lambda c: F.when(~F.col("_new"), F.col(c))
+            sums = both.groupBy("node").agg(*[f(F.col(c)).alias(c) for c, f in self.combine.items()], *[f(old(c)).alias(f"_{c}") for c, f in self.combine.items()], F.bool_or("_new").alias("_new"), F.bool_and("_new").alias("_first"))
+            differs = F.col("_first")
+            for c in names:
+                differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+            self.front = self.known.append(sums.where(F.col("_new") & differs).select("node", *names))
+        return True
+
+    def drop(self, nodes: DataFrame) -> None:
+        """Go on without these nodes, whose values lead to none that stays."""
+        self.front = materialize(self.front.join(nodes, "node", "left_anti"), "folded")
+        self.known = Growing(self.known.read().join(nodes, "node", "left_anti"), "folded")
+        self.hop = materialize(self.hop.join(nodes.withColumnRenamed("node", "to"), "to", "left_anti").select(*self.hop.columns), "hops")
+
+    def values(self) -> DataFrame:
+        return self._fold(self.known.read())
 
 
 def common_ancestors(edges: DataFrame, a: object, b: object) -> DataFrame:
@@ -339,10 +375,9 @@ def top(scores: DataFrame, by: str, tie: str, n: int) -> DataFrame:
 
 
 def bottlenecks(edges: DataFrame, n: int) -> DataFrame:
-    """(node, n_pairs): the n nodes that lie between the most pairs of one above and one below, ties by node."""
-    e = edges.select("src", "dst").distinct()
-    down = reach_scores(e).select("node", F.col("n_below").alias("down"))
-    up = reach_scores(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("node", F.col("n_below").alias("up"))
+    """(node, n_pairs): the n nodes that lie between the most pairs of one above and one below, ties by node; one set of pairs gives both counts."""
+    pairs = reach(edges, edges.select(F.col("src").alias("node")).distinct())
+    down, up = (pairs.groupBy(F.col(c).alias("node")).agg(F.count("*").alias(n)) for c, n in (("seed", "down"), ("node", "up")))
     return top(down.join(up, "node").select("node", (F.col("down") * F.col("up")).alias("n_pairs")), "n_pairs", "node", n)
 
 
