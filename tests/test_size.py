@@ -39,3 +39,14 @@ def test_deep_graph_without_cycles_is_folded_once(spark, monkeypatch):
     monkeypatch.setattr(g, "cycle_core", lambda e: pytest.fail("searched for cycles"))
     chain = spark.range(1, 31).selectExpr("id as src", "id + 1 as dst")
     assert {r["node"]: r["level"] for r in g.levels(chain).collect()} == {i: i - 1 for i in range(1, 32)}
+
+
+def test_votes_are_parted_by_their_number(spark, monkeypatch):
+    """approval_states"""
+    from tidemark.operators import assets
+
+    monkeypatch.setattr(assets, "VOTES", 10, raising=False)
+    requests = spark.range(100).selectExpr("id as request", "id % 3 as author")
+    votes = spark.range(1000).selectExpr("id % 100 as request", "id % 7 as approver", "true as approve")
+    out = assets.approved(requests, votes, 2)
+    assert out.rdd.getNumPartitions() == 101 and {r["state"] for r in out.collect()} == {"approved"}

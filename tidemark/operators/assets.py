@@ -11,6 +11,8 @@ from tidemark.operators.graph import reach
 SEVERITY = {"error": 1.0, "warn": 0.7, "info": 0.3}
 WEIGHTS = (0.6, 0.3, 0.1)
 HEALTH = (0.3, 0.3, 0.2, 0.2)
+#: Votes that one task takes, about.
+VOTES = 500_000
 
 
 def severity(kind: Column) -> Column:
@@ -58,9 +60,13 @@ def broken_promises(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def approved(requests: DataFrame, votes: DataFrame, needed: int) -> DataFrame:
-    """(request, state): any rejection refuses; approvals count once for each approver, never the author's."""
-    r = requests.select("request", "author")
-    v = votes.join(r, "request").where("approver <> author")
+    """(request, state): any rejection refuses; approvals count once for each approver, never the author's.
+
+    Both sides are parted by request once, into as many parts as the votes need: what a task holds doesn't grow with them.
+    """
+    n = max(votes.count() // VOTES + 1, requests.sparkSession.sparkContext.defaultParallelism)
+    r = requests.select("request", "author").repartition(n, "request")
+    v = votes.select("request", "approver", "approve").repartition(n, "request").join(r, "request").where("approver <> author")
     c = v.groupBy("request").agg(F.count_distinct(F.when(F.col("approve"), F.col("approver"))).alias("yes"), F.count_if(~F.col("approve")).alias("no"))
     state = F.when(F.col("no") > 0, "rejected").when(F.col("yes") >= needed, "approved").otherwise("pending")
     return r.join(c, "request", "left").select("request", F.coalesce(state, F.lit("pending")).alias("state"))
