@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,10 +32,26 @@ def _name(d: Column) -> Column:
     return F.concat_ws("/", d["namespace"], d["name"])
 
 
-def run_edges(runs: DataFrame) -> DataFrame:
-    """(src, dst) of all inputs and outputs of each run, loops left out."""
-    io = runs.select(F.explode("inputs").alias("i"), "outputs").select("i", F.explode("outputs").alias("o"))
-    return io.select(_name(F.col("i")).alias("src"), _name(F.col("o")).alias("dst")).where("src <> dst").distinct()
+def _live(events: DataFrame, said: list[Column], lineage: Callable[..., DataFrame]) -> DataFrame:
+    """`lineage` of the runs that `collapse_runs` leaves, which depends on what their events say.
+
+    Runs are collapsed with a digest of 128 bits of that in its place, as it is wide and
+    mostly alike, and what an event says is made distinct where it is read.
+    """
+    marked = events.withColumn("_mark", F.struct(*[F.xxhash64(F.lit(i), *said).alias(f"h{i}") for i in (1, 2)]))
+    kept = collapse_runs(marked.select("run", "eventType", "eventTime", "_mark")).select("_mark").distinct()
+    return lineage(marked, "_mark").join(kept, "_mark", "left_semi").drop("_mark").distinct()
+
+
+def run_edges(runs: DataFrame, *also: str) -> DataFrame:
+    """(src, dst) of all inputs and outputs of each run, loops left out, and what else is asked for."""
+    io = runs.select(*also, F.explode("inputs").alias("i"), "outputs").select(*also, "i", F.explode("outputs").alias("o"))
+    return io.select(*also, _name(F.col("i")).alias("src"), _name(F.col("o")).alias("dst")).where("src <> dst").distinct()
+
+
+def live_edges(events: DataFrame) -> DataFrame:
+    """`run_edges` of the runs that `collapse_runs` leaves."""
+    return _live(events, [F.col(f"{c}.{x}") for c in ("inputs", "outputs") for x in ("namespace", "name")], run_edges)
 
 
 def run_columns(runs: DataFrame) -> DataFrame:

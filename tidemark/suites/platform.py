@@ -63,7 +63,7 @@ def run_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    return lineage.run_edges(lineage.collapse_runs(_runs(spark, sf)))
+    return lineage.live_edges(_runs(spark, sf))
 
 
 def run_column_lineage(spark: SparkSession, sf: str) -> DataFrame:
