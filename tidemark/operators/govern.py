@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.operators.graph import HOPS, fold_downstream, reach, spread
-from tidemark.session import Growing, materialize
+from tidemark.session import Growing, many, materialize, shuffled
 
 DAMPING = 0.95
 
@@ -81,15 +81,18 @@ def propagate_labels(labels: DataFrame, columns: DataFrame) -> DataFrame:
     settled = not sure.isEmpty()
     pairs = columns.select("src", "dst").distinct()
     star = F.lit(UNATTRIBUTED)
-    exact = columns.where("src_col is not null").select("src", "src_col", "dst", F.coalesce("dst_col", star).alias("dst_col")).unionByName(pairs.select("src", star.alias("src_col"), "dst", star.alias("dst_col")))
-    exact = materialize(exact.distinct(), "column-hops")
+    exact = columns.where("src_col is not null").select("src", "src_col", "dst", F.coalesce("dst_col", star).alias("dst_col"))
     loose = materialize(columns.where("src_col is null").select("src", "dst").distinct(), "table-hops")
     detailed = loose.isEmpty()
+    if not detailed or not given.where(F.col("col") == star).isEmpty() or not exact.where(F.col("dst_col") == star).isEmpty():
+        exact = exact.unionByName(pairs.select("src", star.alias("src_col"), "dst", star.alias("dst_col")))
+    exact = materialize(exact.distinct(), "column-hops")
+    far = many(exact)
     unsettled = lambda df: df.join(sure.select(*keys), keys, "left_anti") if settled else df
     damped = F.bround(F.col("confidence") * DAMPING, 4).alias("confidence")
 
     def hop(at: DataFrame) -> DataFrame:
-        moved = at.join(exact, (at["ds"] == exact["src"]) & (at["col"] == exact["src_col"])).select(F.col("dst").alias("ds"), F.col("dst_col").alias("col"), "label", damped)
+        moved = shuffled(at, far).join(exact, (at["ds"] == exact["src"]) & (at["col"] == exact["src_col"])).select(F.col("dst").alias("ds"), F.col("dst_col").alias("col"), "label", damped)
         if not detailed:
             some = at.where(F.col("col") != star)
             moved = moved.unionByName(some.join(loose, some["ds"] == loose["src"]).select(F.col("dst").alias("ds"), star.alias("col"), "label", damped))
@@ -141,8 +144,8 @@ def permitted_purposes(edges: DataFrame, own: DataFrame) -> DataFrame:
     every = own.agg(F.collect_set("purpose").alias("every"))  # one row: purposes are few and named by people
     denied = own.groupBy("node").agg(F.collect_set("purpose").alias("has")).crossJoin(every).select("node", F.explode(F.array_except("every", "has")).alias("purpose"))
     below = spread(edges, denied.select(F.concat(F.lit("-"), "purpose").alias("label"), "node").unionByName(own.select(F.lit("+").alias("label"), "node")))
-    may = below.where("label = '+'").crossJoin(every).select("node", F.explode("every").alias("purpose"))
-    return may.join(below.where("label <> '+'").select("node", F.substr("label", F.lit(2)).alias("purpose")), ["node", "purpose"], "left_anti")
+    held = below.groupBy("node").agg(F.bool_or(F.col("label") == "+").alias("declared"), F.collect_set(F.when(F.col("label") != "+", F.substr("label", F.lit(2)))).alias("denied"))
+    return held.where("declared").crossJoin(every).select("node", F.explode(F.array_except("every", "denied")).alias("purpose"))
 
 
 def k_anonymity(df: DataFrame, quasi: list[str]) -> DataFrame:
