@@ -50,3 +50,11 @@ def test_votes_are_parted_by_their_number(spark, monkeypatch):
     votes = spark.range(1000).selectExpr("id % 100 as request", "id % 7 as approver", "true as approve")
     out = assets.approved(requests, votes, 2)
     assert out.rdd.getNumPartitions() == 101 and {r["state"] for r in out.collect()} == {"approved"}
+
+
+def test_one_set_of_pairs_gives_both_counts(spark, monkeypatch):
+    """bottleneck_parts"""
+    calls, reach = [], g.reach
+    monkeypatch.setattr(g, "reach", lambda *a, **k: calls.append(1) or reach(*a, **k))
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    assert [tuple(r) for r in g.bottlenecks(chain, 2).collect()] == [(2, 2), (3, 2)] and len(calls) == 1
