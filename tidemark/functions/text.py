@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 import hashlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -31,13 +33,29 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).when(F.size(tokens) < n, whole).otherwise(each)
 
 
+def normal_words(text: Column) -> Column:
+    """`words` of `normalize`, in one pass over the text."""
+    return words(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")))
+
+
 def gram_hashes(tokens: Column, n: int) -> Column:
-    """64-bit hashes of the distinct grams of `ngrams`, sorted; far cheaper to make, ship and join than their text."""
-    whole = F.array(F.xxhash64(F.array_join(tokens, " ")))
-    each = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
-    none = F.array().cast("array<bigint>")
-    made = F.get(F.transform(F.array(tokens), lambda w: F.when(F.size(w) == 0, none).when(F.size(w) < n, whole).otherwise(each(w))), 0)
-    return F.array_sort(F.array_distinct(made))
+    """64-bit hashes of the distinct grams of `ngrams`, sorted; far cheaper to make, ship and join than their text. Null tokens give none."""
+    factors = np.random.default_rng(n).integers(0, 1 << 64, n + 1, np.uint64) | np.uint64(1)
+
+    def grams(hashes: pa.Array) -> pa.Array:
+        every, sizes = hashes.flatten().to_numpy().view(np.uint64), hashes.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(every))  # words from here on
+        size = np.repeat(np.minimum(sizes, n), sizes)
+        x = size.astype(np.uint64) * factors[n]
+        for j in range(min(n, len(every))):
+            x[: len(every) - j] += np.where(left[: len(every) - j] > j, every[j:] * factors[j], np.uint64(0))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        out = [np.unique(g[:k]) for g, k in zip(np.split(x.view(np.int64), ends[:-1]), np.where(sizes < n, np.minimum(sizes, 1), sizes - n + 1), strict=True)]
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)], dtype=np.int32), np.concatenate(out))
+
+    return F.arrow_udf(grams, "array<bigint>")(F.transform(tokens, lambda w: F.xxhash64(w)))
 
 
 def token_estimate(text: Column) -> Column:

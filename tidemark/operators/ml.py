@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import gram_hashes, normalize, words
+from tidemark.functions.text import gram_hashes, normal_words
 from tidemark.operators.components import connected_components
 from tidemark.session import materialize
 
@@ -42,7 +46,7 @@ def identifier_overlap(train: DataFrame, held: DataFrame, key: str) -> DataFrame
 
 def gram_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, grams): the hashed distinct n-grams of each document that has any, written once."""
-    sets = docs.select(F.col(key).alias("key"), gram_hashes(words(normalize(F.col(text))), n).alias("grams"))
+    sets = docs.select(F.col(key).alias("key"), gram_hashes(normal_words(F.col(text)), n).alias("grams"))
     return materialize(sets, "gram-sets").where(F.size("grams") > 0)
 
 
@@ -53,17 +57,28 @@ def gram_containment(items: DataFrame, corpus: DataFrame) -> DataFrame:
     return pairs.select("item", "doc", "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
+#: Keys up to which a list of keys is broadcast: so many take some 64 MB.
+FEW_KEYS = 1_000_000
+
+
+def _keys(keys: DataFrame) -> DataFrame:
+    """Written keys, to be broadcast where they are few: what they pick from is then not shuffled."""
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents of equal gram sets as one: (key, grams) of the least of each class, and (key, first) of the others."""
-    marked = sets.withColumn("mark", F.md5(F.to_json("grams")))
-    first = materialize(marked.groupBy("mark").agg(F.min("key").alias("first"), F.first("grams").alias("grams")), "set-classes")
-    members = marked.select("key", "mark").join(first.select("mark", "first"), "mark").where("key <> first").select("key", "first")
-    return first.select(F.col("first").alias("key"), "grams"), members
+    marked = materialize(sets.select("key", *[F.xxhash64(F.lit(i), "grams").alias(f"m{i}") for i in (1, 2)]), "marks")
+    first = marked.groupBy("m1", "m2").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(marked.join(first, ["m1", "m2"]).where("key <> first").select("key", "first"), "set-classes")
+    return sets.join(_keys(members.select("key")), "key", "left_anti"), members
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b) whose exact similarity reaches the threshold."""
-    ga, gb = (sets.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
+    """(a, b, jaccard) of the written pairs (a, b) whose exact similarity reaches the threshold; only sets that have a pair are shuffled."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
+    held = sets.join(_keys(ends), "key", "left_semi")
+    ga, gb = (held.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
     both = pairs.join(ga, "a").join(gb, "b").select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("s"))
     return both.select("a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
@@ -90,29 +105,78 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return _similar(near, sets, threshold)
 
 
+#: Grams that are hashed at a time, so that they stay in a core's cache.
+AT_ONCE = 32_768
+
+
 def minhash(sets: DataFrame, permutations: int = 128) -> DataFrame:
-    """(key, signature): the least seeded hash of the grams for each permutation, made inside the row."""
-    seeds = F.array(*[F.lit(p) for p in range(permutations)])
-    return sets.select("key", F.transform(seeds, lambda p: F.array_min(F.transform("grams", lambda g: F.xxhash64(g, p)))).alias("signature"))
+    """(key, signature): the least of the grams, which are hashes, under each of so many multiplications and shifts."""
+    draws = np.random.default_rng(42).integers(0, 1 << 64, (2, permutations), np.uint64)
+    factors, shifts = draws[0] | np.uint64(1), draws[1]
+
+    def signed(grams: pa.Array) -> pa.Array:
+        every, ends = grams.flatten().to_numpy().view(np.uint64), np.cumsum(grams.value_lengths().fill_null(0).to_numpy())
+        starts = np.r_[0, ends[:-1]]
+        out = np.full((len(grams), permutations), (1 << 64) - 1, np.uint64)
+        full = np.flatnonzero(ends > starts)
+        for rows in np.split(full, np.flatnonzero(np.diff(starts[full] // AT_ONCE)) + 1):
+            if len(rows):
+                own = every[starts[rows[0]] : ends[rows[-1]]]
+                for p in range(permutations):
+                    out[rows, p] = np.minimum.reduceat(own * factors[p] + shifts[p], starts[rows] - starts[rows[0]])
+        return pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * permutations, out.view(np.int64).ravel())
+
+    return sets.select("key", F.arrow_udf(signed, "array<bigint>")("grams").alias("signature"))
+
+
+#: Rounds in which the members of buckets meet one of them, and pairs that are left a row of the buckets at which these end.
+STARS, FEW_PAIRS = 4, 2
+
+
+def _verified(met: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The links among pairs that met; those whose estimate is over four deviations (of 128 rows) below the threshold are not verified."""
+    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    sa, sb = (signatures.select(F.col("key").alias(c), F.col("signature").alias(f"s{c}")) for c in ("a", "b"))
+    near = met.join(sa, "a").join(sb, "b").where(same >= (threshold - 0.15) * F.size("sa")).select("a", "b")
+    return materialize(_similar(materialize(near, "lsh-pairs"), sets, threshold), "links")
 
 
 def lsh_links(sets: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of different gram sets that agree in a band of their signatures and whose exact similarity reaches the threshold.
+    """(a, b, jaccard): links enough to connect what all pairs of gram sets do that agree in a band of their signatures and whose exact similarity reaches the threshold.
 
-    Pairs whose estimate is far below the threshold (over four deviations for
-    128 rows) are not verified.
+    First all members of a bucket meet one of them, anew as long as that connects
+    more; then whoever is not in a bucket's largest component meets all that are
+    in others. A pair within a component would connect nothing, so a group of m
+    near copies takes about m pairs, not m squared.
     """
     if threshold < (1 / bands) ** (1 / rows) - 0.15:
         raise ValueError(f"{bands} bands of {rows} rows miss pairs at {threshold}")
     signatures = materialize(minhash(sets, bands * rows), "signatures")
     slices = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
-    buckets = signatures.select("key", F.posexplode(slices).alias("band", "h"))
-    a, b = (buckets.select(F.col("key").alias(c), "band", "h") for c in ("a", "b"))
-    met = a.join(b, ["band", "h"]).where("a < b").select("a", "b").distinct()
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    sa, sb = (signatures.select(F.col("key").alias(c), F.col("signature").alias(f"s{c}")) for c in ("a", "b"))
-    near = met.join(sa, "a").join(sb, "b").where(same >= (threshold - 0.15) * bands * rows).select("a", "b")
-    return _similar(materialize(near, "lsh-pairs"), sets, threshold)
+    every = signatures.select("key", F.explode(slices).alias("h"))
+    buckets = materialize(every.join(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h"), "buckets")
+    size, before, links, now = buckets.count(), math.inf, None, buckets.withColumn("part", F.col("key"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    for turn in range(STARS):
+        lead = now.groupBy("h").agg(F.min_by(F.struct("key", "part"), F.xxhash64("part", F.lit(turn))).alias("lead"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("h", "lead")
+        met = now.join(lead, "h").where("part <> lead.part").select(*pair("key", "lead.key")).distinct()
+        found = _verified(met, signatures, sets, threshold)
+        grew = found.take(1)
+        links = found if links is None else links.unionByName(found)
+        parts = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "part"})
+        now = materialize(buckets.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "bucket-parts")
+        held = now.groupBy("h", "part").agg(F.count("*").alias("n"))
+        most = materialize(held.groupBy("h").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0"), "open-buckets")
+        left = most.agg(F.coalesce(F.sum(F.col("all") * F.col("others")), F.lit(0))).first()[0]
+        if not grew or left <= FEW_PAIRS * size or left > before / 2:
+            break
+        before = left
+    if not left:
+        return links
+    apart = now.join(most.select("h", "most"), "h")
+    a, b = apart.where("part <> most").select("h", F.col("key").alias("x"), F.col("part").alias("px")), apart.select("h", F.col("key").alias("y"), F.col("part").alias("py"))
+    rest = a.join(b, "h").where("px <> py").select(*pair("x", "y")).distinct()
+    return links.unionByName(_verified(rest, signatures, sets, threshold))
 
 
 def clusters(links: DataFrame, members: DataFrame) -> DataFrame:
