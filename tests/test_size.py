@@ -58,3 +58,16 @@ def test_one_set_of_pairs_gives_both_counts(spark, monkeypatch):
     monkeypatch.setattr(g, "reach", lambda *a, **k: calls.append(1) or reach(*a, **k))
     chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     assert [tuple(r) for r in g.bottlenecks(chain, 2).collect()] == [(2, 2), (3, 2)] and len(calls) == 1
+
+
+def test_events_are_parted_by_their_number(spark, monkeypatch):
+    """run_column_lineage, run_lineage, run_events"""
+    from tidemark.sources import lineage
+
+    monkeypatch.setattr(lineage, "EVENTS", 10, raising=False)
+    d = "array(named_struct('namespace', 'raw', 'name', 'a', 'facets', cast(null as struct<columnLineage:struct<fields:map<string,struct<inputFields:array<struct<namespace:string,name:string,field:string>>>>>>)))"
+    x = "array(named_struct('namespace', 'gold', 'name', string(id % 2), 'facets', struct(struct(map('c', struct(array(struct('raw' as namespace, 'a' as name, string(id % 4) as field)) as inputFields)) as fields) as columnLineage)))"
+    events = spark.range(200).selectExpr("if(id % 4 = 3, 'FAIL', 'COMPLETE') as eventType", "string(id) as eventTime", "named_struct('runId', string(id)) as run", f"{d} as inputs", f"{x} as outputs")
+    out = lineage.collapse_runs(events)
+    assert out.count() == 150 and out.rdd.getNumPartitions() == 21
+    assert {tuple(r) for r in lineage.live_columns(events).collect()} == {("raw/a", "0", "gold/0", "c"), ("raw/a", "1", "gold/1", "c"), ("raw/a", "2", "gold/0", "c")}

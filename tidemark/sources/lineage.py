@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 _DATASET = "struct<namespace:string,name:string,facets:struct<columnLineage:struct<fields:map<string,struct<inputFields:array<struct<namespace:string,name:string,field:string>>>>>>>"
 RUN_EVENT = f"eventType string, eventTime string, run struct<runId:string>, job struct<namespace:string,name:string>, inputs array<{_DATASET}>, outputs array<{_DATASET}>"
 RANK = {"COMPLETE": 0, "RUNNING": 1, "START": 2}
+#: Events that one task takes, about.
+EVENTS = 500_000
 
 
 def read_run_events(spark: SparkSession, path: str) -> DataFrame:
@@ -19,13 +21,17 @@ def read_run_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def collapse_runs(events: DataFrame) -> DataFrame:
-    """One event for each run, the most complete; failed and aborted runs have none."""
+    """One event for each run, the most complete; failed and aborted runs have none.
+
+    Events are parted by run into as many parts as they need: what a task holds doesn't grow with them.
+    """
     rank = F.lit(3)
     for kind, r in RANK.items():
         rank = F.when(F.col("eventType") == kind, F.lit(r)).otherwise(rank)
-    w = W.partitionBy("run.runId")
-    marked = events.withColumn("_dead", F.max(F.col("eventType").isin("FAIL", "ABORT").cast("int")).over(w)).withColumn("_r", F.row_number().over(w.orderBy(rank, F.desc("eventTime"))))
-    return marked.where("_dead = 0 and _r = 1").drop("_dead", "_r")
+    n = max(events.agg(F.count("run.runId")).first()[0] // EVENTS + 1, events.sparkSession.sparkContext.defaultParallelism)
+    w = W.partitionBy("_run")
+    marked = events.withColumn("_run", F.col("run.runId")).repartition(n, "_run").withColumn("_dead", F.max(F.col("eventType").isin("FAIL", "ABORT").cast("int")).over(w)).withColumn("_r", F.row_number().over(w.orderBy(rank, F.desc("eventTime"))))
+    return marked.where("_dead = 0 and _r = 1").drop("_run", "_dead", "_r")
 
 
 def _name(d: Column) -> Column:
@@ -54,11 +60,18 @@ def live_edges(events: DataFrame) -> DataFrame:
     return _live(events, [F.col(f"{c}.{x}") for c in ("inputs", "outputs") for x in ("namespace", "name")], run_edges)
 
 
-def run_columns(runs: DataFrame) -> DataFrame:
-    """(src, src_col, dst, dst_col) of the column-lineage facet."""
-    out = runs.select(F.explode("outputs").alias("o")).select(_name(F.col("o")).alias("dst"), F.explode("o.facets.columnLineage.fields").alias("dst_col", "f"))
-    cols = out.select("dst", "dst_col", F.explode("f.inputFields").alias("x"))
-    return cols.select(_name(F.col("x")).alias("src"), F.col("x.field").alias("src_col"), "dst", "dst_col").where("src <> dst").distinct()
+def run_columns(runs: DataFrame, *also: str) -> DataFrame:
+    """(src, src_col, dst, dst_col) of the column-lineage facet, and what else is asked for."""
+    out = runs.select(*also, F.explode("outputs").alias("o")).select(*also, _name(F.col("o")).alias("dst"), F.explode("o.facets.columnLineage.fields").alias("dst_col", "f"))
+    cols = out.select(*also, "dst", "dst_col", F.explode("f.inputFields").alias("x"))
+    return cols.select(*also, _name(F.col("x")).alias("src"), F.col("x.field").alias("src_col"), "dst", "dst_col").where("src <> dst").distinct()
+
+
+def live_columns(events: DataFrame) -> DataFrame:
+    """`run_columns` of the runs that `collapse_runs` leaves."""
+    names = [F.col(f"outputs.{x}") for x in ("namespace", "name")]
+    fields = F.transform("outputs", lambda o: F.map_entries(o["facets"]["columnLineage"]["fields"]))
+    return _live(events, [*names, fields], run_columns)
 
 
 def access_columns(history: DataFrame) -> DataFrame:

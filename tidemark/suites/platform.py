@@ -67,7 +67,7 @@ def run_lineage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_column_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    return lineage.run_columns(lineage.collapse_runs(_runs(spark, sf)))
+    return lineage.live_columns(_runs(spark, sf))
 
 
 def access_lineage(spark: SparkSession, sf: str) -> DataFrame:
