@@ -35,3 +35,16 @@ def test_grams_are_those_of_the_text(spark):
     grams = F.array_distinct(t.ngrams(t.words(t.normalize(F.col("text"))), 5))
     rows = df.select(t.words(t.normalize(F.col("text"))).alias("old"), t.normal_words(F.col("text")).alias("new"), F.coalesce(F.size(grams), F.lit(0)).alias("n"), t.gram_hashes(t.normal_words(F.col("text")), 5).alias("g")).collect()
     assert all(r["old"] == r["new"] and r["n"] in (len(r["g"]), -1) and r["g"] == sorted(set(r["g"])) for r in rows if r["old"] is not None)
+
+
+def test_few_grams_of_a_set_are_shuffled(spark, monkeypatch):
+    """exact_jaccard_pairs: a fifth of each set, without what half of them have, and no pair lost"""
+    monkeypatch.setattr(ml, "LEAST_COMMON", 2, raising=False)
+    sets = [(i, [*range(100 * (i % 2)), *range(1000 * i, 1000 * i + 150)]) for i in range(1, 21)]
+    sets += [(100 + k, [*g[:-5], -k]) for k, g in sets]
+    df = _hashed(spark, sets)
+    rows = ml._prefixes(df, 0.8).collect()
+    assert len(rows) == sum(len(g) - -(-len(g) * 4 // 5) + 1 for _, g in sets)
+    half = {r[0] for r in spark.range(100).select(F.xxhash64("id")).collect()}
+    assert not half & {r["gram"] for r in rows}
+    assert {(r["a"], r["b"]) for r in ml.jaccard_pairs(df, 0.8).collect()} == {(k, 100 + k) for k in range(1, 21)}

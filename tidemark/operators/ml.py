@@ -83,26 +83,65 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+#: The commonest grams that are told to every task, at most, and the least number of sets that have such a gram.
+COMMON, LEAST_COMMON = 200_000, 8
+
+
+def _commonest(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest grams, sorted, and how many sets have each: all from a power of two on, as far as they are few."""
+    freq = materialize(sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= LEAST_COMMON), "gram-counts")
+    most, cut = 0, 64
+    for r in sorted(freq.groupBy(F.floor(F.log2("df")).alias("power")).count().collect(), reverse=True):
+        most += r["count"]
+        if most > COMMON:
+            break
+        cut = r["power"]
+    rows = freq.where(F.col("df") >= 2.0**cut).orderBy("gram").toArrow()
+    return rows["gram"].to_numpy(), rows["df"].to_numpy()
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, n, gram, left): the first grams of each set, and how many it has from there on.
+
+    The order is one for all sets, or prefixes would miss pairs: the commonest
+    grams come last, by their number, and others as they are, which are hashes.
+    """
+    common, number = _commonest(sets)
+
+    def first(grams: pa.Array) -> pa.Array:
+        every, sizes = grams.flatten().to_numpy(), grams.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, every), len(common) - 1)
+            df = np.where(common[at] == every, number[at], 0)
+        else:
+            df = np.zeros(len(every), np.int64)
+        order = np.lexsort((every, df, np.repeat(np.arange(len(sizes)), sizes)))
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(every))
+        length = np.where(sizes > 0, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, 0)
+        keep = np.repeat(sizes, sizes) - left < np.repeat(length, sizes)
+        rows = pa.StructArray.from_arrays([pa.array(every[order][keep]), pa.array(left[keep].astype(np.int32))], names=["gram", "left"])
+        return pa.ListArray.from_arrays(np.cumsum(np.r_[0, np.minimum(length, sizes)]).astype(np.int32), rows)
+
+    made = sets.select("key", F.size("grams").alias("n"), F.arrow_udf(first, "array<struct<gram:bigint,left:int>>")("grams").alias("x"))
+    return made.select("key", "n", F.inline("x"))
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the different gram sets that reach the threshold, each named by its least document.
 
-    Grams are ordered from rare to common; two sets of Jaccard t share a gram
-    among the first n - ceil(t n) + 1 of each, so only those prefixes are joined,
-    and only where the sizes and the places of the gram still allow t.
+    Grams have an order that puts common ones last; two sets of Jaccard t share a
+    gram among the first n - ceil(t n) + 1 of each, so only those prefixes are
+    shuffled and joined, and only where the sizes and the places of the gram
+    still allow t.
     """
-    grams = sets.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    freq = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    # A gram of one set alone meets nothing, but holds its place at the head of the prefix.
-    shared = grams.join(freq, "gram").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
-    alone = F.col("n") - F.size("ranked")
-    length = F.greatest(F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1 - alone, F.lit(0)).cast("int")
-    prefix = materialize(shared.select("key", "n", alone.alias("alone"), F.posexplode(F.slice("ranked", 1, length)).alias("at", "x")).select("key", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("x.gram").alias("gram")), "prefixes")
+    alike = F.count("*").over(W.partitionBy("gram"))
+    prefix = materialize(_prefixes(sets, threshold).withColumn("alike", alike).where("alike > 1").drop("alike"), "prefixes")
     a, b = (prefix.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("left").alias(f"l{c}"), "gram") for c in ("a", "b"))
     # What a pair can share from its first common gram on must be enough; later common grams only say less.
     enough = (1 + threshold) * F.max(F.least("la", "lb")) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
     sized = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
     near = sized.groupBy("a", "b", "na", "nb").agg(enough.alias("enough")).where("enough").select("a", "b")
-    return _similar(near, sets, threshold)
+    return _similar(materialize(near, "near-pairs"), sets, threshold)
 
 
 #: Grams that are hashed at a time, so that they stay in a core's cache.
