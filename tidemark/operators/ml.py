@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import gram_hashes, normal_words
 from tidemark.operators.components import connected_components
-from tidemark.session import materialize
+from tidemark.session import materialize, shuffled
 
 
 def stale_chunks(chunks: DataFrame, index: DataFrame, key: list[str], digest: str) -> DataFrame:
@@ -57,13 +59,22 @@ def gram_containment(items: DataFrame, corpus: DataFrame) -> DataFrame:
     return pairs.select("item", "doc", "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
-#: Keys up to which a list of keys is broadcast: so many take some 64 MB.
-FEW_KEYS = 1_000_000
+#: Keys up to which tasks are told a list of keys, and rows of keys with their pieces up to which these are broadcast: so many take 32 and some 64 MB.
+FEW_KEYS, FEW_ENDS = 4_000_000, 500_000
 
 
-def _keys(keys: DataFrame) -> DataFrame:
-    """Written keys, to be broadcast where they are few: what they pick from is then not shuffled."""
-    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+def _sifted(sets: DataFrame, keys: DataFrame, among: bool) -> DataFrame:
+    """The sets whose keys, which are numbers, are or are not among the written ones; only where keys are many are sets shuffled, and then not sorted."""
+    if keys.count() > FEW_KEYS:
+        return sets.join(shuffled(keys.select("key")), "key", "left_semi" if among else "left_anti")
+    told = np.sort(keys.select("key").toArrow()["key"].to_numpy())
+
+    def found(every: pa.Array) -> pa.Array:
+        x = every.fill_null(0).to_numpy()  # who has no key has no pairs
+        at = np.minimum(np.searchsorted(told, x), len(told) - 1)
+        return pa.array((told[at] == x) == among if len(told) else np.full(len(x), not among))
+
+    return sets.where(F.arrow_udf(found, "boolean")("key"))
 
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,25 +82,85 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = materialize(sets.select("key", *[F.xxhash64(F.lit(i), "grams").alias(f"m{i}") for i in (1, 2)]), "marks")
     first = marked.groupBy("m1", "m2").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = materialize(marked.join(first, ["m1", "m2"]).where("key <> first").select("key", "first"), "set-classes")
-    return sets.join(_keys(members.select("key")), "key", "left_anti"), members
+    least = _sifted(sets, members, False)
+    return materialize(least, "least-sets") if members.count() > FEW_KEYS else least, members
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the written pairs (a, b) whose exact similarity reaches the threshold; only sets that have a pair are shuffled."""
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
-    held = sets.join(_keys(ends), "key", "left_semi")
-    ga, gb = (held.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
-    both = pairs.join(ga, "a").join(gb, "b").select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("s"))
-    return both.select("a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+#: Pairs of a group, and grams of its sets, up to which it is verified in one piece.
+PAIRS, GRAMS = 1_000_000, 1_000_000
 
 
-#: The commonest grams that are told to every task, at most, and the least number of sets that have such a gram.
-COMMON, LEAST_COMMON = 200_000, 8
+def _placed(pairs: DataFrame) -> DataFrame:
+    """(w, i, j, a, b): the piece of work in which each of the pairs (a, b, na, nb) is verified.
+
+    Pairs around one set are a group, so that a group of near copies has each of
+    its sets once, not once a pair. A large group is cut by its sets, and each
+    two of its parts are a piece; small groups share pieces.
+    """
+    ends = F.inline(F.array(F.struct(F.col("a").alias("key"), F.col("na").alias("n"), F.col("b").alias("other")), F.struct(F.col("b").alias("key"), F.col("nb").alias("n"), F.col("a").alias("other"))))
+    least = pairs.select(ends).groupBy("key").agg(F.min(F.least("key", "other")).alias("least"))
+    la, lb = (least.select(F.col("key").alias(c), F.col("least").alias(f"l{c}")) for c in ("a", "b"))
+    grouped = materialize(pairs.join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("g"), "a", "b", "na", "nb"), "grouped-pairs")
+    number = grouped.groupBy("g").agg(F.count("*").alias("pairs"))
+    size = grouped.select("g", ends).select("g", "key", "n").distinct().groupBy("g").agg(F.sum("n").alias("size"))
+    parts = F.greatest(F.ceil(F.sqrt(F.col("pairs") / PAIRS)), F.ceil(F.col("size") / GRAMS))
+    groups = materialize(number.join(size, "g").select("g", "size", parts.alias("parts")), "pair-groups")
+    small = groups.where("parts = 1").agg(F.sum("size")).first()[0] or 0
+    large = groups.where("parts > 1").select("g", "parts")
+    at = [F.pmod(F.xxhash64(c), F.col("parts")) for c in ("a", "b")]
+    w = F.coalesce(F.when(F.col("parts") > 1, F.col("g")), F.pmod(F.xxhash64("g"), F.lit(-(-small // GRAMS) or 1)))
+    return grouped.join(large, "g", "left").select(w.alias("w"), F.coalesce(F.least(*at), F.lit(-1)).alias("i"), F.coalesce(F.greatest(*at), F.lit(-1)).alias("j"), "a", "b")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the written pairs (a, b, na, nb), with their sets' sizes, whose exact similarity reaches the threshold; a set is shuffled once for each piece of work that it has pairs in."""
+    placed = materialize(_placed(pairs), "placed-pairs")
+    keys = F.explode(F.array("a", "b")).alias("key")
+    ends = materialize(placed.select("w", "i", "j", keys).distinct().groupBy("key").agg(F.collect_list(F.struct("w", "i", "j")).alias("at")), "ends")
+    met = sets.join(F.broadcast(ends), "key") if ends.count() <= FEW_ENDS else _sifted(sets, ends, True).join(shuffled(ends), "key")
+    held = met.select("key", "grams", F.inline("at"))
+
+    def verified(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        keys, grams = sets["key"].to_numpy(), sets["grams"].combine_chunks()
+        order = np.argsort(keys)
+        a, b = (order[np.searchsorted(keys, pairs[c].to_numpy(), sorter=order)] for c in ("a", "b"))
+        sizes = grams.value_lengths().to_numpy().astype(np.int64)
+        known, every = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        own, has, shared = np.split(every, np.cumsum(sizes)[:-1]), np.zeros(len(known), bool), np.zeros(len(a), np.int64)
+        for at in np.split(by := np.argsort(a, kind="stable"), np.flatnonzero(np.diff(a[by])) + 1):
+            has[own[a[at[0]]]] = True
+            shared[at] = np.add.reduceat(has[np.concatenate([own[x] for x in b[at]])], np.r_[0, np.cumsum(sizes[b[at]])[:-1]], dtype=np.int64)
+            has[own[a[at[0]]]] = False
+        jaccard = shared / (sizes[a] + sizes[b] - shared)
+        return pa.table({"a": pairs["a"], "b": pairs["b"], "jaccard": jaccard}).filter(pa.array(jaccard >= threshold))
+
+    piece = ["w", "i", "j"]
+    return placed.groupBy(*piece).cogroup(held.groupBy(*piece)).applyInArrow(verified, "a long, b long, jaccard double")
+
+
+#: The commonest grams that are told to every task, at most, the least number of sets that have such a gram, and grams that a task counts at a time.
+COMMON, LEAST_COMMON, COUNTED = 200_000, 8, 4_000_000
 
 
 def _commonest(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest grams, sorted, and how many sets have each: all from a power of two on, as far as they are few."""
-    freq = materialize(sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= LEAST_COMMON), "gram-counts")
+    """The commonest grams, sorted, and about how many sets have each: all from a power of two on, as far as they are few.
+
+    Most grams are in one set. Tasks count all, some millions at a time, and pass
+    on those that they saw twice, so rare ones are neither shuffled nor written.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for grams in itertools.chain((b["grams"].flatten().to_numpy() for b in batches), [None]):
+            if grams is not None:
+                held.append(grams)
+            if held and (grams is None or sum(map(len, held)) >= COUNTED):
+                gram, df = np.unique(np.concatenate(held), return_counts=True)
+                held = []
+                yield pa.RecordBatch.from_arrays([pa.array(gram[df > 1]), pa.array(df[df > 1])], names=["gram", "df"])
+
+    seen = sets.select("grams").mapInArrow(counted, "gram long, df long")
+    freq = materialize(seen.groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= LEAST_COMMON), "gram-counts")
     most, cut = 0, 64
     for r in sorted(freq.groupBy(F.floor(F.log2("df")).alias("power")).count().collect(), reverse=True):
         most += r["count"]
@@ -134,14 +205,15 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     shuffled and joined, and only where the sizes and the places of the gram
     still allow t.
     """
-    alike = F.count("*").over(W.partitionBy("gram"))
-    prefix = materialize(_prefixes(sets, threshold).withColumn("alike", alike).where("alike > 1").drop("alike"), "prefixes")
-    a, b = (prefix.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("left").alias(f"l{c}"), "gram") for c in ("a", "b"))
-    # What a pair can share from its first common gram on must be enough; later common grams only say less.
-    enough = (1 + threshold) * F.max(F.least("la", "lb")) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
-    sized = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    near = sized.groupBy("a", "b", "na", "nb").agg(enough.alias("enough")).where("enough").select("a", "b")
-    return _similar(materialize(near, "near-pairs"), sets, threshold)
+    alike, before = F.count("*").over(W.partitionBy("gram")), W.partitionBy("key").orderBy(F.desc("left"))
+    kept = _prefixes(sets, threshold).withColumn("alike", alike).where("alike > 1").drop("alike")
+    prefix = materialize(kept.withColumns({f"p{i}": F.lag("gram", i).over(before) for i in (1, 2)}), "prefixes")
+    a, b = (prefix.select("gram", *[F.col(x).alias(f"{y}{c}") for x, y in (("key", ""), ("n", "n"), ("left", "l"), ("p1", "p"), ("p2", "q"))]) for c in ("a", "b"))
+    # What a pair can share from its first common gram on must be enough; at later ones, told by those before them, it would only be made again.
+    enough = (1 + threshold) * F.least("la", "lb") >= threshold * (F.col("na") + F.col("nb")) - 1e-9
+    later = F.greatest(*[F.coalesce(F.col(x) == F.col(y), F.lit(False)) for x in ("pa", "qa") for y in ("pb", "qb")])
+    sized = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & enough & ~later)
+    return _similar(materialize(sized.select("a", "b", "na", "nb").distinct(), "near-pairs"), sets, threshold)
 
 
 #: Grams that are hashed at a time, so that they stay in a core's cache.
@@ -149,7 +221,7 @@ AT_ONCE = 32_768
 
 
 def minhash(sets: DataFrame, permutations: int = 128) -> DataFrame:
-    """(key, signature): the least of the grams, which are hashes, under each of so many multiplications and shifts."""
+    """(key, n, signature): how many grams, and the least of them, which are hashes, under each of so many multiplications and shifts."""
     draws = np.random.default_rng(42).integers(0, 1 << 64, (2, permutations), np.uint64)
     factors, shifts = draws[0] | np.uint64(1), draws[1]
 
@@ -165,7 +237,7 @@ def minhash(sets: DataFrame, permutations: int = 128) -> DataFrame:
                     out[rows, p] = np.minimum.reduceat(own * factors[p] + shifts[p], starts[rows] - starts[rows[0]])
         return pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * permutations, out.view(np.int64).ravel())
 
-    return sets.select("key", F.arrow_udf(signed, "array<bigint>")("grams").alias("signature"))
+    return sets.select("key", F.size("grams").alias("n"), F.arrow_udf(signed, "array<bigint>")("grams").alias("signature"))
 
 
 #: Rounds in which the members of buckets meet one of them, and pairs that are left a row of the buckets at which these end.
@@ -175,8 +247,8 @@ STARS, FEW_PAIRS = 4, 2
 def _verified(met: DataFrame, signatures: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The links among pairs that met; those whose estimate is over four deviations (of 128 rows) below the threshold are not verified."""
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    sa, sb = (signatures.select(F.col("key").alias(c), F.col("signature").alias(f"s{c}")) for c in ("a", "b"))
-    near = met.join(sa, "a").join(sb, "b").where(same >= (threshold - 0.15) * F.size("sa")).select("a", "b")
+    sa, sb = (signatures.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}")) for c in ("a", "b"))
+    near = met.join(sa, "a").join(sb, "b").where(same >= (threshold - 0.15) * F.size("sa")).select("a", "b", "na", "nb")
     return materialize(_similar(materialize(near, "lsh-pairs"), sets, threshold), "links")
 
 
