@@ -59,8 +59,8 @@ def gram_containment(items: DataFrame, corpus: DataFrame) -> DataFrame:
     return pairs.select("item", "doc", "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
-#: Keys up to which tasks are told a list of keys, and rows of keys with their pieces up to which these are broadcast: so many take 32 and some 64 MB.
-FEW_KEYS, FEW_ENDS = 4_000_000, 500_000
+#: Keys up to which tasks are told a list of keys, and rows of keys with their pieces up to which these are broadcast: so many take 32 and some 55 MB.
+FEW_KEYS, FEW_ENDS = 4_000_000, 250_000
 
 
 def _sifted(sets: DataFrame, keys: DataFrame, among: bool) -> DataFrame:
@@ -87,7 +87,7 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 #: Pairs of a group, and grams of its sets, up to which it is verified in one piece.
-PAIRS, GRAMS = 1_000_000, 1_000_000
+PAIRS, GRAMS = 100_000, 1_000_000
 
 
 def _placed(pairs: DataFrame) -> DataFrame:
